@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ["signals"]
+_AREAS = ["signals", "ledger", "calls", "chats"]
 
 
 def _load():

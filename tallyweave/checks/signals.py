@@ -79,7 +79,7 @@ _ROLLING = {
         f"CAST(rn - list_max(list_transform(list_filter({_VALUES}, lambda e: e.v = min(x) OVER {_FRAME}), lambda e: e.r)) AS DOUBLE)")),
     "win14_ts_argmax": (lambda s: w.ts_argmax(s, "x", _D).cast("double"), _full(
         f"CAST(rn - list_max(list_transform(list_filter({_VALUES}, lambda e: e.v = max(x) OVER {_FRAME}), lambda e: e.r)) AS DOUBLE)")),
-    "win15_ts_product": (lambda s: w.ts_product(s, n.div("x", 1e5), _D), _full(f"product(x / 1e5) OVER {_FRAME}")),
+    "win15_ts_product": (lambda s: w.ts_product(s, n.div("x", 250000.0), _D), _full(f"product(x / 250000.0) OVER {_FRAME}")),
 }
 # The twins of the arg functions compare every row of the frame with its extreme.
 for _name, _pick in [("win13_ts_argmin", "min"), ("win14_ts_argmax", "max")]:

@@ -6,7 +6,7 @@ Aggregates by instant are combined map-side and joined back, so one crowded inst
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave import scale
 from tallyweave.functions.numeric import finite
@@ -15,17 +15,23 @@ from tallyweave.functions.numeric import finite
 BOOK_SIZE = 10_000.0
 
 
+def centred(df: DataFrame, at: str = "timestamp", value: str = "alpha", out: str = "z") -> DataFrame:
+    """Value minus its mean over the instant."""
+    means = df.groupBy(at).agg(F.avg(value).alias("__mean"))
+    return df.join(means, at).withColumn(out, F.col(value) - F.col("__mean")).drop("__mean")
+
+
+def divisor(gross: str) -> Column:
+    """The gross sum, or 1 where it is 0."""
+    return F.coalesce(F.nullif(F.col(gross), F.lit(0.0)), F.lit(1.0))
+
+
 def neutralise(df: DataFrame, at: str = "timestamp", value: str = "alpha", out: str = "position") -> DataFrame:
     """Demeaned per instant and scaled to the book size; an all-equal instant gets zero positions."""
-    means = df.groupBy(at).agg(F.avg(value).alias("__mean"))
-    centred = df.join(means, at).withColumn("__z", F.col(value) - F.col("__mean"))
-    gross = centred.groupBy(at).agg(F.sum(F.abs("__z")).alias("__gross"))
-    divisor = F.coalesce(F.nullif(F.col("__gross"), F.lit(0.0)), F.lit(1.0))
-    return (
-        centred.join(gross, at)
-        .withColumn(out, finite(BOOK_SIZE * F.col("__z") / divisor))
-        .drop("__mean", "__z", "__gross")
-    )
+    moved = centred(df, at, value, "__z")
+    gross = moved.groupBy(at).agg(F.sum(F.abs("__z")).alias("__gross"))
+    position = finite(BOOK_SIZE * F.col("__z") / divisor("__gross"))
+    return moved.join(gross, at).withColumn(out, position).drop("__z", "__gross")
 
 
 def cross_rank(df: DataFrame, at: str, value: str, out: str = "rank", rows_per_task: int | None = None) -> DataFrame:

@@ -149,3 +149,8 @@ def count_per(df: DataFrame, keys: Sequence[str], out: str = "total") -> DataFra
     """Each row with the row count of its key, counted map-side and joined back."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
     return df.join(counts, list(keys))
+
+
+def upcoming(df: DataFrame, at: str, start: Column, end: Column, tie: str, limit: int = 10) -> DataFrame:
+    """The first events inside [start, end], the earliest first."""
+    return df.where(F.col(at).between(start, end)).orderBy(at, tie).limit(limit)

@@ -7,76 +7,85 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyweave.functions.numeric import finite
 from tallyweave.schemas import BAR_COLUMNS
 
-# Bar frequencies, finest first, with their interval.
-FREQUENCIES = {
-    "1min": "1 minute", "5min": "5 minutes", "15min": "15 minutes", "1h": "1 hour",
-    "4h": "4 hours", "12h": "12 hours", "1d": "1 day",
-}
+# Bar frequencies, finest first, with their length in seconds.
+FREQUENCIES = {"1min": 60, "5min": 300, "15min": 900, "1h": 3_600, "4h": 14_400, "12h": 43_200, "1d": 86_400}
 
 _QUOTE_BARS = BAR_COLUMNS[:8]
 
 
-def bucket_end(ts, interval: str) -> Column:
-    """Right edge of the bucket (start, end] holding ts: shifted one microsecond, an edge tick closes its bar."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.window(ts - F.expr("INTERVAL 0.000001 SECOND"), interval)["end"]
+def _micros(ts: str = "ts") -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _tick_order(ts: str, seq: str | None) -> Column:
-    """Order of ticks as one number, so that first/last stay in hash aggregation. Equal instants go by seq."""
-    micros = f"unix_micros(cast({ts} as timestamp))"
+def bucket_end(micros: Column, freq: str) -> Column:
+    """Right edge, in microseconds, of the bucket (start, end] that holds the instant: an edge tick closes
+    its bar. Plain long arithmetic, because every aggregate repeats it."""
+    length = F.lit(FREQUENCIES[freq] * 1_000_000)
+    return micros - 1 - F.pmod(micros - 1, length) + length
+
+
+def _tick_order(us: str, seq: str | None) -> Column:
+    """Order of ticks as one number, so that first and last stay in hash aggregation. Equal instants go by seq."""
     if seq is None:
-        return F.expr(micros)
+        return F.col(us)
     return F.expr(
-        f"cast({micros} as decimal(19,0)) * cast(10000000000000000000 as decimal(20,0)) + cast({seq} as decimal(19,0))"
+        f"cast({us} as decimal(19,0)) * cast(10000000000000000000 as decimal(20,0)) + cast({seq} as decimal(19,0))"
     )
 
 
-def resample_bars(quotes: DataFrame, freq: str, seq: str | None = "seq") -> DataFrame:
-    """Quote bars. Pass seq=None where (symbol, ts) is known to be unique: a cheaper order."""
-    mid = finite((F.col("bid_price") + F.col("ask_price")) / 2)
-    order = _tick_order("ts", seq)
-    ticks = quotes.select(
-        "symbol", bucket_end("ts", FREQUENCIES[freq]).alias("bar_ts"), order.alias("o"), mid.alias("mid"),
-        finite("ask_price").alias("ask"), finite("bid_price").alias("bid"),
-    )
+def _edges(pick, values: dict[str, str], order: str) -> list[Column]:
+    """First or last present value of a bar: {value column: output name}."""
+    return [pick(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(name) for v, name in values.items()]
 
-    def edge(pick, value):
-        return pick(value, F.when(F.col(value).isNotNull(), F.col("o")))
 
-    bars = ticks.groupBy("symbol", F.col("bar_ts").alias("ts")).agg(
-        edge(F.min_by, "mid").alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"),
-        edge(F.max_by, "mid").alias("close"),
-        edge(F.min_by, "ask").alias("open_ask_price"), edge(F.max_by, "ask").alias("close_ask_price"),
-        edge(F.min_by, "bid").alias("open_bid_price"), edge(F.max_by, "bid").alias("close_bid_price"),
+def _quote_level(quotes: DataFrame, freq: str, seq: str | None) -> DataFrame:
+    """Quote bars with the bucket end in microseconds (`us`)."""
+    ticks = quotes.select("symbol", _micros().alias("at"), *([F.col(seq)] if seq else []),
+                          finite("bid_price").alias("bid"), finite("ask_price").alias("ask"))
+    ordered = ticks.select("symbol", bucket_end(F.col("at"), freq).alias("us"), _tick_order("at", seq).alias("o"),
+                           "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
+    bars = ordered.groupBy("symbol", "us").agg(
+        F.max("mid").alias("high"), F.min("mid").alias("low"),
+        *_edges(F.min_by, {"mid": "open", "ask": "open_ask_price", "bid": "open_bid_price"}, "o"),
+        *_edges(F.max_by, {"mid": "close", "ask": "close_ask_price", "bid": "close_bid_price"}, "o"),
     )
-    return _labelled(bars.where("close IS NOT NULL"), freq)
+    return bars.where("close IS NOT NULL")
+
+
+def _coarser(level: DataFrame, freq: str) -> DataFrame:
+    """The next level from a finer one; a bar has all its values, so its end alone orders it."""
+    fine = level.select("symbol", bucket_end(F.col("us"), freq).alias("end"), *[c for c in level.columns if c != "symbol"])
+    return fine.groupBy("symbol", F.col("end").alias("us")).agg(
+        F.max("high").alias("high"), F.min("low").alias("low"),
+        *_edges(F.min_by, {c: c for c in _QUOTE_BARS if c.startswith("open")}, "us"),
+        *_edges(F.max_by, {c: c for c in _QUOTE_BARS if c.startswith("close")}, "us"),
+    ).select(*level.columns)
+
+
+def _labelled(level: DataFrame, freq: str) -> DataFrame:
+    return level.select("symbol", F.lit(freq).alias("freq"), F.timestamp_micros("us").alias("ts"), *_QUOTE_BARS)
 
 
-def _labelled(bars: DataFrame, freq: str) -> DataFrame:
-    return bars.select("symbol", F.lit(freq).alias("freq"), "ts", *_QUOTE_BARS)
+def resample_bars(quotes: DataFrame, freq: str, seq: str | None = "seq") -> DataFrame:
+    """Quote bars; empty buckets give no row. Pass seq=None where (symbol, ts) is known to be unique: a
+    cheaper order."""
+    return _labelled(_quote_level(quotes, freq, seq), freq)
 
 
 def coarsen(bars: DataFrame, freq: str) -> DataFrame:
-    """Coarser bars from finer ones; the finer frequency must divide the coarser."""
-    order = _tick_order("ts", None)
-    fine = bars.select("symbol", bucket_end("ts", FREQUENCIES[freq]).alias("bar_ts"), order.alias("o"), *_QUOTE_BARS)
-    coarse = fine.groupBy("symbol", F.col("bar_ts").alias("ts")).agg(
-        F.max("high").alias("high"), F.min("low").alias("low"),
-        *[F.min_by(c, "o").alias(c) for c in _QUOTE_BARS if c.startswith("open")],
-        *[F.max_by(c, "o").alias(c) for c in _QUOTE_BARS if c.startswith("close")],
-    )
-    return _labelled(coarse, freq)
+    """Coarser quote bars from finer ones; the finer frequency must divide the coarser."""
+    level = bars.select("symbol", _micros().alias("us"), *_QUOTE_BARS)
+    return _labelled(_coarser(level, freq), freq)
 
 
 def resample_all(quotes: DataFrame, seq: str | None = "seq") -> DataFrame:
     """All frequencies. Each level is built from the one below, and Spark reuses the shared shuffles,
     so the quotes are read once."""
-    level = resample_bars(quotes, "1min", seq)
-    result = level
+    level = _quote_level(quotes, "1min", seq)
+    result = _labelled(level, "1min")
     for freq in list(FREQUENCIES)[1:]:
-        level = coarsen(level, freq)
-        result = result.unionByName(level)
+        level = _coarser(level, freq)
+        result = result.unionByName(_labelled(level, freq))
     return result
 
 
@@ -86,7 +95,7 @@ def trade_bars(trades: DataFrame, freq: str) -> DataFrame:
         return F.when(F.col("side") == side, value)
 
     one, qty = F.lit(1), F.col("qty")
-    bars = trades.groupBy("symbol", bucket_end("ts", FREQUENCIES[freq]).alias("ts")).agg(
+    bars = trades.groupBy("symbol", bucket_end(_micros(), freq).alias("us")).agg(
         finite(F.try_divide(F.sum(F.col("price") * qty), F.sum(qty))).alias("vwap"),
         F.coalesce(F.sum(of("buy", qty)), F.lit(0.0)).alias("buy_volume"),
         F.coalesce(F.sum(of("sell", qty)), F.lit(0.0)).alias("sell_volume"),
@@ -95,7 +104,7 @@ def trade_bars(trades: DataFrame, freq: str) -> DataFrame:
         F.count(of("sell", one)).cast("double").alias("sell_trades_count"),
         F.count(one).cast("double").alias("total_trades_count"),
     )
-    return bars.select("symbol", F.lit(freq).alias("freq"), "ts", *BAR_COLUMNS[8:])
+    return bars.select("symbol", F.lit(freq).alias("freq"), F.timestamp_micros("us").alias("ts"), *BAR_COLUMNS[8:])
 
 
 def full_bars(quotes: DataFrame, trades: DataFrame, freq: str, seq: str | None = "seq") -> DataFrame:

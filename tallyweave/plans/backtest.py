@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyweave import scale
 from tallyweave.functions.numeric import finite
 from tallyweave.functions.rolling import delay, forward_return
-from tallyweave.operators.crosssection import neutralise
+from tallyweave.operators.crosssection import BOOK_SIZE, centred, divisor, neutralise
+from tallyweave.session import cut_lineage
 
 
 def features_with_prices(features: DataFrame, bars: DataFrame) -> DataFrame:
@@ -31,11 +32,15 @@ def positions(df: DataFrame, lookahead: int = 1, rows_per_task: int | None = Non
     return held.withColumn("pnl", finite(F.col("position") * F.col("ret")))
 
 
+def _accumulated(per_instant: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """Running sum over instants. The per-instant table is written once, so that neither the size check nor
+    the running sum repeats the work behind it."""
+    return scale.running_total(cut_lineage(per_instant), [], ["timestamp"], "pnl", "cum_pnl", rows_per_task)
+
+
 def pnl_curve(rows: DataFrame, pnl: str = "pnl", rows_per_task: int | None = None) -> DataFrame:
-    """PnL per instant and its running sum. The running sum is taken over instants, not rows, in
-    time pieces, never in one global window."""
-    per_instant = rows.groupBy("timestamp").agg(F.sum(pnl).alias("pnl"))
-    return scale.running_total(per_instant, [], ["timestamp"], "pnl", "cum_pnl", rows_per_task)
+    """PnL per instant and its running sum, from rows that carry their PnL."""
+    return _accumulated(rows.groupBy("timestamp").agg(F.sum(pnl).alias("pnl")), rows_per_task)
 
 
 def row_curve(rows: DataFrame, rows_per_task: int | None = None) -> DataFrame:
@@ -52,8 +57,14 @@ def row_curve(rows: DataFrame, rows_per_task: int | None = None) -> DataFrame:
 
 
 def backtest(df: DataFrame, lookahead: int = 1, rows_per_task: int | None = None) -> DataFrame:
-    """timestamp, pnl, cum_pnl from (timestamp, ticker, alpha, close)."""
-    return pnl_curve(positions(df, lookahead, rows_per_task), rows_per_task=rows_per_task)
+    """timestamp, pnl, cum_pnl from (timestamp, ticker, alpha, close).
+
+    The curve needs only sums per instant, so positions are never joined back to the rows.
+    """
+    held = centred(add_forward_return(df, lookahead, rows_per_task=rows_per_task))
+    sums = held.groupBy("timestamp").agg(F.sum(F.abs("z")).alias("gross"), F.sum(F.col("z") * F.col("ret")).alias("gain"))
+    per_instant = sums.select("timestamp", finite(BOOK_SIZE * F.col("gain") / divisor("gross")).alias("pnl"))
+    return _accumulated(per_instant, rows_per_task)
 
 
 def metrics(curve: DataFrame, periods_per_year: float = 252.0, rows_per_task: int | None = None) -> DataFrame:
