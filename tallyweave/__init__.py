@@ -1,3 +1,10 @@
 """Tallyweave: data operators for signals, ledgers, calls, chats and text, written for Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ["signals", "ledger", "calls", "chats"]
+_AREAS = ["signals", "ledger", "calls", "chats", "texts", "streams"]
 
 
 def _load():

@@ -19,7 +19,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Name a value once, so that nested uses do not repeat its expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -96,14 +96,14 @@ def fit_budget(text, max_tokens: int, tokens: Callable[[Column], Column] = estim
     def once(t: Column) -> Column:
         excess = tokens(t) - max_tokens
         target = (F.length(t) - vocab.CHARS_PER_TOKEN * excess).cast("int")
-        chunk = _let(_first_chunk(t, target), lambda c: F.when(F.length(c) == F.length(t), F.substring(t, F.lit(1), target))
+        chunk = let(_first_chunk(t, target), lambda c: F.when(F.length(c) == F.length(t), F.substring(t, F.lit(1), target))
                      .otherwise(c))
         shortest = F.substring(t, 1, vocab.SHORTEST_CUT)
         return F.when(excess <= 0, t).when(target < vocab.SHORTEST_CUT, shortest).otherwise(chunk)
 
     result = F.coalesce(_col(text), F.lit(""))
     for _ in range(rounds):
-        result = _let(result, once)
+        result = let(result, once)
     return result
 
 
@@ -154,7 +154,8 @@ def is_strong_password(s) -> Column:
 
 def format_currency(x, currency) -> Column:
     """en-US money: symbol, grouped digits, minus sign first; JPY has no fraction."""
-    currency = F.lit(currency) if currency in vocab.CURRENCIES else _col(currency)
+    if isinstance(currency, str):
+        currency = F.lit(currency) if currency in vocab.CURRENCIES else F.col(currency)
     symbols = F.create_map(*[F.lit(v) for pair in vocab.CURRENCIES.items() for v in pair])
     symbol = F.coalesce(F.try_element_at(symbols, currency), F.concat(currency, F.lit(" ")))
     whole = currency.isin(vocab.NO_FRACTION_CURRENCIES)
@@ -277,8 +278,8 @@ def highlight(text, terms: Sequence[str], around: int = 30) -> Column:
     """The text around the earliest of the terms, NULL without a hit; case does not matter."""
     lowered = F.lower(_col(text))
     hits = F.filter(F.array(*[F.locate(t.lower(), lowered) for t in terms]), lambda p: p > 0)
-    return _let(F.array_min(hits), lambda at: F.substring(
-        _col(text), F.greatest(at - around, F.lit(1)), F.lit(2 * around) + F.least(at - 1, F.lit(around)) - around + 1))
+    return let(F.array_min(hits), lambda at: F.when(at.isNotNull(), F.substring(
+        _col(text), F.greatest(at - around, F.lit(1)), F.least(at - 1, F.lit(around)) + around + 1)))
 
 
 def compact(items) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave import vocab
-from tallyweave.functions.text import contains_any
+from tallyweave.functions.text import contains_any, let
 
 
 def _text(c) -> Column:
@@ -61,24 +61,26 @@ def coverage(text, key, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)
 
     Whether an annual limit remains is true for 80 % of the keys, by hash.
     """
-    best = best_coverage(text, lookup)
     rates = F.create_map(*[F.lit(v) for pair in category_rates(lookup).items() for v in pair])
-    remaining = F.when(best["annual_limit"].isNull(), True).otherwise(
-        F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(10)) < 8)
-    referral = F.coalesce(best["referral"], F.lit(False))
-    hit = F.struct(
-        best["covered"].alias("covered"), best["coverage"].alias("coverage"),
-        F.concat(best["notes"], F.when(referral, vocab.REFERRAL_SUFFIX).otherwise("")).alias("notes"),
-        F.try_element_at(rates, best["category"]).alias("approval_rate"),
-        ((best["category"] == vocab.PREAUTH_CATEGORY) | referral).alias("requires_preauth"),
-        remaining.alias("limit_remaining"),
-    )
+    bucket = F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(10))
     miss = F.struct(
         F.lit(False).alias("covered"), F.lit(0).alias("coverage"), F.lit(vocab.NO_COVERAGE_NOTE).alias("notes"),
         F.lit(0.0).alias("approval_rate"), F.lit(None).cast("boolean").alias("requires_preauth"),
         F.lit(None).cast("boolean").alias("limit_remaining"),
     )
-    return F.when(best.isNull(), miss).otherwise(hit)
+
+    def answer(best: Column) -> Column:
+        referral = F.coalesce(best["referral"], F.lit(False))
+        hit = F.struct(
+            best["covered"].alias("covered"), best["coverage"].alias("coverage"),
+            F.concat(best["notes"], F.when(referral, vocab.REFERRAL_SUFFIX).otherwise("")).alias("notes"),
+            F.try_element_at(rates, best["category"]).alias("approval_rate"),
+            ((best["category"] == vocab.PREAUTH_CATEGORY) | referral).alias("requires_preauth"),
+            (best["annual_limit"].isNull() | (bucket < 8)).alias("limit_remaining"),
+        )
+        return F.when(best.isNull(), miss).otherwise(hit)
+
+    return let(best_coverage(text, lookup), answer)
 
 
 def routing_score(text, role: str, primary: bool, keywords: Mapping = vocab.ROUTING_KEYWORDS) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave import vocab
-from tallyweave.functions.text import priority, priority_order
+from tallyweave.functions.text import let, priority, priority_order
 from tallyweave.operators.matching import coverage, route_topk
 
 
@@ -25,14 +25,17 @@ def triage(df: DataFrame, text: str, complexity: str, answer: str, key: str,
     """One row per consulted role in answer order: roles by routing score (all roles in their fixed order at
     the highest level), coverage of the answer text, answers by priority."""
     level = F.coalesce(F.col(complexity), F.lit("low"))
-    every = F.transform(route_topk(text, len(roles), roles, keywords), lambda r: r)
-    routed = F.when(level.isin(list(vocab.COMPLEXITY_ROLES)), route_topk(text, roles_for(level, roles), roles, keywords))
-    chosen = routed.otherwise(F.array_sort(every, lambda a, b: a["pos"] - b["pos"]))
-    rows = df.select("*", F.posexplode(chosen).alias("consulted", "r"))
-    answered = rows.select(
-        *df.columns, "consulted", F.col("r.role").alias("role"), F.col("r.score").alias("score"),
-        priority(answer).alias("priority"), coverage(answer, key, lookup).alias("coverage"))
-    return answered.withColumn("priority_order", priority_order("priority"))
+    in_role_order = lambda ranked: F.array_sort(ranked, lambda a, b: a["pos"] - b["pos"])
+    chosen = let(route_topk(text, len(roles), roles, keywords), lambda ranked: F.when(
+        level.isin(list(vocab.COMPLEXITY_ROLES)), F.slice(ranked, F.lit(1), roles_for(level, roles))
+    ).otherwise(in_role_order(ranked)))
+    # Priority and coverage belong to the answer: once per row, before it is multiplied by the roles.
+    judged = df.select("*", priority(answer).alias("priority"), coverage(answer, key, lookup).alias("coverage"),
+                       chosen.alias("__roles"))
+    rows = judged.select("*", F.posexplode("__roles").alias("consulted", "r")).drop("__roles")
+    return rows.select(
+        *df.columns, "consulted", F.col("r.role").alias("role"), F.col("r.score").alias("score"), "priority", "coverage",
+        priority_order("priority").alias("priority_order"))
 
 
 def order_by_priority(df: DataFrame, tie: str = "consulted") -> DataFrame:

@@ -1,6 +1,4 @@
-"""Explicit schemas of the inputs; nothing is inferred."""
-
-from pyspark.sql import types as T
+"""Explicit schemas of the inputs as DDL text; nothing is inferred."""
 
 # Canonical bar columns.
 BAR_COLUMNS = [
@@ -10,19 +8,17 @@ BAR_COLUMNS = [
     "buy_trades_count", "sell_trades_count", "total_trades_count",
 ]
 
-MONEY = T.DecimalType(18, 2)
-
 # Partition columns are declared too: a frequency such as 1d would be inferred as a number.
-BAR_TABLE = T.StructType.fromDDL(
+BAR_TABLE = (
     "ts timestamp, " + ", ".join(f"{c} double" for c in BAR_COLUMNS)
     + ", symbol string, freq string, year int, month int")
-FEATURE_TABLE = T.StructType.fromDDL(
+FEATURE_TABLE = (
     "ticker string, timestamp timestamp, alpha double, feature_hash string, freq string")
 
-QUOTE_FILE = T.StructType.fromDDL("timestamp bigint, bid_price double, ask_price double")
+QUOTE_FILE = "timestamp bigint, bid_price double, ask_price double"
 
-ALPHA_CATALOG = T.StructType.fromDDL("frequency string, alpha string")
-IDEA = T.StructType.fromDDL("idea string")
+ALPHA_CATALOG = "frequency string, alpha string"
+IDEA = "idea string"
 
 _REF = "struct<value:string,name:string>"
 _META = "struct<CreateTime:string,LastUpdatedTime:string>"
@@ -46,7 +42,7 @@ EXTERNAL_REPORT = (
 COMMAND_JSON = "intent string, confidence double, entities map<string,string>"
 TOOL_CALLS = "array<struct<toolName:string,result:string,error:string>>"
 
-CALL_EVENT = T.StructType.fromDDL("type string, call_id bigint, data string, timestamp timestamp")
+CALL_EVENT = "type string, call_id bigint, data string, timestamp timestamp"
 CALL_EVENT_DATA = (
     "call_type string, phone_number string, status string, segment_id bigint, speaker string, text string, "
     "rating int, comments string"
