@@ -21,7 +21,7 @@ _INPUTS = {
         FROM events""",
     "fx_trades": """
         SELECT l_returnflag AS symbol, {shipdate} AS ts, CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side,
-               l_extendedprice / l_quantity AS price, l_quantity AS qty
+               floor(l_extendedprice) AS price, l_quantity AS qty
         FROM lineitem""",
     "fx_bars": """
         SELECT symbol, ts, open, high, low, close, CASE WHEN n > 1 THEN close END AS x FROM (

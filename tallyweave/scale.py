@@ -29,20 +29,34 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def sort_code(df: DataFrame, name: str) -> Column:
-    """The ordering column as a number with the same order."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if kind == "date":
-        return F.unix_date(F.col(name))
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return F.col(name)
-    if kind == "string":
-        # The first seven bytes as a number keep the byte order of strings; longer ties share a piece.
-        head = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7))
-        return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("bigint")
-    raise TypeError(f"cannot order by {name}: {kind}")
+def _bytes_code(name: str, start: int) -> Column:
+    """Seven bytes of a string as a number; bytes in order keep the order of strings."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), start, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
+def sort_codes(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """One or two numbers whose lexicographic order never contradicts `order`.
+
+    A number or time is its own code, followed by that of the next column. Strings that differ may share
+    their first code, so a leading string is followed by its own next bytes instead.
+    """
+    kinds = dict(df.dtypes)
+
+    def code(name: str) -> Column:
+        kind = kinds[name]
+        if kind in ("timestamp", "timestamp_ntz"):
+            return F.unix_micros(F.col(name).cast("timestamp"))
+        if kind == "date":
+            return F.unix_date(F.col(name))
+        if kind == "string":
+            return _bytes_code(name, 1)
+        if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+            return F.col(name)
+        raise TypeError(f"cannot order by {name}: {kind}")
+
+    if kinds[order[0]] == "string":
+        return [_bytes_code(order[0], 1), _bytes_code(order[0], 8)]
+    return [code(c) for c in order[:2]]
 
 
 def _count_below(code: Column, points: list) -> Column:
@@ -52,11 +66,10 @@ def _count_below(code: Column, points: list) -> Column:
 def with_pieces(df: DataFrame, order: Sequence[str], pieces: int = PIECES) -> DataFrame:
     """Add two columns whose lexicographic order agrees with `order` and that cut the rows evenly.
 
-    Cut points are approximate quantiles, which affects balance only. A first-column value that is
-    itself hot (it repeats among the quantiles) is cut further by the second column.
+    Cut points are approximate quantiles, which affects balance only. A first code that is
+    itself hot (it repeats among the quantiles) is cut further by the second code.
     """
-    order = list(order[:2])
-    codes = [sort_code(df, c) for c in order]
+    codes = sort_codes(df, order)
     shares = [i / pieces for i in range(1, pieces)]
     found = df.agg(*[F.percentile_approx(c, shares, 4 * pieces).alias(f"p{i}") for i, c in enumerate(codes)]).first()
     points = [list(found[f"p{i}"] or []) for i in range(len(codes))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tallyweave import schemas, vocab
@@ -46,16 +47,22 @@ def rejected_call_events(lines: DataFrame) -> DataFrame:
         "value", F.when(bad, "unreadable").otherwise("unknown_type").alias("reason"))
 
 
-def run_append(stream: DataFrame, out: str, checkpoint: str) -> None:
+def _finish(query: StreamingQuery, timeout_s: int) -> None:
+    if not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"stream still runs after {timeout_s} s")
+
+
+def run_append(stream: DataFrame, out: str, checkpoint: str, timeout_s: int = 3_600) -> None:
     """Append-mode stream into a parquet folder until the present input is used up."""
     query = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    _finish(query, timeout_s)
 
 
-def run_updates(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
+def run_updates(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", timeout_s: int = 3_600) -> None:
     """Each batch's changed rows into their own folder; a repeated batch overwrites itself."""
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -64,7 +71,7 @@ def run_updates(stream: DataFrame, out: str, checkpoint: str, mode: str = "updat
         stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .outputMode(mode).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    _finish(query, timeout_s)
 
 
 def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:

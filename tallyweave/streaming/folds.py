@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -106,10 +107,25 @@ def call_lifecycle(events: DataFrame, silence_ms: int = 24 * 3600 * 1000) -> Dat
         _Lifecycle(silence_ms), outputStructType=_PARTIAL, outputMode="Append", timeMode="ProcessingTime")
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """`call_lifecycle` needs the RocksDB state store; set it before the stream starts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+# Settings `call_lifecycle` needs before its stream starts: the RocksDB state store, and, for a run that ends
+# with its input, no batches without data (its time-to-live would ask for them without end).
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+ENDS_WITH_INPUT = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+@contextmanager
+def settings(spark: SparkSession, *wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for the streams started inside; the former values come back after."""
+    merged = {k: v for group in wanted for k, v in group.items()}
+    before = {k: spark.conf.get(k, None) for k in merged}
+    for k, v in merged.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def transcript_merge(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
