@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.scale import spread
 from tallyweave.session import use_utc
 
 # Account type by market segment.
@@ -125,6 +126,10 @@ def with_inputs(sql: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
+# Tables of whole texts: work per row is heavy, so one file is spread over the cores.
+_TEXTS = ("documents", "pages")
+
+
 class Inputs:
     """Raw tables by name, derived inputs as attributes without their prefix."""
 
@@ -134,7 +139,8 @@ class Inputs:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            found = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._made[name] = spread(found) if name in _TEXTS else found
         return self._made[name]
 
     def derived(self, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyweave.operators import crosssection, resample
 from tallyweave.plans import backtest as bt, signals
 from tallyweave.schemas import BAR_COLUMNS, BAR_TABLE
 from tallyweave.scale import Series, evaluate
-from tallyweave.session import work_path
+from tallyweave.session import cut_lineage, work_path
 from tallyweave.sources import bars as bar_files
 
 # --- element-wise functions over daily bars -------------------------------------------------------
@@ -378,7 +378,8 @@ def _(t):
 
 def flagship(t):
     """Daily bars of the event stream, a range signal, and its backtest."""
-    daily = resample.resample_bars(t.quotes, "1d")
+    # The bars feed the signal and the prices; they are small and written once.
+    daily = cut_lineage(resample.resample_bars(t.quotes, "1d"))
     features = signals.build_feature(daily, "1d", _Z)
     curve = bt.backtest(bt.features_with_prices(features, daily))
     return curve.select(plain_ts("timestamp").alias("timestamp"), r6("pnl").alias("pnl"), r6("cum_pnl").alias("cum_pnl"))

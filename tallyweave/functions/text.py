@@ -185,15 +185,13 @@ def labelled_field(text, field: str) -> Column:
 
 
 def priority(text) -> Column:
-    low = F.lower(_col(text))
-    return (
-        F.when(contains_any(low, vocab.HIGH_PRIORITY_WORDS), "high")
-        .when(contains_any(low, vocab.LOW_PRIORITY_WORDS), "low").otherwise("medium")
-    )
+    return let(F.lower(_col(text)), lambda low: F.when(contains_any(low, vocab.HIGH_PRIORITY_WORDS), "high")
+               .when(contains_any(low, vocab.LOW_PRIORITY_WORDS), "low").otherwise("medium"))
 
 
 def escalate(base, text) -> Column:
-    return F.when(contains_any(F.lower(_col(text)), vocab.CRITICAL_WORDS), "high").otherwise(_col(base))
+    critical = let(F.lower(_col(text)), lambda low: contains_any(low, vocab.CRITICAL_WORDS))
+    return F.when(critical, "high").otherwise(_col(base))
 
 
 def _lookup(key, table: dict) -> Column:
@@ -211,9 +209,9 @@ def priority_order(c) -> Column:
 def mention_notes(text, low_terms: Sequence[str] = tuple(vocab.LOW_IMPACT_TERMS),
                   high_terms: Sequence[str] = tuple(vocab.HIGH_IMPACT_TERMS)) -> Column:
     """A note for each term found in the text, low-impact terms first."""
-    lowered = F.lower(_col(text))
     notes = [(t, vocab.LOW_IMPACT_NOTE) for t in low_terms] + [(t, vocab.HIGH_IMPACT_NOTE) for t in high_terms]
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(note % t)) for t, note in notes]))
+    return let(F.lower(_col(text)), lambda low: F.array_compact(F.array(*[
+        F.when(F.contains(low, F.lit(t)), F.lit(note % t)) for t, note in notes])))
 
 
 def disclaimer(role) -> Column:

@@ -26,8 +26,8 @@ def _entry(pos: int, row: Mapping) -> Column:
 
 def matching_entries(text, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)) -> Column:
     """Lookup entries with any keyword as a literal substring of the text, in lookup order."""
-    hits = [F.when(contains_any(_text(text), row["keywords"]), _entry(i, row)) for i, row in enumerate(lookup)]
-    return F.array_compact(F.array(*hits))
+    return let(_text(text), lambda low: F.array_compact(F.array(*[
+        F.when(contains_any(low, row["keywords"]), _entry(i, row)) for i, row in enumerate(lookup)])))
 
 
 def match_keywords(df: DataFrame, text: str, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)) -> DataFrame:
@@ -83,11 +83,10 @@ def coverage(text, key, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)
     return let(best_coverage(text, lookup), answer)
 
 
-def routing_score(text, role: str, primary: bool, keywords: Mapping = vocab.ROUTING_KEYWORDS) -> Column:
-    """Points of one role: the primary role gains for any word of the boost category, any role for one of
+def routing_score(low: Column, role: str, primary: bool, keywords: Mapping = vocab.ROUTING_KEYWORDS) -> Column:
+    """Points of one role for a text in lower case: the primary role gains for any word of the boost category, any role for one of
     its own words in the text, and for each keyword of a category that is part of a role word. All tests
     are literal substrings."""
-    low = _text(text)
     words = role.lower().split(" ")
     score = F.lit(0)
     if primary:
@@ -102,9 +101,9 @@ def routing_score(text, role: str, primary: bool, keywords: Mapping = vocab.ROUT
 
 def routing_scores(text, roles: Sequence[str] = tuple(vocab.ROLES), keywords: Mapping = vocab.ROUTING_KEYWORDS) -> Column:
     """array of (role, pos, score) in role order; the first role is the primary one."""
-    return F.array(*[
-        F.struct(F.lit(role).alias("role"), F.lit(i).alias("pos"), routing_score(text, role, i == 0, keywords).alias("score"))
-        for i, role in enumerate(roles)])
+    return let(_text(text), lambda low: F.array(*[
+        F.struct(F.lit(role).alias("role"), F.lit(i).alias("pos"), routing_score(low, role, i == 0, keywords).alias("score"))
+        for i, role in enumerate(roles)]))
 
 
 def route_topk(text, k, roles: Sequence[str] = tuple(vocab.ROLES), keywords: Mapping = vocab.ROUTING_KEYWORDS) -> Column:

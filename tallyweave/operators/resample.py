@@ -24,37 +24,35 @@ def bucket_end(micros: Column, freq: str) -> Column:
     return micros - 1 - F.pmod(micros - 1, length) + length
 
 
-def _tick_order(us: str, seq: str | None) -> Column:
-    """Order of ticks as one number, so that first and last stay in hash aggregation. Equal instants go by seq."""
-    if seq is None:
-        return F.col(us)
-    return F.expr(
-        f"cast({us} as decimal(19,0)) * cast(10000000000000000000 as decimal(20,0)) + cast({seq} as decimal(19,0))"
-    )
+def _edges(pick, values: dict[str, str], order: str) -> list[Column]:
+    """First or last value of a bar by a numeric order: {value column: output name}. Stays in hash aggregation."""
+    return [pick(v, order).alias(name) for v, name in values.items()]
 
 
-def _edges(pick, values: dict[str, str], order: str) -> list[Column]:
-    """First or last present value of a bar: {value column: output name}."""
-    return [pick(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(name) for v, name in values.items()]
+_OPENING = {"mid": "open", "ask": "open_ask_price", "bid": "open_bid_price"}
+_CLOSING = {"mid": "close", "ask": "close_ask_price", "bid": "close_bid_price"}
 
 
 def _quote_level(quotes: DataFrame, freq: str, seq: str | None) -> DataFrame:
-    """Quote bars with the bucket end in microseconds (`us`)."""
-    ticks = quotes.select("symbol", _micros().alias("at"), *([F.col(seq)] if seq else []),
+    """Quote bars with the bucket end in microseconds (`us`), from ticks that have both sides."""
+    ticks = quotes.select("symbol", _micros().alias("at"), *([F.col(seq).alias("seq")] if seq else []),
                           finite("bid_price").alias("bid"), finite("ask_price").alias("ask"))
-    ordered = ticks.select("symbol", bucket_end(F.col("at"), freq).alias("us"), _tick_order("at", seq).alias("o"),
-                           "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
-    bars = ordered.groupBy("symbol", "us").agg(
-        F.max("mid").alias("high"), F.min("mid").alias("low"),
-        *_edges(F.min_by, {"mid": "open", "ask": "open_ask_price", "bid": "open_bid_price"}, "o"),
-        *_edges(F.max_by, {"mid": "close", "ask": "close_ask_price", "bid": "close_bid_price"}, "o"),
-    )
-    return bars.where("close IS NOT NULL")
+    whole = ticks.where("bid IS NOT NULL AND ask IS NOT NULL").withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+    keyed = whole.withColumn("us", bucket_end(F.col("at"), freq)).groupBy("symbol", "us")
+    height = [F.max("mid").alias("high"), F.min("mid").alias("low")]
+    if seq is None:
+        return keyed.agg(*height, *_edges(F.min_by, _OPENING, "at"), *_edges(F.max_by, _CLOSING, "at"))
+    # Equal instants go by `seq`: the whole tick is the order, one struct for all opening or closing values.
+    tick = F.struct("at", "seq", *_OPENING)
+    bars = keyed.agg(*height, F.min(tick).alias("first"), F.max(tick).alias("last"))
+    return bars.select(
+        "symbol", "us", "high", "low", *[F.col(f"first.{v}").alias(name) for v, name in _OPENING.items()],
+        *[F.col(f"last.{v}").alias(name) for v, name in _CLOSING.items()])
 
 
 def _coarser(level: DataFrame, freq: str) -> DataFrame:
-    """The next level from a finer one; a bar has all its values, so its end alone orders it."""
-    fine = level.select("symbol", bucket_end(F.col("us"), freq).alias("end"), *[c for c in level.columns if c != "symbol"])
+    """A coarser level from a finer one; one bar per symbol and end, so the end alone orders them."""
+    fine = level.withColumn("end", bucket_end(F.col("us"), freq))
     return fine.groupBy("symbol", F.col("end").alias("us")).agg(
         F.max("high").alias("high"), F.min("low").alias("low"),
         *_edges(F.min_by, {c: c for c in _QUOTE_BARS if c.startswith("open")}, "us"),
@@ -67,8 +65,8 @@ def _labelled(level: DataFrame, freq: str) -> DataFrame:
 
 
 def resample_bars(quotes: DataFrame, freq: str, seq: str | None = "seq") -> DataFrame:
-    """Quote bars; empty buckets give no row. Pass seq=None where (symbol, ts) is known to be unique: a
-    cheaper order."""
+    """Quote bars of two-sided ticks; empty buckets give no row. Pass seq=None where (symbol, ts) is known to
+    be unique: the order is then one number and the aggregation needs no sort."""
     return _labelled(_quote_level(quotes, freq, seq), freq)
 
 
@@ -79,13 +77,13 @@ def coarsen(bars: DataFrame, freq: str) -> DataFrame:
 
 
 def resample_all(quotes: DataFrame, seq: str | None = "seq") -> DataFrame:
-    """All frequencies. Each level is built from the one below, and Spark reuses the shared shuffles,
-    so the quotes are read once."""
-    level = _quote_level(quotes, "1min", seq)
-    result = _labelled(level, "1min")
-    for freq in list(FREQUENCIES)[1:]:
-        level = _coarser(level, freq)
-        result = result.unionByName(_labelled(level, freq))
+    """All frequencies from one read of the quotes: up to an hour from the minute bars, beyond it from the
+    hour bars. Spark reuses the shuffles of those two levels."""
+    minute = _quote_level(quotes, "1min", seq)
+    hour = _coarser(minute, "1h")
+    result = _labelled(minute, "1min").unionByName(_labelled(hour, "1h"))
+    for freq, base in [("5min", minute), ("15min", minute), ("4h", hour), ("12h", hour), ("1d", hour)]:
+        result = result.unionByName(_labelled(_coarser(base, freq), freq))
     return result
 
 

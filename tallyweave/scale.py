@@ -29,6 +29,13 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer partitions than the session has cores (one small or
+    unsplittable file); a scan of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _bytes_code(name: str, start: int) -> Column:
     """Seven bytes of a string as a number; bytes in order keep the order of strings."""
     return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), start, 7)), 14, "0"), 16, 10).cast("bigint")
