@@ -9,15 +9,16 @@ from tallyweave.checks.registry import check, lines, plain_ts, r2, r6
 from tallyweave.operators import changes, filtering as fl, ledger as lg, validation as va
 from tallyweave.sources import ledger_json as lj
 
-_TX = "id, date, description, CAST(amount AS DOUBLE) AS amount, type, account_id, category, status"
+_TX = "id, CAST(date AS VARCHAR) AS date, description, CAST(amount AS DOUBLE) AS amount, type, account_id, category, status"
 
 
 def _tx(df):
-    return df.withColumn("amount", F.col("amount").cast("double"))
+    return df.withColumns({c: F.col(c).cast(k) for c, k in [("amount", "double"), ("date", "string")] if c in df.columns})
 
 # --- nested JSON in and out -----------------------------------------------------------------------
 
-_ACCOUNT_JSON = F.to_json(F.struct(
+def _account_json():
+    return F.to_json(F.struct(
     F.col("id").cast("string").alias("Id"), F.col("name").alias("Name"), F.upper("type").alias("AccountType"),
     F.when(F.col("id") % 7 == 0, "n/a").otherwise(F.col("balance").cast("string")).alias("CurrentBalance"),
     F.when(F.col("id") % 3 == 0, F.struct(F.lit("EUR").alias("value"))).alias("CurrencyRef"),
@@ -30,10 +31,11 @@ _ACCOUNT_JSON = F.to_json(F.struct(
            CASE WHEN id % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency, '2024-01-01' AS created_at, '2024-01-02' AS updated_at
     FROM fx_accounts""")
 def _(t):
-    return lj.normalize_accounts(t.accounts.select(_ACCOUNT_JSON))
+    return lj.normalize_accounts(t.accounts.select(_account_json()))
 
 
-_TX_JSON = F.to_json(F.struct(
+def _tx_json():
+    return F.to_json(F.struct(
     F.col("id").cast("string").alias("Id"), F.upper("type").alias("TransactionType"),
     F.col("amount").cast("string").alias("Amount"), F.col("description").alias("Description"),
     F.struct(F.col("account_id").cast("string").alias("value"), F.col("category").alias("name")).alias("AccountRef"),
@@ -48,7 +50,7 @@ _TX_JSON = F.to_json(F.struct(
            CAST(date AS VARCHAR) AS date, CAST(account_id AS VARCHAR) AS account_id, status, '2024-01-01' AS created_at,
            '2024-01-02' AS updated_at FROM fx_transactions""")
 def _(t):
-    return lj.normalize_transactions(t.transactions.select(_TX_JSON))
+    return lj.normalize_transactions(t.transactions.select(_tx_json()))
 
 
 def _budgets(t):
@@ -71,7 +73,8 @@ _BUDGET_ITEMS = """
     FROM fx_transactions t JOIN fx_accounts a ON a.id = t.account_id
     GROUP BY a.type, year(t.date), t.category"""
 
-_BUDGET_JSON = F.to_json(F.struct(
+def _budget_json():
+    return F.to_json(F.struct(
     F.col("id").alias("Id"), F.col("name").alias("Name"), F.col("period.start").alias("StartDate"),
     F.col("period.end").alias("EndDate"),
     F.transform("items", lambda i: F.struct(
@@ -84,7 +87,7 @@ _BUDGET_JSON = F.to_json(F.struct(
     SELECT id, name, "start", "end", category, round(CAST(amount AS DOUBLE), 2) AS amount, round(CAST(actual AS DOUBLE), 2) AS actual
     FROM ({_BUDGET_ITEMS}) b""")
 def _(t):
-    flat = lj.normalize_budgets(_budgets(t).select(_BUDGET_JSON))
+    flat = lj.normalize_budgets(_budgets(t).select(_budget_json()))
     rows = flat.select("id", "name", "period.*", F.explode("items").alias("i"))
     return rows.select("id", "name", "start", "end", "i.category", r2("i.amount").alias("amount"), r2("i.actual").alias("actual"))
 
@@ -161,9 +164,9 @@ def _(t):
     return _tx(fl.pick(t.transactions, ["id", "amount", "absent"]))
 
 
-@check("prj02_omit", "SELECT id, date, type, account_id, category, status FROM fx_transactions")
+@check("prj02_omit", "SELECT id, CAST(date AS VARCHAR) AS date, type, account_id, category, status FROM fx_transactions")
 def _(t):
-    return fl.omit(t.transactions, ["amount", "description", "absent"])
+    return _tx(fl.omit(t.transactions, ["amount", "description", "absent"]))
 
 
 @check("prj03_strip_unknown", "SELECT id, name, type FROM fx_accounts")
@@ -451,7 +454,7 @@ def _(t):
 
 
 @check("agg08_cash_flow", """
-    SELECT CAST(date_trunc('month', t.date) AS DATE) AS period,
+    SELECT CAST(CAST(date_trunc('month', t.date) AS DATE) AS VARCHAR) AS period,
            round(CAST(coalesce(sum(t.amount) FILTER (WHERE t.type = 'debit'), 0) AS DOUBLE), 2) AS inflow,
            round(CAST(coalesce(sum(t.amount) FILTER (WHERE t.type = 'credit'), 0) AS DOUBLE), 2) AS outflow,
            round(CAST(sum(CASE WHEN t.type = 'debit' THEN t.amount ELSE -t.amount END) AS DOUBLE), 2) AS net
@@ -459,14 +462,14 @@ def _(t):
     WHERE a.type = 'asset' AND t.date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY 1""")
 def _(t):
     found = lg.cash_flow(t.accounts, t.transactions, "1996-01-01", "1998-12-31")
-    return found.select("period", *[r2(c).alias(c) for c in ("inflow", "outflow", "net")])
+    return found.select(F.col("period").cast("string").alias("period"), *[r2(c).alias(c) for c in ("inflow", "outflow", "net")])
 
 
 @check("agg10_report_by_period", " UNION ALL ".join(f"""
-    SELECT '{u}' AS unit, CAST(date_trunc('{u}', date) AS DATE) AS period, type, count(*) AS n, round(CAST(sum(amount) AS DOUBLE), 2) AS amount
+    SELECT '{u}' AS unit, CAST(CAST(date_trunc('{u}', date) AS DATE) AS VARCHAR) AS period, type, count(*) AS n, round(CAST(sum(amount) AS DOUBLE), 2) AS amount
     FROM fx_transactions GROUP BY 2, type""" for u in ("month", "quarter", "year")))
 def _(t):
-    return lg.report_by_period(t.transactions).select("unit", "period", "type", "n", r2("amount").alias("amount"))
+    return lg.report_by_period(t.transactions).select("unit", F.col("period").cast("string").alias("period"), "type", "n", r2("amount").alias("amount"))
 
 
 @check("agg11_coa_rollup", """
@@ -534,10 +537,10 @@ def _(t):
 
 
 @check("top03_page_with_more", """
-    SELECT id, date, (SELECT count(*) FROM fx_transactions) AS total, 3 AS page, (SELECT count(*) FROM fx_transactions) > 60 AS has_more
-    FROM fx_transactions ORDER BY date DESC, id LIMIT 20 OFFSET 40""")
+    SELECT id, CAST(date AS VARCHAR) AS date, (SELECT count(*) FROM fx_transactions) AS total, 3 AS page, (SELECT count(*) FROM fx_transactions) > 60 AS has_more
+    FROM fx_transactions t ORDER BY t.date DESC, id LIMIT 20 OFFSET 40""")
 def _(t):
-    return fl.page_with_more(t.transactions.select("id", "date"), [F.col("date").desc(), F.col("id")], page=3, limit=20)
+    return fl.page_with_more(t.transactions.select("id", F.col("date").cast("string").alias("date")), [F.col("date").desc(), F.col("id")], page=3, limit=20)
 
 
 @check("top08_upcoming_events", """

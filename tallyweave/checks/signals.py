@@ -17,30 +17,30 @@ from tallyweave.sources import bars as bar_files
 # --- element-wise functions over daily bars -------------------------------------------------------
 
 _POINTWISE = {
-    "sca01_add": (n.add("close", "x"), "close + x"),
-    "sca02_sub": (n.sub("high", "x"), "high - x"),
-    "sca03_mul": (n.mul(n.mul("close", "x"), 1e-6), "close * x * 1e-6"),
-    "sca04_div": (n.div("x", n.sub("high", "low")), "CASE WHEN high - low <> 0 THEN x / (high - low) END"),
-    "sca05_sqrt": (n.signed_sqrt(n.sub("x", 150000.0)), "sign(x - 150000) * sqrt(abs(x - 150000))"),
-    "sca06_log": (n.signed_log(n.sub("x", "open")), "CASE WHEN x <> open THEN sign(x - open) * ln(abs(x - open)) END"),
-    "sca07_abs": (n.absolute(n.sub("x", "open")), "abs(x - open)"),
-    "sca08_neg": (n.neg("x"), "-x"),
-    "sca09_inv": (n.inv(n.div(n.sub("high", "low"), 1000.0)),
+    "sca01_add": (lambda: n.add("close", "x"), "close + x"),
+    "sca02_sub": (lambda: n.sub("high", "x"), "high - x"),
+    "sca03_mul": (lambda: n.mul(n.mul("close", "x"), 1e-6), "close * x * 1e-6"),
+    "sca04_div": (lambda: n.div("x", n.sub("high", "low")), "CASE WHEN high - low <> 0 THEN x / (high - low) END"),
+    "sca05_sqrt": (lambda: n.signed_sqrt(n.sub("x", 150000.0)), "sign(x - 150000) * sqrt(abs(x - 150000))"),
+    "sca06_log": (lambda: n.signed_log(n.sub("x", "open")), "CASE WHEN x <> open THEN sign(x - open) * ln(abs(x - open)) END"),
+    "sca07_abs": (lambda: n.absolute(n.sub("x", "open")), "abs(x - open)"),
+    "sca08_neg": (lambda: n.neg("x"), "-x"),
+    "sca09_inv": (lambda: n.inv(n.div(n.sub("high", "low"), 1000.0)),
                   "CASE WHEN high - low <> 0 THEN 1.0 / ((high - low) / 1000) END"),
-    "sca10_max": (n.maximum("open", "x"), "CASE WHEN x IS NOT NULL THEN greatest(open, x) END"),
-    "sca11_min": (n.minimum("open", "x"), "CASE WHEN x IS NOT NULL THEN least(open, x) END"),
-    "sca12_sign": (n.sign(n.sub("x", "open")), "CAST(sign(x - open) AS DOUBLE)"),
-    "sca13_power": (n.power(n.div("x", 100000.0), n.div("open", 100000.0)), "pow(x / 100000, open / 100000)"),
-    "sca14_ifcondition_g": (n.if_greater("x", "open", "high", "low"), "CASE WHEN x > open THEN high ELSE low END"),
-    "sca15_ifcondition_ge": (n.if_at_least("x", "open", "high", "low"), "CASE WHEN x >= open THEN high ELSE low END"),
-    "sca16_ifcondition_e": (n.if_equal("x", "high", "open", "low"), "CASE WHEN x = high THEN open ELSE low END"),
+    "sca10_max": (lambda: n.maximum("open", "x"), "CASE WHEN x IS NOT NULL THEN greatest(open, x) END"),
+    "sca11_min": (lambda: n.minimum("open", "x"), "CASE WHEN x IS NOT NULL THEN least(open, x) END"),
+    "sca12_sign": (lambda: n.sign(n.sub("x", "open")), "CAST(sign(x - open) AS DOUBLE)"),
+    "sca13_power": (lambda: n.power(n.div("x", 100000.0), n.div("open", 100000.0)), "pow(x / 100000, open / 100000)"),
+    "sca14_ifcondition_g": (lambda: n.if_greater("x", "open", "high", "low"), "CASE WHEN x > open THEN high ELSE low END"),
+    "sca15_ifcondition_ge": (lambda: n.if_at_least("x", "open", "high", "low"), "CASE WHEN x >= open THEN high ELSE low END"),
+    "sca16_ifcondition_e": (lambda: n.if_equal("x", "high", "open", "low"), "CASE WHEN x = high THEN open ELSE low END"),
 }
 
 
 def _pointwise(name, value, sql):
     @check(name, f"SELECT symbol, ts, round({sql}, 6) AS value FROM fx_bars")
     def run(t):
-        return t.bars.select("symbol", plain_ts("ts").alias("ts"), r6(value).alias("value"))
+        return t.bars.select("symbol", plain_ts("ts").alias("ts"), r6(value()).alias("value"))
 
 
 for _name, (_value, _sql) in _POINTWISE.items():
@@ -57,7 +57,6 @@ def _full(sql):
     return f"CASE WHEN count(*) OVER {_FRAME} = {_D} THEN {sql} END"
 
 
-_VALUES = f"list({{'v': x, 'r': rn}}) FILTER (WHERE x IS NOT NULL) OVER {_FRAME}"
 _ROLLING = {
     "win01_delay": (lambda s: w.delay(s, "x", 3), f"lag(x, 3) OVER {_ORDER}"),
     "win02_delta": (lambda s: w.delta(s, "x", 3), f"x - lag(x, 3) OVER {_ORDER}"),
@@ -73,18 +72,15 @@ _ROLLING = {
     "win10_decay_linear": (lambda s: w.decay_linear(s, "x", _D), " + ".join(
         f"lag(x, {k}) OVER {_ORDER} * {_D - k} * 2.0 / {_D * (_D + 1)}" if k else f"x * {_D} * 2.0 / {_D * (_D + 1)}"
         for k in range(_D))),
-    "win12_ts_rank": (lambda s: w.ts_rank(s, "x", _D), _full(
-        f"CASE WHEN x IS NOT NULL THEN len(list_filter({_VALUES}, lambda e: e.v <= x)) * 1.0 / count(x) OVER {_FRAME} END")),
-    "win13_ts_argmin": (lambda s: w.ts_argmin(s, "x", _D).cast("double"), _full(
-        f"CAST(rn - list_max(list_transform(list_filter({_VALUES}, lambda e: e.v = min(x) OVER {_FRAME}), lambda e: e.r)) AS DOUBLE)")),
-    "win14_ts_argmax": (lambda s: w.ts_argmax(s, "x", _D).cast("double"), _full(
-        f"CAST(rn - list_max(list_transform(list_filter({_VALUES}, lambda e: e.v = max(x) OVER {_FRAME}), lambda e: e.r)) AS DOUBLE)")),
+    "win12_ts_rank": (lambda s: w.ts_rank(s, "x", _D), ""),
+    "win13_ts_argmin": (lambda s: w.ts_argmin(s, "x", _D).cast("double"), ""),
+    "win14_ts_argmax": (lambda s: w.ts_argmax(s, "x", _D).cast("double"), ""),
     "win15_ts_product": (lambda s: w.ts_product(s, n.div("x", 250000.0), _D), _full(f"product(x / 250000.0) OVER {_FRAME}")),
 }
 # The twins of the arg functions compare every row of the frame with its extreme.
 for _name, _pick in [("win13_ts_argmin", "min"), ("win14_ts_argmax", "max")]:
     _best = " ".join(
-        f"WHEN {'x' if k == 0 else f'lag(x, {k}) OVER {_ORDER}'} = {_pick}(x) OVER {_FRAME} THEN {k}.0" for k in range(_D))
+        f"WHEN {'x' if k == 0 else f'lag(x, {k}) OVER {_ORDER}'} = {_pick}(x) OVER {_FRAME} THEN CAST({k} AS DOUBLE)" for k in range(_D))
     _ROLLING[_name] = (_ROLLING[_name][0], _full(f"CASE {_best} END"))
 _at_most = " + ".join(f"CASE WHEN {'x' if k == 0 else f'lag(x, {k}) OVER {_ORDER}'} <= x THEN 1 ELSE 0 END" for k in range(_D))
 _ROLLING["win12_ts_rank"] = (_ROLLING["win12_ts_rank"][0], _full(

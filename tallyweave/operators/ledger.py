@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions.numeric import finite
+from tallyweave.scale import small
 from tallyweave.session import cut_lineage
 
 
@@ -171,7 +172,7 @@ def tax_for_transactions(transactions: DataFrame, rates: DataFrame) -> DataFrame
                          "rate", "expiry_date")
     by_month = rates.select(F.explode(months).alias("month"), candidate.alias("c")).groupBy("month").agg(
         F.sort_array(F.collect_list("c"), asc=False).alias("candidates"))
-    dated = transactions.withColumn("month", F.trunc("date", "month")).join(by_month, "month", "left")
+    dated = transactions.withColumn("month", F.trunc("date", "month")).join(small(by_month), "month", "left")
     valid = F.filter("candidates", lambda c: (c["effective_date"] <= F.col("date")) & (
         c["expiry_date"].isNull() | (F.col("date") < c["expiry_date"])))
     best = F.get(valid, F.lit(0))

@@ -112,10 +112,10 @@ def _whole(keys: Sequence[str]):
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "ordinal",
-            rows_per_task: int | None = None) -> DataFrame:
-    """1-based position of each row in its key's order."""
+            rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
+    """1-based position of each row in its key's order. `largest` is the size of the largest key, if known."""
     limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         return df.withColumn(out, F.row_number().over(_whole(keys).orderBy(*order)).cast("bigint"))
     placed = with_pieces(df, order).withColumn("__all", F.lit(0))
     by = [*keys, "__all"]
@@ -190,19 +190,24 @@ class Series:
 
 
 def evaluate(df: DataFrame, series: Series, columns: dict[str, Callable[[Series], Column]],
-             rows_per_task: int | None = None) -> DataFrame:
+             rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
     """Add bounded-reach window columns. Keys longer than a task's share are split into blocks of
-    consecutive rows; each block also receives the neighbours its windows reach."""
+    consecutive rows; each block also receives the neighbours its windows reach.
+
+    `largest` is a known bound on the rows of a key; it saves the count, which otherwise runs the plan behind
+    `df` once more (give a stored table where that plan is long)."""
     built = {name: make(series) for name, make in columns.items()}
     limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    if largest_group(df, series.by) <= limit:
+    if largest is None:
+        largest = largest_group(df, series.by)
+    if largest <= limit:
         whole = df.withColumn("__block", F.lit(0))
         return whole.select("*", *[c.alias(n) for n, c in built.items()]).drop("__block")
     size = max(limit, series.back + series.ahead + 1)
     at = F.col("__at") - 1
     blocks = F.sequence(F.floor((at - series.ahead) / size), F.floor((at + series.back) / size))
     spread = (
-        ordinal(df, series.by, series.order, "__at", limit)
+        ordinal(df, series.by, series.order, "__at", limit, largest)
         .withColumn("__home", F.floor(at / size))
         .withColumn("__block", F.explode(blocks))
     )
