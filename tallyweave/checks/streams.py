@@ -83,7 +83,7 @@ def _(t):
 @check("stm04_call_lifecycle", "SELECT id AS call_id, status, start_time, end_time, turns AS segments FROM fx_calls WHERE end_time IS NOT NULL")
 def _(t):
     out, mark = _paths(t, "stm04")
-    with folds.settings(t.spark, folds.STATE_STORE, folds.ENDS_WITH_INPUT):
+    with ev.settings(t.spark, folds.STATE_STORE, folds.ENDS_WITH_INPUT):
         ev.run_append(folds.call_lifecycle(_events(t)), out, mark, timeout_s=600)
     done = t.spark.read.parquet(out)
     return done.select("call_id", "status", plain_ts(F.timestamp_micros("start_us")).alias("start_time"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -47,6 +50,27 @@ def rejected_call_events(lines: DataFrame) -> DataFrame:
         "value", F.when(bad, "unreadable").otherwise("unknown_type").alias("reason"))
 
 
+@contextmanager
+def settings(spark: SparkSession, *wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for the streams started inside; the former values come back after."""
+    merged = {k: v for group in wanted for k, v in group.items()}
+    before = {k: spark.conf.get(k, None) for k in merged}
+    for k, v in merged.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _state_partitions(spark: SparkSession) -> dict[str, str]:
+    """State is split once and for all by this setting, and a stream's shuffles are not coalesced: at most
+    twice the cores."""
+    key = "spark.sql.shuffle.partitions"
+    return {key: str(min(int(spark.conf.get(key)), 2 * spark.sparkContext.defaultParallelism))}
+
+
 def _finish(query: StreamingQuery, timeout_s: int) -> None:
     if not query.awaitTermination(timeout_s):
         query.stop()
@@ -55,10 +79,11 @@ def _finish(query: StreamingQuery, timeout_s: int) -> None:
 
 def run_append(stream: DataFrame, out: str, checkpoint: str, timeout_s: int = 3_600) -> None:
     """Append-mode stream into a parquet folder until the present input is used up."""
-    query = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    with settings(stream.sparkSession, _state_partitions(stream.sparkSession)):
+        query = (
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
     _finish(query, timeout_s)
 
 
@@ -67,10 +92,11 @@ def run_updates(stream: DataFrame, out: str, checkpoint: str, mode: str = "updat
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = (
-        stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
+    with settings(stream.sparkSession, _state_partitions(stream.sparkSession)):
+        query = (
+            stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+            .outputMode(mode).trigger(availableNow=True).start()
+        )
     _finish(query, timeout_s)
 
 

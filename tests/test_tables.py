@@ -119,7 +119,7 @@ def test_lifecycle_over_several_batches(spark, tmp_path):
     source.mkdir()
     for i, line in enumerate(_EVENTS):
         (source / f"{i}.json").write_text(line + "\n")
-    with folds.settings(spark, folds.STATE_STORE, folds.ENDS_WITH_INPUT):
+    with ev.settings(spark, folds.STATE_STORE, folds.ENDS_WITH_INPUT):
         stream = folds.call_lifecycle(ev.read_call_events(ev.stream_lines(spark, str(source), files_per_batch=4)))
         ev.run_append(stream, str(tmp_path / "out"), str(tmp_path / "mark"), timeout_s=120)
     got = spark.read.parquet(str(tmp_path / "out")).select("call_id", "status", "segments")
