@@ -70,26 +70,54 @@ def _count_below(code: Column, points: list) -> Column:
     return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < code))
 
 
-def with_pieces(df: DataFrame, order: Sequence[str], pieces: int = PIECES) -> DataFrame:
-    """Add two columns whose lexicographic order agrees with `order` and that cut the rows evenly.
+def _flag_large(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """`__large`: whether the row's key holds more than `limit` rows. There are at most rows / limit such keys."""
+    if not keys:
+        return df.withColumn("__large", F.lit(True))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    named = sizes.select(*[F.col(k).alias(f"__l_{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hit"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__l_{i}"))
+    flagged = df.join(small(named), same, "left").withColumn("__large", F.col("__hit").isNotNull())
+    return flagged.drop("__hit", *[f"__l_{i}" for i in range(len(keys))])
+
 
-    Cut points are approximate quantiles, which affects balance only. A first code that is
-    itself hot (it repeats among the quantiles) is cut further by the second code.
+def with_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, largest: int) -> DataFrame:
+    """Add two columns whose lexicographic order agrees with `order` and that cut the large keys evenly; all
+    other keys stay whole.
+
+    Cut points are approximate quantiles, which affects balance only. Between two cut points rows are cut
+    again by even steps, as often as the largest key asks for. A first code that is itself hot (it repeats
+    among the quantiles) is cut by the second code instead.
     """
+    flagged = _flag_large(df, keys, limit)
     codes = sort_codes(df, order)
-    shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(*[F.percentile_approx(c, shares, 4 * pieces).alias(f"p{i}") for i, c in enumerate(codes)]).first()
+    shares = [i / PIECES for i in range(1, PIECES)]
+    large = flagged.where("__large")
+    found = large.agg(
+        *[F.percentile_approx(c, shares, 4 * PIECES).alias(f"p{i}") for i, c in enumerate(codes)],
+        F.min(codes[0]).alias("low"), F.max(codes[0]).alias("high")).first()
     points = [list(found[f"p{i}"] or []) for i in range(len(codes))]
     cuts = sorted(set(points[0]))
     if not cuts:
-        return df.withColumn(_PIECE[0], F.lit(0)).withColumn(_PIECE[1], F.lit(0))
-    on_cut = F.coalesce(codes[0].isin(cuts), F.lit(False))
-    first = 2 * _count_below(codes[0], cuts) + on_cut.cast("int")
-    second = F.lit(0)
+        return flagged.withColumn(_PIECE[0], F.lit(0)).withColumn(_PIECE[1], F.lit(0)).drop("__large")
+    # The searches run once per row of a large key; later steps read their columns.
+    searched = flagged.withColumn("__cut", F.when(F.col("__large"), _count_below(codes[0], cuts)).otherwise(0)).withColumn(
+        "__on", F.col("__large") & F.coalesce(codes[0].isin(cuts), F.lit(False)))
+    at, on_cut = F.col("__cut"), F.col("__on")
+    steps = max(1, -(-4 * largest // (limit * PIECES)))
+    edges = F.array(*[F.lit(float(e)) for e in [found["low"], *cuts, found["high"]]])
+    start, end = F.get(edges, at), F.get(edges, at + 1)
+    step = F.floor(F.try_divide((codes[0].cast("double") - start) * steps, end - start))
+    second = F.when(on_cut, 0).otherwise(F.coalesce(step.cast("int"), F.lit(0)))
     hot = [p for p in cuts if points[0].count(p) > 1]
     if len(codes) > 1 and hot and points[1]:
-        second = F.when(codes[0].isin(hot), _count_below(codes[1], sorted(set(points[1])))).otherwise(F.lit(0))
-    return df.withColumn(_PIECE[0], first).withColumn(_PIECE[1], second)
+        second = F.when(codes[0].isin(hot), _count_below(codes[1], sorted(set(points[1])))).otherwise(second)
+    return (
+        searched.withColumn(_PIECE[0], F.when(F.col("__large"), 2 * at + on_cut.cast("int")).otherwise(0))
+        .withColumn(_PIECE[1], F.when(F.col("__large"), second).otherwise(0)).drop("__large", "__cut", "__on")
+    )
 
 
 def _join_starts(placed: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,9 +143,11 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
             rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
     """1-based position of each row in its key's order. `largest` is the size of the largest key, if known."""
     limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    if (largest_group(df, keys) if largest is None else largest) <= limit:
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= limit:
         return df.withColumn(out, F.row_number().over(_whole(keys).orderBy(*order)).cast("bigint"))
-    placed = with_pieces(df, order).withColumn("__all", F.lit(0))
+    placed = with_pieces(df, keys, order, limit, largest).withColumn("__all", F.lit(0))
     by = [*keys, "__all"]
     joined = _join_starts(placed, _prefix(placed, by, F.count(F.lit(1))), by)
     inside = F.row_number().over(W.partitionBy(*by, *_PIECE).orderBy(*order))
@@ -131,10 +161,11 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     Without keys the whole frame is one order; it too is cut once it outgrows a task.
     """
     limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    if largest_group(df, keys) <= limit:
+    largest = largest_group(df, keys)
+    if largest <= limit:
         upto = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(upto))
-    placed = with_pieces(df, order).withColumn("__all", F.lit(0))
+    placed = with_pieces(df, keys, order, limit, largest).withColumn("__all", F.lit(0))
     by = [*keys, "__all"]
     joined = _join_starts(placed, _prefix(placed, by, F.sum(value)), by)
     upto = W.partitionBy(*by, *_PIECE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -147,10 +178,11 @@ def running_max(df: DataFrame, order: Sequence[str], value: str, out: str,
                 rows_per_task: int | None = None) -> DataFrame:
     """Running maximum of `value` over all rows in order; cut into pieces like `running_total`."""
     limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    if largest_group(df, []) <= limit:
+    largest = largest_group(df, [])
+    if largest <= limit:
         upto = _whole([]).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.max(value).over(upto))
-    placed = with_pieces(df, order).withColumn("__all", F.lit(0))
+    placed = with_pieces(df, [], order, limit, largest).withColumn("__all", F.lit(0))
     joined = _join_starts(placed, _prefix(placed, ["__all"], F.max(value), F.max), ["__all"])
     upto = W.partitionBy("__all", *_PIECE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     best = F.greatest(F.max(value).over(upto), F.col("__start"))
