@@ -20,8 +20,9 @@ from tallyweave.llm.common import fold
 ORDER = 4
 #: Rows of each language, at most about this many, that a model is counted on and, as many again, calibrated on.
 SAMPLE_ROWS = 1500
-#: Deviations above a language's usual cross-entropy at which a text is rejected.
-REJECT_AT = 8.0
+#: Bits per character above the worst of a language's own calibration texts at which a text is rejected; short texts,
+#: which vary more, are allowed `SHORT_BITS` in all on top.
+REJECT_BITS, SHORT_BITS = 1.0, 40.0
 _SPACE = np.uint32(32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,18 +140,18 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
 
 
 class Identifier:
-    """The models of all languages and what their own texts usually score."""
+    """The models of all languages and the worst cross-entropy that each has on texts of its own."""
 
-    def __init__(self, models: dict[str, CharModel], order: int = ORDER, usual: dict[str, tuple[float, float]] | None = None):
-        self.models, self.order, self.usual = models, order, usual or {}
+    def __init__(self, models: dict[str, CharModel], order: int = ORDER, worst: dict[str, float] | None = None):
+        self.models, self.order, self.worst = models, order, worst or {}
 
     def plain(self) -> tuple:
         """Arrays and numbers only, to be sent to the executors."""
-        return {k: (m.alphabet, m.levels) for k, m in self.models.items()}, self.order, self.usual
+        return {k: (m.alphabet, m.levels) for k, m in self.models.items()}, self.order, self.worst
 
     @classmethod
-    def from_plain(cls, models: dict, order: int, usual: dict) -> Identifier:
-        return cls({k: CharModel(*m) for k, m in models.items()}, order, usual)
+    def from_plain(cls, models: dict, order: int, worst: dict) -> Identifier:
+        return cls({k: CharModel(*m) for k, m in models.items()}, order, worst)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits per character of each text (rows) in each language (columns); characters of each text."""
@@ -186,9 +187,8 @@ class Identifier:
         least = np.where(best >= 0, found[np.arange(len(best)), best], np.nan)
         odds = np.exp2(-np.minimum(1000, (found - least[:, None]) * sizes[:, None]))
         score = np.where(best >= 0, 1 / np.nansum(np.where(np.isnan(odds), 0, odds), axis=1).clip(1), 0.0)
-        usual = np.array([self.usual.get(x, (np.inf, 0.0)) for x in langs]).reshape(-1, 2)
-        # short texts vary more than long ones
-        rejected = (best < 0) | (least > usual[:, 0] + REJECT_AT * usual[:, 1] * np.sqrt(1 + 400 / np.maximum(sizes, 1)))
+        worst = np.array([self.worst.get(x, np.inf) for x in langs])
+        rejected = (best < 0) | (least > worst + REJECT_BITS + SHORT_BITS / np.maximum(sizes, 1))
         return langs, score, least, rejected
 
 
@@ -244,10 +244,8 @@ def train(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROW
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(own), pa.array(sizes)], names=["lang", "bits", "size"])
 
         held = _sample(rows.where(~counting), sample_rows).mapInArrow(measure, "lang string, bits double, size long")
-        for r in held.where("size > 0 and not isnan(bits)").groupBy("lang").agg(
-                F.expr("percentile_approx(bits, 0.5, 2000)").alias("mid"),
-                F.expr("percentile_approx(bits, array(0.05, 0.95), 2000)").alias("ends")).collect():
-            identifier.usual[r["lang"]] = (r["mid"], max(0.02, (r["ends"][1] - r["ends"][0]) / 3.3))
+        for r in held.where("size > 0 and not isnan(bits)").groupBy("lang").agg(F.max("bits").alias("bits")).collect():
+            identifier.worst[r["lang"]] = r["bits"]
     return identifier
 
 
