@@ -18,9 +18,9 @@ from tallyweave.llm.common import fold
 from tallyweave.llm.decontaminate import plain_words
 
 #: Labelled rows of each label that are learned from, at most about this many.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 #: Words and beginnings of words that become voters and features of the classifier, beside the lexicon, for each label.
-LEARNED_WORDS = 250
+LEARNED_WORDS = 160
 #: Bytes of a word's beginning that may vote for themselves, as insults are inflected.
 BEGINNINGS = (4, 5, 6)
 
@@ -69,7 +69,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds + np.log(start / (1 - start)), -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Weights, the bias last, of a logistic regression on labels between 0 and 1, by Newton's method."""
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
@@ -115,10 +115,13 @@ def train(labelled: DataFrame) -> dict:
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                own = sorted(_terms(text))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([toxic] * len(own), pa.int32())], names=["word", "toxic"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                own = [sorted(_terms(t)) for t in batch.column("text").to_pylist()]
+                toxic = np.repeat(batch.column("toxic").to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array([w for x in own for w in x], pa.binary()), pa.array(toxic, pa.int32())],
+                                                 names=["word", "toxic"])
 
     total = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = total["t"], total["n"] - total["t"]
