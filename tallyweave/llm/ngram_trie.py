@@ -6,13 +6,15 @@ word) in Elias-Fano form, with one byte for each smoothed probability, one for e
 monotone pointers to where a context's words begin. A lookup is a successor search among the words of one context.
 
 Counting runs over all training texts in Spark: tasks send sorted blocks of keys and counts, cut by ranges of keys, and
-one task merges each range. The levels are written as tables in the shared folder and handed to the executors as files,
-which each Python worker maps into memory.
+one task merges each range. The levels are written as tables in the shared folder and handed to the executors as files;
+an executor turns each level into one file, which its Python workers map into memory.
 """
 
 from __future__ import annotations
 
-import tempfile
+import fcntl
+import json
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -28,7 +30,7 @@ from tallyweave.session import work_path
 
 ORDER = 3
 #: n-grams of two words and more that occur less often are left to the lower order.
-MIN_COUNT = 2
+MIN_COUNT = 4
 #: What every token gets on top of its count, in the base and in level 1.
 ADDED = 0.1
 #: Neither can be a word, as words have no white space.
@@ -109,37 +111,59 @@ for _byte in range(256):
         SELECT_IN_BYTE[_byte, _k] = _bit
 
 
-def mapped(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The arrays in a file without a name, mapped into memory; it goes with the process."""
-    out = {}
-    with tempfile.TemporaryFile() as file:
-        places = {}
-        for name, a in arrays.items():
-            file.seek(-file.tell() % 64, 1)
-            places[name] = file.tell()
-            a.tofile(file)
-        file.flush()
-        for name, a in arrays.items():
-            out[name] = np.memmap(file, a.dtype, "r", places[name], a.shape) if a.size else a
-    return out
+def mapped(names: tuple[str, ...], build: Callable[[list[dict]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The arrays that `build` makes of a level's rows, mapped into memory from one file that all workers of an executor
+    share. The first to come writes it, and removes the table's files from that executor's folder."""
+    root = SparkFiles.getRootDirectory()
+    path = os.path.join(root, f"level-{xxhash.xxh3_64_hexdigest(chr(10).join(names))}")
+    with open(path + ".lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(path):
+            rows = [r for name in names for r in pq.read_table(os.path.join(root, name)).to_pylist()]
+            arrays, places, at = build(sorted(rows, key=lambda r: r["part"])), {}, 0
+            for name, a in arrays.items():
+                places[name] = (a.dtype.str, at, len(a))
+                at += -(-a.nbytes // 64) * 64
+            head = json.dumps(places).encode()
+            with open(path + ".new", "wb") as file:
+                file.write(len(head).to_bytes(8, "little") + head)
+                start = -(-(8 + len(head)) // 64) * 64
+                for name, a in arrays.items():
+                    file.seek(start + places[name][1])
+                    a.tofile(file)
+            os.rename(path + ".new", path)
+            for name in names:
+                os.remove(os.path.join(root, name))
+    with open(path, "rb") as file:
+        head = file.read(int.from_bytes(file.read(8), "little"))
+        start = -(-(8 + len(head)) // 64) * 64
+        return {name: np.memmap(file, kind, "r", start + at, (size,)) if size else np.zeros(0, kind)
+                for name, (kind, at, size) in json.loads(head).items()}
+
+
+def _joined(rows: list[dict], name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(r[name] for r in rows), kind)
 
 
 class Level:
     """Level n >= 2: `codes` by entry, `weights` by context, children and pointers in Elias-Fano form."""
 
-    def __init__(self, keys: np.ndarray, codes: np.ndarray, contexts: np.ndarray, weights: np.ndarray, vocabulary: int):
+    def __init__(self, names: tuple[str, ...], vocabulary: int):
         self.vocabulary = vocabulary
-        n = int(contexts[-1]) + 2 if len(contexts) else 1
-        starts = np.searchsorted(keys, np.arange(n, dtype=np.uint64) * np.uint64(vocabulary)).astype(np.uint64)
-        every = np.zeros(n, np.uint8)
-        every[contexts.astype(np.int64)] = weights
-        arrays = {"codes": codes, "weights": every}
-        arrays |= {f"k_{k}": v for k, v in EliasFano.encode(keys).items()} | {f"p_{k}": v for k, v in EliasFano.encode(starts).items()}
-        arrays = mapped(arrays)
+        arrays = mapped(names, self._built)
         self.codes, self.weights = arrays["codes"], arrays["weights"]
         self.children = EliasFano({k[2:]: v for k, v in arrays.items() if k.startswith("k_")})
         self.pointers = EliasFano({k[2:]: v for k, v in arrays.items() if k.startswith("p_")})
 
+    def _built(self, rows: list[dict]) -> dict[str, np.ndarray]:
+        keys, contexts = _joined(rows, "keys", np.uint64), _joined(rows, "contexts", np.uint64)
+        n = int(contexts[-1]) + 2 if len(contexts) else 1
+        starts = np.searchsorted(keys, np.arange(n, dtype=np.uint64) * np.uint64(self.vocabulary)).astype(np.uint64)
+        weights = np.zeros(n, np.uint8)
+        weights[contexts.astype(np.int64)] = _joined(rows, "weights", np.uint8)
+        return {"codes": _joined(rows, "codes", np.uint8), "weights": weights} | {
+            f"k_{k}": v for k, v in EliasFano.encode(keys).items()} | {f"p_{k}": v for k, v in EliasFano.encode(starts).items()}
+
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Entry of each (context, word), -1 where it has none; negative contexts and words have none."""
         out = np.full(len(context), -1, np.int64)
@@ -162,11 +186,12 @@ class Level:
 class Trie:
     """What a worker has mapped: level 1 (hashes, counts) and the further levels."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, levels: list[Level]):
-        first = mapped({"hashes": hashes, "counts": counts})
-        self.hashes, self.counts, self.levels = first["hashes"], first["counts"], levels
-        self.tokens = int(counts.sum())
-        self.size = len(hashes)
+    def __init__(self, files: tuple[tuple[str, ...], ...]):
+        first = mapped(files[0], lambda rows: {"hashes": _joined(rows, "keys", np.uint64), "counts": _joined(rows, "counts", np.uint32)})
+        self.hashes, self.counts = first["hashes"], first["counts"]
+        self.tokens = int(self.counts.sum(dtype=np.int64))
+        self.size = len(self.hashes)
+        self.levels = [Level(names, self.size) for names in files[1:]]
         self.known: dict[bytes, int] = {}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -213,13 +238,7 @@ def load_trie(files: tuple[tuple[str, ...], ...]) -> Trie:
     """The trie from the files of its levels' tables, mapped once in a process."""
     if files not in _TRIES:
         _TRIES.clear()
-        parts = [sorted((r for f in level for r in pq.read_table(SparkFiles.get(f)).to_pylist()), key=lambda r: r["part"])
-                 for level in files]
-        join = lambda rows, name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-        hashes, counts = join(parts[0], "keys", np.uint64), join(parts[0], "counts", np.uint64)
-        levels = [Level(join(rows, "keys", np.uint64), join(rows, "codes", np.uint8), join(rows, "contexts", np.uint64),
-                        join(rows, "weights", np.uint8), len(hashes)) for rows in parts[1:]]
-        _TRIES[files] = Trie(hashes, counts, levels)
+        _TRIES[files] = Trie(files)
     return _TRIES[files]
 
 
@@ -315,7 +334,7 @@ def _count_words(texts: DataFrame, parts: int) -> DataFrame:
     def then(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([keys.tobytes()]),
-             pa.array([counts.tobytes()])], names=["part", "keys", "counts"])
+             pa.array([counts.astype(np.uint32).tobytes()])], names=["part", "keys", "counts"])
 
     return _merged(texts.mapInArrow(run, _BLOCK), parts, then, _BLOCK)
 
@@ -362,8 +381,9 @@ def _count_grams(texts: DataFrame, files: tuple, parts: int, min_count: int) ->
         tally = np.bincount(bucket * BINS + bins, counts * (rest > 0), BUCKETS * BINS)
         kept = counts >= min_count
         mass = np.bincount(which[kept], counts[kept], len(contexts)).astype(np.uint64)
+        some = mass > 0
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x.tobytes()]) for x in (
-            keys[kept], counts[kept], contexts, totals, mass, tally)]],
+            keys[kept], counts[kept], contexts[some], totals[some], mass[some], tally)]],
             names=["part", "keys", "counts", "contexts", "totals", "mass", "tally"])
 
     return _merged(texts.mapInArrow(run, _BLOCK), parts, then,
@@ -419,9 +439,8 @@ def _finish(counted: DataFrame, files: tuple, share: np.ndarray) -> DataFrame:
                 owner = np.searchsorted(contexts, keys // np.uint64(trie.size))
                 lower = _lower(trie, contexts[owner].astype(np.int64), (keys % np.uint64(trie.size)).astype(np.int64)) if len(keys) else 0
                 p = own[owner] * counts + 10 ** (-(coded[owner] / STEP)) * lower
-                some = mass > 0
                 yield pa.RecordBatch.from_arrays([batch.column("part")[k:k + 1], *[pa.array([x.tobytes()]) for x in (
-                    keys, _code(p), contexts[some], coded[some])]], names=["part", "keys", "codes", "contexts", "weights"])
+                    keys, _code(p), contexts, coded)]], names=["part", "keys", "codes", "contexts", "weights"])
 
     return counted.mapInArrow(run, "part int, keys binary, codes binary, contexts binary, weights binary")
 
