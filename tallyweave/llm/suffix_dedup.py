@@ -301,7 +301,8 @@ def _spans_of(texts: DataFrame, length: int) -> DataFrame:
 
     run_schema = "tid binary, copies long, gram long, anchor long, first long, last long"
     runs = texts.select("tid", "text", "copies").mapInArrow(scan, run_schema)
-    twice = runs.groupBy("gram").agg(F.sum("copies").alias("n")).where("n > 1").select("gram")
+    # cut off, so that both sides of the join are plain exchanges and a frequent anchor's rows can be split
+    twice = cut_lineage(runs.groupBy("gram").agg(F.sum("copies").alias("n")).where("n > 1").select("gram"))
     runs = runs.join(twice, "gram", "left_semi").select("tid", "anchor", "first", "last")
     cell_rows = cut_lineage(_by_text(texts, runs, cells, "core long, whole long, first long, starts int, tid binary, copies long"))
 
