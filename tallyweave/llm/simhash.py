@@ -99,10 +99,13 @@ def near_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         raise ValueError("two segments find up to three differing bits")
     spark = prints.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    rows = prints.select("fp", F.lit(0).cast("long").alias("fixed"))
+    # each fingerprint becomes 64 rows: spread them first
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.select("fp", F.lit(0).cast("long").alias("fixed")).repartition(parts, "fp")
     for level in (1, 2, 3):
         keyed = rows.mapInArrow(lambda it, level=level: _variants(it, level), "fixed long, value long, fp long")
-        shared = keyed.groupBy("fixed", "value").agg(F.count("*").alias("n")).where("n > 1")
+        # cut off, so that both sides of the join are plain exchanges and a frequent variant's rows can be split
+        shared = cut_lineage(keyed.groupBy("fixed", "value").agg(F.count("*").alias("n")).where("n > 1"))
         shared = cut_lineage(keyed.join(shared, ["fixed", "value"]))
         fit = shared if level == 3 else shared.where(F.col("n") <= BUCKET)
         groups = fit.groupBy("fixed", "value").agg(F.collect_list("fp").alias("members")).select("members")
