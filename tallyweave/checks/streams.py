@@ -16,11 +16,11 @@ def _lines(t, repeat: int = 1, noise: bool = False):
     turn, an end after the last turn of completed calls, and feedback. `noise` adds lines to be rejected."""
     def event(rows, kind, at, data):
         return rows.select(F.to_json(F.struct(
-            F.lit(kind).alias("type"), F.col("id").alias("call_id"), F.to_json(data).alias("data"),
+            F.lit(kind).alias("type"), F.concat(F.lit("call-"), F.col("id")).alias("callId"), data.alias("data"),
             F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"))).alias("value"))
 
-    segments = t.segments.select(F.col("call_id").alias("id"), F.col("id").alias("segment_id"), "speaker", "text", "timestamp")
-    said = F.struct("segment_id", "speaker", "text")
+    segments = t.segments.select(F.col("call_id").alias("id"), F.concat(F.lit("call-"), "call_id", F.lit("-"), "id").alias("segment_id"), "speaker", "text", "timestamp")
+    said = F.struct(F.struct(F.col("segment_id").alias("id"), "speaker", "text").alias("segment"))
     all_lines = event(t.calls, "callStarted", "start_time", F.struct(F.col("type").alias("call_type"), "phone_number",
                                                                      F.lit("in-progress").alias("status")))
     for _ in range(repeat):
@@ -30,7 +30,8 @@ def _lines(t, repeat: int = 1, noise: bool = False):
     all_lines = all_lines.union(event(reviews, "feedbackSubmitted", "created_at", F.struct("rating", "comments")))
     if noise:
         all_lines = all_lines.union(event(t.calls, "callMuted", "start_time", F.struct("outcome"))).union(
-            t.calls.select(F.concat(F.lit("{broken "), F.col("id").cast("string")).alias("value")))
+            t.calls.select(F.concat(F.lit("{broken "), F.col("id").cast("string")).alias("value"))).union(
+            t.calls.select(F.concat(F.lit('{"type": "callEnded", "data": {"n": '), F.col("id").cast("string"), F.lit("}}")).alias("value")))
     folder = work_path(t.spark, "events")
     all_lines.repartition(4).write.text(folder)
     return folder
@@ -55,7 +56,8 @@ def _(t):
 
 
 @check("stm01_rejected_events", """
-    SELECT 'unknown_type' AS reason, count(*) AS n FROM fx_calls UNION ALL SELECT 'unreadable', count(*) FROM fx_calls""")
+    SELECT 'unknown_type' AS reason, count(*) AS n FROM fx_calls UNION ALL SELECT 'unreadable', count(*) FROM fx_calls
+    UNION ALL SELECT 'no_call_id', count(*) FROM fx_calls""")
 def _(t):
     out, mark = _paths(t, "stm01r")
     ev.run_append(ev.rejected_call_events(ev.stream_lines(t.spark, _lines(t, noise=True))), out, mark)
@@ -69,18 +71,17 @@ def _state(t):
 
 
 @check("stm02_call_state", """
-    SELECT id AS call_id, status, start_time, end_time, turns AS segments FROM fx_calls""")
+    SELECT 'call-' || id AS call_id, status, start_time, end_time, turns AS segments FROM fx_calls""")
 def _(t):
-    known = _state(t).where("start_time IS NOT NULL")
-    return known.select("call_id", "status", plain_ts("start_time").alias("start_time"), plain_ts("end_time").alias("end_time"), "segments")
+    return _state(t).select("call_id", "status", plain_ts("start_time").alias("start_time"), plain_ts("end_time").alias("end_time"), "segments")
 
 
-@check("stm03_active_calls", "SELECT id AS call_id, turns AS segments FROM fx_calls WHERE status <> 'completed'")
+@check("stm03_active_calls", "SELECT 'call-' || id AS call_id, turns AS segments FROM fx_calls WHERE status <> 'completed'")
 def _(t):
     return folds.active_calls(_state(t)).select("call_id", "segments")
 
 
-@check("stm04_call_lifecycle", "SELECT id AS call_id, status, start_time, end_time, turns AS segments FROM fx_calls WHERE end_time IS NOT NULL")
+@check("stm04_call_lifecycle", "SELECT 'call-' || id AS call_id, status, start_time, end_time, turns AS segments FROM fx_calls WHERE end_time IS NOT NULL")
 def _(t):
     out, mark = _paths(t, "stm04")
     with ev.settings(t.spark, folds.STATE_STORE, folds.ENDS_WITH_INPUT):
@@ -132,15 +133,15 @@ def _(t):
 
 
 @check("stm08_feedback_stream", """
-    SELECT f.call_id, f.rating, f.category AS comments, f.created_at, c.type AS call_type, c.outcome
+    SELECT 'call-' || f.call_id AS call_id, f.rating, f.category AS comments, f.created_at, c.type AS call_type, c.outcome
     FROM fx_feedback f JOIN fx_calls c ON c.id = f.call_id""")
 def _(t):
     out, mark = _paths(t, "stm08")
-    ev.run_append(monitors.feedback_stream(_events(t), t.calls), out, mark)
+    ev.run_append(monitors.feedback_stream(_events(t), t.calls.withColumn("id", F.concat(F.lit("call-"), "id"))), out, mark)
     return t.spark.read.parquet(out).withColumn("created_at", plain_ts("created_at"))
 
 
-@check("stm09_transcript_merge", "SELECT call_id, id AS segment_id, speaker, md5(text) AS text, timestamp AS ts FROM fx_segments")
+@check("stm09_transcript_merge", "SELECT 'call-' || call_id AS call_id, 'call-' || call_id || '-' || id AS segment_id, speaker, md5(text) AS text, timestamp AS ts FROM fx_segments")
 def _(t):
     out, mark = _paths(t, "stm09")
     ev.run_append(folds.transcript_merge(_events(t, repeat=2)), out, mark)

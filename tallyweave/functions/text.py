@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_, or_
@@ -11,6 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from tallyweave import vocab
 
+_BREAK = re.compile(r"[.\n]")
 _SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
@@ -35,39 +38,35 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 # --- chunking -------------------------------------------------------------------------------------
 
-def _overlapping_chunks(text: str, size: int, overlap: int) -> list[str]:
-    if len(text) <= size:
-        return [text]
-    chunks, start = [], 0
-    while True:
-        end = start + size
-        if end > len(text):
-            end = len(text)
-        else:
-            brk = max(text.rfind(".", start + 1, end + 1), text.rfind("\n", start + 1, end + 1))
-            if brk > start:
-                end = brk + 1
-        chunks.append(text[start:end].strip(_SPACES))
-        if end >= len(text):
-            return chunks
-        start = max(end - overlap, start + 1)
+def overlapping_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Where the chunks of a text longer than `size` begin and end, from the sorted places behind its breaks."""
+    ends = [0, *(m.end() for m in _BREAK.finditer(text))]
+    spans, begin = [], 0
+    while begin + size <= len(text):
+        reached = ends[bisect_right(ends, begin + size + 1) - 1]
+        spans.append((begin, reached if reached > begin + overlap else begin + size))
+        if spans[-1][1] == len(text):
+            return spans
+        begin = spans[-1][1] - overlap
+    return [*spans, (begin, len(text))]
 
 
 def chunk_text(text, size: int, overlap: int = 0) -> Column:
     """Chunks of about `size` characters, ended after the last '.' or newline within reach.
 
     Text no longer than `size` is one chunk as it is; other chunks are trimmed. Without overlap the rule
-    is a single regular expression. With overlap each chunk starts `overlap` before the end of the one
-    before (always at least one character further) until the end of the text; that walk is an Arrow
-    function over whole texts.
+    is a single regular expression. With overlap (smaller than `size`) each chunk starts `overlap` before
+    the end of the one before; a break counts only beyond that overlap, so that every chunk brings more
+    than it repeats. That form searches the breaks of each text in an Arrow function.
     """
-    if size < 2 or overlap < 0:
-        raise ValueError("size must be at least 2 and overlap at least 0")
+    if size < 2 or not 0 <= overlap < size:
+        raise ValueError("size must be at least 2 and overlap from 0 to below size")
     text = _col(text)
     if overlap:
         @F.pandas_udf("array<string>")
         def walk(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else _overlapping_chunks(t, size, overlap))
+            return texts.map(lambda t: t if t is None else [t] if len(t) <= size else [
+                t[a:b].strip(_SPACES) for a, b in overlapping_spans(t, size, overlap)])
         return walk(text)
     rule = rf"(?s).{{1,{size - 1}}}\z|.{{1,{size}}}[.\n]|.{{{size}}}"
     pieces = F.transform(F.regexp_extract_all(text, F.lit(rule), F.lit(0)), trim)
@@ -89,10 +88,11 @@ def _first_chunk(text: Column, size: Column) -> Column:
     return trim(F.substring(text, F.lit(1), F.when(brk > 0, brk + 1).otherwise(size)))
 
 
-def fit_budget(text, max_tokens: int, tokens: Callable[[Column], Column] = estimated_tokens, rounds: int = 3) -> Column:
+def fit_budget(text, max_tokens: int, tokens: Callable[[Column], Column] = estimated_tokens) -> Column:
     """Shorten text to a token budget. Each round takes the first chunk of the length that the excess
-    suggests, or the shortest cut when that length is too small. Three rounds always suffice for the
-    default estimate; a custom `tokens` may need more."""
+    suggests, or the shortest cut when that length is too small; rounds go on until the text fits or is
+    that short. Three rounds suffice for the default estimate; only texts that need more are folded over
+    a sequence as long as the rounds they can need, as each round removes three characters at least."""
     def once(t: Column) -> Column:
         excess = tokens(t) - max_tokens
         target = (F.length(t) - vocab.CHARS_PER_TOKEN * excess).cast("int")
@@ -102,9 +102,15 @@ def fit_budget(text, max_tokens: int, tokens: Callable[[Column], Column] = estim
         return F.when(excess <= 0, t).when(target < vocab.SHORTEST_CUT, shortest).otherwise(chunk)
 
     result = F.coalesce(_col(text), F.lit(""))
-    for _ in range(rounds):
+    for _ in range(3):
         result = let(result, once)
-    return result
+
+    def on(t: Column) -> Column:
+        left = F.sequence(F.lit(1), F.ceil(F.length(t) / vocab.CHARS_PER_TOKEN).cast("int") + 1)
+        over = (tokens(t) > max_tokens) & (F.length(t) > vocab.SHORTEST_CUT)
+        return F.when(over, F.aggregate(left, t, lambda now, _: once(now))).otherwise(t)
+
+    return let(result, on)
 
 
 # --- markup ---------------------------------------------------------------------------------------

@@ -56,17 +56,12 @@ def best_coverage(text, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)
     return F.array_max(ranked)["entry"]
 
 
-def coverage(text, key, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)) -> Column:
-    """The full answer: covered, estimate, notes, category approval, pre-authorisation, limit remaining.
-
-    Whether an annual limit remains is true for 80 % of the keys, by hash.
-    """
+def coverage(text, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)) -> Column:
+    """The full answer: covered, estimate, notes, category approval, pre-authorisation."""
     rates = F.create_map(*[F.lit(v) for pair in category_rates(lookup).items() for v in pair])
-    bucket = F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(10))
     miss = F.struct(
         F.lit(False).alias("covered"), F.lit(0).alias("coverage"), F.lit(vocab.NO_COVERAGE_NOTE).alias("notes"),
         F.lit(0.0).alias("approval_rate"), F.lit(None).cast("boolean").alias("requires_preauth"),
-        F.lit(None).cast("boolean").alias("limit_remaining"),
     )
 
     def answer(best: Column) -> Column:
@@ -76,7 +71,6 @@ def coverage(text, key, lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP)
             F.concat(best["notes"], F.when(referral, vocab.REFERRAL_SUFFIX).otherwise("")).alias("notes"),
             F.try_element_at(rates, best["category"]).alias("approval_rate"),
             ((best["category"] == vocab.PREAUTH_CATEGORY) | referral).alias("requires_preauth"),
-            (best["annual_limit"].isNull() | (bucket < 8)).alias("limit_remaining"),
         )
         return F.when(best.isNull(), miss).otherwise(hit)
 

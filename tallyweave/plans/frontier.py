@@ -19,6 +19,8 @@ def expand_frontier(seeds: DataFrame, edges: DataFrame, width: int = 3, depth: i
     best = cut_lineage(top_per(summed, ["src"], [F.col("weight").desc(), F.col("dst")], width, "place"))
     frontier = seeds.select("seed", F.col("seed").alias("node"))
     found = None
+    if depth < 1:
+        return frontier.select("seed", "node", F.lit(0).alias("level")).limit(0)
     for level in range(1, depth + 1):
         step = best.where(F.col("place") <= width).select(F.col("src").alias("node"), "dst")
         frontier = cut_lineage(frontier.join(step, "node").select("seed", F.col("dst").alias("node")).distinct())

@@ -19,7 +19,7 @@ def roles_for(complexity: Column, roles: Sequence[str]) -> Column:
     return count
 
 
-def triage(df: DataFrame, text: str, complexity: str, answer: str, key: str,
+def triage(df: DataFrame, text: str, complexity: str, answer: str,
            lookup: Sequence[Mapping] = tuple(vocab.COVERAGE_LOOKUP), roles: Sequence[str] = tuple(vocab.ROLES),
            keywords: Mapping = vocab.ROUTING_KEYWORDS) -> DataFrame:
     """One row per consulted role in answer order: roles by routing score (all roles in their fixed order at
@@ -30,7 +30,7 @@ def triage(df: DataFrame, text: str, complexity: str, answer: str, key: str,
         level.isin(list(vocab.COMPLEXITY_ROLES)), F.slice(ranked, F.lit(1), roles_for(level, roles))
     ).otherwise(in_role_order(ranked)))
     # Priority and coverage belong to the answer: once per row, before it is multiplied by the roles.
-    judged = df.select("*", priority(answer).alias("priority"), coverage(answer, key, lookup).alias("coverage"),
+    judged = df.select("*", priority(answer).alias("priority"), coverage(answer, lookup).alias("coverage"),
                        chosen.alias("__roles"))
     rows = judged.select("*", F.posexplode("__roles").alias("consulted", "r")).drop("__roles")
     return rows.select(

@@ -42,8 +42,8 @@ EXTERNAL_REPORT = (
 COMMAND_JSON = "intent string, confidence double, entities map<string,string>"
 TOOL_CALLS = "array<struct<toolName:string,result:string,error:string>>"
 
-CALL_EVENT = "type string, call_id bigint, data string, timestamp timestamp"
+CALL_EVENT = "type string, callId string, call_id string, data string, timestamp timestamp"
 CALL_EVENT_DATA = (
-    "call_type string, phone_number string, status string, segment_id bigint, speaker string, text string, "
-    "rating int, comments string"
+    "call_type string, phone_number string, status string, segment_id string, speaker string, text string, "
+    "rating int, comments string, segment struct<id:string,speaker:string,text:string>"
 )

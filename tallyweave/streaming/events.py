@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -31,23 +31,38 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, **options: str)
     return raw.load().select(F.col("value").cast("string").alias("value"))
 
 
+def _call() -> Column:
+    return F.coalesce("e.callId", "e.call_id")
+
+
+def _known() -> Column:
+    return F.coalesce(F.col("e.type").isin(vocab.CALL_EVENT_TYPES), F.lit(False))
+
+
 def _parsed(lines: DataFrame) -> DataFrame:
     event = F.from_json("value", schemas.CALL_EVENT)
     return lines.withColumn("e", F.when(F.try_parse_json("value").isNotNull(), event))
 
 
 def read_call_events(lines: DataFrame) -> DataFrame:
-    """Typed events of the known types; unreadable lines and unknown types are left out."""
-    known = F.col("e.type").isin(vocab.CALL_EVENT_TYPES)
-    data = F.from_json("e.data", schemas.CALL_EVENT_DATA)
-    return _parsed(lines).where(known).select("e.type", "e.call_id", data.alias("data"), F.col("e.timestamp").alias("ts"))
+    """Typed events of the known types with a call id (`callId` or `call_id`, any string); the rest is left out.
+
+    `data` is an object or a text that holds one; a segment's fields may stand in it or under `segment`.
+    """
+    events = _parsed(lines).where(_known() & _call().isNotNull()).select(
+        "e.type", _call().alias("call_id"), F.from_json("e.data", schemas.CALL_EVENT_DATA).alias("data"),
+        F.col("e.timestamp").alias("ts"))
+    data = F.col("data").withField("segment_id", F.coalesce("data.segment_id", "data.segment.id"))
+    for name in ("speaker", "text"):
+        data = data.withField(name, F.coalesce(f"data.{name}", f"data.segment.{name}"))
+    return events.withColumn("data", data.dropFields("segment"))
 
 
 def rejected_call_events(lines: DataFrame) -> DataFrame:
     """What `read_call_events` leaves out, with the reason, for a side table."""
-    bad, unknown = F.col("e").isNull(), ~F.coalesce(F.col("e.type").isin(vocab.CALL_EVENT_TYPES), F.lit(False))
-    return _parsed(lines).where(bad | unknown).select(
-        "value", F.when(bad, "unreadable").otherwise("unknown_type").alias("reason"))
+    bad, nameless = F.col("e").isNull(), _call().isNull()
+    return _parsed(lines).where(bad | ~_known() | nameless).select("value", F.when(bad, "unreadable").when(
+        ~_known(), "unknown_type").otherwise("no_call_id").alias("reason"))
 
 
 @contextmanager
@@ -64,13 +79,6 @@ def settings(spark: SparkSession, *wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _state_partitions(spark: SparkSession) -> dict[str, str]:
-    """State is split once and for all by this setting, and a stream's shuffles are not coalesced: at most
-    twice the cores."""
-    key = "spark.sql.shuffle.partitions"
-    return {key: str(min(int(spark.conf.get(key)), 2 * spark.sparkContext.defaultParallelism))}
-
-
 def _finish(query: StreamingQuery, timeout_s: int) -> None:
     if not query.awaitTermination(timeout_s):
         query.stop()
@@ -79,11 +87,10 @@ def _finish(query: StreamingQuery, timeout_s: int) -> None:
 
 def run_append(stream: DataFrame, out: str, checkpoint: str, timeout_s: int = 3_600) -> None:
     """Append-mode stream into a parquet folder until the present input is used up."""
-    with settings(stream.sparkSession, _state_partitions(stream.sparkSession)):
-        query = (
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start()
-        )
+    query = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
     _finish(query, timeout_s)
 
 
@@ -92,11 +99,10 @@ def run_updates(stream: DataFrame, out: str, checkpoint: str, mode: str = "updat
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with settings(stream.sparkSession, _state_partitions(stream.sparkSession)):
-        query = (
-            stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-            .outputMode(mode).trigger(availableNow=True).start()
-        )
+    query = (
+        stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .outputMode(mode).trigger(availableNow=True).start()
+    )
     _finish(query, timeout_s)
 
 

@@ -19,15 +19,15 @@ def _status():
     kind = F.col("type")
     return (
         F.when(kind == "callStarted", F.coalesce("data.status", F.lit("ringing")))
-        .when(kind == "callEnded", "completed").when(kind == "transcriptUpdate", F.col("data.status"))
+        .when(kind == "callEnded", "completed").when(kind.isin("statusUpdate", "transcriptUpdate"), F.col("data.status"))
     )
 
 
 def call_state(events: DataFrame) -> DataFrame:
     """call_id, status, start, end, segments. The same plan folds a table and a stream; the last status by
-    event time wins, and a call that ended stays completed."""
+    event time wins, and a call that ended stays completed. Feedback makes no call."""
     kind, status = F.col("type"), _status()
-    folded = events.groupBy("call_id").agg(
+    folded = events.where(kind != "feedbackSubmitted").groupBy("call_id").agg(
         F.max_by(status, F.when(status.isNotNull(), F.col("ts"))).alias("last_status"),
         F.min(F.when(kind == "callStarted", F.col("ts"))).alias("start_time"),
         F.max(F.when(kind == "callEnded", F.col("ts"))).alias("end_time"),
@@ -41,7 +41,7 @@ def active_calls(state: DataFrame) -> DataFrame:
     return state.where("start_time IS NOT NULL AND status <> 'completed'")
 
 
-_PARTIAL = "call_id bigint, status string, status_us bigint, start_us bigint, end_us bigint, segments bigint"
+_PARTIAL = "call_id string, status string, status_us bigint, start_us bigint, end_us bigint, segments bigint"
 _FIELDS = ["status", "status_us", "start_us", "end_us", "segments"]
 
 
@@ -97,7 +97,7 @@ class _Lifecycle(StatefulProcessor):
 def call_lifecycle(events: DataFrame, silence_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Stream of finished calls (call_id, status, start_us, end_us, segments)."""
     kind, status, us = F.col("type"), _status(), F.unix_micros("ts")
-    partial = events.select(
+    partial = events.where(kind != "feedbackSubmitted").select(
         "call_id", status.alias("status"), F.when(status.isNotNull(), us).alias("status_us"),
         F.when(kind == "callStarted", us).alias("start_us"), F.when(kind == "callEnded", us).alias("end_us"),
         (kind == "transcriptUpdate").cast("bigint").alias("segments"))

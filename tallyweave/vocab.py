@@ -88,7 +88,7 @@ OUTCOMES = {
 }
 SUCCESS_OUTCOMES = ["SaleConfirmed", "Resolved"]
 CALL_STATUSES = ["ringing", "in-progress", "completed", "failed"]
-CALL_EVENT_TYPES = ["callStarted", "transcriptUpdate", "callEnded", "feedbackSubmitted"]
+CALL_EVENT_TYPES = ["callStarted", "transcriptUpdate", "callEnded", "statusUpdate", "feedbackSubmitted"]
 TASK_STATES = ["thinking", "executing_skill", "completed", "error"]
 
 # Ledger enumerations and formats.

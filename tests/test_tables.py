@@ -89,8 +89,10 @@ _EVENTS = [
     '{"type":"transcriptUpdate","call_id":1,"data":"{\\"segment_id\\":1,\\"text\\":\\"hi\\"}","timestamp":"2024-01-01T00:00:10Z"}',
     '{"type":"transcriptUpdate","call_id":1,"data":"{\\"segment_id\\":1,\\"text\\":\\"hi\\"}","timestamp":"2024-01-01T00:00:10Z"}',
     '{"type":"callEnded","call_id":1,"data":"{}","timestamp":"2024-01-01T00:01:00Z"}',
-    '{"type":"callStarted","call_id":2,"data":"{}","timestamp":"2024-01-01T00:00:30Z"}',
+    '{"type":"callStarted","callId":"CA2f","data":{},"timestamp":"2024-01-01T00:00:30Z"}',
     '{"type":"other","call_id":2,"data":"{}","timestamp":"2024-01-01T00:00:31Z"}', "broken",
+    '{"type":"callEnded","data":{},"timestamp":"2024-01-01T00:01:00Z"}',
+    '{"type":"feedbackSubmitted","callId":"CA3","data":{"rating":3},"timestamp":"2024-01-01T00:01:00Z"}',
 ]
 
 
@@ -105,10 +107,10 @@ def test_stream_and_table_agree(spark, tmp_path):
     pick = ["call_id", "status", "start_time", "end_time", "segments"]
     last = ev.latest_updates(spark, str(tmp_path / "out"), ["call_id"])
     assert rows(batch.select(pick), "call_id") == rows(last.select(pick), "call_id")
-    assert rows(batch.select("call_id", "status", "segments"), "call_id") == [(1, "completed", 2), (2, "ringing", 0)]
-    assert rows(folds.active_calls(batch).select("call_id"), "call_id") == [(2,)]
+    assert rows(batch.select("call_id", "status", "segments"), "call_id") == [("1", "completed", 2), ("CA2f", "ringing", 0)]
+    assert rows(folds.active_calls(batch).select("call_id"), "call_id") == [("CA2f",)]
     rejected = ev.rejected_call_events(spark.read.text(str(source)))
-    assert rows(rejected.select("reason"), "reason") == [("unknown_type",), ("unreadable",)]
+    assert rows(rejected.select("reason"), "reason") == [("no_call_id",), ("unknown_type",), ("unreadable",)]
     ev.run_append(folds.transcript_merge(ev.read_call_events(ev.stream_lines(spark, str(source)))), str(tmp_path / "once"),
                   str(tmp_path / "mark2"), timeout_s=120)
     assert spark.read.parquet(str(tmp_path / "once")).count() == 1
@@ -123,4 +125,4 @@ def test_lifecycle_over_several_batches(spark, tmp_path):
         stream = folds.call_lifecycle(ev.read_call_events(ev.stream_lines(spark, str(source), files_per_batch=4)))
         ev.run_append(stream, str(tmp_path / "out"), str(tmp_path / "mark"), timeout_s=120)
     got = spark.read.parquet(str(tmp_path / "out")).select("call_id", "status", "segments")
-    assert rows(got, "call_id") == [(1, "completed", 2)]
+    assert rows(got, "call_id") == [("1", "completed", 2)]
