@@ -169,5 +169,10 @@ def score(docs: DataFrame, classifier: dict, *keep: str) -> DataFrame:
 def held_out_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
     """Every document's score by a classifier learned from the labels outside one fold of ids."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", parts) == held).alias("held_out"), "text")
-    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(fold("doc_id", parts) != held)
-    return score(named, train(named.where("not held_out").join(taught, "doc_id")), "doc_id", "held_out")
+    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
+        (fold("doc_id", parts) != held) & F.col("toxic").isin(0, 1)).distinct()
+    # the sample is drawn from the labels alone, so that texts need not be shuffled to meet them; its size is bounded
+    counts = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_ROWS / counts.get(1, 1))).otherwise(min(1.0, SAMPLE_ROWS / counts.get(0, 1)))
+    sample = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    return score(named, train(named.where("not held_out").join(F.broadcast(sample), "doc_id")), "doc_id", "held_out")
