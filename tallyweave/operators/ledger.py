@@ -155,32 +155,23 @@ def journal_balanced(entries: DataFrame) -> DataFrame:
 # --- taxes and budgets ----------------------------------------------------------------------------
 
 def tax_for_transactions(transactions: DataFrame, rates: DataFrame) -> DataFrame:
-    """Each transaction with the rate valid on its date, the latest effective one on overlap.
+    """Each transaction with the rate valid on its date, the latest effective one on overlap, and its decimal tax.
 
-    Rates become one row per month with the month's candidate rates in order, so the range condition is
-    an equality on the month plus a look into a short array, and no transaction is multiplied.
+    Rates become the one winning rate of each calendar day that has transactions around it (at most one row per day, combined
+    map-side), so the range condition is an equality on the day and no transaction is multiplied.
     """
-    reach = transactions.agg(F.min("date").alias("low"), F.max("date").alias("high")).first()
-    if reach["low"] is None:
-        months = F.array().cast("array<date>")
-    else:
-        begin = F.trunc(F.greatest("effective_date", F.lit(reach["low"])), "month")
-        finish = F.least(F.coalesce("expiry_date", F.lit(reach["high"])), F.lit(reach["high"]))
-        months = F.when(begin <= finish, F.sequence(begin, finish, F.expr("INTERVAL 1 MONTH"))).otherwise(
-            F.array().cast("array<date>"))
-    candidate = F.struct("effective_date", F.col("id").alias("rate_id"), F.col("name").alias("rate_name"), "country",
-                         "rate", "expiry_date")
-    by_month = rates.select(F.explode(months).alias("month"), candidate.alias("c")).groupBy("month").agg(
-        F.sort_array(F.collect_list("c"), asc=False).alias("candidates"))
-    dated = transactions.withColumn("month", F.trunc("date", "month")).join(small(by_month), "month", "left")
-    valid = F.filter("candidates", lambda c: (c["effective_date"] <= F.col("date")) & (
-        c["expiry_date"].isNull() | (F.col("date") < c["expiry_date"])))
-    best = F.get(valid, F.lit(0))
-    return (
-        dated.withColumn("__best", best).drop("month", "candidates")
-        .select("*", "__best.rate_id", "__best.rate_name", "__best.country", "__best.rate").drop("__best")
-        .withColumn("tax", F.round(F.col("amount").cast("double") * F.col("rate"), 2))
-    )
+    reach = transactions.agg(F.min("date").cast("date").alias("low"), F.max("date").cast("date").alias("high")).first()
+    low, high = (F.lit(reach[c]).cast("date") for c in ("low", "high"))
+    begin = F.greatest(F.col("effective_date").cast("date"), low)
+    finish = F.least(F.date_sub(F.col("expiry_date").cast("date"), 1), high)
+    days = F.when(begin <= finish, F.sequence(begin, finish))
+    fields = ["rate_id", "rate_name", "country", "rate"]
+    by_day = rates.select(F.explode(days).alias("__day"), F.struct(
+        "effective_date", F.col("id").alias("rate_id"), F.col("name").alias("rate_name"), "country", "rate").alias("c")).groupBy(
+        "__day").agg(F.max("c").alias("c")).select("__day", *[F.col(f"c.{f}").alias(f) for f in fields])
+    dated = transactions.join(small(by_day), F.to_date("date") == F.col("__day"), "left").drop("__day")
+    tax = F.round(F.col("amount").cast("decimal(18,2)") * F.col("rate").cast("decimal(12,8)"), 2)
+    return dated.withColumn("tax", tax.cast("decimal(18,2)"))
 
 
 def tax_summary(transactions: DataFrame, rates: DataFrame, start, end) -> DataFrame:
@@ -192,16 +183,27 @@ def tax_summary(transactions: DataFrame, rates: DataFrame, start, end) -> DataFr
 
 
 def budget_vs_actual(budgets: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Planned, actual in the budget's period, variance and share per (budget, category)."""
+    """Planned, actual in the budget's period, variance and share per (budget, category).
+
+    The ends of the periods are put among the days of their category; the difference of the running totals there is the actual
+    amount. Periods may overlap at will: work grows with days plus items.
+    """
+    item = ["budget_id", "start", "end", "category"]
     items = budgets.select(F.col("id").alias("budget_id"), "period", F.explode("items").alias("i")).groupBy(
         "budget_id", F.col("period.start").cast("date").alias("start"), F.col("period.end").cast("date").alias("end"),
         F.col("i.category").alias("category")).agg(F.sum("i.amount").alias("planned"))
-    daily = transactions.groupBy("category", "date").agg(F.sum("amount").alias("amount"))
-    spent = (
-        items.join(daily, "category").where(F.col("date").between(F.col("start"), F.col("end")))
-        .groupBy("budget_id", "category").agg(F.sum("amount").alias("actual"))
-    )
-    joined = items.join(spent, ["budget_id", "category"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    daily = transactions.groupBy("category", F.col("date").cast("date").alias("date")).agg(F.sum("amount").alias("amount"))
+    # before the first day's amount, and after the last day's
+    ends = items.select("*", F.explode(F.array(F.struct(F.col("start").alias("date"), F.lit(0).alias("place")),
+                                               F.struct(F.col("end").alias("date"), F.lit(2).alias("place")))).alias("e"))
+    marks = ends.select(*item, "planned", "e.date", "e.place").unionByName(
+        daily.withColumn("place", F.lit(1)), allowMissingColumns=True)
+    totals = running_total(marks, ["category"], ["date", "place"], "amount", "total").where("place <> 1")
+    upto = F.coalesce(F.sum(F.when(F.col("place") == 2, F.col("total"))), F.lit(0)) - F.coalesce(
+        F.sum(F.when(F.col("place") == 0, F.col("total"))), F.lit(0))
+    valid = (F.col("start") <= F.col("end")) & F.col("category").isNotNull()
+    joined = totals.groupBy(*item, "planned").agg(upto.alias("actual")).withColumn(
+        "actual", F.when(valid, F.col("actual")).otherwise(0))
     return joined.select(
         "budget_id", "category", "planned", "actual", (F.col("actual") - F.col("planned")).alias("variance"),
         finite(F.try_divide(F.col("actual").cast("double"), F.col("planned").cast("double"))).alias("share"))

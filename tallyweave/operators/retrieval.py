@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from math import fsum
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave.operators.filtering import top_per
 from tallyweave.scale import small
 from tallyweave.session import cut_lineage
 
+#: Pairs of query and word that are sent to every task; more are joined.
+WEIGHTS = 500_000
+
+
+def _schema(query: str, doc: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return pa.schema([("query_id", kinds[query]), ("doc_id", kinds[doc]), ("score", pa.float64())])
+
 
 def words(text) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _best_in_task(batches: Iterator[pa.RecordBatch], weights: dict, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best documents of this task for each query: a document is scored for all queries at once."""
+    best: dict = {}
+    for batch in batches:
+        for doc, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
+            parts: dict = {}
+            for word, times in Counter(w for w in tokens or () if w in weights).items():
+                for query, weight in weights[word]:
+                    parts.setdefault(query, []).append(times * weight)
+            for query, terms in parts.items():
+                held = best.setdefault(query, [])
+                held.append((-round(fsum(terms), 6), doc))
+                if len(held) >= 4 * k + 64:
+                    held.sort()
+                    del held[k:]
+    rows = [(query, doc, -score) for query, held in best.items() for score, doc in sorted(held)[:k]]
+    columns = list(zip(*rows)) if rows else [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+
+
 def search_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, position): score is the sum over the query's distinct words of
     tf * ln(1 + N / df), ties by document id.
 
-    Words of a document stay in its task: with the query words broadcast (when counted small) only sums per
-    (query, document) are shuffled, and each task keeps at most k of them per query before the last shuffle.
+    Query words measured to be few go to every task, which scores its documents for all queries and passes on at most
+    k of them per query. More query words than that are joined by a shuffle, each document's words counted first.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(words("text"))).alias("word"))
     total = docs.count()
@@ -28,15 +61,24 @@ def search_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFra
         .join(small(wanted.select("word").distinct()), "word", "left_semi")
         .groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     )
-    weights = wanted.join(spread, "word").select(
-        "query_id", "word", F.log1p(F.lit(float(total)) / F.col("df")).alias("weight"))
-    scored = (
-        docs.select("doc_id", F.explode(words("text")).alias("word")).join(small(cut_lineage(weights)), "word")
-        .groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
-    )
-    # Sums of equal terms in another order differ in the last digits; rounding makes equal scores tie.
-    rounded = scored.withColumn("score", F.round("score", 6))
-    return top_per(rounded, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, "position")
+    weights = cut_lineage(wanted.join(spread, "word").select(
+        "query_id", "word", F.log1p(F.lit(float(total)) / F.col("df")).alias("weight")))
+    size = weights.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
+    if size["n"] <= WEIGHTS and (size["bytes"] or 0) <= 16 * WEIGHTS:
+        by_word: dict = {}
+        for row in weights.collect():
+            by_word.setdefault(row["word"], []).append((row["query_id"], row["weight"]))
+        kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+        scored = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words("text").alias("words")).mapInArrow(
+            lambda it: (b.cast(_schema(*kinds)) for b in _best_in_task(it, by_word, k)),
+            f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    else:
+        counted = docs.select("doc_id", F.explode(words("text")).alias("word")).groupBy("doc_id", "word").agg(
+            F.count(F.lit(1)).alias("tf"))
+        # sums of equal terms in another order differ in the last digits; rounding makes equal scores tie
+        scored = counted.join(weights, "word").groupBy("query_id", "doc_id").agg(
+            F.round(F.sum(F.col("tf") * F.col("weight")), 6).alias("score"))
+    return top_per(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, "position")
 
 
 def result_position(hits: DataFrame, key: str, order: list[Column], out: str = "position") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROWS_PER_TASK = 5_000_000
 PIECES = 256
+BROADCAST_BYTES = 64 << 20
 _PIECE = ("__piece", "__subpiece")
 
 
@@ -23,10 +24,25 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return biggest or 0
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast hint for a side counted to hold at most `rows` rows; a larger side is left to a shuffled
-    join. The count stops at one row above the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes a row takes: texts and nested values by their length, all else as 16."""
+    total = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            total = total + 16
+    return total
+
+
+def small(df: DataFrame, rows: int = 200_000, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a side measured to hold at most `rows` rows and about `size` bytes; a larger side is left to
+    a shuffled join. The measure stops at one row above the bound."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= size else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -66,10 +82,6 @@ def sort_codes(df: DataFrame, order: Sequence[str]) -> list[Column]:
     return [code(c) for c in order[:2]]
 
 
-def _count_below(code: Column, points: list) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < code))
-
-
 def _flag_large(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """`__large`: whether the row's key holds more than `limit` rows. There are at most rows / limit such keys."""
     if not keys:
@@ -83,41 +95,61 @@ def _flag_large(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return flagged.drop("__hit", *[f"__l_{i}" for i in range(len(keys))])
 
 
-def with_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, largest: int) -> DataFrame:
-    """Add two columns whose lexicographic order agrees with `order` and that cut the large keys evenly; all
+def _count_below(code: Column, points: Column) -> Column:
+    return F.coalesce(F.size(F.filter(points, lambda p: p < code)), F.lit(0))
+
+
+def _cut_points(df: DataFrame, keys: Sequence[str], codes: Sequence[Column], limit: int) -> DataFrame:
+    """Rows with the approximate quantiles, ends and size of their own key; NULL where the key holds at most `limit` rows."""
+    shares = [i / PIECES for i in range(1, PIECES)]
+    found = [
+        *[F.percentile_approx(c, shares, 4 * PIECES).alias(f"__p{i}") for i, c in enumerate(codes)],
+        F.min(codes[0]).cast("double").alias("__low"), F.max(codes[0]).cast("double").alias("__high"),
+        F.count(F.lit(1)).alias("__rows")]
+    if not keys:
+        whole = df.agg(*found)
+        values, kinds = whole.first(), dict(whole.dtypes)
+        return df.withColumns({c: F.lit(values[c]).cast(kinds[c]) for c in whole.columns})
+    # only the rows of large keys are sorted into digests; there are at most rows / limit such keys
+    cut = _flag_large(df, keys, limit).where("__large").groupBy(*keys).agg(*found)
+    named = cut.select(*[F.col(k).alias(f"__l_{i}") for i, k in enumerate(keys)], *[c for c in cut.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__l_{i}"))
+    return df.join(small(named), same, "left").drop(*[f"__l_{i}" for i in range(len(keys))])
+
+
+def with_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """Add two columns whose lexicographic order agrees with `order` and that cut each large key evenly; all
     other keys stay whole.
 
-    Cut points are approximate quantiles, which affects balance only. Between two cut points rows are cut
-    again by even steps, as often as the largest key asks for. A first code that is itself hot (it repeats
-    among the quantiles) is cut by the second code instead.
+    Cut points are approximate quantiles of the key itself, which affects balance only. Between two cut points rows are
+    cut again by even steps, as often as the key's size asks for. A first code that is itself hot (it repeats
+    among the quantiles, or is missing) is cut by the second code instead.
     """
-    flagged = _flag_large(df, keys, limit)
     codes = sort_codes(df, order)
-    shares = [i / PIECES for i in range(1, PIECES)]
-    large = flagged.where("__large")
-    found = large.agg(
-        *[F.percentile_approx(c, shares, 4 * PIECES).alias(f"p{i}") for i, c in enumerate(codes)],
-        F.min(codes[0]).alias("low"), F.max(codes[0]).alias("high")).first()
-    points = [list(found[f"p{i}"] or []) for i in range(len(codes))]
-    cuts = sorted(set(points[0]))
-    if not cuts:
-        return flagged.withColumn(_PIECE[0], F.lit(0)).withColumn(_PIECE[1], F.lit(0)).drop("__large")
-    # The searches run once per row of a large key; later steps read their columns.
-    searched = flagged.withColumn("__cut", F.when(F.col("__large"), _count_below(codes[0], cuts)).otherwise(0)).withColumn(
-        "__on", F.col("__large") & F.coalesce(codes[0].isin(cuts), F.lit(False)))
+    names = [c for c in df.columns]
+    # each search runs once per row of a large key; later steps read its column
+    searched = (
+        _cut_points(df, keys, codes, limit)
+        .withColumn("__cuts", F.array_distinct("__p0"))
+        .withColumn("__cut", _count_below(codes[0], F.col("__cuts")))
+        .withColumn("__on", F.coalesce(F.array_contains("__cuts", codes[0]), F.lit(False)))
+        .withColumn("__edges", F.concat(
+            F.array("__low"), F.transform("__cuts", lambda p: p.cast("double")), F.array("__high")))
+    )
     at, on_cut = F.col("__cut"), F.col("__on")
-    steps = max(1, -(-4 * largest // (limit * PIECES)))
-    edges = F.array(*[F.lit(float(e)) for e in [found["low"], *cuts, found["high"]]])
-    start, end = F.get(edges, at), F.get(edges, at + 1)
+    steps = F.greatest(F.lit(1), F.ceil(4 * F.col("__rows") / (limit * PIECES)))
+    start, end = F.get("__edges", at), F.get("__edges", at + 1)
     step = F.floor(F.try_divide((codes[0].cast("double") - start) * steps, end - start))
     second = F.when(on_cut, 0).otherwise(F.coalesce(step.cast("int"), F.lit(0)))
-    hot = [p for p in cuts if points[0].count(p) > 1]
-    if len(codes) > 1 and hot and points[1]:
-        second = F.when(codes[0].isin(hot), _count_below(codes[1], sorted(set(points[1])))).otherwise(second)
-    return (
-        searched.withColumn(_PIECE[0], F.when(F.col("__large"), 2 * at + on_cut.cast("int")).otherwise(0))
-        .withColumn(_PIECE[1], F.when(F.col("__large"), second).otherwise(0)).drop("__large", "__cut", "__on")
-    )
+    if len(codes) > 1:
+        repeated = on_cut & (F.size(F.filter("__p0", lambda p: p == codes[0])) > 1)
+        second = F.when(codes[0].isNull() | repeated, _count_below(codes[1], F.array_distinct("__p1"))).otherwise(second)
+    first = F.when(codes[0].isNull(), -1).otherwise(2 * at + on_cut.cast("int"))
+    large = F.col("__rows") > limit
+    return searched.select(
+        *names, F.when(large, first).otherwise(0).alias(_PIECE[0]), F.when(large, second).otherwise(0).alias(_PIECE[1]))
 
 
 def _join_starts(placed: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -147,7 +179,7 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
         largest = largest_group(df, keys)
     if largest <= limit:
         return df.withColumn(out, F.row_number().over(_whole(keys).orderBy(*order)).cast("bigint"))
-    placed = with_pieces(df, keys, order, limit, largest).withColumn("__all", F.lit(0))
+    placed = with_pieces(df, keys, order, limit).withColumn("__all", F.lit(0))
     by = [*keys, "__all"]
     joined = _join_starts(placed, _prefix(placed, by, F.count(F.lit(1))), by)
     inside = F.row_number().over(W.partitionBy(*by, *_PIECE).orderBy(*order))
@@ -165,7 +197,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     if largest <= limit:
         upto = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(upto))
-    placed = with_pieces(df, keys, order, limit, largest).withColumn("__all", F.lit(0))
+    placed = with_pieces(df, keys, order, limit).withColumn("__all", F.lit(0))
     by = [*keys, "__all"]
     joined = _join_starts(placed, _prefix(placed, by, F.sum(value)), by)
     upto = W.partitionBy(*by, *_PIECE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -182,7 +214,7 @@ def running_max(df: DataFrame, order: Sequence[str], value: str, out: str,
     if largest <= limit:
         upto = _whole([]).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.max(value).over(upto))
-    placed = with_pieces(df, [], order, limit, largest).withColumn("__all", F.lit(0))
+    placed = with_pieces(df, [], order, limit).withColumn("__all", F.lit(0))
     joined = _join_starts(placed, _prefix(placed, ["__all"], F.max(value), F.max), ["__all"])
     upto = W.partitionBy("__all", *_PIECE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     best = F.greatest(F.max(value).over(upto), F.col("__start"))
