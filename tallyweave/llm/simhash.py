@@ -5,6 +5,11 @@ at most one, so they agree on one variant of that segment with a single bit wipe
 indexed under its 64 variants and joined on equality; what shares a variant is verified bit by bit. A variant shared by
 more fingerprints than one task should compare is refined by the same rule on the bits that are still free, until
 2,048 fingerprints at most can share one. Copies never meet: only distinct fingerprints are indexed.
+
+Texts that share 0.8 of their shingles of five words differ in 4 to 14 bits of such a fingerprint, beyond what one
+wildcard in two segments reaches. `keep_one` therefore indexes a second fingerprint, of a text's distinct words, in which they
+differ in 4 bits on average: its four segments are indexed under one-wildcard variants, joined, and each pair is
+verified by the fingerprints of its shingles.
 """
 
 from __future__ import annotations
@@ -22,26 +27,51 @@ from tallyweave.session import cut_lineage
 SEED = 42
 #: Fingerprints of one bucket that a task compares with each other.
 BUCKET = 2048
+#: Bits in which near copies may differ: of 64 for the distinct words, and of 256 for the shingles of five words. A shingle
+#: similarity of 0.8 gives 38 different bits on average, one of 0.7 gives 49.
+WORD_BITS, SHINGLE_BITS = 10, 47
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        bits = np.unpackbits(hashes[at:at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64 bits, each set in over half of the hashes of the word shingles; fewer words: of the whole sequence; none: 0."""
-    words = words_of(text)
+    hashes = _hashes(words_of(text), shingle)
+    return _majority(hashes) if len(hashes) else 0
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """A hash for each shingle; fewer words: one of the whole sequence; none: none."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(
         (ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())], dtype=np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):
-        bits = np.unpackbits(hashes[at:at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def two_fingerprints(text: str | None, shingle: int = 5) -> tuple[int, int, bytes]:
+    """A number for both, 64 bits of the distinct words, and 256 bits of the different shingles; no words: all zero bits."""
+    words = words_of(text)
+    own = set(words)
+    fp = _majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))) if own else 0
+    hashes, wide = np.unique(_hashes(words, shingle)), b""
+    for k in range(4):
+        z = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        wide += (_majority(z ^ (z >> np.uint64(32))) if len(z) else 0).to_bytes(8, "big")
+    return xxhash.xxh64_intdigest(fp.to_bytes(8, "big") + wide, SEED), fp, wide
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -139,22 +169,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, max_bits: int = 3) -> DataFrame:
+def _wildcards(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint under the 64 variants that fix one segment but for a bit; `bit` names the variant."""
+    cuts = [64 * k // segments for k in range(segments + 1)]
+    for batch in batches:
+        prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        for low, high in zip(cuts, cuts[1:]):
+            for bit in range(low, high):
+                kept = prints & np.uint64(((1 << high) - (1 << low)) ^ (1 << bit))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(prints), bit, np.int32)), pa.array(kept.view(np.int64)),
+                     *[batch.column(c) for c in ("node", "fp", "shingles")]], names=["bit", "value", "node", "fp", "shingles"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], word_bits: int, shingle_bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = [], []
+        for members in batch.column("members"):
+            node, fp = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "fp"))
+            fp = fp.view(np.uint64)
+            shingles = np.frombuffer(b"".join(members.values.field("shingles").to_pylist()), np.uint64).reshape(-1, 4)
+            for at in range(0, len(node) - 1, 256):
+                i, j = np.nonzero(np.bitwise_count(fp[at:at + 256, None] ^ fp[None, at + 1:]) <= word_bits)
+                later = j >= i
+                i, j = i[later] + at, j[later] + at + 1
+                near = np.bitwise_count(shingles[i] ^ shingles[j]).sum(axis=1, dtype=np.int64) <= shingle_bits
+                for x, y in forest(node[i[near]], node[j[near]]):
+                    a.append(x)
+                    b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def similar_links(prints: DataFrame, segments: int = 4, word_bits: int = WORD_BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
+    """Links (a, b) between rows of distinct `node`, `fp`, `shingles` that are near in both fingerprints.
+
+    Pairs with up to 2 * segments - 1 bits between their word fingerprints share a variant for certain, others by chance. A
+    variant shared by more than BUCKET rows is compared in pairs of blocks, so no task holds more than two blocks of it
+    and no pair is left out.
+    """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.repartition(parts, "node")
+    keyed = rows.mapInArrow(lambda it: _wildcards(it, segments), "bit int, value long, node long, fp long, shingles binary")
+    shared = cut_lineage(keyed.groupBy("bit", "value").agg(F.count("*").alias("n")).where("n > 1"))
+    blocks = F.ceil(F.col("n") / BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    paired = keyed.join(shared, ["bit", "value"]).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    groups = paired.groupBy("bit", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
+        F.collect_list(F.struct("node", "fp", "shingles")).alias("members")).select("members")
+    return groups.mapInArrow(lambda it: _verified(it, word_bits, shingle_bits), "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, segments: int = 4) -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest doc_id stays (no id: last).
 
-    All columns of `docs` stay as they are. Exact repeats and blank texts count as duplicates of each other.
+    Texts are linked whose distinct words and whose shingles both have fingerprints within WORD_BITS and SHINGLE_BITS of each
+    other, which is where a shingle similarity of 0.8 and more lies. All columns of `docs` stay as they are. Exact repeats
+    and blank texts count as duplicates of each other.
     """
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [two_fingerprints(t, shingle) for t in batch.column("text").to_pylist()]
+            numbers = [pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([f[2] for f in found], pa.binary())], names=["node", "fp", "shingles"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("row").field("text").to_pylist()
-            prints = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), batch.column("row")], names=["fp", "row"])
+            nodes = np.array([two_fingerprints(t, shingle)[0] for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("row")], names=["node", "row"])
 
-    prints = cut_lineage(with_fingerprints(docs, shingle))
-    roots = near_classes(prints, max_bits)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    prints = cut_lineage(texts.mapInArrow(prints_of, "node long, fp long, shingles binary").distinct())
+    roots = components(similar_links(prints, segments))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = T.StructType([T.StructField("fp", T.LongType()), whole.schema["row"]])
+    schema = T.StructType([T.StructField("node", T.LongType()), whole.schema["row"]])
     order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"))
-    best = whole.mapInArrow(run, schema).groupBy("fp").agg(F.min_by("row", order).alias("row"))
-    best = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min_by("row", order).alias("row"))
+    best = whole.mapInArrow(run, schema).groupBy("node").agg(F.min_by("row", order).alias("row"))
+    best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min_by("row", order).alias("row"))
     return best.select("row.*")

@@ -15,6 +15,7 @@ from tallyweave.llm import (
     bitsliced, chat_format, decontaminate, html_text, langid, ngram_trie, packing, queries, simhash, suffix_dedup, toxicity)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, score string"
+from tallyweave.llm.common import components
 
 
 def rows_of(texts):
@@ -276,3 +277,33 @@ def test_pipeline_stages(spark, docs):
         assert stage(spark, docs, folder).columns == docs.columns, name
     packed = corpus_pipeline.run(spark, folder)
     assert packed.count() > 0 and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_keep_one_finds_copies_of_four_fifths(spark):
+    """Copies with 0.8 of the shingles and more fall to one each; unrelated texts of the same words stay."""
+    rnd = random.Random(11)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    texts, expected = [], []
+    for base in range(40):
+        words = rnd.choices(vocabulary, k=250)
+        expected.append(len(texts))
+        texts.append(" ".join(words))
+        for _ in range(4):
+            copy = list(words)
+            for at in (20, 120, 220):
+                copy[at + rnd.randrange(20)] = rnd.choice(vocabulary)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected
+
+
+def test_similar_links_compare_blocks(spark, monkeypatch):
+    """A variant shared by more rows than a block gives the same components."""
+    rnd = random.Random(3)
+    rows = [(i, (5 << 40) ^ (1 << rnd.randrange(20)), bytes(32)) for i in range(60)]
+    prints = spark.createDataFrame(rows, "node long, fp long, shingles binary")
+    monkeypatch.setattr(simhash, "BUCKET", 7)
+    found = components(simhash.similar_links(prints)).collect()
+    assert {r["node"]: r["root"] for r in found} == {i: 0 for i in range(60)}
