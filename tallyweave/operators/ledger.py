@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions.numeric import finite
-from tallyweave.scale import small
+from tallyweave.scale import running_total, small
 from tallyweave.session import cut_lineage
 
 

@@ -130,3 +130,13 @@ def test_small_checks_its_bound(spark):
     df = spark.range(100)
     assert "broadcast" in scale.small(df, 100)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in scale.small(df, 99)._jdf.queryExecution().toString().lower()
+
+
+def test_pieces_of_keys_in_disjoint_ranges(spark):
+    """Each of many large keys has cut points of its own, and pieces follow the order."""
+    df = spark.range(300 * 2000).select(F.expr("id div 2000").alias("k"), F.col("id").alias("at"))
+    placed = scale.with_pieces(df, ["k"], ["at"], limit=100).groupBy("k", "__piece", "__subpiece").agg(
+        F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    before = F.lag("high").over(W.partitionBy("k").orderBy("__piece", "__subpiece"))
+    got = placed.withColumn("bad", F.col("low") <= before).agg(F.max("n"), F.sum("n"), F.count_if("bad")).first()
+    assert got[0] <= 400 and got[1] == 600_000 and got[2] == 0
