@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import fsum
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -29,19 +29,27 @@ def words(text) -> Column:
 
 def _best_in_task(batches: Iterator[pa.RecordBatch], weights: dict, k: int) -> Iterator[pa.RecordBatch]:
     """The k best documents of this task for each query: a document is scored for all queries at once."""
-    best: dict = {}
+    names = sorted({q for pairs in weights.values() for q, _ in pairs})
+    place = {q: i for i, q in enumerate(names)}
+    at = {w: np.array([place[q] for q, _ in pairs]) for w, pairs in weights.items()}
+    by = {w: np.array([x for _, x in pairs]) for w, pairs in weights.items()}
+    held: list[list] = [[] for _ in names]
+    least = np.zeros(len(names))  # a score below the k-th best so far cannot be among the best
     for batch in batches:
         for doc, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
-            parts: dict = {}
-            for word, times in Counter(w for w in tokens or () if w in weights).items():
-                for query, weight in weights[word]:
-                    parts.setdefault(query, []).append(times * weight)
-            for query, terms in parts.items():
-                held = best.setdefault(query, [])
-                held.append((-round(fsum(terms), 6), doc))
-                if len(held) >= 4 * k + 64:
-                    held.sort()
-                    del held[k:]
+            counts = Counter(w for w in tokens or () if w in weights)
+            if not counts:
+                continue
+            scores = np.round(np.bincount(np.concatenate([at[w] for w in counts]), np.concatenate(
+                [n * by[w] for w, n in counts.items()]), len(names)), 6)
+            for q in np.nonzero((scores > 0) & (scores >= least))[0].tolist():
+                mine = held[q]
+                mine.append((-float(scores[q]), doc))
+                if len(mine) >= 4 * k + 16:
+                    mine.sort()
+                    del mine[k:]
+                    least[q] = -mine[-1][0] if k else 0
+    best = dict(zip(names, held))
     rows = [(query, doc, -score) for query, held in best.items() for score, doc in sorted(held)[:k]]
     columns = list(zip(*rows)) if rows else [[], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
