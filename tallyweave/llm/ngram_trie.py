@@ -6,8 +6,9 @@ word) in Elias-Fano form, with one byte for each smoothed probability, one for e
 monotone pointers to where a context's words begin. A lookup is a successor search among the words of one context.
 
 Counting runs over all training texts in Spark: tasks send sorted blocks of keys and counts, cut by ranges of keys, and
-one task merges each range. The levels are written as tables in the shared folder and handed to the executors as files;
-an executor turns each level into one file, which its Python workers map into memory.
+one task merges each range. The levels are written as tables in the shared folder, from which each executor turns them,
+one range at a time, into one file a level, which its Python workers map into memory. Columns of numbers are written as
+compressed byte planes, ascending ones as differences.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from tallyweave.llm.common import fold, words_of
 from tallyweave.session import work_path
 
 ORDER = 3
-#: n-grams of two words and more that occur less often are left to the lower order.
-MIN_COUNT = 4
+#: n-grams of two words and more that occur less often are left to the lower order: none.
+MIN_COUNT = 1
 #: What every token gets on top of its count, in the base and in level 1.
 ADDED = 0.1
 #: Neither can be a word, as words have no white space.
@@ -43,6 +46,10 @@ STEP = 30.0
 BINS, BIN_WIDTH, BUCKETS = 160, 0.25, 40
 
 
+#: Entries (a multiple of 8) whose low bits are packed at once.
+LOW_BLOCK = 1 << 17
+
+
 class EliasFano:
     """A non-decreasing sequence of integers: low bits as they are, high bits in unary."""
 
@@ -60,20 +67,25 @@ class EliasFano:
         marks[high + np.arange(n)] = 1
         words = np.packbits(marks, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(words).astype(np.int64)
-        low = (values & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        low = (values & np.uint64((1 << bits) - 1)).astype(np.uint64)
+        lows = [np.packbits((low[at:at + LOW_BLOCK, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8), bitorder="little")
+                for at in range(0, n if bits else 0, LOW_BLOCK)]
+        tail = np.zeros(16 - sum(map(len, lows)) % 8, np.uint8)
         before = np.cumsum(ones) - ones
-        return {"shape": np.array([bits, n], np.int64), "low16": (low & 0xFFFF).astype(np.uint16),
-                "low_rest": (low >> 16).astype(np.uint8 if bits <= 24 else np.uint16) if bits > 16 else np.zeros(0, np.uint8),
-                "words": words, "ones": before, "zeros": 64 * np.arange(len(words)) - before}
+        return {"shape": np.array([bits, n], np.int64), "lows": np.concatenate([*lows, tail]).view(np.uint64), "words": words,
+                "ones": before.astype(np.uint32), "zeros": (64 * np.arange(len(words)) - before).astype(np.uint32)}
 
     def low(self, at: np.ndarray) -> np.ndarray:
-        out = self.low16[at].astype(np.int64)
-        return out | self.low_rest[at].astype(np.int64) << 16 if self.bits > 16 else out
+        first = at * self.bits
+        word, shift = first >> 6, (first & 63).astype(np.uint64)
+        # shifted in two steps, as 64 at once is not defined
+        out = self.lows[word] >> shift | self.lows[word + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        return (out & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def _select(self, k: np.ndarray, of_ones: bool) -> np.ndarray:
         """Position of the k-th one (or zero) in the high bits."""
         before = self.ones if of_ones else self.zeros
-        word = np.searchsorted(before, k, side="right") - 1
+        word = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
         bits = np.ascontiguousarray(self.words[word] if of_ones else ~self.words[word]).view(np.uint8).reshape(-1, 8)
         upto = np.cumsum(np.bitwise_count(bits), axis=1, dtype=np.uint8)
         rest = (k - before[word]).astype(np.uint8)
@@ -111,86 +123,175 @@ for _byte in range(256):
         SELECT_IN_BYTE[_byte, _k] = _bit
 
 
-def mapped(names: tuple[str, ...], build: Callable[[list[dict]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """The arrays that `build` makes of a level's rows, mapped into memory from one file that all workers of an executor
-    share. The first to come writes it, and removes the table's files from that executor's folder."""
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers below 2 ** 64 in bytes; `ascending` ones take the room of their differences."""
+    values = values.astype(np.uint64)
+    rest = np.diff(values) if ascending else values
+    width = max(1, -(-int(rest.max()).bit_length() // 8)) if len(rest) else 1
+    planes = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    head = np.array([len(values), values[0] if ascending and len(values) else 0, width, ascending], np.uint64)
+    return head.tobytes() + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(rest) else b"")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, first, width, ascending = (int(x) for x in np.frombuffer(data, np.uint64, 4))
+    rest = max(0, n - 1) if ascending else n
+    planes = np.zeros((rest, 8), np.uint8)
+    if rest:
+        planes[:, :width] = np.frombuffer(pa.decompress(data[32:], rest * width, "zstd", asbytes=True), np.uint8).reshape(width, rest).T
+    values = planes.view(np.uint64).ravel()
+    if not ascending or not n:
+        return values
+    return np.cumsum(np.concatenate((np.array([first], np.uint64), values)), dtype=np.uint64)
+
+
+def mapped(files: tuple[str, ...], build: Callable[[dict], dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
+    """The arrays that `build` makes of each row of a level, in order of `part`, mapped into memory from one file that all
+    workers of an executor share. The first to come writes it, row by row, and removes the table's files that were sent
+    to that executor's folder."""
     root = SparkFiles.getRootDirectory()
-    path = os.path.join(root, f"level-{xxhash.xxh3_64_hexdigest(chr(10).join(names))}")
+    path = os.path.join(root, f"level-{xxhash.xxh3_64_hexdigest(chr(10).join(files))}")
     with open(path + ".lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(path):
-            rows = [r for name in names for r in pq.read_table(os.path.join(root, name)).to_pylist()]
-            arrays, places, at = build(sorted(rows, key=lambda r: r["part"])), {}, 0
-            for name, a in arrays.items():
-                places[name] = (a.dtype.str, at, len(a))
-                at += -(-a.nbytes // 64) * 64
-            head = json.dumps(places).encode()
+            parts, at = [], 0
             with open(path + ".new", "wb") as file:
-                file.write(len(head).to_bytes(8, "little") + head)
-                start = -(-(8 + len(head)) // 64) * 64
-                for name, a in arrays.items():
-                    file.seek(start + places[name][1])
-                    a.tofile(file)
+                for name in files:
+                    with pq.ParquetFile(os.path.join(root, name)) as table:
+                        for batch in table.iter_batches(batch_size=1):
+                            for row in batch.to_pylist():
+                                places = {}
+                                for key, a in build(row).items():
+                                    places[key] = (a.dtype.str, at, len(a))
+                                    file.seek(at)
+                                    a.tofile(file)
+                                    at += -(-a.nbytes // 64) * 64
+                                parts.append((row["part"], places))
+                file.truncate(max(1, at))
+            with open(path + ".json", "w") as file:
+                json.dump([places for _, places in sorted(parts, key=lambda p: p[0]) if places], file)
             os.rename(path + ".new", path)
-            for name in names:
-                os.remove(os.path.join(root, name))
-    with open(path, "rb") as file:
-        head = file.read(int.from_bytes(file.read(8), "little"))
-        start = -(-(8 + len(head)) // 64) * 64
-        return {name: np.memmap(file, kind, "r", start + at, (size,)) if size else np.zeros(0, kind)
-                for name, (kind, at, size) in json.loads(head).items()}
-
+            for name in files:
+                if not os.path.isabs(name):
+                    os.remove(os.path.join(root, name))
+    with open(path + ".json") as file:
+        parts = json.load(file)
+    whole = np.memmap(path, np.uint8, "r")
+    return [{key: whole[at:at + np.dtype(kind).itemsize * size].view(kind) for key, (kind, at, size) in places.items()}
+            for places in parts]
+
+
+def _by_part(values: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Where the values stand that belong to each part; `begins` has the least value of each."""
+    part = np.searchsorted(begins, values, side="right") - 1
+    by = np.argsort(part.astype(np.int16 if len(begins) < 1 << 15 else np.int64), kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(len(begins) + 1)).tolist()
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            yield k, by[a:b]
 
-def _joined(rows: list[dict], name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), kind)
 
+class Part:
+    """A range of contexts of a level: `codes` by entry, `weights` by context, children and pointers in Elias-Fano form."""
 
-class Level:
-    """Level n >= 2: `codes` by entry, `weights` by context, children and pointers in Elias-Fano form."""
-
-    def __init__(self, names: tuple[str, ...], vocabulary: int):
-        self.vocabulary = vocabulary
-        arrays = mapped(names, self._built)
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.first = int(arrays["first"][0])
         self.codes, self.weights = arrays["codes"], arrays["weights"]
         self.children = EliasFano({k[2:]: v for k, v in arrays.items() if k.startswith("k_")})
         self.pointers = EliasFano({k[2:]: v for k, v in arrays.items() if k.startswith("p_")})
 
-    def _built(self, rows: list[dict]) -> dict[str, np.ndarray]:
-        keys, contexts = _joined(rows, "keys", np.uint64), _joined(rows, "contexts", np.uint64)
-        n = int(contexts[-1]) + 2 if len(contexts) else 1
-        starts = np.searchsorted(keys, np.arange(n, dtype=np.uint64) * np.uint64(self.vocabulary)).astype(np.uint64)
-        weights = np.zeros(n, np.uint8)
-        weights[contexts.astype(np.int64)] = _joined(rows, "weights", np.uint8)
-        return {"codes": _joined(rows, "codes", np.uint8), "weights": weights} | {
+    @staticmethod
+    def built(row: dict, vocabulary: int) -> dict[str, np.ndarray]:
+        keys, contexts = unpacked(row["keys"]), unpacked(row["contexts"])
+        if not len(contexts):
+            return {}
+        first = contexts[0]
+        keys, contexts = keys - first * np.uint64(vocabulary), (contexts - first).astype(np.int64)
+        n = int(contexts[-1]) + 2
+        starts = np.searchsorted(keys, np.arange(n, dtype=np.uint64) * np.uint64(vocabulary)).astype(np.uint64)
+        weights = np.zeros(n - 1, np.uint8)
+        weights[contexts] = np.frombuffer(row["weights"], np.uint8)
+        return {"first": np.array([first]), "codes": np.frombuffer(row["codes"], np.uint8), "weights": weights} | {
             f"k_{k}": v for k, v in EliasFano.encode(keys).items()} | {f"p_{k}": v for k, v in EliasFano.encode(starts).items()}
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Entry of each (context, word), -1 where it has none; negative contexts and words have none."""
-        out = np.full(len(context), -1, np.int64)
-        known = np.nonzero((context >= 0) & (word >= 0) & (context < self.pointers.size - 1))[0]
-        keys, back = np.unique(context[known] * self.vocabulary + word[known], return_inverse=True)
+    def find(self, keys: np.ndarray, vocabulary: int) -> np.ndarray:
+        """Entry of each of the ascending keys (from the part's first context on), -1 where it has none."""
+        at = np.full(len(keys), -1, np.int64)
+        keys = keys[:np.searchsorted(keys, (self.pointers.size - 1) * vocabulary)]
         if not len(keys):
-            return out
-        own, which = np.unique(keys // self.vocabulary, return_inverse=True)
+            return at
+        context = keys // vocabulary
+        new = np.concatenate(([True], context[1:] != context[:-1]))
+        own, which = context[new], np.cumsum(new) - 1
         begin, end = self.pointers.access(own), self.pointers.access(own + 1)
         some = np.nonzero((begin < end)[which])[0]
-        at = np.full(len(keys), -1, np.int64)
         where = self.children.successor(keys[some])
         inside = np.nonzero(where < end[which[some]])[0]
         inside = inside[self.children.access(where[inside]) == keys[some[inside]]]
         at[some[inside]] = where[inside]
+        return at
+
+
+class Level:
+    """Level n >= 2 in parts; entries are numbered through."""
+
+    def __init__(self, files: tuple[str, ...], vocabulary: int):
+        self.vocabulary = vocabulary
+        self.parts = [Part(arrays) for arrays in mapped(files, lambda row: Part.built(row, vocabulary))]
+        sizes = np.array([p.children.size for p in self.parts], np.int64)
+        self.size = int(sizes.sum())
+        self.begins = np.cumsum(sizes) - sizes
+        self.firsts = np.array([p.first for p in self.parts], np.int64)
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Entry of each (context, word), -1 where it has none; negative contexts and words have none."""
+        out = np.full(len(context), -1, np.int64)
+        known = np.nonzero((context >= 0) & (word >= 0))[0]
+        keys, back = np.unique(context[known] * self.vocabulary + word[known], return_inverse=True)
+        at = np.full(len(keys), -1, np.int64)
+        cuts = [*np.searchsorted(keys, self.firsts * self.vocabulary).tolist(), len(keys)]
+        for part, begin, a, b in zip(self.parts, self.begins.tolist(), cuts, cuts[1:]):
+            if a < b:
+                found = part.find(keys[a:b] - part.first * self.vocabulary, self.vocabulary)
+                at[a:b] = np.where(found >= 0, found + begin, -1)
         out[known] = at[back]
         return out
 
+    def weight(self, context: np.ndarray) -> np.ndarray:
+        """Code of the back-off weight of each context, 0 where it has no words."""
+        out = np.zeros(len(context), np.uint8)
+        for k, at in _by_part(context, self.firsts):
+            own = context[at] - self.firsts[k]
+            inside = own < len(self.parts[k].weights)
+            out[at[inside]] = self.parts[k].weights[own[inside]]
+        return out
+
+    def code(self, entry: np.ndarray) -> np.ndarray:
+        """Code of the probability of each entry, 0 for -1."""
+        out = np.zeros(len(entry), np.uint8)
+        for k, at in _by_part(entry, self.begins):
+            out[at] = self.parts[k].codes[entry[at] - self.begins[k]]
+        return out
+
+    def word(self, entry: np.ndarray) -> np.ndarray:
+        """The last word of each entry."""
+        out = np.zeros(len(entry), np.int64)
+        for k, at in _by_part(entry, self.begins):
+            out[at] = self.parts[k].children.access(entry[at] - self.begins[k]) % self.vocabulary
+        return out
+
 
 class Trie:
-    """What a worker has mapped: level 1 (hashes, counts) and the further levels."""
+    """What a worker has mapped: level 1 (hashes, counts) and the further levels, all in parts."""
 
     def __init__(self, files: tuple[tuple[str, ...], ...]):
-        first = mapped(files[0], lambda rows: {"hashes": _joined(rows, "keys", np.uint64), "counts": _joined(rows, "counts", np.uint32)})
-        self.hashes, self.counts = first["hashes"], first["counts"]
-        self.tokens = int(self.counts.sum(dtype=np.int64))
-        self.size = len(self.hashes)
+        self.words = mapped(files[0], lambda row: {"hashes": unpacked(row["keys"]), "counts": unpacked(row["counts"]).astype(np.uint32)})
+        self.words = [w for w in self.words if len(w["hashes"])]
+        sizes = np.array([len(w["hashes"]) for w in self.words], np.int64)
+        self.tokens = sum(int(w["counts"].sum(dtype=np.int64)) for w in self.words)
+        self.size = int(sizes.sum())
+        self.begins = np.cumsum(sizes) - sizes
+        self.firsts = np.array([w["hashes"][0] for w in self.words], np.uint64)
         self.levels = [Level(names, self.size) for names in files[1:]]
         self.known: dict[bytes, int] = {}
 
@@ -200,8 +301,11 @@ class Trie:
         fresh = list(set(words).difference(self.known))
         if fresh:
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, self.size - 1))
-            found = np.where(self.hashes[at] == hashes, at, -1) if self.size else np.full(len(fresh), -1)
+            found = np.full(len(fresh), -1, np.int64)
+            for k, places in _by_part(hashes, self.firsts):
+                own = self.words[k]["hashes"]
+                at = np.minimum(np.searchsorted(own, hashes[places]), len(own) - 1)
+                found[places] = np.where(own[at] == hashes[places], at + self.begins[k], -1)
             self.known.update(zip(fresh, found.tolist()))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
@@ -216,7 +320,9 @@ class Trie:
             above = entry
 
     def base(self, ids: np.ndarray) -> np.ndarray:
-        counts = np.where(ids >= 0, self.counts[np.maximum(ids, 0)], 0) if self.size else np.zeros(len(ids))
+        counts = np.zeros(len(ids), np.int64)
+        for k, at in _by_part(ids, self.begins):
+            counts[at] = self.words[k]["counts"][ids[at] - self.begins[k]]
         return np.log10((counts + ADDED) / (self.tokens + ADDED * (self.size + 1)))
 
     def log10(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +330,7 @@ class Trie:
         base = self.base(ids)
         score = base.copy()
         for (context, entry), level in zip(self.entries(ids, begins), self.levels):
-            some = (context >= 0) & (context < len(level.weights))
-            weight = np.where(some, level.weights[np.where(some, context, 0)], 0)
-            own = level.codes[np.maximum(entry, 0)] if len(level.codes) else 0
-            score = np.where(entry >= 0, -(own / STEP), score - weight / STEP)
+            score = np.where(entry >= 0, -(level.code(entry) / STEP), score - level.weight(context) / STEP)
         return base, score
 
 
@@ -243,11 +346,15 @@ def load_trie(files: tuple[tuple[str, ...], ...]) -> Trie:
 
 
 def _share(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Hands the files of a table to all executors, now and later; their names."""
+    """Where executors, now and later, find the files of a table: their paths in a shared folder that is mounted, otherwise
+    the names under which each executor fetches them from the store."""
     names = []
     for row in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").collect():
-        spark.sparkContext.addFile(row["path"])
-        names.append(row["path"].rpartition("/")[2])
+        if row["path"].startswith("file:"):
+            names.append(unquote(urlsplit(row["path"]).path))
+        else:
+            spark.sparkContext.addFile(row["path"])
+            names.append(row["path"].rpartition("/")[2])
     return tuple(sorted(names))
 
 
@@ -265,8 +372,8 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> Iterato
     cuts = np.searchsorted(keys, bounds)
     for part, (a, b) in enumerate(zip(np.concatenate(([0], cuts)).tolist(), [*cuts.tolist(), len(keys)])):
         if a < b:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys[a:b].tobytes()]), pa.array(
-                [counts[a:b].astype(np.uint32).tobytes()])], names=["part", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(keys[a:b], True)]), pa.array(
+                [packed(counts[a:b])])], names=["part", "keys", "counts"])
 
 
 _BLOCK = "part int, keys binary, counts binary"
@@ -283,8 +390,7 @@ def _merged(blocks: DataFrame, parts: int, then: Callable, schema: str) -> DataF
                     yield from then(part, *_merge(held))
                     held, size = [], 0
                 part = now
-                held.append((np.frombuffer(batch.column("keys")[k].as_py(), np.uint64),
-                             np.frombuffer(batch.column("counts")[k].as_py(), np.uint32).astype(np.uint64)))
+                held.append((unpacked(batch.column("keys")[k].as_py()), unpacked(batch.column("counts")[k].as_py())))
                 size += len(held[-1][0])
                 if size > 4 * BLOCK_KEYS:
                     held = [_merge(held)]
@@ -333,15 +439,14 @@ def _count_words(texts: DataFrame, parts: int) -> DataFrame:
 
     def then(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([keys.tobytes()]),
-             pa.array([counts.astype(np.uint32).tobytes()])], names=["part", "keys", "counts"])
+            [pa.array([part], pa.int32()), pa.array([packed(keys, True)]), pa.array([packed(counts)])], names=["part", "keys", "counts"])
 
     return _merged(texts.mapInArrow(run, _BLOCK), parts, then, _BLOCK)
 
 
 def _ranges(trie: Trie, parts: int) -> np.ndarray:
     """Cuts of the keys (context, word) of the next level, between contexts."""
-    contexts = trie.levels[-1].children.size if trie.levels else trie.size + 1
+    contexts = trie.levels[-1].size if trie.levels else trie.size + 1
     if contexts * max(1, trie.size) >= 1 << 63:
         raise ValueError("more contexts and words than a 64-bit key can hold")
     return (np.arange(1, parts, dtype=np.int64) * contexts // parts).astype(np.uint64) * np.uint64(trie.size)
@@ -370,21 +475,25 @@ def _count_grams(texts: DataFrame, files: tuple, parts: int, min_count: int) ->
 
     def then(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         trie = load_trie(files)
-        contexts, which = np.unique(keys // np.uint64(trie.size), return_inverse=True)
-        totals = np.bincount(which, counts).astype(np.uint64)
-        lower = _lower(trie, contexts[which].astype(np.int64), (keys % np.uint64(trie.size)).astype(np.int64))
+        context, word = keys // np.uint64(trie.size), (keys % np.uint64(trie.size)).astype(np.int64)
+        new = np.concatenate(([True], context[1:] != context[:-1]))[:len(keys)]
+        contexts, which = context[new], np.cumsum(new) - 1
+        totals = np.bincount(which, counts, len(contexts)).astype(np.uint64)
         # how the other occurrences of a context predict this one, against the lower order
         rest = totals[which] - 1.0
-        ratio = np.where(counts > 1, (counts - 1.0) / np.maximum(rest, 1), 0)
-        bins = np.where(ratio > 0, np.clip(np.log2(np.maximum(ratio, 1e-300) / lower) / BIN_WIDTH + BINS / 4, 1, BINS - 1), 0).astype(np.int64)
-        bucket = np.minimum(np.log2(totals[which]), BUCKETS - 1).astype(np.int64)
+        bins, more = np.zeros(len(keys), np.int64), np.nonzero(counts > 1)[0]
+        lower = _lower(trie, context[more].astype(np.int64), word[more])
+        ratio = (counts[more] - 1.0) / rest[more]
+        bins[more] = np.clip(np.log2(ratio / lower) / BIN_WIDTH + BINS / 4, 1, BINS - 1).astype(np.int64)
+        # what is left of the context is a context of that size, down to those seen once
+        bucket = _bucket(rest)
         tally = np.bincount(bucket * BINS + bins, counts * (rest > 0), BUCKETS * BINS)
         kept = counts >= min_count
         mass = np.bincount(which[kept], counts[kept], len(contexts)).astype(np.uint64)
         some = mass > 0
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x.tobytes()]) for x in (
-            keys[kept], counts[kept], contexts[some], totals[some], mass[some], tally)]],
-            names=["part", "keys", "counts", "contexts", "totals", "mass", "tally"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x]) for x in (
+            packed(keys[kept], True), packed(counts[kept]), packed(contexts[some], True), packed(totals[some]), packed(mass[some]),
+            tally.tobytes())]], names=["part", "keys", "counts", "contexts", "totals", "mass", "tally"])
 
     return _merged(texts.mapInArrow(run, _BLOCK), parts, then,
                    "part int, keys binary, counts binary, contexts binary, totals binary, mass binary, tally binary")
@@ -395,8 +504,7 @@ def _lower(trie: Trie, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     if not trie.levels:
         return 10 ** trie.base(word)
     # the context is an entry of the last level: its own key names the word before
-    before = trie.levels[-1].children.access(context) % trie.size
-    pairs = np.stack([before, word], axis=1).ravel()
+    pairs = np.stack([trie.levels[-1].word(context), word], axis=1).ravel()
     return 10 ** trie_tail(trie, pairs)
 
 
@@ -405,9 +513,11 @@ def trie_tail(trie: Trie, pairs: np.ndarray) -> np.ndarray:
     level = trie.levels[0]
     first, second = pairs[0::2], pairs[1::2]
     entry = level.find(first, second)
-    some = first < len(level.weights)
-    weight = np.where(some, level.weights[np.where(some, first, 0)], 0)
-    return np.where(entry >= 0, -(level.codes[np.maximum(entry, 0)] / STEP), trie.base(second) - weight / STEP)
+    return np.where(entry >= 0, -(level.code(entry) / STEP), trie.base(second) - level.weight(first) / STEP)
+
+
+def _bucket(totals: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(totals, 1)), BUCKETS - 1).astype(np.int64)
 
 
 def _weights(tally: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -432,21 +542,21 @@ def _finish(counted: DataFrame, files: tuple, share: np.ndarray) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 keys, counts, contexts, totals, mass = (
-                    np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in ("keys", "counts", "contexts", "totals", "mass"))
-                own = share[np.minimum(np.log2(np.maximum(totals, 1)), BUCKETS - 1).astype(np.int64)] / np.maximum(totals, 1)
+                    unpacked(batch.column(c)[k].as_py()) for c in ("keys", "counts", "contexts", "totals", "mass"))
+                own = share[_bucket(totals)] / np.maximum(totals, 1)
                 weight = 1 - own * mass
                 coded = _code(weight)
                 owner = np.searchsorted(contexts, keys // np.uint64(trie.size))
                 lower = _lower(trie, contexts[owner].astype(np.int64), (keys % np.uint64(trie.size)).astype(np.int64)) if len(keys) else 0
                 p = own[owner] * counts + 10 ** (-(coded[owner] / STEP)) * lower
-                yield pa.RecordBatch.from_arrays([batch.column("part")[k:k + 1], *[pa.array([x.tobytes()]) for x in (
-                    keys, _code(p), contexts, coded)]], names=["part", "keys", "codes", "contexts", "weights"])
+                yield pa.RecordBatch.from_arrays([batch.column("part")[k:k + 1], *[pa.array([x]) for x in (
+                    packed(keys, True), _code(p).tobytes(), packed(contexts, True), coded.tobytes())]], names=["part", "keys", "codes", "contexts", "weights"])
 
     return counted.mapInArrow(run, "part int, keys binary, codes binary, contexts binary, weights binary")
 
 
 def build_trie(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> tuple[tuple[str, ...], ...]:
-    """The files of a trie of the column `text`: a tuple of names for each level, ready on all executors.
+    """The files of a trie of the column `text`: a tuple of them for each level, within reach of all executors.
 
     Every training text counts in full. The weights of the interpolation are fitted for each size of context by leaving
     out one occurrence at a time. Orders 2 and 3 are supported. No texts give an empty vocabulary.
@@ -459,13 +569,17 @@ def build_trie(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT)
     _count_words(texts, parts).write.parquet(path)
     files = (_share(spark, path),)
     for n in range(2, order + 1):
-        counted, path = work_path(spark, f"grams-{n}"), work_path(spark, f"trie-{n}")
-        _count_grams(texts, files, parts, min_count).write.parquet(counted)
-        rows = spark.read.parquet(counted)
-        tally = np.zeros((BUCKETS, BINS))
-        for row in rows.select("tally").toLocalIterator():
-            tally += np.frombuffer(row["tally"], np.float64).reshape(BUCKETS, BINS)
-        _finish(rows, files, _weights(tally)).write.parquet(path)
+        counted, path = f"llm_grams_{uuid.uuid4().hex}", work_path(spark, f"trie-{n}")
+        try:
+            _count_grams(texts, files, parts, min_count).write.saveAsTable(counted)
+            rows = spark.table(counted)
+            tally = np.zeros((BUCKETS, BINS))
+            for row in rows.select("tally").toLocalIterator():
+                tally += np.frombuffer(row["tally"], np.float64).reshape(BUCKETS, BINS)
+            _finish(rows, files, _weights(tally)).write.parquet(path)
+        finally:
+            # the finished level holds its n-grams
+            spark.sql(f"DROP TABLE IF EXISTS {counted}")
         files = (*files, _share(spark, path))
     return files
 

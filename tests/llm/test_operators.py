@@ -210,6 +210,27 @@ def test_trie_scores(spark, docs, texts):
     assert ngram_trie.held_out_scores(empty(docs)).count() == 0
 
 
+def test_trie_keeps_phrases_seen_once_or_twice(spark):
+    """A phrase that training texts hold once or twice scores better than the same words in an order never seen."""
+    rnd = random.Random(12)
+    say = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+    twice, once = say(12), say(12)
+    texts = [" ".join(say(60)) for _ in range(60)] + [" ".join(say(20) + twice + say(20)) for _ in range(2)] + [" ".join(say(20) + once)]
+    files = ngram_trie.build_trie(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [" ".join(w) for p in (twice, once) for w in (p, p[::-1])]
+    found = ngram_trie.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), files, "doc_id").collect()
+    score = {r["doc_id"]: r["score"] for r in found}
+    assert score[0] > score[1] + 1 and score[2] > score[3] + 0.3
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(4)
+    for values in ([], [7], [0, 1 << 63, (1 << 64) - 1], np.sort(rng.integers(0, 1 << 50, 900))):
+        values = np.array(values, np.uint64)
+        assert (ngram_trie.unpacked(ngram_trie.packed(values, True)) == values).all()
+        assert (ngram_trie.unpacked(ngram_trie.packed(values[::-1])) == values[::-1]).all()
+
+
 def test_elias_fano():
     rng = np.random.default_rng(6)
     for top in (5, 1000, 1 << 40):
