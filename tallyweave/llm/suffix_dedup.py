@@ -13,7 +13,9 @@ Cores with more different rims than one task should hold are settled by counting
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,10 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import utf8
+from tallyweave.llm.common import LOWER, utf8, words_of
 from tallyweave.session import cut_lineage
 
 LENGTH = 400
+#: Words of the shortest passage that counts as repeated, and characters that stand for a word where words are compared.
+WORDS, CODE = 51, 6
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 GRAM, CELL, STEPS = 16, 48, 4
 #: Different cells around one core that one task merges; more are settled by digests.
 CORE_LIMIT = 2048
@@ -368,19 +373,65 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all columns as they are, with repeated bytes cut from `text`; those of which nothing but white
     space is left go. A character that is cut in part goes as a whole. `n_chars`, where present, is counted anew."""
-    spans = repeated_spans(docs, length).select("tid", "spans")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.col("text").cast("string")).alias("tid"))
+    text = F.col("text").cast("string")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(text).alias("tid"))
+    return _without(row, repeated_spans(docs, length), lambda text, spans: spans)
+
+
+def word_codes(texts: list[str | None]) -> list[str]:
+    """Each text with `CODE` characters, 36 bits of a hash, for each of its words."""
+    codes: dict[bytes, str] = {}
+    out = []
+    for text in texts:
+        words = words_of(text)
+        for w in set(words).difference(codes):
+            codes[w] = base64.b64encode(xxhash.xxh3_64_digest(w))[:CODE].decode()
+        out.append("".join(map(codes.__getitem__, words)))
+        if len(codes) > 300_000:
+            codes.clear()
+    return out
+
+
+def _byte_spans(text: str | None, spans: list[dict]) -> list[dict]:
+    """Spans of coded words as spans of the text's bytes, from the first whole word to the last."""
+    places = [m.span() for m in _WORD.finditer(utf8(text).translate(LOWER))]
+    whole = [(-(-s["start"] // CODE), s["end"] // CODE) for s in spans]
+    return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in whole if a < b]
+
+
+def without_repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents without the passages of `words` words and more that occur more than once, in the same document too.
+
+    Words are those of `words_of`, so white space and the case of A to Z make no difference; the white space around a passage
+    stays. `words` must be 32 or more. Otherwise as `without_repeats`.
+    """
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                coded = word_codes(part.column("row").field("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(coded, pa.string())], names=["row", "coded"])
+
+    row = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    coded = row.mapInArrow(run, row.select("row").schema.add("coded", "string"))
+    spans = repeated_spans(coded.select(F.col("coded").alias("text")), words * CODE)
+    return _without(coded.select("row", text_key(F.col("coded")).alias("tid")), spans, _byte_spans)
+
+
+def _without(row: DataFrame, spans: DataFrame, in_bytes) -> DataFrame:
+    """The documents `row` without the spans of their `tid`; `in_bytes(text, spans)` gives them in bytes of the text."""
+    spans, columns = spans.select("tid", "spans"), row.schema["row"].dataType
     touched = row.join(spans, "tid", "left").select("row", "spans")
 
     def cut(batches):
         for batch in batches:
             texts, spans_ = batch.column("row").field("text").to_pylist(), batch.column("spans").to_pylist()
-            new = [t if not s else _cut(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans_)]
+            new = [t if not s else _cut(t, in_bytes(t, s)).decode("utf-8", "ignore") for t, s in zip(texts, spans_)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string()), pa.array([bool(s) for s in spans_])],
                                              names=["row", "new_text", "changed"])
 
     schema = touched.drop("spans").schema.add("new_text", "string").add("changed", "boolean")
     done = touched.mapInArrow(cut, schema).where("not changed or trim(new_text) <> ''")
     new = {"text": F.col("new_text")} | ({"n_chars": F.when(F.col("changed"), F.length("new_text")).otherwise(F.col("row.n_chars")).cast(
-        docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        columns["n_chars"].dataType)} if "n_chars" in columns.names else {})
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns.names])

@@ -107,6 +107,23 @@ def test_repeats_against_counting(spark, docs, texts, monkeypatch, core_limit):
     assert suffix_dedup.removal_report(empty(docs)).count() == 0
 
 
+def test_stage_cuts_passages_of_51_words(spark):
+    """51 repeated words go, also where they are under 400 bytes and differ in white space or case; 50 words stay."""
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    say = lambda n: [f"{rnd.randrange(36 ** 3):04x}" for _ in range(n)]
+    long, short = say(51), say(50)
+    texts = [say(30) + long + say(20), say(10) + [w.upper() for w in long] + say(40), say(30) + short + say(20), short + say(60), long]
+    assert len(" ".join(long)) < 400
+    rows = [(i, ("\n" if i else " ").join(t)) for i, t in enumerate(texts)] + [(5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    split = lambda t: t.split()
+    assert split(kept[0]) == texts[0][:30] + texts[0][81:] and split(kept[1]) == texts[1][:10] + texts[1][61:]
+    assert kept[2] == rows[2][1] and kept[3] == rows[3][1] and 4 not in kept and kept[5] is None
+
+
 def test_merged_transforms_sort_all_rows():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 3, (500, 4)).astype(np.uint64)
