@@ -6,10 +6,9 @@ indexed under its 64 variants and joined on equality; what shares a variant is v
 more fingerprints than one task should compare is refined by the same rule on the bits that are still free, until
 2,048 fingerprints at most can share one. Copies never meet: only distinct fingerprints are indexed.
 
-Texts that share 0.8 of their shingles of five words differ in 4 to 14 bits of such a fingerprint, beyond what one
-wildcard in two segments reaches. `keep_one` therefore indexes a second fingerprint, of a text's distinct words, in which they
-differ in 4 bits on average: its four segments are indexed under one-wildcard variants, joined, and each pair is
-verified by the fingerprints of its shingles.
+Texts that share 0.8 of their shingles of five words differ in about 15% of the bits of any such fingerprint, which no
+number of wildcards finds at bearable cost. `keep_one` therefore finds candidates by the least values of their shingles
+under many hash functions, taken in bands, and counts the shingles that each candidate pair shares.
 """
 
 from __future__ import annotations
@@ -22,15 +21,25 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyweave.llm.common import components, forest, words_of
+from tallyweave.scale import small
 from tallyweave.session import cut_lineage
 
 SEED = 42
 #: Fingerprints of one bucket that a task compares with each other.
 BUCKET = 2048
-#: Bits in which near copies may differ: of 64 for the distinct words, and of 256 for the shingles of five words. A shingle
+#: Bands of least values under which texts meet, and values in each: of pairs that share 0.8 of their shingles, 3 in a
+#: million share no band.
+BANDS, VALUES = 32, 5
+#: Texts and shingles of a block; a task compares two blocks at most.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: For `similar_links`, bits in which near copies may differ: of 64 for the distinct words, and of 256 for the shingles of five words. A shingle
 #: similarity of 0.8 gives 38 different bits on average, one of 0.7 gives 49.
 WORD_BITS, SHINGLE_BITS = 10, 47
 
+_RNG = np.random.default_rng(SEED)
+_FLIP = _RNG.integers(0, 1 << 64, BANDS * VALUES, dtype=np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, BANDS * VALUES, dtype=np.uint64) | np.uint64(1)
+
 
 def _majority(hashes: np.ndarray) -> int:
     """The bits set in over half of the hashes."""
@@ -61,17 +70,19 @@ def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
         (ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())], dtype=np.uint64)
 
 
-def two_fingerprints(text: str | None, shingle: int = 5) -> tuple[int, int, bytes]:
-    """A number for both, 64 bits of the distinct words, and 256 bits of the different shingles; no words: all zero bits."""
-    words = words_of(text)
-    own = set(words)
-    fp = _majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))) if own else 0
-    hashes, wide = np.unique(_hashes(words, shingle)), b""
-    for k in range(4):
-        z = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        wide += (_majority(z ^ (z >> np.uint64(32))) if len(z) else 0).to_bytes(8, "big")
-    return xxhash.xxh64_intdigest(fp.to_bytes(8, "big") + wide, SEED), fp, wide
+def shingle_set(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray]:
+    """The different hashes of a text's shingles in order, and a number for them all."""
+    hashes = np.unique(_hashes(words_of(text), shingle))
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), hashes
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band: a hash of the least values that the shingles have under its hash functions."""
+    least = np.full(BANDS * VALUES, ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[at:at + 1024, None] ^ _FLIP) * _ODD).min(axis=0))
+    bands = ((least ^ least >> np.uint64(32)) * _ODD[::-1]).reshape(BANDS, VALUES).sum(axis=1, dtype=np.uint64)
+    return (bands ^ bands >> np.uint64(31)) * _ODD[0] + np.arange(BANDS, dtype=np.uint64)
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -220,28 +231,112 @@ def similar_links(prints: DataFrame, segments: int = 4, word_bits: int = WORD_BI
     return groups.mapInArrow(lambda it: _verified(it, word_bits, shingle_bits), "a long, b long").distinct()
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, segments: int = 4) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest doc_id stays (no id: last).
+def _similar_pairs(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of nodes that share a band and 0.8 of their shingles, as few as connect all that such pairs connect."""
+    bands = np.stack([bands_of(s) for s in sets])
+    parent, failed, kept = list(range(len(sets))), set(), []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def similar(x: int, y: int) -> bool:
+        n = len(sets[x]) + len(sets[y])
+        # the smaller set alone must be enough: shared / (n - shared) >= 4 / 5
+        return 9 * min(len(sets[x]), len(sets[y])) >= 4 * n and 9 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 4 * n
+
+    for band in bands.T:
+        by = np.argsort(band, kind="stable")
+        for group in np.split(by, np.flatnonzero(np.diff(band[by])) + 1):
+            found: dict[int, list[int]] = {}
+            for y in group.tolist() if len(group) > 1 else []:
+                for root in list(found):
+                    for x in found[root] if top(root) != top(y) else []:
+                        pair = (min(x, y), max(x, y))
+                        if pair in failed:
+                            continue
+                        if similar(x, y):
+                            parent[top(x)] = top(y)
+                            kept.append((int(nodes[x]), int(nodes[y])))
+                            break
+                        failed.add(pair)
+                joined: dict[int, list[int]] = {}
+                for root, members in found.items():
+                    if top(root) in joined:
+                        joined[top(root)] += members
+                    else:
+                        joined[top(root)] = members
+                joined.setdefault(top(y), []).append(y)
+                found = joined
+    return kept
+
+
+def _verified_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = []
+        for members in batch.column("members"):
+            node = members.values.field("node").to_numpy(zero_copy_only=False)
+            pairs += _similar_pairs(node, [np.frombuffer(x, np.uint64) for x in members.values.field("shingles").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    Texts are linked whose distinct words and whose shingles both have fingerprints within WORD_BITS and SHINGLE_BITS of each
-    other, which is where a shingle similarity of 0.8 and more lies. All columns of `docs` stay as they are. Exact repeats
-    and blank texts count as duplicates of each other.
+
+def shingle_links(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """Links (a, b) between the numbers of shingle sets of which 0.8 is shared (intersection by union, counted).
+
+    Sets that share a band are candidates. Those that candidates connect are compared in pairs of blocks, so that no task
+    holds more than two blocks of them.
     """
-    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [two_fingerprints(t, shingle) for t in batch.column("text").to_pylist()]
-            numbers = [pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*numbers, pa.array([f[2] for f in found], pa.binary())], names=["node", "fp", "shingles"])
+            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
+                                              pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary())], names=["node", "bands"])
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(nodes)], names=["value", "node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
+                                              pa.array([f[1].tobytes() for f in found], pa.binary())], names=["node", "shingles"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    prints = cut_lineage(texts.mapInArrow(bands, "node long, bands binary").distinct())
+    keyed = prints.mapInArrow(keys, "value long, node long")
+    # cut off, so that both sides of the join are plain exchanges and a frequent band's rows can be split
+    shared = cut_lineage(keyed.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most"))
+    near = keyed.join(shared, "value").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    roots = components(near)
+    members = cut_lineage(texts.mapInArrow(sets, "node long, shingles binary").join(small(roots), "node").groupBy("root", "node").agg(
+        F.first("shingles").alias("shingles")))
+    blocks = members.groupBy("root").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK_TEXTS, F.sum(F.octet_length("shingles")) / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    paired = members.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = paired.groupBy("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
+        F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
+    return groups.mapInArrow(_verified_sets, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The documents without near duplicates: of each component the row with the smallest doc_id stays (no id: last).
+
+    Texts are linked that share 0.8 of their different shingles. All columns of `docs` stay as they are. Exact repeats
+    and blank texts count as duplicates of each other.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("row").field("text").to_pylist()
-            nodes = np.array([two_fingerprints(t, shingle)[0] for t in texts], dtype=np.uint64)
+            nodes = np.array([shingle_set(t, shingle)[0] for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("row")], names=["node", "row"])
 
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    prints = cut_lineage(texts.mapInArrow(prints_of, "node long, fp long, shingles binary").distinct())
-    roots = components(similar_links(prints, segments))
+    roots = components(shingle_links(docs, shingle))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([T.StructField("node", T.LongType()), whole.schema["row"]])
     order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"))

@@ -337,6 +337,24 @@ def test_keep_one_finds_copies_of_four_fifths(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == expected
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_keep_one_finds_appended_paragraphs(spark, monkeypatch, blocks):
+    """Copies with a fifth of their shingles appended go (0.8 is counted, not estimated), those with a quarter to spare stay."""
+    if blocks:
+        monkeypatch.setattr(simhash, "BLOCK_TEXTS", 1)
+    rnd = random.Random(21)
+    say = lambda n: [f"word{rnd.randrange(3000)}" for _ in range(n)]
+    texts, expected = [], []
+    for n in (60, 250, 600):
+        for _ in range(20):
+            base = say(n + 4)
+            expected += [len(texts), len(texts) + 2, len(texts) + 3]
+            other = say(n + 4)
+            texts += [base, base + say(n // 4), other, other + say(n // 4 + 2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == expected
+
+
 def test_similar_links_compare_blocks(spark, monkeypatch):
     """A variant shared by more rows than a block gives the same components."""
     rnd = random.Random(3)
