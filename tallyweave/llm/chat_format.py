@@ -3,7 +3,8 @@
 A template is any function from a list of turns to a text. Successive prefixes of a conversation are rendered and
 consecutive outputs compared: what the new output adds is the turn's span, and an output that does not begin with the
 one before shows a template that rewrites history. Where in its span a turn's text stands is found by rendering the
-turn once more with a marker in place of its text. Nothing about the template is assumed.
+turn once more with a marker in place of its text. Nothing about the template is assumed, so each turn renders all turns
+up to it, however many there are. A template that declares itself turn-local is rendered from recent turns only.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Turns whose prefixes are rendered from the same start. A longer conversation goes on from its last turn, so that the
-#: cost of a turn is bounded.
+#: Turns whose prefixes are rendered from the same start by a turn-local template. A longer conversation goes on from its
+#: last turn, so that the cost of a turn is bounded.
 HISTORY = 32
 #: A text that no template changes and no conversation holds.
 MARKER = "\ue000turn\ue001"
@@ -37,6 +38,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def turn_local(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]], str]:
+    """Declares that a template writes each turn as if it stood alone, one after the other."""
+    template.turn_local = True
+    return template
+
+
+@turn_local
 def tagged(turns: list[Turn]) -> str:
     """The template of the registered query: each turn between two tags, its text escaped."""
     return "".join(f"<|im_start|>{escape(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
@@ -44,17 +52,28 @@ def tagged(turns: list[Turn]) -> str:
 
 class Renderer:
     """Renders one conversation turn by turn. `add` gives the turn's output, where its text begins and ends in it
-    (-1 if the template leaves the text out or changes it), and whether the template rewrote what was there before."""
+    (-1 if the template leaves the text out or changes it), and whether the template rewrote what was there before.
+
+    All turns are held and rendered, unless the template is declared turn-local: then each turn is also rendered alone,
+    and a ValueError is raised if the whole is not the sum of its turns."""
 
     def __init__(self, template: Callable[[list[Turn]], str]):
         self.template, self.turns, self.output = template, [], ""
+        self.local = getattr(template, "turn_local", False)
+        if self.local:
+            probe = [(role, f"{role} {k}") for k in range(HISTORY + 2) for role in ("system", "user", "assistant")]
+            if template(probe) != "".join(template([turn]) for turn in probe):
+                raise ValueError("the template is declared turn-local, but a turn's output depends on others")
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
-        if len(self.turns) >= HISTORY:
+        if self.local and len(self.turns) >= HISTORY:
             self.turns = self.turns[-1:]
             self.output = self.template(self.turns)
-        before, self.turns = self.output, [*self.turns, (role, text)]
+        before = self.output
+        self.turns.append((role, text))
         self.output = self.template(self.turns)
+        if self.local and self.output != before + self.template([(role, text)]):
+            raise ValueError("the template is declared turn-local, but a turn's output depends on others")
         rewritten = not self.output.startswith(before)
         shared = len(before)
         if rewritten:
@@ -75,7 +94,9 @@ def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str]
 
     Turns go by `turn` (null first), then role and text, so repeated rows stay and have a fixed order. Null roles and
     texts are empty; turns without a conversation form one. Other columns are ignored. Rows stream through a task in
-    order: no conversation is held whole, however long it is.
+    order. Every turn's prefix is rendered from the first turn on, so a task holds the conversation it is at, and the cost
+    of a conversation grows with the square of its length. With a template declared `turn_local`, which is checked, no
+    conversation is held whole and the cost of a turn is bounded; the rows are the same.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, renderer, place = object(), None, 0

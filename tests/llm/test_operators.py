@@ -178,6 +178,25 @@ def test_rewriting_templates_are_found():
         assert not any(c in chat_format.escape(text) for c in chat_format.CONTROL)
 
 
+def test_long_conversations_render_true_prefixes(spark):
+    """Turns past the bound of turn-local templates are still rendered from the first turn on."""
+    def numbered(turns):
+        return "".join(f"{k}:{t};" for k, (_, t) in enumerate(turns))
+
+    def shortened(turns):
+        return "".join(f"{t[:1] if len(turns) - k > 40 else t};" for k, (_, t) in enumerate(turns))
+
+    turns = [("user", f"text {k}") for k in range(90)]
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_turns(rows, numbered).orderBy("place").collect()
+    assert [r["output"] for r in got] == [f"{k}:text {k};" for k in range(90)] and not any(r["rewritten"] for r in got)
+    renderer = chat_format.Renderer(shortened)
+    assert [renderer.add(*t)[3] for t in turns] == [k >= 40 for k in range(90)]
+    assert renderer.output == shortened(turns)
+    with pytest.raises(ValueError):
+        chat_format.Renderer(chat_format.turn_local(numbered))
+
+
 def test_packing(spark, docs, texts):
     path = queries.tokenizer_path()
     encoder = packing.Encoder(path)
