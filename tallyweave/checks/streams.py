@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from tallyweave.checks.registry import check, plain_ts, r6
 from tallyweave.functions.text import content_hash
-from tallyweave.operators import calls as cl
 from tallyweave.session import work_path
 from tallyweave.streaming import events as ev, folds, monitors
 
 
-def _lines(t, repeat: int = 1, noise: bool = False):
+def _lines(t, repeat: int = 1, noise: bool = False, clock: bool = False):
     """Call events of the conversations as JSON lines in a folder: a start on the first turn, an update per
-    turn, an end after the last turn of completed calls, and feedback. `noise` adds lines to be rejected."""
+    turn, an end after the last turn of completed calls, and feedback. `noise` adds lines to be rejected, `clock` feedback of a
+    later day, which moves the watermark past all ends."""
     def event(rows, kind, at, data):
         return rows.select(F.to_json(F.struct(
             F.lit(kind).alias("type"), F.concat(F.lit("call-"), F.col("id")).alias("callId"), data.alias("data"),
@@ -28,6 +28,9 @@ def _lines(t, repeat: int = 1, noise: bool = False):
     all_lines = all_lines.union(event(t.calls.where("end_time IS NOT NULL"), "callEnded", "end_time", F.struct("outcome")))
     reviews = t.feedback.select(F.col("call_id").alias("id"), "rating", "created_at", F.col("category").alias("comments"))
     all_lines = all_lines.union(event(reviews, "feedbackSubmitted", "created_at", F.struct("rating", "comments")))
+    if clock:
+        latest = t.calls.agg(F.lit("none").alias("id"), F.expr("max(end_time) + INTERVAL 1 DAY").alias("at"))
+        all_lines = all_lines.union(event(latest, "feedbackSubmitted", "at", F.struct(F.lit(0).alias("rating"))))
     if noise:
         all_lines = all_lines.union(event(t.calls, "callMuted", "start_time", F.struct("outcome"))).union(
             t.calls.select(F.concat(F.lit("{broken "), F.col("id").cast("string")).alias("value"))).union(
@@ -66,7 +69,8 @@ def _(t):
 
 def _state(t):
     out, mark = _paths(t, "stm02")
-    ev.run_updates(folds.call_state(_events(t)), out, mark)
+    with ev.settings(t.spark, folds.STATE_STORE):
+        ev.run_updates(folds.call_state(_events(t, repeat=2)), out, mark)
     return ev.latest_updates(t.spark, out, ["call_id"])
 
 
@@ -84,8 +88,8 @@ def _(t):
 @check("stm04_call_lifecycle", "SELECT 'call-' || id AS call_id, status, start_time, end_time, turns AS segments FROM fx_calls WHERE end_time IS NOT NULL")
 def _(t):
     out, mark = _paths(t, "stm04")
-    with ev.settings(t.spark, folds.STATE_STORE, folds.ENDS_WITH_INPUT):
-        ev.run_append(folds.call_lifecycle(_events(t)), out, mark, timeout_s=600)
+    with ev.settings(t.spark, folds.STATE_STORE):
+        ev.run_append(folds.call_lifecycle(_events(t, repeat=2, clock=True)), out, mark, timeout_s=600)
     done = t.spark.read.parquet(out)
     return done.select("call_id", "status", plain_ts(F.timestamp_micros("start_us")).alias("start_time"),
                        plain_ts(F.timestamp_micros("end_us")).alias("end_time"), "segments")
@@ -96,10 +100,20 @@ def _(t):
            count(*) FILTER (WHERE type = 'sales') AS calls_sales FROM fx_calls""")
 def _(t):
     stored = work_path(t.spark, "calls")
-    t.calls.write.parquet(stored)
     out, mark = _paths(t, "stm05")
-    calls = t.spark.readStream.schema(t.calls.schema).parquet(stored)
-    ev.run_updates(cl.call_metrics(calls), out, mark, "complete")
+
+    def save(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    # two halves; between them the query is stopped and goes on from its checkpoint
+    for half in (0, 1):
+        t.calls.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).write.mode("append").parquet(stored)
+        calls = t.spark.readStream.schema(t.calls.schema).parquet(stored)
+        query = monitors.metrics_every_minute(calls, save, mark, every="0 seconds")
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
     last = t.spark.read.parquet(out)
     newest = last.groupBy().agg(F.max_by(F.struct("total_calls", "average_duration", "calls_sales"), "batch").alias("r"))
     return newest.select("r.total_calls", r6("r.average_duration").alias("average_duration"), "r.calls_sales")
@@ -128,7 +142,8 @@ def _(t):
         i % 5 == 3, "error").otherwise("typing")
     tasks = ev.stream_table(t.spark, t.folder, "events", t.table("events").schema).select(
         "user_id", (i % 40).alias("conversation_id"), kind.alias("type"), F.col("ts").cast("timestamp").alias("ts"), i.alias("seq"))
-    ev.run_updates(monitors.agent_task_status(tasks), out, mark)
+    with ev.settings(t.spark, folds.STATE_STORE):
+        ev.run_updates(monitors.agent_task_status(tasks), out, mark)
     return ev.latest_updates(t.spark, out, ["user_id", "conversation_id"]).withColumn("since", plain_ts("since"))
 
 

@@ -1,7 +1,8 @@
 """Per-call state from events.
 
-`call_state` is a built-in streaming aggregation, combined before the shuffle, so a busy call is cheap.
-`call_lifecycle` forgets a call when it ends or stays silent; its events are folded per Arrow batch first.
+On a stream each call keeps one small row and the ids of its segments, so a turn that is sent again counts once. Timers in
+event time end that state: a finished call leaves when the watermark has passed its end, so turns that come in after the
+end event still count, and a silent call is forgotten.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyweave.streaming.events import WATERMARK
 
+#: A call without an event for so long, in event time, is forgotten.
+SILENCE_MS = 24 * 3600 * 1000
+
 
 def _status():
     kind = F.col("type")
@@ -23,15 +27,25 @@ def _status():
     )
 
 
-def call_state(events: DataFrame) -> DataFrame:
-    """call_id, status, start, end, segments. The same plan folds a table and a stream; the last status by
-    event time wins, and a call that ended stays completed. Feedback makes no call."""
-    kind, status = F.col("type"), _status()
-    folded = events.where(kind != "feedbackSubmitted").groupBy("call_id").agg(
+def call_state(events: DataFrame, silence_ms: int = SILENCE_MS, watermark: str = WATERMARK) -> DataFrame:
+    """call_id, status, start_time, end_time, segments of a table, or of a stream in update mode.
+
+    The last status by event time wins, and a call that ended stays completed. A segment counts once however often it
+    is sent; segments without an id count each time. Feedback and
+    events without a time make no call. On a stream, events behind the watermark are
+    dropped, and a call that stays silent is forgotten; `STATE_STORE` must be set before the stream starts.
+    """
+    if events.isStreaming:
+        state = _per_call(events, _Calls(silence_ms, at_end=False), "Update", watermark)
+        return state.select("call_id", F.timestamp_micros("start_us").alias("start_time"),
+                            F.timestamp_micros("end_us").alias("end_time"), "segments", "status")
+    kind, status, turn = F.col("type"), _status(), F.col("type") == "transcriptUpdate"
+    folded = events.where((kind != "feedbackSubmitted") & F.col("ts").isNotNull()).groupBy("call_id").agg(
         F.max_by(status, F.when(status.isNotNull(), F.col("ts"))).alias("last_status"),
         F.min(F.when(kind == "callStarted", F.col("ts"))).alias("start_time"),
         F.max(F.when(kind == "callEnded", F.col("ts"))).alias("end_time"),
-        F.count(F.when(kind == "transcriptUpdate", 1)).alias("segments"),
+        (F.count_distinct(F.when(turn, F.col("data.segment_id")))
+         + F.count(F.when(turn & F.col("data.segment_id").isNull(), 1))).alias("segments"),
     )
     return folded.withColumn("status", F.when(F.col("end_time").isNotNull(), "completed").otherwise(
         F.col("last_status"))).drop("last_status")
@@ -41,76 +55,98 @@ def active_calls(state: DataFrame) -> DataFrame:
     return state.where("start_time IS NOT NULL AND status <> 'completed'")
 
 
-_PARTIAL = "call_id string, status string, status_us bigint, start_us bigint, end_us bigint, segments bigint"
-_FIELDS = ["status", "status_us", "start_us", "end_us", "segments"]
-
-
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of the partial schema combined to one per call."""
-    ordered = rows.sort_values("status_us", kind="stable", na_position="first")
-    by_call = ordered.groupby("call_id", sort=False)
-    return pd.DataFrame({
-        "status": by_call["status"].last(), "status_us": by_call["status_us"].max(),
-        "start_us": by_call["start_us"].min(), "end_us": by_call["end_us"].max(),
-        "segments": by_call["segments"].sum(),
-    }).reset_index()
+_CALL = "status string, status_us bigint, start_us bigint, end_us bigint, segments bigint"
+_FIELDS = ["status", "status_us", "start_us", "end_us", "segments", "last_us", "timer_ms"]
 
 
-def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield _typed(_fold(batch))
+def _later(a, b):
+    return b if a is None else a if b is None else max(a, b)
 
 
-def _typed(rows: pd.DataFrame) -> pd.DataFrame:
-    for c in ("status_us", "start_us", "end_us", "segments"):
-        rows[c] = rows[c].astype("Int64")
-    return rows[["call_id", *_FIELDS]]
+def _sooner(a, b):
+    return b if a is None else a if b is None else min(a, b)
 
 
-class _Lifecycle(StatefulProcessor):
-    """Keeps one small row per open call; emits a call once, when it ends, and forgets it."""
+class _Calls(StatefulProcessor):
+    """One row and the segment ids of each open call. Emits a call at every change, or once, when it is over."""
 
-    def __init__(self, silence_ms: int):
-        self.silence_ms = silence_ms
+    def __init__(self, silence_ms: int, at_end: bool):
+        self.silence_ms, self.at_end = silence_ms, at_end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "call", "status string, status_us bigint, start_us bigint, end_us bigint, segments bigint",
-            self.silence_ms)
+        self.handle = handle
+        self.call = handle.getValueState("call", f"{_CALL}, last_us bigint, timer_ms bigint")
+        self.seen = handle.getMapState("seen", "segment_id string", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = [r[["call_id", *_FIELDS]] for r in rows]
-        if self.state.exists():
-            parts.insert(0, pd.DataFrame([[key[0], *self.state.get()]], columns=["call_id", *_FIELDS]))
-        row = _typed(_fold(pd.concat(parts, ignore_index=True)))
-        if pd.isna(row["end_us"].iloc[0]):
-            values = [row[c].iloc[0] for c in _FIELDS]
-            self.state.update(tuple(None if pd.isna(v) else (v if isinstance(v, str) else int(v)) for v in values))
+        call = dict(zip(_FIELDS, self.call.get() if self.call.exists() else (None, None, None, None, 0, None, None)))
+        for part in rows:
+            part = part[part["us"].notna()]
+            last = part[part["status"].notna()].nlargest(1, "us")
+            for status, us in zip(last["status"], last["us"]):
+                if call["status_us"] is None or us >= call["status_us"]:
+                    call["status"], call["status_us"] = status, int(us)
+            times = part.groupby("type")["us"].agg(["min", "max"]).to_dict()
+            call["start_us"] = _sooner(call["start_us"], times["min"].get("callStarted"))
+            call["end_us"] = _later(call["end_us"], times["max"].get("callEnded"))
+            call["last_us"] = _later(call["last_us"], part["us"].max())
+            turns = part[part["type"] == "transcriptUpdate"]
+            call["segments"] += int(turns["segment_id"].isna().sum())
+            for name, us in turns.dropna(subset=["segment_id"]).groupby("segment_id")["us"].max().items():
+                if not self.seen.containsKey((name,)):
+                    self.seen.updateValue((name,), (int(us),))
+                    call["segments"] += 1
+        if call["last_us"] is None:
             return
-        self.state.clear()
-        yield row.assign(status="completed")
+        if call["end_us"] is not None:
+            call["status"] = "completed"
+        over = self.at_end and call["end_us"] is not None
+        timer = int(call["end_us"]) // 1000 if over else int(call["last_us"]) // 1000 + self.silence_ms
+        if timer != call["timer_ms"]:
+            if call["timer_ms"] is not None:
+                self.handle.deleteTimer(call["timer_ms"])
+            self.handle.registerTimer(timer)
+            call["timer_ms"] = timer
+        self.call.update(tuple(None if v is None else v if isinstance(v, str) else int(v) for v in call.values()))
+        if not self.at_end:
+            yield self._row(key, call)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        call = dict(zip(_FIELDS, self.call.get()))
+        self.call.clear()
+        self.seen.clear()
+        if self.at_end and call["end_us"] is not None:
+            yield self._row(key, call)
+
+    @staticmethod
+    def _row(key, call: dict) -> pd.DataFrame:
+        return pd.DataFrame({"call_id": [key[0]], "status": [call["status"]], **{
+            c: pd.array([call[c]], "Int64") for c in ("status_us", "start_us", "end_us", "segments")}})
 
     def close(self) -> None:
         pass
 
 
-def call_lifecycle(events: DataFrame, silence_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Stream of finished calls (call_id, status, start_us, end_us, segments)."""
-    kind, status, us = F.col("type"), _status(), F.unix_micros("ts")
-    partial = events.where(kind != "feedbackSubmitted").select(
-        "call_id", status.alias("status"), F.when(status.isNotNull(), us).alias("status_us"),
-        F.when(kind == "callStarted", us).alias("start_us"), F.when(kind == "callEnded", us).alias("end_us"),
-        (kind == "transcriptUpdate").cast("bigint").alias("segments"))
-    combined = partial.mapInPandas(_fold_batches, _PARTIAL)
-    return combined.groupBy("call_id").transformWithStateInPandas(
-        _Lifecycle(silence_ms), outputStructType=_PARTIAL, outputMode="Append", timeMode="ProcessingTime")
+def _per_call(events: DataFrame, processor: StatefulProcessor, mode: str, watermark: str) -> DataFrame:
+    # feedback moves the watermark on but makes no call; a test of `ts` is not pushed below the watermark
+    told = events.withWatermark("ts", watermark).where("type <> 'feedbackSubmitted' OR ts IS NULL").select(
+        "call_id", "type", _status().alias("status"), "data.segment_id", F.unix_micros("ts").alias("us"), "ts")
+    return told.groupBy("call_id").transformWithStateInPandas(
+        processor, outputStructType=f"call_id string, {_CALL}", outputMode=mode, timeMode="EventTime")
+
+
+def call_lifecycle(events: DataFrame, silence_ms: int = SILENCE_MS, watermark: str = WATERMARK) -> DataFrame:
+    """Stream of finished calls (call_id, status, status_us, start_us, end_us, segments), each once.
+
+    A call is emitted when the watermark has passed its end, so turns up to `watermark` late are part of it; events
+    behind the watermark are dropped. A call that never ends is forgotten after the silence. Segments count as in `call_state`.
+    """
+    return _per_call(events, _Calls(silence_ms, at_end=True), "Append", watermark)
 
 
-# Settings `call_lifecycle` needs before its stream starts: the RocksDB state store, and, for a run that ends
-# with its input, no batches without data (its time-to-live would ask for them without end).
+# The setting that `call_state`, `call_lifecycle` and `agent_task_status` need before their stream starts.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-ENDS_WITH_INPUT = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 def transcript_merge(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
