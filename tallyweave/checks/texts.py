@@ -450,6 +450,27 @@ def _(t):
     return mt.match_keywords(_docs(t), "text", _LOOKUP).select("doc_id", "entry.pos", "entry.category")
 
 
+# ten pieces of every document's text are the lookup table: at least ten times as many rows as documents
+_PIECES = 10
+
+
+@check("joi09_match_keyword_table", f"""
+    WITH k AS (SELECT 10 * doc_id + i AS pos, lower(substr(text, 3 + 9 * CAST(i AS INTEGER), 7)) AS word
+               FROM documents, range({_PIECES}) r(i) WHERE length(text) >= 100),
+    s AS (SELECT DISTINCT doc_id, substr(lower(text), CAST(j AS INTEGER), 7) AS word FROM (
+        SELECT doc_id, text, unnest(range(1, length(text) - 5)) AS j FROM documents) p)
+    SELECT doc_id, count(*) AS entries, CAST(sum(pos) AS BIGINT) AS places, min(pos) AS first
+    FROM s JOIN k USING (word) GROUP BY doc_id""")
+def _(t):
+    docs = _docs(t)
+    lookup = docs.where(F.length("text") >= 100).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(_PIECES - 1))).alias("i")).select(
+        (10 * F.col("doc_id") + F.col("i")).alias("pos"),
+        F.array(F.lower(F.substr("text", 3 + 9 * F.col("i"), F.lit(7)))).alias("keywords"))
+    found = mt.match_keyword_table(docs.select("doc_id", "text"), "text", lookup)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("entry.pos").alias("places"),
+                                       F.min("entry.pos").alias("first"))
+
+
 def _best_sql(column, default):
     scored = sorted(enumerate(_LOOKUP), key=lambda p: (-(p[1]["coverage"] + (p[1]["approval"] or 0)) / 2, p[0]))
     return "CASE " + " ".join(f"WHEN {_hit(row)} THEN {column(row)}" for _, row in scored) + f" ELSE {default} END"
@@ -562,6 +583,19 @@ def _(t):
     return search_documents(queries, _docs(t), 5)
 
 
+@check("joi17_search_repeated_ids", f"""
+    WITH q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS})) AS word FROM benchmark),
+    w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents),
+    f AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY doc_id, word),
+    s AS (SELECT word, count(*) AS df FROM f GROUP BY word),
+    r AS (SELECT query_id, doc_id // 3 AS doc_id, round(sum(tf * ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS score
+          FROM q JOIN f USING (word) JOIN s USING (word) GROUP BY query_id, doc_id // 3)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM r) p WHERE position <= 5""")
+def _(t):
+    queries = t.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search_documents(queries, _docs(t).withColumn("doc_id", F.expr("doc_id div 3")), 5)
+
+
 @check("job06_expand_frontier", """
     WITH e AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sum(weight) DESC, dst) AS place FROM fx_edges GROUP BY src, dst),
     l1 AS (SELECT DISTINCT src AS seed, dst AS node FROM e WHERE place <= 3 AND src LIKE 'S%'),

@@ -1,14 +1,21 @@
-"""Keyword lookups and routing. The lookup lists are parameters of fixed size, so they are part of the
-expression: no join, and every text is read once where it lies."""
+"""Keyword lookups and routing. Lookup lists of fixed size are part of the expression: no join, and every text is read
+once where it lies. A lookup table of any length is searched for by an automaton."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tallyweave import vocab
 from tallyweave.functions.text import contains_any, let
+from tallyweave.scale import small
+
+#: Bytes of keywords of a lookup table that are searched for in one pass over the texts.
+LOOKUP_BYTES = 16 << 20
 
 
 def _text(c) -> Column:
@@ -35,6 +42,57 @@ def match_keywords(df: DataFrame, text: str, lookup: Sequence[Mapping] = tuple(v
     return df.withColumn("entry", F.explode(matching_entries(text, lookup)))
 
 
+def _found_in(batches: Iterator[pa.RecordBatch], keywords: list[tuple[int, list[str]]]) -> Iterator[pa.RecordBatch]:
+    """The batches with `__entries`, the ids of the entries of which a keyword is part of `__low`."""
+    automaton, anywhere, owners = ahocorasick.Automaton(), set(), {}
+    for entry, terms in keywords:
+        for term in terms:
+            if term:
+                owners.setdefault(term, set()).add(entry)
+            else:
+                anywhere.add(entry)
+    for term, entries in owners.items():
+        automaton.add_word(term, tuple(entries))
+    if owners:
+        automaton.make_automaton()
+    for batch in batches:
+        found = []
+        for text in batch.column("__low"):
+            text = text.as_py()
+            hits = set(anywhere) if text is not None else set()
+            if text and owners:
+                for term in {entries for _, entries in automaton.iter(text)}:
+                    hits.update(term)
+            found.append(sorted(hits))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in batch.schema.names if c != "__low"), pa.array(found, pa.list_(pa.int64()))],
+            names=[*(c for c in batch.schema.names if c != "__low"), "__entries"])
+
+
+def match_keyword_table(df: DataFrame, text: str, lookup: DataFrame, keywords: str = "keywords",
+                        key: str = "pos", block_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """One row per row of `df` and row of `lookup` (as struct `entry`) any of whose keywords is a literal substring of the
+    text in lower case.
+
+    The lookup is a table of any length with unique whole numbers in `key`. Its keywords are searched for all at once by an
+    automaton, so a text is read once per `block_bytes` of keywords; only a block of them goes to the tasks. A null text or
+    keyword matches nothing, an empty keyword every text.
+    """
+    blocks = (lookup.agg(F.sum(F.octet_length(F.concat_ws("", keywords)) + 16)).first()[0] or 0) // block_bytes + 1
+    low = df.withColumn("__low", _text(text))
+    schema = StructType([*df.schema.fields, StructField("__entries", ArrayType(LongType()))])
+    out = None
+    for block in range(blocks):
+        part = lookup if blocks == 1 else lookup.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
+        terms = [(r[0], [t for t in r[1] or () if t is not None]) for r in part.select(F.col(key).cast("long"), keywords).collect()]
+        shared = df.sparkSession.sparkContext.broadcast(terms)
+        hits = low.mapInArrow(lambda batches, shared=shared: _found_in(batches, shared.value), schema)
+        out = hits if out is None else out.unionAll(hits)
+    pairs = out.withColumn("__entry", F.explode("__entries")).drop("__entries")
+    entries = lookup.select(F.col(key).cast("long").alias("__entry"), F.struct("*").alias("entry"))
+    return pairs.join(small(entries), "__entry").drop("__entry")
+
+
 def category_rates(lookup: Sequence[Mapping]) -> dict[str, float]:
     found: dict[str, list[float]] = {}
     for row in lookup:

@@ -27,42 +27,73 @@ def words(text) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _best_in_task(batches: Iterator[pa.RecordBatch], weights: dict, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best documents of this task for each query: a document is scored for all queries at once."""
-    names = sorted({q for pairs in weights.values() for q, _ in pairs})
-    place = {q: i for i, q in enumerate(names)}
-    at = {w: np.array([place[q] for q, _ in pairs]) for w, pairs in weights.items()}
-    by = {w: np.array([x for _, x in pairs]) for w, pairs in weights.items()}
+def _packed(weights: DataFrame) -> tuple[list, dict[str, slice], np.ndarray, np.ndarray]:
+    """Query ids, and a posting list of (query number, weight) for each word."""
+    rows = weights.sort("word", "query_id").collect()
+    names = sorted({r["query_id"] for r in rows})
+    number, places = {q: i for i, q in enumerate(names)}, {}
+    for i, row in enumerate(rows):
+        first = places[row["word"]].start if row["word"] in places else i
+        places[row["word"]] = slice(first, i + 1)
+    return (names, places, np.array([number[r["query_id"]] for r in rows], np.int64),
+            np.array([r["weight"] for r in rows], np.float64))
+
+
+def _matches(tokens: list[str] | None, places: dict[str, slice], at: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the queries that share a word with the text, and their scores; the cost is that of the matching pairs."""
+    counts = Counter(w for w in tokens or () if w in places)
+    if not counts:
+        return at[:0], by[:0]
+    found = np.concatenate([at[places[w]] for w in counts])
+    added = np.concatenate([n * by[places[w]] for w, n in counts.items()])
+    order = np.argsort(found, kind="stable")
+    found = found[order]
+    first = np.flatnonzero(np.diff(found, prepend=-1))
+    return found[first], np.add.reduceat(added[order], first)
+
+
+def _scored_in_task(batches: Iterator[pa.RecordBatch], shared, k: int | None) -> Iterator[pa.RecordBatch]:
+    """Scores of this task's rows: the k best for each query, or all without k."""
+    names, places, at, by = shared.value
     held: list[list] = [[] for _ in names]
     least = np.zeros(len(names))  # a score below the k-th best so far cannot be among the best
+
+    def rows(hits) -> pa.RecordBatch:
+        columns = list(zip(*hits)) if hits else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+
     for batch in batches:
+        out = []
         for doc, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
-            counts = Counter(w for w in tokens or () if w in weights)
-            if not counts:
+            found, scores = _matches(tokens, places, at, by)
+            if k is None:
+                out += [(names[q], doc, x) for q, x in zip(found.tolist(), scores.tolist())]
                 continue
-            scores = np.round(np.bincount(np.concatenate([at[w] for w in counts]), np.concatenate(
-                [n * by[w] for w, n in counts.items()]), len(names)), 6)
-            for q in np.nonzero((scores > 0) & (scores >= least))[0].tolist():
+            scores = np.round(scores, 6)
+            good = (scores > 0) & (scores >= least[found])
+            for q, x in zip(found[good].tolist(), scores[good].tolist()):
                 mine = held[q]
-                mine.append((-float(scores[q]), doc))
+                mine.append((-x, doc))
                 if len(mine) >= 4 * k + 16:
                     mine.sort()
                     del mine[k:]
                     least[q] = -mine[-1][0] if k else 0
-    best = dict(zip(names, held))
-    rows = [(query, doc, -score) for query, held in best.items() for score, doc in sorted(held)[:k]]
-    columns = list(zip(*rows)) if rows else [[], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+        if out:
+            yield rows(out)
+    if k is not None:
+        yield rows([(query, doc, -x) for query, mine in zip(names, held) for x, doc in sorted(mine)[:k]])
 
 
 def search_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, position): score is the sum over the query's distinct words of
-    tf * ln(1 + N / df), ties by document id.
+    tf * ln(1 + N / df), ties by document id. N and df count rows; rows that share an id are one document, whose
+    scores are added up. Rows without an id are no document.
 
-    Query words measured to be few go to every task, which scores its documents for all queries and passes on at most
-    k of them per query. More query words than that are joined by a shuffle, each document's words counted first.
+    Query words measured to be few go to every task, which scores its rows for all queries and passes on at most k of them
+    per query; rows whose id repeats are scored there too, but added up before any is left out. More query words than
+    that are joined by a shuffle, each document's words counted first. Both ways give the same rows.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(words("text"))).alias("word")).distinct()
     total = docs.count()
     spread = (
         docs.select(F.explode(F.array_distinct(words("text"))).alias("word"))
@@ -72,16 +103,25 @@ def search_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFra
     weights = cut_lineage(wanted.join(spread, "word").select(
         "query_id", "word", F.log1p(F.lit(float(total)) / F.col("df")).alias("weight")))
     size = weights.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
+    named = docs.where(F.col("doc_id").isNotNull())
     if size["n"] <= WEIGHTS and (size["bytes"] or 0) <= 16 * WEIGHTS:
-        by_word: dict = {}
-        for row in weights.collect():
-            by_word.setdefault(row["word"], []).append((row["query_id"], row["weight"]))
+        shared = docs.sparkSession.sparkContext.broadcast(_packed(weights))
         kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
-        scored = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words("text").alias("words")).mapInArrow(
-            lambda it: (b.cast(_schema(*kinds)) for b in _best_in_task(it, by_word, k)),
-            f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+        def in_tasks(rows: DataFrame, best: int | None) -> DataFrame:
+            return rows.select("doc_id", words("text").alias("words")).mapInArrow(
+                lambda it: (b.cast(_schema(*kinds)) for b in _scored_in_task(it, shared, best)),
+                f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+        repeated = cut_lineage(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+        if repeated.isEmpty():
+            scored = in_tasks(named, k)
+        else:
+            parts = in_tasks(named.join(repeated, "doc_id", "left_semi"), None)
+            scored = in_tasks(named.join(repeated, "doc_id", "left_anti"), k).unionAll(parts.groupBy(
+                "query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")))
     else:
-        counted = docs.select("doc_id", F.explode(words("text")).alias("word")).groupBy("doc_id", "word").agg(
+        counted = named.select("doc_id", F.explode(words("text")).alias("word")).groupBy("doc_id", "word").agg(
             F.count(F.lit(1)).alias("tf"))
         # sums of equal terms in another order differ in the last digits; rounding makes equal scores tie
         scored = counted.join(weights, "word").groupBy("query_id", "doc_id").agg(
