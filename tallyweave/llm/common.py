@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyweave.session import cut_lineage
+from tallyweave.session import cut_lineage, work_path
+from tallyweave.streaming.events import settings
 
 #: A to Z become a to z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -15,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str, row_group: int = 16 << 20, batch: int = 8 << 20) -> DataFrame:
+    """`df` written to the shared folder and read again. Rows that are large arrays go to Python in batches of about
+    `batch` bytes and into row groups of `row_group` bytes, so a task holds few of them."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(batch)}):
+        df.write.option("parquet.block.size", row_group).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; a null key counts as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

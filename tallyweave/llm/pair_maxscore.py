@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyweave.llm.common import LOWER, utf8
-from tallyweave.session import work_path
+from tallyweave.llm.common import LOWER, stored, utf8
 
 #: Text bytes of a chunk; a longer document is a chunk alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: Text bytes of queries that are held by a task at once; more queries take further rounds over the documents.
 QUERY_BYTES = 2 << 20
 #: Terms of a query, those with the greatest weights, whose pairs are intersected ahead. Others add single bounds.
@@ -47,7 +46,7 @@ def weight(documents: int, holding: int) -> int:
 # --- index -------------------------------------------------------------------------------------------------------
 
 _POSTINGS = ("docs array<bigint>, sizes array<bigint>, n_terms bigint, terms array<int>, df array<int>, "
-             "at array<int>, tf array<bigint>")
+             "at array<int>, tf array<int>")
 _INDEX = "docs array<bigint>, terms array<int>, df array<int>, at array<int>, gain array<bigint>, " \
          "pairs array<bigint>, shared array<int>, pair_at array<int>, joint array<bigint>"
 
@@ -76,7 +75,7 @@ def postings(docs: DataFrame, vocabulary: Sequence[bytes], chunk_bytes: int = CH
                 pa.array([names], pa.list_(pa.int64())), _lists([np.array(sizes, np.int64)], pa.int64()),
                 pa.array([sum(sizes)], pa.int64()), _lists([kinds.astype(np.int32)], pa.int32()),
                 _lists([df.astype(np.int32)], pa.int32()), _lists([at.astype(np.int32)], pa.int32()),
-                _lists([tf], pa.int64())], names=["docs", "sizes", "n_terms", "terms", "df", "at", "tf"])
+                _lists([tf.astype(np.int32)], pa.int32())], names=["docs", "sizes", "n_terms", "terms", "df", "at", "tf"])
 
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -117,7 +116,7 @@ def impact_index(found: DataFrame, weights: np.ndarray, documents: int, length:
         for batch in batches:
             for row in range(batch.num_rows):
                 terms, df, at = (_numpy(batch, c, row) for c in ("terms", "df", "at"))
-                tf = _numpy(batch, "tf", row)
+                tf = _numpy(batch, "tf", row).astype(np.int64)
                 norm = 10 + 90 * _numpy(batch, "sizes", row) * documents // length
                 gain = np.repeat(weights[terms], df) * (1_000_000_000 * tf // (1000 * tf + 8 * norm[at]))
                 lists = _views(terms, df)
@@ -298,9 +297,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, chunk_bytes: i
         if not vocabulary:
             continue
         number = {term: t for t, term in enumerate(vocabulary)}
-        path = work_path(spark, "postings")
-        postings(docs, vocabulary, chunk_bytes).write.parquet(path)
-        found = spark.read.schema(_POSTINGS).parquet(path)
+        found = stored(postings(docs, vocabulary, chunk_bytes), "postings")
         documents, length = found.agg(F.sum(F.size("docs")), F.sum("n_terms")).first()
         if not documents:
             continue
@@ -313,9 +310,8 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, chunk_bytes: i
         queries = [[number[t] for t in terms if holding[number[t]]] for terms in asked]
         paired = [sorted(q, key=lambda t: (-weights[t], t))[:paired_terms] for q in queries]
         pairs = np.array(sorted({p for q in paired for p in combinations(sorted(q), 2)}), np.int64).reshape(-1, 2)
-        path = work_path(spark, "impacts")
-        impact_index(found, weights, documents, length, pairs).write.parquet(path)
-        hits = search(spark.read.schema(_INDEX).parquet(path), queries, paired, k)
+        index = stored(impact_index(found, weights, documents, length, pairs), "impacts")
+        hits = stored(search(index, queries, paired, k), "hits")
         best = W.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         named = spark.createDataFrame([(q, item) for q, (item, _) in enumerate(block)], "query int, item_id bigint")
         ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).join(
