@@ -69,7 +69,7 @@ def op12_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return rank_queue.digests(rank_queue.decode(rank_queue.encode(table(spark, folder, "documents"), *vocabulary), *vocabulary))
+    return rank_queue.digests(rank_queue.round_trip(table(spark, folder, "documents"), *vocabulary))
 
 
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:

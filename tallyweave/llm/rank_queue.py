@@ -1,8 +1,8 @@
 """Byte-level BPE by a queue of merge ranks: encoding and decoding of whole texts.
 
 A pre-token's bytes form a linked list. Every pair of neighbours whose joined bytes have a rank waits in the bucket of
-that rank. A bitmap of three levels (64 buckets to a word, 64 words to a word above) tells the least rank in use by three
-find-first-set steps. Buckets give the leftmost position first. A merge changes at most two pairs, which enter new
+that rank. A bitmap of two levels (a word for 256 ranks, and a word above that tells which words are in use) gives the
+least rank by two find-first-set steps. Buckets give the leftmost position first. A merge changes at most two pairs, which enter new
 buckets; what they leave behind in old ones is skipped when it comes up. A pre-token of n bytes takes n log n steps
 at most, whatever it holds, so a text without a single break is no special case.
 
@@ -12,8 +12,10 @@ Pre-tokens are encoded once and remembered in each worker, within a bound.
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Distinct pre-tokens that a worker remembers, and the longest one that it does.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 REMEMBERED_CHARS = 64
 #: Bytes of results that leave a task at once.
 BATCH_BYTES = 4 << 20
@@ -36,47 +38,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Positions by rank; the least rank comes first, and within a rank the least position."""
-
-    def __init__(self, ranks: int):
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-        self.words = [0] * ((ranks >> 6) + 1)
-        self.blocks = [0] * ((ranks >> 12) + 1)
-        self.used = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        bucket.append(position)
-        word, block = rank >> 6, rank >> 12
-        self.words[word] |= 1 << (rank & 63)
-        self.blocks[block] |= 1 << (word & 63)
-        self.used |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        """Takes out (rank, position); None when nothing waits."""
-        if not self.used:
-            return None
-        block = (self.used & -self.used).bit_length() - 1
-        bits = self.blocks[block]
-        word = block << 6 | (bits & -bits).bit_length() - 1
-        bits = self.words[word]
-        lowest = bits & -bits
-        rank = word << 6 | lowest.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.words[word] = bits ^ lowest
-            if bits == lowest:
-                self.blocks[block] ^= 1 << (word & 63)
-                if not self.blocks[block]:
-                    self.used ^= 1 << block
-        return rank, position
-
-
 class _Remembered(dict):
     """Pre-token to its packed ids, filled on demand and emptied when it has grown to its bound."""
 
@@ -93,6 +54,35 @@ class _Remembered(dict):
         return packed
 
 
+#: Texts without a character beyond this one are cut by plain character classes.
+LATIN = 0x24F
+_BEYOND = re.compile(f"[^\x00-{chr(LATIN)}]")
+
+
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts without characters beyond LATIN: the properties \\p{L}, \\p{N} and \\s written out as
+    classes, which the plain engine runs several times as fast. None for a pattern that uses anything else it lacks."""
+    def of(test: Callable[[str], bool]) -> str:
+        return "".join(re.escape(chr(c)) for c in range(LATIN + 1) if test(chr(c)))
+
+    classes = {r"\p{L}": of(lambda c: unicodedata.category(c)[0] == "L"), r"\p{N}": of(lambda c: unicodedata.category(c)[0] == "N"),
+               r"\s": of(lambda c: c.isspace() and not "\x1c" <= c <= "\x1f")}
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        step = next((x for x in (*classes, r"\S") if pattern.startswith(x, at)), pattern[at:at + 1 + (pattern[at] == "\\")])
+        if step in classes:
+            out.append(classes[step] if inside else f"[{classes[step]}]")
+        elif step == r"\S" and not inside:
+            out.append("[^" + classes[r"\s"] + "]")
+        elif step == r"\S" or re.fullmatch(r"\\[a-zA-Z]", step):
+            return None
+        else:
+            inside = step == "[" or (inside and step != "]")
+            out.append(step)
+        at += len(step)
+    return re.compile("".join(out))
+
+
 class Coder:
     """Encoder and decoder of one vocabulary. Every single byte must have a rank; ids are ranks.
 
@@ -105,45 +95,73 @@ class Coder:
             raise ValueError("a single byte has no rank")
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
         self.cut = regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.cut_latin = latin_pattern(pattern)
+        self.buckets: list[list[int]] = [[] for _ in range(max(ranks.values()) + 1)]
+        self.words = [0] * ((len(self.buckets) >> 8) + 1)
         self.packed = _Remembered(lambda piece: array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes(),
                                   remembered)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, longest, n = self.ranks, self.longest, len(piece)
+        """The ids of one pre-token. The queue is empty before and after."""
+        ranks, n = self.ranks, len(piece)
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        push, pop = self.queue.push, self.queue.pop
+        rank_of, buckets, words, used = ranks.get, self.buckets, self.words, 0
         end = list(range(1, n + 1))  # where the token that starts here ends
         before = list(range(-1, n))  # where the token before the one that starts here starts
-        pair = [-1] * n  # rank of the token that starts here joined with the next
+        pair = [None] * n  # rank of the token that starts here joined with the next
         for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
+            rank = rank_of(piece[i:i + 2])
             if rank is not None:
                 pair[i] = rank
-                push(rank, i)
-        while (least := pop()) is not None:
-            rank, i = least
+                bucket = buckets[rank]
+                if not bucket:
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    used |= 1 << (rank >> 8)
+                bucket.append(i)  # in order, so it is a heap
+        while used:
+            word = (used & -used).bit_length() - 1
+            bits = words[word]
+            lowest = bits & -bits
+            rank = word << 8 | lowest.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                words[word] = bits ^ lowest
+                if bits == lowest:
+                    used ^= 1 << word
             if pair[i] != rank:
-                continue
+                continue  # what this entry stood for has changed since
             joined = end[i]
-            stop = end[joined]
-            end[i], pair[joined], pair[i] = stop, -1, -1
+            end[i] = stop = end[joined]
+            pair[joined] = rank = None
             if stop < n:
                 before[stop] = i
-                if end[stop] - i <= longest and (new := ranks.get(piece[i:end[stop]])) is not None:
-                    pair[i] = new
-                    push(new, i)
+                rank = rank_of(piece[i:end[stop]])
+                if rank is not None:
+                    bucket = buckets[rank]
+                    if bucket:
+                        heappush(bucket, i)
+                    else:
+                        words[rank >> 8] |= 1 << (rank & 255)
+                        used |= 1 << (rank >> 8)
+                        bucket.append(i)
+            pair[i] = rank
             left = before[i]
             if left >= 0:
-                pair[left] = -1
-                if stop - left <= longest and (new := ranks.get(piece[left:stop])) is not None:
-                    pair[left] = new
-                    push(new, left)
+                pair[left] = rank = rank_of(piece[left:stop])
+                if rank is not None:
+                    bucket = buckets[rank]
+                    if bucket:
+                        heappush(bucket, left)
+                    else:
+                        words[rank >> 8] |= 1 << (rank & 255)
+                        used |= 1 << (rank >> 8)
+                        bucket.append(left)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i:end[i]]])
@@ -154,9 +172,10 @@ class Coder:
         """The ids of a whole text as little-endian unsigned 32-bit integers; a null text has none."""
         if not text:
             return b""
+        cut = self.cut if self.cut_latin is None or _BEYOND.search(text) else self.cut_latin
         if len(text) <= LIST_CHARS:
-            return b"".join(map(self.packed.__getitem__, self.cut.findall(text)))
-        return b"".join(self.packed[m.group()] for m in self.cut.finditer(text))
+            return b"".join(map(self.packed.__getitem__, cut.findall(text)))
+        return b"".join(self.packed[m.group()] for m in cut.finditer(text))
 
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes behind packed ids; an id without a token raises."""
@@ -173,23 +192,26 @@ def coder(path: str, pattern: str) -> Coder:
     return _CODERS[path, pattern]
 
 
-def _mapped(df: DataFrame, column: str, out: str, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """`df` with the binary column `out`, made from `column` value by value in batches of bounded size."""
+def _mapped(df: DataFrame, column: str, made: Sequence[str], work: Callable[[], Callable[[object], Sequence[bytes]]]) -> DataFrame:
+    """doc_id with binary columns made from `column` value by value, in batches of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        make = work()
         for batch in batches:
             source, at, size, held = batch.column(column), 0, 0, []
             for k in range(batch.num_rows):
-                held.append(work(source[k].as_py()))
-                size += len(held[-1])
+                held.append(make(source[k].as_py()))
+                size += sum(map(len, held[-1]))
                 if size >= BATCH_BYTES or k + 1 == batch.num_rows:
-                    names = [c for c in batch.schema.names if c != column or column != "text"]
                     yield pa.RecordBatch.from_arrays(
-                        [*[batch.column(c).slice(at, len(held)) for c in names], pa.array(held, pa.binary())],
-                        names=[*names, out])
+                        [batch.column("doc_id").slice(at, len(held)), *(pa.array(c, pa.binary()) for c in zip(*held))],
+                        names=["doc_id", *made])
                     at, size, held = k + 1, 0, []
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} binary" for c in made)]))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -198,14 +220,29 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null or empty text has no ids. Repeated rows and null doc_ids stay as they are; other columns are left out; an
     empty table gives no rows. The file at `path` must be in place on every executor.
     """
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _mapped(picked, "text", "ids", lambda: coder(path, pattern).encode, "doc_id long, ids binary")
+    def work():
+        run = coder(path, pattern).encode
+        return lambda text: (run(text),)
+
+    return _mapped(_texts(docs), "text", ["ids"], work)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes that the ids stand for; null ids stand for none. An unknown id fails the job."""
-    picked = encoded.select("doc_id", "ids")
-    return _mapped(picked, "ids", "decoded", lambda: coder(path, pattern).decode, "doc_id long, ids binary, decoded binary")
+    """(doc_id, decoded): the bytes that the ids stand for; null ids stand for none. An unknown id fails the job."""
+    def work():
+        run = coder(path, pattern).decode
+        return lambda ids: (run(ids),)
+
+    return _mapped(encoded.select("doc_id", "ids"), "ids", ["decoded"], work)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): `encode` and then `decode` of the ids, in one pass."""
+    def work():
+        own = coder(path, pattern)
+        return lambda text: (ids := own.encode(text), own.decode(ids))
+
+    return _mapped(_texts(docs), "text", ["ids", "decoded"], work)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def test_collocations_of_little(spark, docs):
 
 
 def test_scores_beyond_64_bits(spark):
-    levels = [spark.createDataFrame([("en", 1, 3_000_000_000_000), ("en", 2, 2_999_999_999_999)], "lang string, w1 long, a long"),
-              spark.createDataFrame([("en", 1, 2, 2_999_999_999_998)], "lang string, w1 long, w2 long, a long")]
+    levels = [spark.createDataFrame([(1, 3_000_000_000_000), (2, 2_999_999_999_999)], "w1 long, a long"),
+              spark.createDataFrame([(1, 2, 2_999_999_999_998)], "w1 long, w2 long, a long")]
     row = setm._scored(levels, 2).first()
     assert row["score"] == 1000000 * 2_999_999_999_998 ** 2 // (3_000_000_000_000 * 2_999_999_999_999)
 
@@ -113,8 +113,12 @@ def library():
 
 
 def test_ids_and_decoded_bytes(docs, texts, library):
-    coded = rank_queue.decode(rank_queue.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    coded = rank_queue.round_trip(docs, RANKS, PATTERN)
     assert coded.columns == ["doc_id", "ids", "decoded"]
+    encoded = rank_queue.encode(docs, RANKS, PATTERN)
+    assert Counter(map(tuple, encoded.collect())) == Counter(map(tuple, coded.select("doc_id", "ids").collect()))
+    assert Counter(map(tuple, rank_queue.decode(encoded, RANKS, PATTERN).collect())) == Counter(
+        map(tuple, coded.select("doc_id", "decoded").collect()))
     want = Counter()
     for doc_id, text, *_ in rows_of(texts):
         ids = np.array(library.encode_ordinary(text or ""), "<u4")
@@ -157,20 +161,12 @@ def test_merges_of_any_ranks(data):
     assert rank_queue.Coder(ranks, "(?s).+", remembered=2).merge(piece) == want
 
 
-def test_queue_of_ranks():
-    rnd = random.Random(2)
-    queue, waiting = rank_queue.RankQueue(50_000), []
-    for _ in range(3000):
-        if waiting and rnd.random() < 0.45:
-            waiting.sort()
-            assert queue.pop() == waiting.pop(0)
-        else:
-            waiting.append((rnd.choice([rnd.randrange(50_000), rnd.randrange(70)]), rnd.randrange(100)))
-            queue.push(*waiting[-1])
-    waiting.sort()
-    while waiting:
-        assert queue.pop() == waiting.pop(0)
-    assert queue.pop() is None
+def test_patterns_of_latin_texts(library):
+    coder = rank_queue.coder(RANKS, PATTERN)
+    text = "".join(a + chr(c) + b for c in range(rank_queue.LATIN + 1) for a, b in (("a", " b"), (" ", "1"), (".", "  ")))
+    assert coder.cut_latin.findall(text) == coder.cut.findall(text)
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert rank_queue.latin_pattern(r"\w+|\W") is None
 
 
 def test_what_is_remembered_is_bounded():
