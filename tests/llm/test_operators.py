@@ -382,3 +382,20 @@ def test_similar_links_compare_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 7)
     found = components(simhash.similar_links(prints)).collect()
     assert {r["node"]: r["root"] for r in found} == {i: 0 for i in range(60)}
+
+
+def test_wide_components_and_repeated_ids(spark, monkeypatch):
+    """Every finite vector takes part, each row of a repeated id as well; scores may be beyond a long."""
+    monkeypatch.setattr(bitsliced, "BLOCK_ROWS", 8)
+    rnd = random.Random(6)
+    rows = [(0, [70000.0, 1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (50, [1.0, 2.0]), (3, [3.0, 1.0]), (3, [0.1, 0.1]),
+            (4, [-2e15, 3.5]), (5, [4e15, -1e9]), (100, [1.5e15, 2.0]), (100, [-0.5, 0.25]), (150, [-3e9, 1.0])]
+    rows += [(i, [rnd.uniform(-1e5, 1e5), rnd.uniform(-1, 1)]) for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows]
+    want = []
+    for query in sorted({i for i, _ in whole if i % 50 == 0}):
+        pairs = sorted((-sum(a * b for a, b in zip(q, v)), i) for qi, q in whole if qi == query for i, v in whole if i != query)
+        want += [(query, r + 1, i, max(-2**63, min(2**63 - 1, -s))) for r, (s, i) in enumerate(pairs[:5])]
+    got = bitsliced.top_inner_products(df, df.where("vec_id % 50 = 0"), 5).collect()
+    assert sorted(map(tuple, got)) == want
