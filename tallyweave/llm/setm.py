@@ -22,8 +22,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tallyweave.llm.common import LOWER, utf8
-from tallyweave.session import work_path
+from tallyweave.llm.common import LOWER, stored, utf8
 
 LEAST = 10
 LONGEST = 3
@@ -31,9 +30,10 @@ TOP = 2000
 #: A shorter candidate goes if a longer one around it has this share of its occurrences, in percent.
 SHARE = 50
 #: Word occurrences that a block gathers before it is stored; a longer document is a block alone.
-BLOCK_WORDS = 2_500_000
-#: Bits of the bitmap of frequent groups, 16 MB. More groups than it serves cost time, not results.
-FILTER_BITS = 1 << 27
+BLOCK_WORDS = 1_000_000
+#: Most bits of the bitmap of frequent groups (32 MB), and bits per group below that. More groups than it serves cost time,
+#: not results.
+FILTER_BITS, GROUP_BITS = 1 << 28, 16
 #: Ways in which a language's candidates are ranked before they meet in one task, which reads WAYS * TOP rows at most.
 WAYS = 128
 
@@ -123,8 +123,10 @@ def _places(keys: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed % np.uint64(bits), (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)) % np.uint64(bits)
 
 
-def frequent_filter(groups: DataFrame, keys: list[str], bits: int) -> np.ndarray:
-    """A bitmap of the groups, put together from a bitmap per task; at most bits / 64 rows reach the driver."""
+def frequent_filter(groups: DataFrame, keys: list[str], most_bits: int) -> np.ndarray:
+    """A bitmap of the groups, put together from a bitmap per task; at most `most_bits` / 64 rows reach the driver."""
+    bits = min(most_bits, max(64, 1 << (GROUP_BITS * groups.count()).bit_length()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(bits >> 6, np.uint64)
         for batch in batches:
@@ -147,17 +149,18 @@ def _passes(keys: list[np.ndarray], bitmap: np.ndarray) -> np.ndarray:
     return stays
 
 
-def _joined(at: np.ndarray, item: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The relation merge-joined with itself at adjacent positions: (at, item of the group, counts, keys of the groups).
-
-    `keys` names each item by its word ids. What lies at `at` and `at + 1` shares all but the outer words, so a group is the
-    left item's ids and the right item's last id.
-    """
+def _joined(at: np.ndarray, item: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The relation merge-joined with itself at adjacent positions: (at, group), a group being the number of its left item
+    times the number of items, plus that of its right one."""
     left = np.flatnonzero(np.diff(at) == 1)
-    pair = item[left].astype(np.int64) * max(len(keys[0]), 1) + item[left + 1]
-    groups, number, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    return at[left], item[left].astype(np.int64) * max(len(keys[0]), 1) + item[left + 1]
+
+
+def _group_keys(groups: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+    """The word ids of groups. `keys` names each item by its word ids; two adjacent items share all but the outer words, so a
+    group has the left item's ids and the right item's last one."""
     first, second = np.divmod(groups, max(len(keys[0]), 1))
-    return at[left], number.astype(np.int32), counts, [*(k[first] for k in keys), keys[-1][second]]
+    return [*(k[first] for k in keys), keys[-1][second]]
 
 
 def _kept(at: np.ndarray, item: np.ndarray, keys: list[np.ndarray], bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -172,29 +175,27 @@ def _names(length: int) -> list[str]:
     return [f"w{i}" for i in range(1, length + 1)]
 
 
-def _stored(batch: pa.RecordBatch, row: int, names: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _relation(batch: pa.RecordBatch, row: int, names: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     at = np.cumsum(_numpy(batch, "gap", row), dtype=np.int64)
     return at, _numpy(batch, "item", row), [_numpy(batch, n, row) for n in names]
 
 
 def group_counts(relation: DataFrame, length: int, bitmap: Broadcast) -> DataFrame:
-    """(lang, w1 … , a): how often each group of `length` words occurs in a block, from the relation of one word less
-    and the bitmap of its frequent groups."""
+    """(w1 … , a): how often each group of `length` words occurs in a block, from the relation of one word less and the
+    bitmap of its frequent groups. A word's id tells its language as well."""
     before, names = _names(length - 1), _names(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, _, counts, keys = _joined(*_kept(*_stored(batch, row, before), bitmap.value))
-                lang = batch.column("lang")[row].as_py()
-                for i in range(0, len(counts), 200_000):
-                    part = slice(i, i + 200_000)
+                at, item, keys = _kept(*_relation(batch, row, before), bitmap.value)
+                groups, counts = np.unique(_joined(at, item, keys)[1], return_counts=True)
+                for i in range(0, len(counts), 100_000):
+                    part = slice(i, i + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(counts[part])), *(pa.array(k[part]) for k in keys), pa.array(counts[part])],
-                        names=["lang", *names, "a"])
+                        [*(pa.array(k) for k in _group_keys(groups[part], keys)), pa.array(counts[part])], names=[*names, "a"])
 
-    schema = ", ".join(["lang string", *(f"{n} bigint" for n in names), "a bigint"])
-    return relation.select("lang", "gap", "item", *before).mapInArrow(run, schema)
+    return relation.select("gap", "item", *before).mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "a"]))
 
 
 def next_relation(relation: DataFrame, length: int, below: Broadcast, bitmap: Broadcast) -> DataFrame:
@@ -204,34 +205,29 @@ def next_relation(relation: DataFrame, length: int, below: Broadcast, bitmap: Br
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                at, item, _, keys = _joined(*_kept(*_stored(batch, row, before), below.value))
-                at, item, keys = _kept(at, item, keys, bitmap.value)
+                at, item, keys = _kept(*_relation(batch, row, before), below.value)
+                at, joined = _joined(at, item, keys)
+                groups, number = np.unique(joined, return_inverse=True)
+                at, item, keys = _kept(at, number, _group_keys(groups, keys), bitmap.value)
                 if len(at):
                     gap = np.minimum(np.diff(at, prepend=at[0] - 2), 2).astype(np.int16)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("lang").slice(row, 1), pa.array([gap], pa.list_(pa.int16())),
-                         pa.array([item], pa.list_(pa.int32())), *(pa.array([k], pa.list_(pa.int64())) for k in keys)],
-                        names=["lang", "gap", "item", *names])
+                        [pa.array([gap], pa.list_(pa.int16())), pa.array([item], pa.list_(pa.int32())),
+                         *(pa.array([k], pa.list_(pa.int64())) for k in keys)], names=["gap", "item", *names])
 
-    schema = ", ".join(["lang string, gap array<smallint>, item array<int>", *(f"{n} array<bigint>" for n in names)])
-    return relation.select("lang", "gap", "item", *before).mapInArrow(run, schema)
+    schema = ", ".join(["gap array<smallint>, item array<int>", *(f"{n} array<bigint>" for n in names)])
+    return relation.select("gap", "item", *before).mapInArrow(run, schema)
 
 
 # --- mining ------------------------------------------------------------------------------------------------------
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _words(spark: SparkSession, docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     """R1, and every word with its id and count, under a seed without collisions."""
     for seed in range(64):
-        relation = _written(word_relation(docs, seed, block_words), "setm-r1")
+        relation = stored(word_relation(docs, seed, block_words), "setm-r1")
         counted = relation.select("lang", F.explode(F.arrays_zip("words", "ids", "counts")).alias("x")).groupBy(
             "lang", F.col("x.words").alias("word"), F.col("x.ids").alias("w1")).agg(F.sum("x.counts").alias("a"))
-        words = _written(counted, "setm-words")
+        words = stored(counted, "setm-words")
         if words.groupBy("w1").count().where("count > 1").isEmpty():
             return relation, words
     raise RuntimeError("no seed without collisions found")
@@ -239,41 +235,41 @@ def _words(spark: SparkSession, docs: DataFrame, block_words: int) -> tuple[Data
 
 def frequent_groups(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS,
                     filter_bits: int = FILTER_BITS) -> tuple[DataFrame, list[DataFrame]]:
-    """All words (lang, word, w1, a), and for each length from 1 the groups of words (lang, w1 …, a) that occur at least
-    `least` times within pieces of their language."""
+    """All words (lang, word, w1, a), and for each length from 1 the groups of words (w1 …, a) that occur at least `least`
+    times within pieces of their language."""
     if least < 1 or longest < 1:
         raise ValueError("least and longest are 1 or more")
     spark = docs.sparkSession
     relation, words = _words(spark, docs, block_words)
     relation = relation.withColumnRenamed("ids", "w1")
-    levels = [words.where(F.col("a") >= least).select("lang", "w1", "a")]
+    levels = [words.where(F.col("a") >= least).select("w1", "a")]
     below = spark.sparkContext.broadcast(frequent_filter(levels[0], ["w1"], filter_bits))
     for length in range(2, longest + 1):
         names = _names(length)
-        counts = group_counts(relation, length, below).groupBy("lang", *names).agg(F.sum("a").alias("a"))
-        levels.append(_written(counts.where(F.col("a") >= least), f"setm-g{length}"))
+        counts = group_counts(relation, length, below).groupBy(*names).agg(F.sum("a").alias("a"))
+        levels.append(stored(counts.where(F.col("a") >= least), f"setm-g{length}"))
         if length < longest:
             bitmap = spark.sparkContext.broadcast(frequent_filter(levels[-1], names, filter_bits))
-            relation = _written(next_relation(relation, length, below, bitmap), f"setm-r{length}")
+            relation = stored(next_relation(relation, length, below, bitmap), f"setm-r{length}")
             below = bitmap
     return words, levels
 
 
 def _scored(levels: list[DataFrame], length: int) -> DataFrame:
-    """Candidates of one length with the cut of least score: (lang, w1 …, a, l, r, score)."""
+    """Candidates of one length with the cut of least score: (w1 …, a, l, r, score)."""
     names, out = _names(length), levels[length - 1]
     cuts = []
     for k in range(1, length):
         first = levels[k - 1].withColumnRenamed("a", f"l{k}")
         rest = levels[length - k - 1].select(
-            "lang", *(F.col(f"w{i}").alias(f"w{i + k}") for i in range(1, length - k + 1)), F.col("a").alias(f"r{k}"))
+            *(F.col(f"w{i}").alias(f"w{i + k}") for i in range(1, length - k + 1)), F.col("a").alias(f"r{k}"))
         # parts of a frequent phrase are frequent: neither join loses a row
-        out = out.join(first, ["lang", *names[:k]]).join(rest, ["lang", *names[k:]])
+        out = out.join(first, names[:k]).join(rest, names[k:])
         wide = lambda c: f"cast({c} AS decimal(15,0))"
         score = F.expr(f"(1000000 * ({wide('a')} * {wide('a')})) div ({wide(f'l{k}')} * {wide(f'r{k}')})")
         cuts.append(F.struct(score.alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
     least = cuts[0] if len(cuts) == 1 else F.least(*cuts)
-    return out.withColumn("cut", least).select("lang", *names, "a", "cut.l", "cut.r", "cut.score")
+    return out.withColumn("cut", least).select(*names, "a", "cut.l", "cut.r", "cut.score")
 
 
 def _outside(levels: list[DataFrame], scored: DataFrame, length: int, share: int) -> DataFrame:
@@ -282,13 +278,13 @@ def _outside(levels: list[DataFrame], scored: DataFrame, length: int, share: int
     around = None
     for longer in range(length + 1, len(levels) + 1):
         for start in range(longer - length + 1):
-            part = levels[longer - 1].select("lang", *(F.col(f"w{start + i}").alias(f"w{i}") for i in range(1, length + 1)), "a")
-            part = part.groupBy("lang", *names).agg(F.max("a").alias("around"))
+            part = levels[longer - 1].select(*(F.col(f"w{start + i}").alias(f"w{i}") for i in range(1, length + 1)), "a")
+            part = part.groupBy(*names).agg(F.max("a").alias("around"))
             around = part if around is None else around.unionAll(part)
     if around is None:
         return scored
-    most = around.groupBy("lang", *names).agg(F.max("around").alias("around"))
-    return scored.join(most, ["lang", *names], "left").where(
+    most = around.groupBy(*names).agg(F.max("around").alias("around"))
+    return scored.join(most, names, "left").where(
         F.col("around").isNull() | (100 * F.col("around") < share * F.col("a"))).drop("around")
 
 
@@ -309,8 +305,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     ways = []
     for length in range(2, longest + 1):
         found = _outside(levels, _scored(levels, length), length, share)
-        for name in _names(length):
-            found = found.join(text.withColumnsRenamed({"w1": name, "word": f"t_{name}"}), ["lang", name])
+        for name in _names(length):  # the first word tells the language
+            named = text if name == "w1" else text.drop("lang")
+            found = found.join(named.withColumnsRenamed({"w1": name, "word": f"t_{name}"}), name)
         phrase = F.concat_ws(" ", *(F.decode(f"t_{name}", "UTF-8") for name in _names(length)))
         ways.append(found.select("lang", phrase.alias("phrase"), "a", "l", "r", "score"))
     if not ways:
