@@ -480,6 +480,43 @@ def _(t):
     return lg.report_by_period(t.transactions).select("unit", F.col("period").cast("string").alias("period"), "type", "n", r2("amount").alias("amount"))
 
 
+def _statement_sql(statement, unit, start, end):
+    types, item, running = lg.STATEMENTS[statement]
+    named = ", ".join(f"'{k}'" for k in types)
+    item = "t.category" if item == "category" else "CAST(t.account_id AS VARCHAR)"
+    balance = "credit - debit" if statement == "accounts_payable" else "debit - credit"
+    shown = "WHERE balance > 0" if statement in ("accounts_receivable", "accounts_payable") else ""
+    return f"""
+    WITH t AS (
+        SELECT a.type AS account_type, {item} AS item, date_trunc('{unit}', t.date) AS at,
+               CASE WHEN t.type = 'debit' THEN amount ELSE 0 END AS d, CASE WHEN t.type = 'credit' THEN amount ELSE 0 END AS c
+        FROM fx_transactions t JOIN fx_accounts a ON a.id = t.account_id
+        WHERE a.type IN ({named}) AND t.date <= DATE '{end}' {"" if running else f"AND t.date >= DATE '{start}'"}),
+    i AS (SELECT DISTINCT account_type, item FROM t),
+    p AS (SELECT unnest(generate_series(date_trunc('{unit}', DATE '{start}'), date_trunc('{unit}', DATE '{end}'), INTERVAL 1 {unit})) AS period),
+    s AS (
+        SELECT p.period, i.account_type, i.item, coalesce(sum(d), 0) AS debit, coalesce(sum(c), 0) AS credit
+        FROM p CROSS JOIN i LEFT JOIN t ON t.account_type = i.account_type AND t.item = i.item AND t.at {"<=" if running else "="} p.period
+        GROUP BY ALL),
+    b AS (SELECT *, {balance} AS balance FROM s)
+    SELECT CAST(CAST(period AS DATE) AS VARCHAR) AS period, account_type, item, round(CAST(debit AS DOUBLE), 2) AS debit,
+           round(CAST(credit AS DOUBLE), 2) AS credit, round(CAST(balance AS DOUBLE), 2) AS balance FROM b {shown}"""
+
+
+def _statement(statement, unit, start, end):
+    @check(f"agg10_{statement}_by_{unit}", _statement_sql(statement, unit, start, end))
+    def run(t):
+        found = lg.statement_by_period(t.accounts, t.transactions, statement, unit, start, end)
+        return found.select(F.col("period").cast("string").alias("period"), "account_type", "item",
+                            r2("debit").alias("debit"), r2("credit").alias("credit"), r2("balance").alias("balance"))
+
+
+for _args in [("income_statement", "quarter", "1994-02-15", "1999-03-31"), ("cash_flow", "month", "1996-01-10", "1996-12-20"),
+              ("balance_sheet", "quarter", "1996-05-01", "1998-11-15"), ("trial_balance", "year", "1993-01-01", "1998-06-30"),
+              ("accounts_receivable", "month", "1997-01-01", "1997-12-31"), ("accounts_payable", "year", "1994-01-01", "2000-12-31")]:
+    _statement(*_args)
+
+
 @check("agg11_coa_rollup", """
     SELECT 'C' || c_custkey AS account_id, round(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE), 2) AS balance FROM customer
     UNION ALL SELECT 'N' || n_nationkey, round(CAST(coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2))), 0) AS DOUBLE), 2)

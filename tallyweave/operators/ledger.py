@@ -6,7 +6,7 @@ is rolled up, so no grouping set multiplies the raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave.functions.numeric import finite
 from tallyweave.scale import running_total, small
@@ -114,12 +114,58 @@ def report_by_period(transactions: DataFrame) -> DataFrame:
     return sets.select(unit.alias("unit"), F.coalesce(*units).alias("period"), "type", "n", "amount")
 
 
-def coa_rollup(accounts: DataFrame, balances: DataFrame, max_depth: int = 64) -> DataFrame:
+#: Statements by period: account types, what a line stands for, and whether amounts add up over periods.
+STATEMENTS = {
+    "income_statement": (["revenue", "expense"], "category", False),
+    "cash_flow": (["asset"], "account_id", False),
+    "balance_sheet": (["asset", "liability", "equity"], "account_id", True),
+    "trial_balance": (["asset", "liability", "equity", "revenue", "expense"], "account_id", True),
+    "accounts_receivable": (["asset"], "account_id", True),
+    "accounts_payable": (["liability"], "account_id", True),
+}
+
+
+def statement_by_period(accounts: DataFrame, transactions: DataFrame, statement: str, unit: str, start, end) -> DataFrame:
+    """(period, account_type, item, debit, credit, balance) of a statement for every month, quarter or year that meets
+    [start, end], also those without transactions.
+
+    Income and cash flow hold what is dated within the period and [start, end]; items are categories or accounts. The other
+    statements hold the position at the period's end, or at `end`: balances run on from all earlier transactions and are
+    carried over empty periods. `balance` is debit minus credit, for payables credit minus debit; receivables are asset
+    accounts and payables liability accounts of which something is still open. Transactions are added up per item and
+    period first, so what is ordered holds one row per item and period.
+    """
+    if statement not in STATEMENTS:
+        raise ValueError(f"unknown statement: {statement}")
+    types, item, running = STATEMENTS[statement]
+    if unit not in ("month", "quarter", "year"):
+        raise ValueError(f"unknown unit: {unit}")
+    first, last = (F.trunc(F.lit(d).cast("date"), unit) for d in (start, end))
+    dated = transactions.where(until(end) if running else within(start, end)).withColumn(
+        "period", F.greatest(F.trunc("date", unit), first))  # earlier ones open the first period
+    keys = ["account_type", "item"]
+    sums = _with_type(dated, accounts, types, *dict.fromkeys(["period", *([item] if item != "account_id" else [])])).select(
+        "account_type", F.col(item).cast("string").alias("item"), "period", _zero("debit"), _zero("credit"))
+    step = {"month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}[unit]
+    grid = sums.select(*keys).distinct().withColumn("period", F.explode(F.sequence(first, last, F.expr(step))))
+    empty = grid.select(*keys, "period", F.lit(0).alias("debit"), F.lit(0).alias("credit"))
+    lines = sums.unionByName(empty).groupBy(*keys, "period").agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
+    if running:
+        upto = W.partitionBy(*keys).orderBy("period").rowsBetween(W.unboundedPreceding, 0)
+        lines = lines.withColumns({c: F.sum(c).over(upto) for c in ("debit", "credit")})
+    balance = F.col("credit") - F.col("debit") if statement == "accounts_payable" else F.col("debit") - F.col("credit")
+    lines = lines.select("period", *keys, "debit", "credit", balance.alias("balance"))
+    return lines.where("balance > 0") if statement in ("accounts_receivable", "accounts_payable") else lines
+
+
+def coa_rollup(accounts: DataFrame, balances: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Balance of every account including all its descendants.
 
-    Climbs one parent level per round, all accounts at once; an account deeper than `max_depth`
-    (or a parent cycle) is an error, not a cut.
+    Climbs one parent level per round, all accounts at once. A path cannot be longer than there are accounts, so more rounds
+    than that (or than `max_depth`, where given) mean a parent cycle, which is an error.
     """
+    if max_depth is None:
+        max_depth = accounts.count() + 1
     parents = accounts.where("parent_account_id IS NOT NULL").select(F.col("id").alias("child"), "parent_account_id")
     own = balances.select(F.col("account_id").alias("at"), "balance")
     level = own.groupBy("at").agg(F.sum("balance").alias("balance"))
@@ -133,7 +179,7 @@ def coa_rollup(accounts: DataFrame, balances: DataFrame, max_depth: int = 64) ->
             break
         total = total.unionByName(level)
     else:
-        raise ValueError(f"accounts nest deeper than {max_depth} levels or form a cycle")
+        raise ValueError(f"accounts form a cycle, or nest deeper than {max_depth} levels")
     summed = total.groupBy("at").agg(F.sum("balance").alias("balance"))
     return accounts.select(F.col("id").alias("at")).join(summed, "at", "left").select(
         F.col("at").alias("account_id"), F.coalesce("balance", F.lit(0)).alias("balance"))

@@ -103,11 +103,12 @@ def test_stream_and_table_agree(spark, tmp_path):
         (source / f"{i}.json").write_text(line + "\n")
     batch = folds.call_state(ev.read_call_events(spark.read.text(str(source))))
     stream = folds.call_state(ev.read_call_events(ev.stream_lines(spark, str(source), files_per_batch=3)))
-    ev.run_updates(stream, str(tmp_path / "out"), str(tmp_path / "mark"), timeout_s=120)
+    with ev.settings(spark, folds.STATE_STORE):
+        ev.run_updates(stream, str(tmp_path / "out"), str(tmp_path / "mark"), timeout_s=120)
     pick = ["call_id", "status", "start_time", "end_time", "segments"]
     last = ev.latest_updates(spark, str(tmp_path / "out"), ["call_id"])
     assert rows(batch.select(pick), "call_id") == rows(last.select(pick), "call_id")
-    assert rows(batch.select("call_id", "status", "segments"), "call_id") == [("1", "completed", 2), ("CA2f", "ringing", 0)]
+    assert rows(batch.select("call_id", "status", "segments"), "call_id") == [("1", "completed", 1), ("CA2f", "ringing", 0)]
     assert rows(folds.active_calls(batch).select("call_id"), "call_id") == [("CA2f",)]
     rejected = ev.rejected_call_events(spark.read.text(str(source)))
     assert rows(rejected.select("reason"), "reason") == [("no_call_id",), ("unknown_type",), ("unreadable",)]
@@ -119,10 +120,42 @@ def test_stream_and_table_agree(spark, tmp_path):
 def test_lifecycle_over_several_batches(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    for i, line in enumerate(_EVENTS):
+    later = '{"type":"feedbackSubmitted","callId":"CA4","data":{"rating":3},"timestamp":"2024-01-01T01:00:00Z"}'
+    for i, line in enumerate([*_EVENTS, later]):
         (source / f"{i}.json").write_text(line + "\n")
-    with ev.settings(spark, folds.STATE_STORE, folds.ENDS_WITH_INPUT):
+    with ev.settings(spark, folds.STATE_STORE):
         stream = folds.call_lifecycle(ev.read_call_events(ev.stream_lines(spark, str(source), files_per_batch=4)))
         ev.run_append(stream, str(tmp_path / "out"), str(tmp_path / "mark"), timeout_s=120)
     got = spark.read.parquet(str(tmp_path / "out")).select("call_id", "status", "segments")
-    assert rows(got, "call_id") == [("1", "completed", 2)]
+    assert rows(got, "call_id") == [("1", "completed", 1)]
+
+
+def test_statements_carry_balances_over_empty_periods(spark):
+    accounts = spark.createDataFrame([("a", "asset"), ("l", "liability"), ("r", "revenue")], "id string, type string")
+    rows = [("a", "debit", "2023-11-05", 10), ("a", "credit", "2024-02-01", 4), ("l", "credit", "2024-01-31", 7), ("l", "debit", "2024-03-02", 7),
+            ("r", "credit", "2024-03-31", 9), ("r", "credit", "2024-04-01", 1), ("zz", "debit", "2024-01-01", 1), ("a", None, "2024-01-01", 5),
+            ("a", "debit", None, 3)]
+    transactions = spark.createDataFrame(rows, "account_id string, type string, date string, amount int").selectExpr(
+        "account_id", "type", "CAST(date AS date) AS date", "CAST(amount AS decimal(18,2)) AS amount", "CAST(NULL AS string) AS category")
+
+    def of(statement, unit="month"):
+        found = lg.statement_by_period(accounts, transactions, statement, unit, "2024-01-01", "2024-03-31")
+        return sorted((str(r.period), r.item, int(r.balance)) for r in found.collect())
+
+    months = ["2024-01-01", "2024-02-01", "2024-03-01"]
+    assert [x for x in of("balance_sheet") if x[1] == "a"] == list(zip(months, "aaa", [10, 6, 6]))
+    assert of("accounts_receivable") == list(zip(months, "aaa", [10, 6, 6]))
+    assert of("accounts_payable") == [(months[0], "l", 7), (months[1], "l", 7)]
+    assert of("income_statement") == list(zip(months, [None] * 3, [0, 0, -9])) and of("balance_sheet", "year")[0] == ("2024-01-01", "a", 6)
+    assert [x for x in of("trial_balance", "quarter")] == [("2024-01-01", "a", 6), ("2024-01-01", "l", 0), ("2024-01-01", "r", -9)]
+    with pytest.raises(ValueError):
+        of("poem")
+
+
+def test_deep_charts_roll_up(spark):
+    chain = [(f"n{i}", f"n{i + 1}" if i < 69 else None) for i in range(70)]
+    accounts = spark.createDataFrame(chain, "id string, parent_account_id string").coalesce(1)
+    own = spark.createDataFrame([("n0", 5)], "account_id string, balance long")
+    assert {r.balance for r in lg.coa_rollup(accounts, own).collect()} == {5}
+    with pytest.raises(ValueError):
+        lg.coa_rollup(spark.createDataFrame([("x", "y"), ("y", "x")], accounts.schema), spark.createDataFrame([("x", 1)], own.schema))
