@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,12 @@ consent cookie cookies copyright disqus footer form header hidden login masthead
 newsletter notice notices notification outbrain pager pagination popup promo promotion promotions related replies reply
 respond share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget widgets""".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>|</?[a-z][^>]*+>", re.S | re.I)
+# A name of several words that ends in one of these is a container of the article, whatever else it names.
+CONTENT_NAMES = set("article body content main offset text".split())
+
+_HEAD = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+_RAW = re.compile(r"(?:" + RAW + r")\Z", re.I)
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -45,7 +49,64 @@ class Block:
 
 
 def _names(attributes: str) -> set[str]:
-    return {w for _, value in _NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", value.lower())}
+    found = set()
+    for _, value in _NAMES.findall(attributes):
+        for token in value.strip("\"'").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            if len(words) < 2 or words[-1] not in CONTENT_NAMES:
+                found.update(words)
+    return found
+
+
+def _beside(attributes: str) -> bool:
+    """Whether class, id, role or a hiding attribute set an element apart from the article."""
+    return bool(attributes) and (bool(_HIDDEN.search(attributes)) or not APART_NAMES.isdisjoint(_names(attributes)))
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is an end tag, attributes) of each piece of markup; comments, declarations and elements that hold
+    no text have no name and reach to their own end. One pass: what is known not to follow is not looked for again."""
+    dead: set[int] = set()  # places outside of quotes from which no end of a tag is found
+
+    def tag_end(at: int) -> int:
+        seen = []
+        while at not in dead:
+            seen.append(at)
+            stop = _STOP.search(page, at)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                return stop.end()
+            closing = page.find(stop[0], stop.end())
+            if closing < 0:
+                break
+            at = closing + 1
+        dead.update(seen)
+        return -1
+
+    at, last = page.find("<"), page.rfind(">")
+    while at >= 0:
+        end, name, ends, attributes = -1, "", False, ""
+        if page.startswith("<!--", at):
+            closing = page.find("-->", at + 4)
+            end = len(page) if closing < 0 else closing + 3
+        elif at > last:
+            at = page.find("<!--", at + 1)
+            continue
+        elif head := _HEAD.match(page, at):
+            end = tag_end(head.end())
+            if end < 0:
+                end = page.find(">", head.end()) + 1 or -1
+            elif not head[1] and _RAW.match(head[2]):
+                closing = re.compile(rf"</{head[2]}\s*>", re.I).search(page, end)
+                end = closing.end() if closing else len(page)
+            else:
+                name, ends, attributes = head[2].lower(), bool(head[1]), page[head.end():end - 1]
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1 or -1
+        if end > 0:
+            yield at, end, name, ends, attributes
+        at = page.find("<", max(end, at + 1))
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -54,27 +115,27 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # element, apart, within the article
     parts: list[tuple[str, bool]] = []
+    opened: Counter[str] = Counter()
     links = heading = 0
+    beside = False  # the paragraph or heading itself is set apart
 
     def close() -> None:
-        nonlocal parts
+        nonlocal parts, beside
         text = " ".join("".join(p for p, _ in parts).split())
         if text:
             linked = sum(len(p.split()) for p, in_link in parts if in_link)
             words = len(text.split(" "))
             apart, within = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, words, min(words, linked), apart, within, heading > 0))
-        parts = []
+            out.append(Block(text, words, min(words, linked), apart or beside, within, heading > 0))
+        parts, beside = [], False
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append((entities.unescape(page[at:m.start()]), links > 0))
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, stop, name, ends, attributes in tags_of(page):
+        if start > at:
+            parts.append((entities.unescape(page[at:start]), links > 0))
+        at = stop
         if not name:
             continue
-        ends = bool(m[2])
         if name == "a":
             links = 0 if ends else 1
             continue
@@ -85,22 +146,26 @@ def blocks_of(page: str | None) -> list[Block]:
         close()
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = 0 if ends else 1
+            beside = not ends and _beside(attributes)
             continue
         if name == "p" or name in VOID:
             heading = 0
+            beside = name == "p" and not ends and _beside(attributes)
             continue
         if ends:
-            places = [k for k, s in enumerate(stack) if s[0] == name]
-            if places:
-                del stack[places[-1]:]
+            while opened[name]:
+                opened[closed := stack.pop()[0]] -= 1
+                if closed == name:
+                    break
             links = 0
         else:
             apart, within = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             if name in ("article", "main"):
                 apart, within = apart and within, True
             elif name not in ("html", "body"):
-                apart = apart or name in APART or bool(_HIDDEN.search(m[4] or "")) or not APART_NAMES.isdisjoint(_names(m[4] or ""))
+                apart = apart or name in APART or _beside(attributes)
             stack.append((name, apart, within))
+            opened[name] += 1
     if at < len(page):
         parts.append((entities.unescape(page[at:]), links > 0))
     close()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -399,3 +400,26 @@ def test_wide_components_and_repeated_ids(spark, monkeypatch):
         want += [(query, r + 1, i, max(-2**63, min(2**63 - 1, -s))) for r, (s, i) in enumerate(pairs[:5])]
     got = bitsliced.top_inner_products(df, df.where("vec_id % 50 = 0"), 5).collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_markup_without_end_is_read_once():
+    start = time.perf_counter()
+    for page in ("<a " * 100_000, "<script " * 100_000, "<p>x" + "<a \">" * 100_000 + "'", "<div>" * 50_000 + "</section>" * 50_000,
+                 "<!--" * 100_000, "<a b='" * 60_000 + ">", "<!x" * 100_000, "<style>" * 50_000, "</script" * 50_000 + ">"):
+        html_text.blocks_of(page)
+    assert time.perf_counter() - start < 20
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<p>1 < 2 <a href='x>y'>z</a><!-- > --><b class=\"q>\">w</b> <script>if (a<b) </p></script >t<i") == ["1 < 2 zw t<i"]
+    assert texts("<p title=\"x>one<p>two") == ["one", "two"] and texts("a<!--b") == ["a"] and texts("a<style>b") == ["a"]
+
+
+def test_attributes_of_paragraphs_and_containers(spark):
+    body = "<p>" + "Plain words of the article that go on and on. " * 6 + "</p>"
+    said = " ".join(("Plain words of the article that go on and on. " * 6).split())
+    pages = {f"<article>{body}<p class='advert'>Buy this now</p><h2 class=newsletter>Sign up</h2><p hidden>gone</p>{body}</article>": f"{said}\n{said}",
+             f"<article><div class='article-share-body'>{body}</div></article>": said,
+             f"<article><div class='main header-offset'>{body}</div></article>": said,
+             f"<article>{body}<div class='share-buttons'>Share it</div></article>": said}
+    got = html_text.extract(spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string"))
+    assert [r.text for r in got.orderBy("page_id").collect()] == list(pages.values())
+    assert html_text.extract(got.selectExpr("page_id", "url", "text AS html").where("false")).count() == 0
