@@ -588,6 +588,14 @@ def _(t):
     return fl.page_with_more(t.transactions.select("id", F.col("date").cast("string").alias("date")), [F.col("date").desc(), F.col("id")], page=3, limit=20)
 
 
+@check("top03_deep_page", """
+    SELECT id, CAST(date AS VARCHAR) AS date, (SELECT count(*) FROM fx_transactions) AS total, 41 AS page, (SELECT count(*) FROM fx_transactions) > 1025 AS has_more
+    FROM fx_transactions t ORDER BY t.date DESC, id LIMIT 25 OFFSET 1000""")
+def _(t):
+    rows = t.transactions.select("id", F.col("date").cast("string").alias("date"))
+    return fl.page_with_more(rows, [F.col("date").desc(), F.col("id")], page=41, limit=25, range_rows=300)
+
+
 @check("top08_upcoming_events", """
     SELECT id, timestamp, intent FROM fx_commands WHERE timestamp >= TIMESTAMP '2024-01-10' AND timestamp <= TIMESTAMP '2024-01-17'
     ORDER BY timestamp, id LIMIT 10""")

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from tallyweave import vocab
+from tallyweave.session import cut_lineage
+
+#: Rows up to the end of a page that one task may hold; a deeper page is found by ranges of about that size.
+RANGE_ROWS = 100_000
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
@@ -119,16 +123,34 @@ def sort_by(df: DataFrame, field: str, order: str = "asc", tie: str | None = Non
     return df.orderBy(first, *([F.col(tie)] if tie else []))
 
 
-def page(df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 10) -> DataFrame:
+def _slice(df: DataFrame, order: Sequence[Column], skip: int, limit: int, range_rows: int) -> DataFrame:
+    """Rows skip + 1 to skip + limit of the sorted rows. Sorting with a limit keeps all rows up to the last one wanted in one
+    task, so beyond `range_rows` of them the rows are dealt into ranges of the order, only the ranges are counted, and those
+    that hold the wanted rows are sorted."""
+    if skip + limit <= range_rows:
+        return df.orderBy(*order).offset(skip).limit(limit)
+    parts = df.count() // range_rows + 1
+    dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = {r["__range"]: r["n"] for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, wanted, first = 0, [], 0
+    for part in sorted(sizes):
+        if before < skip + limit and before + sizes[part] > skip:
+            first = before if not wanted else first
+            wanted.append(part)
+        before += sizes[part]
+    return dealt.where(F.col("__range").isin(wanted)).drop("__range").orderBy(*order).offset(max(0, skip - first)).limit(limit)
+
+
+def page(df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 10, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One page of the sorted rows, with the total row count beside them."""
-    return with_total(df, df.orderBy(*order).offset((page - 1) * limit).limit(limit))
+    return with_total(df, _slice(df, order, (page - 1) * limit, limit, range_rows))
 
 
 def page_with_more(df: DataFrame, order: Sequence[Column], page: int | None = None, limit: int = 10,
-                   offset: int | None = None) -> DataFrame:
+                   offset: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """As `page`, by page number or by offset, with `has_more`."""
     skip = offset if offset is not None else ((page or 1) - 1) * limit
-    rows = with_total(df, df.orderBy(*order).offset(skip).limit(limit))
+    rows = with_total(df, _slice(df, order, skip, limit, range_rows))
     return rows.withColumn("page", F.lit(skip // limit + 1)).withColumn("has_more", F.col("total") > skip + limit)
 
 

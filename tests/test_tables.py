@@ -159,3 +159,15 @@ def test_deep_charts_roll_up(spark):
     assert {r.balance for r in lg.coa_rollup(accounts, own).collect()} == {5}
     with pytest.raises(ValueError):
         lg.coa_rollup(spark.createDataFrame([("x", "y"), ("y", "x")], accounts.schema), spark.createDataFrame([("x", 1)], own.schema))
+
+
+def test_deep_pages_equal_plain_ones(spark):
+    data = [(i, None if i % 13 == 0 else i % 7, "x") for i in range(1000)] + [(5, 3, "again")] * 3
+    df = spark.createDataFrame(data, "id long, k int, note string").repartition(3)
+    order = [F.col("k").desc(), F.col("id"), F.col("note")]
+    want = sorted(data, key=lambda r: (-(r[1] if r[1] is not None else -1), r[0], r[2]))
+    for page, limit in ((1, 60), (4, 100), (11, 100), (12, 100), (20, 51), (2, 1003), (1, 2000)):
+        got = [tuple(r)[:3] for r in fl.page(df, order, page, limit, range_rows=50).orderBy(*order).collect()]
+        assert got == want[(page - 1) * limit:page * limit], (page, limit)
+    plan = fl.page_with_more(df, order, offset=900, limit=10, range_rows=50).collect()
+    assert [r.id for r in plan] == [r[0] for r in want[900:910]] and {(r.total, r.has_more) for r in plan} == {(1003, True)}
