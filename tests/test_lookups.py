@@ -16,7 +16,7 @@ def test_both_ways_of_a_search(spark, monkeypatch, limit):
     assert got == [(1, 7, 3.045, 1), (1, 8, 2.197, 2), (4, 7, 3.045, 1), (4, 8, 2.197, 2)]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
+@pytest.mark.parametrize("block", [1 << 20, 1500])
 def test_lookup_table_of_any_length(spark, block):
     words = [f"w{i}" for i in range(300)]
     rows = [(i, [w, w.upper()] if i % 2 else [w, None], "note") for i, w in enumerate(words)] + [(900, None, "x"), (901, [""], "all"), (902, [], "none")]
