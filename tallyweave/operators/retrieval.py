@@ -94,7 +94,9 @@ def search_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFra
     that are joined by a shuffle, each document's words counted first. Both ways give the same rows.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(words("text"))).alias("word")).distinct()
-    total = docs.count()
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = F.col("doc_id").isNotNull() & (F.col("n") > 1)
+    total, repeats = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(again)).first()
     spread = (
         docs.select(F.explode(F.array_distinct(words("text"))).alias("word"))
         .join(small(wanted.select("word").distinct()), "word", "left_semi")
@@ -113,10 +115,10 @@ def search_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFra
                 lambda it: (b.cast(_schema(*kinds)) for b in _scored_in_task(it, shared, best)),
                 f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
 
-        repeated = cut_lineage(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-        if repeated.isEmpty():
+        if not repeats:
             scored = in_tasks(named, k)
         else:
+            repeated = cut_lineage(ids.where(again).select("doc_id"))
             parts = in_tasks(named.join(repeated, "doc_id", "left_semi"), None)
             scored = in_tasks(named.join(repeated, "doc_id", "left_anti"), k).unionAll(parts.groupBy(
                 "query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")))
