@@ -23,7 +23,7 @@ def _window(d: int) -> int:
 
 def full(s: Series, d: int, value: Column) -> Column:
     """NULL until the window holds d rows."""
-    return F.when(F.count(F.lit(1)).over(s.last(d)) == d, value)
+    return F.when(F.lag(F.lit(1), d - 1).over(s.previous(d - 1)).isNotNull(), value)
 
 
 def delay(s: Series, x, d: int) -> Column:
@@ -86,27 +86,17 @@ def decay_linear(s: Series, x, d: int) -> Column:
 
 def ts_rank(s: Series, x, d: int) -> Column:
     """Share of the window's values that are at most the current value."""
-    d = _window(d)
-    values = F.collect_list(col(x)).over(s.last(d))
-    at_most = F.size(F.filter(values, lambda v: v <= col(x)))
-    return full(s, d, F.when(col(x).isNotNull(), F.try_divide(at_most.cast("double"), F.size(values))))
-
-
-def _rows_since(s: Series, x, d: int, smallest: bool) -> Column:
-    d = _window(d)
-    values = F.transform(F.collect_list(F.struct(col(x).alias("v"))).over(s.last(d)), lambda e: e["v"])
-    best = F.array_min(values) if smallest else F.array_max(values)
-    return full(s, d, F.array_position(F.reverse(values), best).cast("int") - 1)
+    return s.slide("rank", finite(x), _window(d))
 
 
 def ts_argmin(s: Series, x, d: int) -> Column:
     """Rows since the window's smallest value; the latest of equals counts."""
-    return _rows_since(s, x, d, True)
+    return s.slide("since_min", finite(x), _window(d))
 
 
 def ts_argmax(s: Series, x, d: int) -> Column:
     """Rows since the window's largest value; the latest of equals counts."""
-    return _rows_since(s, x, d, False)
+    return s.slide("since_max", finite(x), _window(d))
 
 
 def ts_product(s: Series, x, d: int) -> Column:

@@ -8,9 +8,13 @@ starting position, and the piece itself is the unit that a task sorts. Nothing i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from itertools import takewhile
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from tallyweave.functions import sliding
 
 ROWS_PER_TASK = 5_000_000
 PIECES = 256
@@ -222,7 +226,7 @@ def running_max(df: DataFrame, order: Sequence[str], value: str, out: str,
 
 
 class Series:
-    """Rows of one key in order: hands out windows and adds up how many rows they reach.
+    """Rows of one key in order: hands out windows and notes how many rows each reaches.
 
     The sum over all calls is an upper bound of the reach of nested windows, which is what `evaluate`
     needs to copy enough rows across a block edge.
@@ -230,27 +234,86 @@ class Series:
 
     def __init__(self, by: Sequence[str], order: Sequence[str]):
         self.by, self.order = tuple(by), tuple(order)
-        self.back = self.ahead = 0
+        self.reaches: list[tuple[int, int]] = []
+        self.slides: list[tuple[str, Column, str, int]] = []
+
+    @property
+    def back(self) -> int:
+        return sum(b for b, _ in self.reaches)
+
+    @property
+    def ahead(self) -> int:
+        return sum(a for _, a in self.reaches)
 
-    def _ordered(self):
+    def _ordered(self, back: int = 0, ahead: int = 0):
+        self.reaches.append((back, ahead))
         return W.partitionBy(*self.by, "__block").orderBy(*self.order)
 
     def last(self, rows: int):
-        self.back += rows - 1
-        return self._ordered().rowsBetween(1 - rows, 0)
+        return self._ordered(rows - 1).rowsBetween(1 - rows, 0)
 
     def previous(self, rows: int):
-        self.back += rows
-        return self._ordered()
+        return self._ordered(rows)
 
     def following(self, rows: int):
-        self.ahead += rows
-        return self._ordered()
+        return self._ordered(0, rows)
 
     def between(self, start: int, end: int):
-        self.back += max(0, -start)
-        self.ahead += max(0, end)
-        return self._ordered().rowsBetween(start, end)
+        return self._ordered(max(0, -start), max(0, end)).rowsBetween(start, end)
+
+    def slide(self, kind: str, value: Column, rows: int) -> Column:
+        """A statistic of `sliding.KINDS` over the last `rows` rows; `with_slides` fills the column it names."""
+        self.reaches.append((rows - 1, 0))
+        name = f"__slide{len(self.slides)}"
+        self.slides.append((name, value, kind, rows))
+        return F.col(name)
+
+
+def with_slides(df: DataFrame, series: Series) -> DataFrame:
+    """Fill the columns of `series.slides`. Rows are ordered once for all of them; one that reads another's result
+    waits for the next pass. The cost of a row does not grow with the window."""
+    waiting = list(series.slides)
+    while waiting:
+        unfilled = {name for name, *_ in waiting}
+        # a call is noted after those it reads
+        ready = list(takewhile(lambda w: unfilled.isdisjoint(re.findall(r"__slide\d+", str(w[1]))), waiting))
+        waiting = waiting[len(ready):]
+        inputs = {f"{name}_in": value for name, value, _, _ in ready}
+        ordered = W.partitionBy(*series.by, "__block").orderBy(*series.order)
+        # the window leaves the rows of a key together and in order, which the pass over them relies on
+        rows = df.select("*", *[v.cast("double").alias(c) for c, v in inputs.items()], F.row_number().over(ordered).alias("__nth"))
+        added = [T.StructField(name, T.DoubleType() if sliding.KINDS[kind] == "double" else T.IntegerType())
+                 for name, _, kind, _ in ready]
+        wanted = [(name, f"{name}_in", kind, d) for name, _, kind, d in ready]
+        df = rows.mapInArrow(sliding.passes(wanted, "__nth"), T.StructType([*rows.schema.fields, *added])).drop("__nth", *inputs)
+    return df
+
+
+def add_columns(df: DataFrame, series: Series, built: dict[str, Column]) -> DataFrame:
+    """Window columns built over `series` for rows that carry `__block`."""
+    slid = with_slides(df, series)
+    return slid.select("*", *[c.alias(n) for n, c in built.items()]).drop(*[name for name, *_ in series.slides])
+
+
+def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], back: int, ahead: int,
+              build: Callable[[DataFrame], DataFrame], rows_per_task: int | None = None,
+              largest: int | None = None) -> DataFrame:
+    """`build` over rows whose `__block` holds at most a task's share of a key, each block with the `back` rows before
+    it and the `ahead` rows after it."""
+    limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
+    if largest is None:
+        largest = largest_group(df, by)
+    if largest <= limit:
+        return build(df.withColumn("__block", F.lit(0))).drop("__block")
+    size = max(limit, back + ahead + 1)
+    at = F.col("__at") - 1
+    blocks = F.sequence(F.floor((at - ahead) / size), F.floor((at + back) / size))
+    spread = (
+        ordinal(df, by, order, "__at", limit, largest)
+        .withColumn("__home", F.floor(at / size))
+        .withColumn("__block", F.explode(blocks))
+    )
+    return build(spread).where("__home = __block").drop("__at", "__home", "__block")
 
 
 def evaluate(df: DataFrame, series: Series, columns: dict[str, Callable[[Series], Column]],
@@ -261,19 +324,5 @@ def evaluate(df: DataFrame, series: Series, columns: dict[str, Callable[[Series]
     `largest` is a known bound on the rows of a key; it saves the count, which otherwise runs the plan behind
     `df` once more (give a stored table where that plan is long)."""
     built = {name: make(series) for name, make in columns.items()}
-    limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    if largest is None:
-        largest = largest_group(df, series.by)
-    if largest <= limit:
-        whole = df.withColumn("__block", F.lit(0))
-        return whole.select("*", *[c.alias(n) for n, c in built.items()]).drop("__block")
-    size = max(limit, series.back + series.ahead + 1)
-    at = F.col("__at") - 1
-    blocks = F.sequence(F.floor((at - series.ahead) / size), F.floor((at + series.back) / size))
-    spread = (
-        ordinal(df, series.by, series.order, "__at", limit, largest)
-        .withColumn("__home", F.floor(at / size))
-        .withColumn("__block", F.explode(blocks))
-    )
-    done = spread.select("*", *[c.alias(n) for n, c in built.items()])
-    return done.where("__home = __block").drop("__at", "__home", "__block")
+    return in_blocks(df, series.by, series.order, series.back, series.ahead,
+                     lambda rows: add_columns(rows, series, built), rows_per_task, largest)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,52 @@ def test_windows(spark):
     assert over(spark, [1.0, 2.0], lambda s: r.ts_sum(s, "x", 3)) == [None, None]
 
 
+def _plain_window(x, d, kind):
+    """The three order statistics by definition."""
+    found = []
+    for i, v in enumerate(x):
+        held = [(w, i - j) for j, w in enumerate(x) if i - d < j <= i and w is not None]
+        if i + 1 < d or not held or (kind == "rank" and v is None):
+            found.append(None)
+        elif kind == "rank":
+            found.append(sum(w <= v for w, _ in held) / len(held))
+        else:
+            best = (min if kind == "since_min" else max)(w for w, _ in held)
+            found.append(min(back for w, back in held if w == best))
+    return found
+
+
+@pytest.mark.parametrize("limit", [None, 37])
+def test_order_statistics_by_definition(spark, limit):
+    draw = random.Random(4)
+    x = {k: [draw.choice([None, float("nan"), *map(float, range(6))]) for _ in range(n)] for k, n in [("a", 211), ("b", 3), ("c", 90)]}
+    rows = [(k, i, v) for k, values in x.items() for i, v in enumerate(values)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    makes = {"rank": r.ts_rank, "since_min": r.ts_argmin, "since_max": r.ts_argmax}
+    got = evaluate(df, Series(["k"], ["i"]), {f"{kind}{d}": lambda s, make=make, d=d: make(s, "x", d)
+                                              for kind, make in makes.items() for d in (2, 5, 50)}, limit)
+    assert got.columns[:3] == ["k", "i", "x"] and len(got.columns) == 12
+    found = got.orderBy("k", "i").collect()
+    for kind in makes:
+        for d in (2, 5, 50):
+            wanted = [v for k in sorted(x) for v in _plain_window([None if v is None or v != v else v for v in x[k]], d, kind)]
+            assert [row[f"{kind}{d}"] for row in found] == wanted
+
+
+def test_order_statistics_of_order_statistics(spark):
+    x = [float(i * 7 % 11) for i in range(40)] + [None] * 4 + [2.0, 2.0]
+    inner = _plain_window(x, 4, "rank")
+    nested = over(spark, x, lambda s: r.ts_argmax(s, r.ts_rank(s, "x", 4), 3))
+    assert nested == _plain_window(inner, 3, "since_max")
+    both = over(spark, x, lambda s: r.ts_rank(s, "x", 3) + r.ts_argmin(s, r.delta(s, "x", 2), 5))
+    change = [None if i < 2 or v is None or x[i - 2] is None else v - x[i - 2] for i, v in enumerate(x)]
+    pairs = zip(_plain_window(x, 3, "rank"), _plain_window(change, 5, "since_min"))
+    assert both == [None if a is None or b is None else a + b for a, b in pairs]
+    empty = spark.createDataFrame([], "k string, i int, x double")
+    assert evaluate(empty, Series(["k"], ["i"]), {"y": lambda s: r.ts_rank(s, "x", 3)}).collect() == []
+
+
 def test_long_decay_equals_short_form(spark, monkeypatch):
     x = [float(i * i % 7) for i in range(12)] + [None] + [float(i) for i in range(8)]
     short = over(spark, x, lambda s: r.decay_linear(s, "x", 5))
