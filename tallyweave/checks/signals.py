@@ -10,9 +10,9 @@ from tallyweave.functions.registry import compose
 from tallyweave.operators import crosssection, resample
 from tallyweave.plans import backtest as bt, signals
 from tallyweave.schemas import BAR_COLUMNS, BAR_TABLE
-from tallyweave.scale import Series, evaluate
+from tallyweave.scale import Series, evaluate, largest_group
 from tallyweave.session import cut_lineage, work_path
-from tallyweave.sources import bars as bar_files
+from tallyweave.sources import bars as bar_files, catalogs
 
 # --- element-wise functions over daily bars -------------------------------------------------------
 
@@ -186,8 +186,11 @@ def _(t):
 
 @check("set01_concat_files", _quote_bars_sql("4h"))
 def _(t):
-    # The same quotes as two files: a bucket that spans both still gives one bar.
-    odd, even = t.quotes.where("seq % 2 = 1"), t.quotes.where("seq % 2 = 0")
+    # The same quotes as two folders: a bucket that spans both still gives one bar.
+    folders = [work_path(t.spark, "odd"), work_path(t.spark, "even")]
+    for rest, folder in zip((1, 0), folders):
+        t.quotes.where(F.col("seq") % 2 == rest).write.parquet(folder)
+    odd, even = (t.spark.read.parquet(folder) for folder in folders)
     return _shown(resample.resample_bars(odd.unionByName(even), "4h"))
 
 
@@ -276,6 +279,33 @@ def _(t):
     return _alphas(signals.build_features(t.bars, "1d", [_Z, _M]))
 
 
+def _grid_sql(texts):
+    """All formulas of a table in one scan, as a list of hash and value per bar."""
+    return "[" + ", ".join(f"{{'h': {_hash_sql(text)}, 'a': {sql}}}" for text, sql in texts.items()) + "]"
+
+
+_GRID = {}
+for _d in range(2, 10):
+    _back = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {_d - 1} PRECEDING AND CURRENT ROW)"
+    _GRID[f"delta(close,{_d})"] = f"close - lag(close, {_d}) OVER {_ORDER}"
+    _GRID[f"sub(close,ts_mean(close,{_d}))"] = f"CASE WHEN count(*) OVER {_back} = {_d} THEN close - avg(close) OVER {_back} END"
+    _GRID[f"ts_max(delta(close,1),{_d})"] = f"CASE WHEN count(*) OVER {_back} = {_d} THEN max(step) OVER {_back} END"
+
+
+@check("job02_build_catalog", f"""
+    WITH b AS MATERIALIZED (SELECT symbol, ts, close, close - lag(close, 1) OVER {_ORDER} AS step FROM fx_bars),
+    w AS (SELECT symbol, ts, {_grid_sql(_GRID)} AS found FROM b),
+    e AS (SELECT symbol, ts, unnest(found) AS f FROM w)
+    SELECT f.h AS feature_hash, '1d' AS freq, symbol AS ticker, ts AS timestamp, round(f.a, 6) AS alpha FROM e WHERE f.a IS NOT NULL""")
+def _(t):
+    # the catalogue is written and read back; its formulas share subtrees and take more than one pass
+    root = work_path(t.spark, "catalog")
+    rows = t.spark.createDataFrame([("1d", text) for text in _GRID], "frequency string, alpha string")
+    catalogs.write_catalog(rows, root)
+    catalog = catalogs.read_alpha_catalog(t.spark, root, multi_line=False)
+    return _alphas(signals.build_catalog(t.bars.withColumn("freq", F.lit("1d")), catalog, batch=8))
+
+
 @check("src04_write_feature", f"""
     SELECT feature_hash, freq, ticker, timestamp, round(alpha, 6) AS alpha FROM ({_M_SQL}) f WHERE alpha IS NOT NULL""")
 def _(t):
@@ -376,8 +406,9 @@ def flagship(t):
     """Daily bars of the event stream, a range signal, and its backtest."""
     # The bars feed the signal and the prices; they are small and written once.
     daily = cut_lineage(resample.resample_bars(t.quotes, "1d"))
-    features = signals.build_feature(daily, "1d", _Z)
-    curve = bt.backtest(bt.features_with_prices(features, daily))
+    largest = largest_group(daily, ["symbol"])
+    features = signals.build_feature(daily, "1d", _Z, largest=largest)
+    curve = bt.backtest(bt.features_with_prices(features, daily), largest=largest)
     return curve.select(plain_ts("timestamp").alias("timestamp"), r6("pnl").alias("pnl"), r6("cum_pnl").alias("cum_pnl"))
 
 

@@ -32,6 +32,17 @@ def arity(name: str) -> tuple[int, int]:
     return (_PLAIN.get(name) or _SERIES[name])[1]
 
 
+def lookup(name: str, count: int) -> tuple[Callable[..., Column], bool]:
+    """The function and whether it takes the series first; an unknown name or a wrong number of arguments is an error."""
+    found = _PLAIN.get(name) or _SERIES.get(name)
+    if found is None:
+        raise ValueError(f"unknown function: {name}")
+    make, (low, high) = found
+    if not low <= count <= high:
+        raise ValueError(f"{name} takes {low} to {high} arguments, got {count}")
+    return make, name in _SERIES
+
+
 def compose(tree, series: Series, columns: Iterable[str] | None = None) -> Column:
     """Build the Column of a formula; unknown names, columns and argument counts are errors."""
     if isinstance(tree, (int, float)) and not isinstance(tree, bool):
@@ -41,14 +52,9 @@ def compose(tree, series: Series, columns: Iterable[str] | None = None) -> Colum
             raise ValueError(f"unknown column: {tree}")
         return n.col(tree)
     name, *args = tree
-    found = _PLAIN.get(name) or _SERIES.get(name)
-    if found is None:
-        raise ValueError(f"unknown function: {name}")
-    make, (low, high) = found
-    if not low <= len(args) <= high:
-        raise ValueError(f"{name} takes {low} to {high} arguments, got {len(args)}")
+    make, over_series = lookup(name, len(args))
     built = [compose(a, series, columns) for a in args]
-    return make(series, *built) if name in _SERIES else make(*built)
+    return make(series, *built) if over_series else make(*built)
 
 
 def render(tree) -> str:

@@ -19,16 +19,20 @@ def features_with_prices(features: DataFrame, bars: DataFrame) -> DataFrame:
     return features.join(prices, ["ticker", "timestamp"])
 
 
-def add_forward_return(df: DataFrame, lookahead: int = 1, out: str = "ret", rows_per_task: int | None = None) -> DataFrame:
-    """Return over the next `lookahead` rows of the same ticker; rows without one are dropped."""
+def add_forward_return(df: DataFrame, lookahead: int = 1, out: str = "ret", rows_per_task: int | None = None,
+                       largest: int | None = None) -> DataFrame:
+    """Return over the next `lookahead` rows of the same ticker; rows without one are dropped.
+
+    Here and below `largest` is a known bound on the rows of a ticker; without it they are counted, which runs the
+    plan behind `df` once more."""
     series = scale.Series(["ticker"], ["timestamp"])
-    found = scale.evaluate(df, series, {out: lambda s: forward_return(s, "close", lookahead)}, rows_per_task)
+    found = scale.evaluate(df, series, {out: lambda s: forward_return(s, "close", lookahead)}, rows_per_task, largest)
     return found.dropna(subset=[out])
 
 
-def positions(df: DataFrame, lookahead: int = 1, rows_per_task: int | None = None) -> DataFrame:
+def positions(df: DataFrame, lookahead: int = 1, rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
     """ticker, timestamp, position, ret, pnl per row."""
-    held = neutralise(add_forward_return(df, lookahead, rows_per_task=rows_per_task))
+    held = neutralise(add_forward_return(df, lookahead, rows_per_task=rows_per_task, largest=largest))
     return held.withColumn("pnl", finite(F.col("position") * F.col("ret")))
 
 
@@ -44,24 +48,21 @@ def pnl_curve(rows: DataFrame, pnl: str = "pnl", rows_per_task: int | None = Non
 
 
 def row_curve(rows: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Running PnL row by row in (timestamp, ticker) order: total of earlier instants plus the running
-    sum inside the instant."""
-    curve = pnl_curve(rows, rows_per_task=rows_per_task)
-    before = curve.select("timestamp", (F.col("cum_pnl") - F.coalesce("pnl", F.lit(0.0))).alias("__before"))
-    inside = scale.running_total(rows, ["timestamp"], ["ticker"], "pnl", "__inside", rows_per_task)
-    return (
-        inside.join(before, "timestamp")
-        .withColumn("cum_pnl", F.col("__before") + F.coalesce("__inside", F.lit(0.0)))
-        .drop("__before", "__inside")
-    )
+    """Running PnL row by row in (timestamp, ticker) order; a missing PnL adds nothing.
 
+    The rows are written once. Sums of ordered pieces and the rows themselves are read from there, so the plan behind
+    them runs once, and each piece starts from the sum of those before it."""
+    stored = cut_lineage(rows)
+    total = scale.running_total(stored, [], ["timestamp", "ticker"], "pnl", "cum_pnl", rows_per_task)
+    return total.withColumn("cum_pnl", F.coalesce("cum_pnl", F.lit(0.0)))
 
-def backtest(df: DataFrame, lookahead: int = 1, rows_per_task: int | None = None) -> DataFrame:
+
+def backtest(df: DataFrame, lookahead: int = 1, rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
     """timestamp, pnl, cum_pnl from (timestamp, ticker, alpha, close).
 
     The curve needs only sums per instant, so positions are never joined back to the rows.
     """
-    held = centred(add_forward_return(df, lookahead, rows_per_task=rows_per_task))
+    held = centred(add_forward_return(df, lookahead, rows_per_task=rows_per_task, largest=largest))
     sums = held.groupBy("timestamp").agg(F.sum(F.abs("z")).alias("gross"), F.sum(F.col("z") * F.col("ret")).alias("gain"))
     per_instant = sums.select("timestamp", finite(BOOK_SIZE * F.col("gain") / divisor("gross")).alias("pnl"))
     return _accumulated(per_instant, rows_per_task)
@@ -80,10 +81,13 @@ def metrics(curve: DataFrame, periods_per_year: float = 252.0, rows_per_task: in
     )
 
 
-def with_costs(rows: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Half the closing spread on the change of position since the ticker's previous row."""
+def with_costs(rows: DataFrame, rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
+    """Half the closing spread on the change of position since the ticker's previous row.
+
+    Unless `largest` bounds the rows of a ticker, the rows are written once, counted, and read from there."""
     series = scale.Series(["ticker"], ["timestamp"])
-    moved = scale.evaluate(rows, series, {"__prior": lambda s: delay(s, "position", 1)}, rows_per_task)
+    rows = rows if largest is not None else cut_lineage(rows)
+    moved = scale.evaluate(rows, series, {"__prior": lambda s: delay(s, "position", 1)}, rows_per_task, largest)
     mid = (F.col("close_ask_price") + F.col("close_bid_price")) / 2
     half = F.try_divide(F.col("close_ask_price") - F.col("close_bid_price"), 2 * mid)
     turnover = F.abs(F.col("position") - F.coalesce("__prior", F.lit(0.0)))

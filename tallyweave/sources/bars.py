@@ -11,8 +11,9 @@ from tallyweave.schemas import BAR_COLUMNS, BAR_TABLE, FEATURE_TABLE, QUOTE_FILE
 def read_quotes(spark: SparkSession, glob: str, partitions: int | None = None) -> DataFrame:
     """Quotes from gzipped CSV files named `..._{symbol}.csv.gz`, or folders of parts so named.
 
-    A gzip file is one task; the rows are spread again by (symbol, minute) before any later work, so a
-    symbol with most of the quotes is spread too.
+    A gzip file is one task, and the ticks stay there: bars are aggregated file by file before anything moves, so only
+    the partial bars of buckets are exchanged, and those that files share are merged. Work that needs the ticks
+    themselves spread sets `partitions`, which spreads them by (symbol, minute).
     """
     raw = spark.read.schema(QUOTE_FILE).option("header", True).csv(glob)
     symbol = F.regexp_extract(F.input_file_name(), r"_([^_/]+)\.csv(?:\.gz)?(?:/[^/]*)?$", 1)
@@ -20,21 +21,25 @@ def read_quotes(spark: SparkSession, glob: str, partitions: int | None = None) -
         symbol.alias("symbol"), F.timestamp_micros("timestamp").alias("ts"), F.col("timestamp").alias("seq"),
         finite("bid_price").alias("bid_price"), finite("ask_price").alias("ask_price"),
     ).withColumn("mid_price", (F.col("bid_price") + F.col("ask_price")) / 2)
-    spread = [F.col("symbol"), F.date_trunc("minute", "ts")]
-    return quotes.repartition(partitions, *spread) if partitions else quotes.repartition(*spread)
+    return quotes.repartition(partitions, "symbol", F.date_trunc("minute", "ts")) if partitions else quotes
 
 
 def with_month(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
 
 
+def gathered(df: DataFrame, *folders: str) -> DataFrame:
+    """Rows of one folder together, in shares of about the advised size."""
+    return df.hint("rebalance", *[F.col(c) for c in folders])
+
+
 def write_bars(bars: DataFrame, root: str) -> None:
     """One folder per symbol, frequency, year and month; only the folders present are replaced.
 
-    Rows are gathered by folder and day, so that a folder gets few files and a big one several.
+    Rows are gathered by folder; adaptive execution cuts a folder above `spark.sql.adaptive.advisoryPartitionSizeInBytes`
+    into several tasks and puts small ones into one, so a folder has a file for each such share.
     """
-    keyed = with_month(bars).repartition("symbol", "freq", "year", "month", F.dayofmonth("ts"))
-    (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (gathered(with_month(bars), "symbol", "freq", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("symbol", "freq", "year", "month").parquet(root))
 
 
@@ -58,8 +63,7 @@ def canonical_columns(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def write_feature(features: DataFrame, root: str) -> None:
-    (features.repartition("feature_hash", "freq", F.date_trunc("month", "timestamp"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (gathered(features, "feature_hash", "freq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("feature_hash", "freq").parquet(root))
 
 

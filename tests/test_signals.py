@@ -3,10 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.functions import numeric as n, registry, rolling as r
+from tallyweave.functions import graph, numeric as n, registry, rolling as r
 from tallyweave.operators import crosssection, resample
 from tallyweave.plans import backtest as bt, signals
 from tallyweave.scale import Series, evaluate
+from tallyweave.sources import bars as files
 
 
 def column(df, name):
@@ -178,3 +179,94 @@ def test_bar_edges_and_ties(spark):
         assert direct.exceptAll(every.where(F.col("freq") == freq)).isEmpty()
     coarse = resample.coarsen(resample.resample_bars(quotes, "1min"), "15min")
     assert coarse.exceptAll(resample.resample_bars(quotes, "15min")).isEmpty()
+
+
+def test_formulas_of_a_catalogue(spark, tmp_path):
+    assert graph.read_formula(" ts_zscore(div(sub(high,low),close), 5) ") == ["ts_zscore", ["div", ["sub", "high", "low"], "close"], 5]
+    assert graph.read_formula('["delta", "close", 3]') == ["delta", "close", 3] and graph.read_formula("mul(x,-2.5)") == ["mul", "x", -2.5]
+    for bad in ("", "close +", "a.b(c)", "delta(close,d=3)", "close > 3", "__import__('os')"):
+        with pytest.raises(ValueError):
+            graph.read_formula(bad)
+
+
+def test_graph_shares_subtrees(spark):
+    g = graph.Graph(["high", "low", "close"])
+    g.add(["ts_zscore", ["div", ["sub", "high", "low"], "close"], 5])
+    g.add(["ts_mean", ["ts_max", ["sub", "high", "low"], 3], 4])
+    assert len(g.nodes) == 5 and [g.nodes[k].step for k in g.under(g.nodes)] == [(0, 1), (0, 2), (1, 0), (1, 0), (2, 0)]
+    assert g.shared([["ts_zscore(div(sub(high,low),close),5)"], ["ts_mean(ts_max(sub(high,low),3),4)"]]) == ["sub(high,low)"]
+    for tree in (["nothing", "close"], ["add", "close"], ["add", "close", "volume"]):
+        with pytest.raises(ValueError):
+            g.add(tree)
+
+
+@pytest.mark.parametrize("limit, batch", [(None, 100), (20, 3)])
+def test_features_of_a_catalogue(spark, limit, batch):
+    draw = random.Random(7)
+    rows = [(s, f, d, draw.choice([None, draw.random()]), draw.random()) for s, n in [("A", 70), ("B", 9)] for f in ("1d", "1h") for d in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, freq string, d int, x double, close double").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + 86400 * F.col("d")))
+    texts = ["delta(x,2)", "ts_mean(delta(x,2),3)", "ts_rank(ts_mean(delta(x,2),3),4)", "ts_argmin(close,5)", "close",
+             "add(ts_rank(close,6),ts_argmax(ts_rank(close,6),3))", "ts_max(ts_min(ts_sum(close,3),3),3)"]
+    catalog = spark.createDataFrame([("1d", t) for t in texts] + [("1d", texts[0]), ("1h", texts[3]), ("4h", "close"), (None, "x"), ("1d", None)],
+                                    "frequency string, alpha string")
+    found = signals.build_catalog(bars, catalog, limit, batch)
+    got = {(r.feature_hash, r.freq, r.ticker, r.timestamp): r.alpha for r in found.collect()}
+    assert found.count() == len(got)
+    wanted = {}
+    for freq, text in [*[("1d", t) for t in texts], ("1h", texts[3])]:
+        s = Series(["symbol"], ["ts"])
+        alone = evaluate(bars.where(F.col("freq") == freq), s, {"y": lambda s: n.finite(registry.compose(graph.read_formula(text), s))})
+        digest = spark.range(1).select(signals.feature_hash(freq, text)).first()[0]
+        wanted.update({(digest, freq, r.symbol, r.ts): r.y for r in alone.where("y IS NOT NULL").collect()})
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(v) for k, v in wanted.items())
+    assert signals.build_catalog(bars, catalog.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        signals.build_catalog(bars, spark.createDataFrame([("1d", "nothing(x)")], "frequency string, alpha string"))
+
+
+@pytest.mark.parametrize("limit", [None, 25])
+def test_row_curve_and_costs(spark, limit):
+    draw = random.Random(3)
+    rows = [(d, k, draw.choice([None, round(draw.uniform(-5, 5), 2)]), float(draw.randrange(-3, 4))) for d in range(40) for k in "ABC"]
+    df = spark.createDataFrame(rows, "d int, ticker string, pnl double, position double").withColumn(
+        "timestamp", F.timestamp_seconds(F.col("d") * 60)).withColumn("close_ask_price", F.lit(101.0)).withColumn("close_bid_price", F.lit(99.0))
+    curve = bt.row_curve(df, limit).orderBy("timestamp", "ticker").collect()
+    total = 0.0
+    for row, (_, _, pnl, _) in zip(curve, sorted(rows, key=lambda r: r[:2]), strict=True):
+        total += pnl or 0.0
+        assert row.cum_pnl == pytest.approx(total)
+    held = {(d, k): p for d, k, _, p in rows}
+    for row in bt.with_costs(df, limit).collect():
+        assert row.turnover == abs(row.position - held.get((row.d - 1, row.ticker), 0.0)) and row.cost == pytest.approx(row.turnover / 100)
+    assert bt.row_curve(df.limit(0), limit).collect() == []
+
+
+def test_quotes_stay_in_their_files_until_aggregated(spark, tmp_path):
+    rows = [(1_700_000_000_000_000 + 1_000_000 * i, float(i % 13), float(i % 13) + 1) for i in range(500)]
+    for part in (0, 1):
+        one = spark.createDataFrame(rows[part::2], "timestamp bigint, bid_price double, ask_price double").coalesce(1)
+        one.write.option("header", True).option("compression", "gzip").csv(f"{tmp_path}/{part}/quotes_S.csv")
+    quotes = files.read_quotes(spark, f"{tmp_path}/*/quotes_S.csv/*.csv.gz")
+    assert "Exchange" not in quotes._jdf.queryExecution().executedPlan().toString()
+    bars = resample.resample_bars(quotes, "1min").orderBy("ts").collect()
+    ends = {}
+    for us, bid, ask in rows:
+        ends.setdefault(-(-us // 60_000_000), []).append((bid + ask) / 2)
+    assert [(b.open, b.high, b.low, b.close) for b in bars] == [(m[0], max(m), min(m), m[-1]) for _, m in sorted(ends.items())]
+    assert {b.symbol for b in bars} == {"S"}
+
+
+def test_files_of_a_folder_follow_its_size(spark, tmp_path):
+    hours = spark.range(24 * 59).select(F.lit("S").alias("symbol"), F.lit("1h").alias("freq"), F.timestamp_seconds(
+        F.lit(1_704_067_200) + 3600 * F.col("id")).alias("ts"), F.rand(1).alias("open")).repartition(7)
+    files.write_bars(hours, f"{tmp_path}/few")
+    assert len(list(tmp_path.glob("few/symbol=S/freq=1h/*/*/*.parquet"))) == 2
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8KB")
+    try:
+        files.write_bars(hours, f"{tmp_path}/more")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert 2 < len(list(tmp_path.glob("more/symbol=S/freq=1h/*/*/*.parquet"))) <= 16
+    assert spark.read.parquet(f"{tmp_path}/more").select("ts", "open").exceptAll(hours.select("ts", "open")).isEmpty()
+    assert spark.read.parquet(f"{tmp_path}/more").count() == 24 * 59
