@@ -48,13 +48,17 @@ def pnl_curve(rows: DataFrame, pnl: str = "pnl", rows_per_task: int | None = Non
 
 
 def row_curve(rows: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Running PnL row by row in (timestamp, ticker) order; a missing PnL adds nothing.
+    """Running PnL row by row in (timestamp, ticker) order: total of earlier instants plus the running
+    sum inside the instant; a missing PnL adds nothing.
 
-    The rows are written once. Sums of ordered pieces and the rows themselves are read from there, so the plan behind
-    them runs once, and each piece starts from the sum of those before it."""
+    The rows are written once. The sums per instant and the rows themselves are read from there, so the plan behind them
+    runs once. Two levels of sums also keep the rounding error of long curves small."""
     stored = cut_lineage(rows)
-    total = scale.running_total(stored, [], ["timestamp", "ticker"], "pnl", "cum_pnl", rows_per_task)
-    return total.withColumn("cum_pnl", F.coalesce("cum_pnl", F.lit(0.0)))
+    curve = pnl_curve(stored, rows_per_task=rows_per_task)
+    before = curve.select("timestamp", (F.col("cum_pnl") - F.coalesce("pnl", F.lit(0.0))).alias("__before"))
+    inside = scale.running_total(stored, ["timestamp"], ["ticker"], "pnl", "__inside", rows_per_task)
+    total = F.coalesce("__before", F.lit(0.0)) + F.coalesce("__inside", F.lit(0.0))
+    return inside.join(before, "timestamp").withColumn("cum_pnl", total).drop("__before", "__inside")
 
 
 def backtest(df: DataFrame, lookahead: int = 1, rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
