@@ -139,13 +139,24 @@ def _(t):
 
 
 @check("src12_scan_chat_tables", """
-    SELECT CAST(u.id AS VARCHAR) AS id, u.name, count(p.permission) AS permissions FROM fx_users u
-    LEFT JOIN fx_permissions p ON p.user_id = u.id WHERE u.id % 2 = 0 GROUP BY u.id, u.name""")
+    SELECT CAST(u.id AS VARCHAR) AS id, u.name, coalesce(p.n, 0) AS permissions, coalesce(c.n, 0) AS conversations,
+           coalesce(m.n, 0) AS messages, coalesce(m.size, 0) AS size FROM fx_users u
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_permissions GROUP BY user_id) p ON p.user_id = u.id
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_calls GROUP BY user_id) c ON c.user_id = u.id
+    LEFT JOIN (SELECT k.user_id, count(*) AS n, CAST(sum(coalesce(length(g.content), 0)) AS BIGINT) AS size FROM fx_messages g
+               JOIN fx_calls k ON k.id = g.conversation_id GROUP BY k.user_id) m ON m.user_id = u.id""")
 def _(t):
-    root = work_path(t.spark, "store")
-    now = F.lit("2024-03-01").cast("timestamp")
-    tb.append_rows(t.users.select(F.col("id").cast("string").alias("id"), "name"), root, "users", now)
-    tb.append_rows(t.permissions.select(F.col("user_id").cast("string").alias("user_id"), "permission"), root, "permissions", now)
-    users = tb.scan_table(t.spark, root, "users").where(F.col("id").cast("bigint") % 2 == 0)
-    counts = tb.scan_table(t.spark, root, "permissions").groupBy(F.col("user_id").alias("id")).agg(F.count("permission").alias("permissions"))
-    return users.join(counts, "id", "left").select("id", "name", F.coalesce("permissions", F.lit(0)).alias("permissions"))
+    root, now = work_path(t.spark, "store"), F.lit("2024-03-01").cast("timestamp")
+    for table, rows in {"users": t.users.select("id", "name"), "permissions": t.permissions, "messages": t.messages,
+                        "conversations": t.calls.select("id", "user_id")}.items():
+        tb.append_rows(rows, root, table, now)
+    users, permissions, messages, conversations = (
+        tb.scan_table(t.spark, root, table) for table in ("users", "permissions", "messages", "conversations"))
+    said = messages.groupBy(F.col("conversation_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("size"))
+    per_user = conversations.select("id", "user_id").join(said, "id", "left").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("conversations"), F.sum("n").alias("messages"), F.sum("size").alias("size"))
+    granted = permissions.groupBy("user_id").agg(F.count(F.lit(1)).alias("permissions"))
+    known = users.select(F.col("id").alias("user_id"), "name").join(granted, "user_id", "left").join(per_user, "user_id", "left")
+    return known.select(F.col("user_id").alias("id"), "name", *[
+        F.coalesce(c, F.lit(0)).alias(c) for c in ("permissions", "conversations", "messages", "size")])

@@ -314,6 +314,27 @@ def _(t):
             F.concat(F.lpad(F.lower(F.hex(i)), 8, "0"), F.lit("-0000-4000-8000-000000000000"))).alias("account_id"))
     return va.check(raw, va.strict_transaction_rules()).select("id", lines("violations").alias("violations"))
 
+
+@check("val07_strict_accounts", "SELECT id, " + _codes(
+    ("name.min", "id % 4 <> 0"), ("type.only", "id % 3 = 0"), ("currency.length", "id % 5 <> 0")) + " AS violations FROM fx_accounts")
+def _(t):
+    i = F.col("id")
+    raw = t.accounts.select(
+        "id", F.when(i % 4 == 0, "").otherwise(F.col("name")).alias("name"),
+        F.when(i % 3 == 0, "savings").otherwise(F.col("type")).alias("type"),
+        F.when(i % 5 == 0, "US").otherwise(F.col("currency")).alias("currency"))
+    return va.check(raw, va.strict_account_rules()).select("id", lines("violations").alias("violations"))
+
+
+@check("val07_strict_ranges", "SELECT id, " + _codes(
+    ("start_date.datetime", "id % 3 <> 0"), ("end_date.datetime", "id % 4 <> 0")) + " AS violations FROM fx_transactions")
+def _(t):
+    i, day = F.col("id"), F.col("date").cast("string")
+    raw = t.transactions.select(
+        "id", F.when(i % 3 == 0, day).otherwise(F.concat(day, F.lit("T00:00:00Z"))).alias("start_date"),
+        F.when(i % 4 == 0, F.concat(day, F.lit(" 23:59:59"))).otherwise(F.concat(day, F.lit("T23:59:59.999Z"))).alias("end_date"))
+    return va.check(raw, va.strict_range_rules()).select("id", lines("violations").alias("violations"))
+
 # --- joins ----------------------------------------------------------------------------------------
 
 _EARLY = "date BETWEEN DATE '1995-01-01' AND DATE '1995-02-15'"

@@ -131,9 +131,9 @@ def conversation_history(turns: DataFrame, key: str, order: list[str], fields: l
     The full history of a turn is the first `earlier` turns of its transcript; it is not copied per row.
     """
     series = scale.Series([key], order)
-    recent = scale.evaluate(scale.ordinal(turns, [key], order, "__n", rows_per_task), series, {
+    recent = scale.evaluate(turns, series, {
         "history": lambda s: F.collect_list(F.struct(*fields)).over(s.between(-n, -1)),
-    }, rows_per_task)
+    }, rows_per_task, position="__n")
     return recent.withColumn("earlier", F.col("__n") - 1).drop("__n")
 
 
@@ -141,8 +141,7 @@ def status_history(changes: DataFrame, key: str = "id", order: tuple[str, ...] =
                    rows_per_task: int | None = None) -> DataFrame:
     """Every dated status with the one before it and its version number; `is_current` marks the last."""
     series = scale.Series([key], list(order))
-    numbered = scale.ordinal(changes, [key], list(order), "version", rows_per_task)
-    return scale.evaluate(numbered, series, {
+    return scale.evaluate(changes, series, {
         "previous": lambda s: F.lag("status").over(s.previous(1)),
         "is_current": lambda s: F.lead(F.lit(1)).over(s.following(1)).isNull(),
-    }, rows_per_task)
+    }, rows_per_task, position="version")

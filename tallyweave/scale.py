@@ -297,14 +297,18 @@ def add_columns(df: DataFrame, series: Series, built: dict[str, Column]) -> Data
 
 def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], back: int, ahead: int,
               build: Callable[[DataFrame], DataFrame], rows_per_task: int | None = None,
-              largest: int | None = None) -> DataFrame:
+              largest: int | None = None, position: str | None = None) -> DataFrame:
     """`build` over rows whose `__block` holds at most a task's share of a key, each block with the `back` rows before
-    it and the `ahead` rows after it."""
+    it and the `ahead` rows after it. `position` names a column for the 1-based place of a row in its key."""
     limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
     if largest is None:
         largest = largest_group(df, by)
     if largest <= limit:
-        return build(df.withColumn("__block", F.lit(0))).drop("__block")
+        whole = df.withColumn("__block", F.lit(0))
+        if position:
+            ordered = W.partitionBy(*by, "__block").orderBy(*order)
+            whole = whole.withColumn(position, F.row_number().over(ordered).cast("bigint"))
+        return build(whole).drop("__block")
     size = max(limit, back + ahead + 1)
     at = F.col("__at") - 1
     blocks = F.sequence(F.floor((at - ahead) / size), F.floor((at + back) / size))
@@ -313,16 +317,19 @@ def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], back: int,
         .withColumn("__home", F.floor(at / size))
         .withColumn("__block", F.explode(blocks))
     )
+    if position:
+        spread = spread.withColumn(position, F.col("__at"))
     return build(spread).where("__home = __block").drop("__at", "__home", "__block")
 
 
 def evaluate(df: DataFrame, series: Series, columns: dict[str, Callable[[Series], Column]],
-             rows_per_task: int | None = None, largest: int | None = None) -> DataFrame:
+             rows_per_task: int | None = None, largest: int | None = None, position: str | None = None) -> DataFrame:
     """Add bounded-reach window columns. Keys longer than a task's share are split into blocks of
     consecutive rows; each block also receives the neighbours its windows reach.
 
     `largest` is a known bound on the rows of a key; it saves the count, which otherwise runs the plan behind
-    `df` once more (give a stored table where that plan is long)."""
+    `df` once more (give a stored table where that plan is long). `position` names a column for the 1-based place of a
+    row in its key, from the same count and order."""
     built = {name: make(series) for name, make in columns.items()}
     return in_blocks(df, series.by, series.order, series.back, series.ahead,
-                     lambda rows: add_columns(rows, series, built), rows_per_task, largest)
+                     lambda rows: add_columns(rows, series, built), rows_per_task, largest, position)
