@@ -351,7 +351,8 @@ def _cut(text: str | None, spans: list[dict]) -> bytes:
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per document: `doc_id`, `n_bytes`, `n_removed`, `n_spans` and `kept_sha256` of the remaining bytes.
+    """Per document: `doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256` of the remaining bytes, and those as `text`
+    (a character that is cut in part goes as a whole; the digest is that of the bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document too. Null
     texts are empty. Every row gives a row, repeated ones too (they remove each other if they are long enough); other
@@ -359,15 +360,23 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("tid"),
-                       F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+                       F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"), text.alias("text"))
     spans = repeated_spans(docs, length)
 
+    def cut(batches):
+        for batch in batches:
+            texts, spans_ = (batch.column(c).to_pylist() for c in ("text", "spans"))
+            kept = [t if not s else _cut(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans_)]
+            fixed = [batch.column(k) for k in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(kept, pa.string())], names=[*batch.schema.names[:-2], "text"])
+
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    facts = spans.select("tid", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    facts = spans.select("tid", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans")
     zero = F.lit(0).cast("long")
-    return rows.join(facts, "tid", "left").select(
+    report = rows.join(facts, "tid", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "text", "spans")
+    return report.mapInArrow(cut, report.drop("spans").schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
