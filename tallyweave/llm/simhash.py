@@ -8,7 +8,8 @@ more fingerprints than one task should compare is refined by the same rule on th
 
 Texts that share 0.8 of their shingles of five words differ in about 15% of the bits of any such fingerprint, which no
 number of wildcards finds at bearable cost. `keep_one` therefore finds candidates by the least values of their shingles
-under many hash functions, taken in bands, and counts the shingles that each candidate pair shares.
+under many hash functions, taken in bands, and counts the shingles that each candidate pair shares. Texts are compared within
+a band's group, in pairs of blocks; what hangs together by chains of candidates only is never brought together.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import components, forest, words_of
+from tallyweave.llm.common import components, forest, stored, words_of
 from tallyweave.scale import small
 from tallyweave.session import cut_lineage
+from tallyweave.streaming.events import settings
 
 SEED = 42
 #: Fingerprints of one bucket that a task compares with each other.
@@ -32,9 +34,8 @@ BUCKET = 2048
 BANDS, VALUES = 32, 5
 #: Texts and shingles of a block; a task compares two blocks at most.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
-#: For `similar_links`, bits in which near copies may differ: of 64 for the distinct words, and of 256 for the shingles of five words. A shingle
-#: similarity of 0.8 gives 38 different bits on average, one of 0.7 gives 49.
-WORD_BITS, SHINGLE_BITS = 10, 47
+#: Bands whose groups are compared first; the others then compare only what is still apart.
+FIRST_BANDS = 4
 
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 1 << 64, BANDS * VALUES, dtype=np.uint64)
@@ -140,9 +141,10 @@ def near_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
         raise ValueError("two segments find up to three differing bits")
     spark = prints.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    # each fingerprint becomes 64 rows: spread them first
+    # each fingerprint becomes 64 rows: spread them first, by another hash than the one that `prints` may be dealt by already
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.select("fp", F.lit(0).cast("long").alias("fixed")).repartition(parts, "fp")
+    rows = prints.select("fp", F.lit(0).cast("long").alias("fixed")).repartition(
+        parts, F.xxhash64("fp", F.lit(parts)))
     for level in (1, 2, 3):
         keyed = rows.mapInArrow(lambda it, level=level: _variants(it, level), "fixed long, value long, fp long")
         # cut off, so that both sides of the join are plain exchanges and a frequent variant's rows can be split
@@ -180,96 +182,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _wildcards(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under the 64 variants that fix one segment but for a bit; `bit` names the variant."""
-    cuts = [64 * k // segments for k in range(segments + 1)]
-    for batch in batches:
-        prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for low, high in zip(cuts, cuts[1:]):
-            for bit in range(low, high):
-                kept = prints & np.uint64(((1 << high) - (1 << low)) ^ (1 << bit))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(prints), bit, np.int32)), pa.array(kept.view(np.int64)),
-                     *[batch.column(c) for c in ("node", "fp", "shingles")]], names=["bit", "value", "node", "fp", "shingles"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch], word_bits: int, shingle_bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for members in batch.column("members"):
-            node, fp = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "fp"))
-            fp = fp.view(np.uint64)
-            shingles = np.frombuffer(b"".join(members.values.field("shingles").to_pylist()), np.uint64).reshape(-1, 4)
-            for at in range(0, len(node) - 1, 256):
-                i, j = np.nonzero(np.bitwise_count(fp[at:at + 256, None] ^ fp[None, at + 1:]) <= word_bits)
-                later = j >= i
-                i, j = i[later] + at, j[later] + at + 1
-                near = np.bitwise_count(shingles[i] ^ shingles[j]).sum(axis=1, dtype=np.int64) <= shingle_bits
-                for x, y in forest(node[i[near]], node[j[near]]):
-                    a.append(x)
-                    b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+def _similar_pairs(nodes: np.ndarray, roots: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of nodes that share 0.8 of their shingles, as few as connect all that such pairs connect.
 
-def similar_links(prints: DataFrame, segments: int = 4, word_bits: int = WORD_BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
-    """Links (a, b) between rows of distinct `node`, `fp`, `shingles` that are near in both fingerprints.
-
-    Pairs with up to 2 * segments - 1 bits between their word fingerprints share a variant for certain, others by chance. A
-    variant shared by more than BUCKET rows is compared in pairs of blocks, so no task holds more than two blocks of it
-    and no pair is left out.
+    Nodes of one root are connected already. Of two blocks (`own`) only pairs across them are compared, each block being
+    compared with itself elsewhere. All overlaps of a set are counted at once, over postings of the shingles.
     """
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.repartition(parts, "node")
-    keyed = rows.mapInArrow(lambda it: _wildcards(it, segments), "bit int, value long, node long, fp long, shingles binary")
-    shared = cut_lineage(keyed.groupBy("bit", "value").agg(F.count("*").alias("n")).where("n > 1"))
-    blocks = F.ceil(F.col("n") / BUCKET).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    paired = keyed.join(shared, ["bit", "value"]).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    groups = paired.groupBy("bit", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
-        F.collect_list(F.struct("node", "fp", "shingles")).alias("members")).select("members")
-    return groups.mapInArrow(lambda it: _verified(it, word_bits, shingle_bits), "a long, b long").distinct()
-
-
-def _similar_pairs(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of nodes that share a band and 0.8 of their shingles, as few as connect all that such pairs connect."""
-    bands = np.stack([bands_of(s) for s in sets])
-    parent, failed, kept = list(range(len(sets))), set(), []
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def similar(x: int, y: int) -> bool:
-        n = len(sets[x]) + len(sets[y])
-        # the smaller set alone must be enough: shared / (n - shared) >= 4 / 5
-        return 9 * min(len(sets[x]), len(sets[y])) >= 4 * n and 9 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 4 * n
-
-    for band in bands.T:
-        by = np.argsort(band, kind="stable")
-        for group in np.split(by, np.flatnonzero(np.diff(band[by])) + 1):
-            found: dict[int, list[int]] = {}
-            for y in group.tolist() if len(group) > 1 else []:
-                for root in list(found):
-                    for x in found[root] if top(root) != top(y) else []:
-                        pair = (min(x, y), max(x, y))
-                        if pair in failed:
-                            continue
-                        if similar(x, y):
-                            parent[top(x)] = top(y)
-                            kept.append((int(nodes[x]), int(nodes[y])))
-                            break
-                        failed.add(pair)
-                joined: dict[int, list[int]] = {}
-                for root, members in found.items():
-                    if top(root) in joined:
-                        joined[top(root)] += members
-                    else:
-                        joined[top(root)] = members
-                joined.setdefault(top(y), []).append(y)
-                found = joined
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    shingles, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
+    n = np.bincount(code, minlength=len(shingles))
+    starts, ends = np.cumsum(n) - n, np.cumsum(sizes)
+    labels, kept, across = np.unique(roots, return_inverse=True)[1], [], bool((own != own[0]).any())
+    for y in range(len(sets)):
+        others = labels != labels[y]
+        if not others.any():
+            continue
+        mine = code[ends[y] - sizes[y]:ends[y]]
+        count = n[mine]
+        places = np.repeat(starts[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(owners[places], minlength=len(sets))
+        near = others & (9 * shared >= 4 * (sizes + sizes[y]))
+        if across:
+            near &= own != own[y]
+        for x in np.flatnonzero(near).tolist():
+            if labels[x] != labels[y]:
+                labels[labels == labels[x]] = labels[y]
+                kept.append((int(nodes[x]), int(nodes[y])))
     return kept
 
 
@@ -277,69 +216,90 @@ def _verified_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         pairs = []
         for members in batch.column("members"):
-            node = members.values.field("node").to_numpy(zero_copy_only=False)
-            pairs += _similar_pairs(node, [np.frombuffer(x, np.uint64) for x in members.values.field("shingles").to_pylist()])
+            node, root, own = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "own"))
+            pairs += _similar_pairs(node, root, own, [np.frombuffer(x, np.uint64) for x in members.values.field("shingles").to_pylist()])
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def shingle_links(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Links (a, b) between the numbers of shingle sets of which 0.8 is shared (intersection by union, counted).
+def _band_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between `node`s of a band's `value` that share 0.8 of their shingles (`sets`).
 
-    Sets that share a band are candidates. Those that candidates connect are compared in pairs of blocks, so that no task
-    holds more than two blocks of them.
+    Values whose nodes have one `root` give nothing, and of values with the same nodes one is compared. A value's nodes are
+    compared in pairs of blocks, so that no task holds more than two blocks.
     """
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(seed))) for seed in (1, 2)]
+    values = members.groupBy("value").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES, F.lit(1))).cast("int").alias("blocks"),
+        F.count("*").alias("n"), F.min("node").alias("least"), *[m.alias(f"mark{k}") for k, m in enumerate(mark)],
+        F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    # cut off, so that both sides of the join are plain exchanges and a frequent value's rows can be split
+    chosen = cut_lineage(values.groupBy("n", "least", "mark0", "mark1", "blocks").agg(F.min("value").alias("value")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    paired = members.join(small(chosen.select("value", "blocks")), "value").join(sets, "node").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = paired.groupBy("value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
+        F.collect_list(F.struct("node", "root", "own", "shingles")).alias("members")).select("members")
+    with settings(members.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}):
+        return cut_lineage(groups.mapInArrow(_verified_sets, "a long, b long").distinct())
+
+
+def _prepared(docs: DataFrame, shingle: int) -> DataFrame:
+    """`docs` as `row`, written once with a number `rid`, the set of its shingles, that set's number `node` and its bands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
-                                              pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary())], names=["node", "bands"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [shingle_set(t, shingle) for t in part.column("row").field("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("row"), pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
+                    pa.array([len(f[1]) for f in found], pa.int64()), pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary()),
+                    pa.array([f[1].tobytes() for f in found], pa.binary())], names=["row", "node", "size", "bands", "shingles"])
+
+    row = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = row.select("row").schema.add("node", "long").add("size", "long").add("bands", "binary").add("shingles", "binary")
+    return stored(row.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "near")
 
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(band, value, node, size) of all sets under the bands that they share with others."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
-            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(nodes)], names=["value", "node"])
+            repeated = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("node", "size")]
+            bands = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bands, values, *repeated)], names=["band", "value", "node", "size"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
-                                              pa.array([f[1].tobytes() for f in found], pa.binary())], names=["node", "shingles"])
-
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    prints = cut_lineage(texts.mapInArrow(bands, "node long, bands binary").distinct())
-    keyed = prints.mapInArrow(keys, "value long, node long")
-    # cut off, so that both sides of the join are plain exchanges and a frequent band's rows can be split
+    prints = cut_lineage(rows.select("node", "size", "bands").distinct())
+    keyed = prints.mapInArrow(keys, "band int, value long, node long, size long")
     shared = cut_lineage(keyed.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most"))
-    near = keyed.join(shared, "value").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    roots = components(near)
-    members = cut_lineage(texts.mapInArrow(sets, "node long, shingles binary").join(small(roots), "node").groupBy("root", "node").agg(
-        F.first("shingles").alias("shingles")))
-    blocks = members.groupBy("root").agg(F.ceil(F.greatest(
-        F.count("*") / BLOCK_TEXTS, F.sum(F.octet_length("shingles")) / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    paired = members.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = paired.groupBy("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(
-        F.collect_list(F.struct("node", "shingles")).alias("members")).select("members")
-    return groups.mapInArrow(_verified_sets, "a long, b long").distinct()
+    return cut_lineage(keyed.join(shared.select("value"), "value").select("band", "value", "node", "size"))
+
+
+def set_links(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links (a, b) between the numbers of shingle sets of which 0.8 is shared (intersection by union, counted).
+
+    Sets that share a band are compared. What the first bands have linked already is not compared again in the others,
+    where most groups are then one component and fall out.
+    """
+    members = _candidates(rows)
+    wanted = members.select("node").distinct().join(firsts.select("node", F.col("best.rid").alias("rid")), "node")
+    sets = cut_lineage(rows.select("rid", "shingles").join(small(wanted), "rid").select("node", "shingles"))
+    links = _band_links(members.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")), sets)
+    roots = cut_lineage(components(links))
+    rest = members.where(F.col("band") >= FIRST_BANDS).join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")) \
+        if FIRST_BANDS < BANDS else None
+    return links if rest is None else links.unionAll(_band_links(rest, sets))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest doc_id stays (no id: last).
 
     Texts are linked that share 0.8 of their different shingles. All columns of `docs` stay as they are. Exact repeats
-    and blank texts count as duplicates of each other.
+    and blank texts count as duplicates of each other; of repeated rows one stays. An empty table gives no rows.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("row").field("text").to_pylist()
-            nodes = np.array([shingle_set(t, shingle)[0] for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("row")], names=["node", "row"])
-
-    roots = components(shingle_links(docs, shingle))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = T.StructType([T.StructField("node", T.LongType()), whole.schema["row"]])
-    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"))
-    best = whole.mapInArrow(run, schema).groupBy("node").agg(F.min_by("row", order).alias("row"))
-    best = best.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min_by("row", order).alias("row"))
-    return best.select("row.*")
+    rows = _prepared(docs, shingle)
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash"), "rid")
+    firsts = cut_lineage(rows.groupBy("node").agg(F.min(order).alias("best")))
+    roots = components(set_links(rows, firsts))
+    kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return rows.select("rid", "row").join(kept.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select("row.*")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import (
     bitsliced, chat_format, decontaminate, html_text, langid, ngram_trie, packing, queries, simhash, suffix_dedup, toxicity)
-from tallyweave.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, score string"
 
@@ -102,7 +101,7 @@ def test_repeats_against_counting(spark, docs, texts, monkeypatch, core_limit):
                 gone[i:i + 400] = True
         kept = bytes(b for b, g in zip(d, gone) if not g)
         want[doc_id, len(d), int(gone.sum()), int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(d) else 0,
-             hashlib.sha256(kept).hexdigest()] += 1
+             hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")] += 1
     assert Counter(map(tuple, suffix_dedup.removal_report(docs).collect())) == want
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
     assert suffix_dedup.removal_report(empty(docs)).count() == 0
@@ -375,14 +374,51 @@ def test_keep_one_finds_appended_paragraphs(spark, monkeypatch, blocks):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == expected
 
 
-def test_similar_links_compare_blocks(spark, monkeypatch):
-    """A variant shared by more rows than a block gives the same components."""
-    rnd = random.Random(3)
-    rows = [(i, (5 << 40) ^ (1 << rnd.randrange(20)), bytes(32)) for i in range(60)]
-    prints = spark.createDataFrame(rows, "node long, fp long, shingles binary")
-    monkeypatch.setattr(simhash, "BUCKET", 7)
-    found = components(simhash.similar_links(prints)).collect()
-    assert {r["node"]: r["root"] for r in found} == {i: 0 for i in range(60)}
+def brute_kept(rows, shingle=5):
+    """Rows that stay by comparing all pairs, linked where 0.8 of the different shingles is shared."""
+    sets = [frozenset(simhash.shingle_set(t, shingle)[1].tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) > 0:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    best = {}
+    for k, (doc_id, _) in enumerate(rows):
+        order = (doc_id is None, doc_id or 0)
+        best[root[k]] = min(best.get(root[k], order), order)
+    return Counter(None if none else i for none, i in best.values())
+
+
+@pytest.mark.parametrize("block, first", [(1024, 4), (3, 1), (2, 32)])
+def test_keep_one_against_all_pairs(spark, monkeypatch, block, first):
+    """Chains of edits, nulls, blanks, repeated rows and ids, in whole groups and in pairs of small blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(simhash, "FIRST_BANDS", first)
+    rnd = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(900)]
+    rows = [(None, "no id at all"), (None, "no id at all"), (5, None), (6, ""), (7, " \n"), (8, "one two"), (8, "three four"), (9, "ONE two")]
+    for base in range(12):
+        words = rnd.choices(vocabulary, k=rnd.choice((30, 120, 400)))
+        for step in range(8):
+            rows.append((100 * base + 50 - 3 * step, " ".join(words)))
+            for _ in range(max(1, len(words) // 60)):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+    rows += rows[20:30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.lit("x")).withColumn("row", F.lit(1)).repartition(5)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == brute_kept(rows)
+    assert simhash.keep_one(empty(docs)).count() == 0
+
+
+def test_boilerplate_chains_stay_apart(spark):
+    """5,000 unrelated texts under few license texts, near one another by chains of shared bands only, all stay."""
+    rnd = random.Random(4)
+    licence = [[f"l{k}x{i}" for i in range(60)] for k in range(10)]
+    texts = [" ".join([*licence[i % 10][:50], *licence[(i + 1) % 10][10:], *(f"t{rnd.randrange(10 ** 9)}" for _ in range(60))]) for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *(t + " end" for t in texts[:500])])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == list(range(5000))
 
 
 def test_wide_components_and_repeated_ids(spark, monkeypatch):
