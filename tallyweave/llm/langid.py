@@ -23,6 +23,9 @@ SAMPLE_ROWS = 1500
 #: Bits per character above the worst of a language's own calibration texts at which a text is rejected; short texts,
 #: which vary more, are allowed `SHORT_BITS` in all on top.
 REJECT_BITS, SHORT_BITS = 1.0, 40.0
+#: Share of the calibration rows that lie within a language's limit before `REJECT_BITS` are added, so that single odd or
+#: mislabelled rows do not set it.
+WORST_SHARE = 0.995
 _SPACE = np.uint32(32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -244,7 +247,8 @@ def train(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROW
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(own), pa.array(sizes)], names=["lang", "bits", "size"])
 
         held = _sample(rows.where(~counting), sample_rows).mapInArrow(measure, "lang string, bits double, size long")
-        for r in held.where("size > 0 and not isnan(bits)").groupBy("lang").agg(F.max("bits").alias("bits")).collect():
+        for r in held.where("size > 0 and not isnan(bits)").groupBy("lang").agg(
+                F.percentile(F.col("bits") - SHORT_BITS / F.col("size"), F.lit(WORST_SHARE)).alias("bits")).collect():
             identifier.worst[r["lang"]] = r["bits"]
     return identifier
 
