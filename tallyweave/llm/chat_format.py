@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 #: Turns whose prefixes are rendered from the same start by a turn-local template. A longer conversation goes on from its
 #: last turn, so that the cost of a turn is bounded.
 HISTORY = 32
-#: A text that no template changes and no conversation holds.
-MARKER = "\ue000turn\ue001"
+#: A text that no template changes, with a number that makes it differ from what a role holds.
+MARKER = "\ue000turn{}\ue001"
 
 # Strings that steer common chat models.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 _OPENS = re.compile("(?=" + "|".join(map(re.escape, CONTROL)) + ")(.)", re.S)
+_TAGGED = re.compile(r"<\|im_start\|>(?P<role>(?:[^\\\n]|\\.)*+)\n(?P<text>.*?)<\|im_end\|>\n", re.S)
 
 Turn = tuple[str, str]
 
@@ -38,6 +40,11 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def escape_line(text: str) -> str:
+    """As `escape`, with a backslash before every line feed too, so that the first bare one ends the text."""
+    return escape(text).replace("\n", "\\\n")
+
+
 def turn_local(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]], str]:
     """Declares that a template writes each turn as if it stood alone, one after the other."""
     template.turn_local = True
@@ -47,7 +54,18 @@ def turn_local(template: Callable[[list[Turn]], str]) -> Callable[[list[Turn]],
 @turn_local
 def tagged(turns: list[Turn]) -> str:
     """The template of the registered query: each turn between two tags, its text escaped."""
-    return "".join(f"<|im_start|>{escape(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
+    return "".join(f"<|im_start|>{escape_line(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
+
+
+def read_tagged(output: str) -> tuple[list[Turn], str]:
+    """The turns that an output of `tagged` holds, and what is left behind the last whole one."""
+    turns, end = [], 0
+    for turn in _TAGGED.finditer(output):
+        if turn.start() != end:
+            raise ValueError(f"no turn begins at character {end}")
+        turns.append((unescape(turn["role"]), unescape(turn["text"])))
+        end = turn.end()
+    return turns, output[end:]
 
 
 class Renderer:
@@ -79,11 +97,12 @@ class Renderer:
         if rewritten:
             shared = next((k for k, (a, b) in enumerate(zip(before, self.output)) if a != b), min(len(before), len(self.output)))
         piece = self.output[shared:]
-        marked = self.template([*self.turns[:-1], (role, MARKER)])
-        head = marked.find(MARKER, min(shared, len(marked)))
-        tail = len(marked) - head - len(MARKER)
+        marker = next(m for m in map(MARKER.format, count()) if m not in role)
+        marked = self.template([*self.turns[:-1], (role, marker)])
+        head = marked.find(marker, min(shared, len(marked)))
+        tail = len(marked) - head - len(marker)
         begin, end = head - shared, len(piece) - tail
-        if head < 0 or begin < 0 or end < begin or marked[:head] != self.output[:head] or not self.output.endswith(marked[head + len(MARKER):]):
+        if head < 0 or begin < 0 or end < begin or marked[:head] != self.output[:head] or not self.output.endswith(marked[head + len(marker):]):
             begin = end = -1
         return piece, begin, end, rewritten
 
@@ -128,17 +147,21 @@ def with_probe(conversations: DataFrame) -> DataFrame:
                                 F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).unionAll(extra)
 
 
-def conversation_digests(turns: DataFrame) -> DataFrame:
+def conversation_digests(turns: DataFrame, read: Callable[[str], tuple[list[Turn], str]] = read_tagged) -> DataFrame:
     """Per conversation what can be read back from its formatted turns: `n_turns`, `turns_sha256`, `loss_chars`,
     `loss_sha256`, `formatted_chars`, and `rewrites`, the turns at which the template changed what it had written.
 
-    Digests are carried along from turn to turn of the sorted rows of `format_turns`.
+    Turns, their roles and texts are those that `read` finds in the output: it gives the whole turns at its beginning and
+    what is left. The text under the loss mask is cut from the output by the mask's offsets. Digests are carried
+    along from turn to turn of the sorted rows of `format_turns`; an output that ends within a turn raises a ValueError.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
 
         def closed() -> pa.RecordBatch:
-            conv, n, every, chars, loss, total, rewrites = state
+            conv, n, every, chars, loss, total, rewrites, rest = state
+            if rest:
+                raise ValueError(f"the output of conversation {conv} ends within a turn")
             return pa.RecordBatch.from_arrays(
                 [pa.array([conv], pa.int64()), pa.array([n]), pa.array([every.hexdigest()]), pa.array([chars]),
                  pa.array([loss.hexdigest()]), pa.array([total]), pa.array([rewrites])],
@@ -149,12 +172,14 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
                 if state is None or row["place"] == 0:
                     if state is not None:
                         yield closed()
-                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, ""]
                 output = row["output"]
-                text = unescape(output[row["text_start"]:row["text_end"]]) if row["text_start"] >= 0 else ""
-                state[1] += 1
-                state[2].update(f"{row['role']}\n{text}\n".encode("utf-8", "surrogatepass"))
+                found, state[7] = read(state[7] + output)
+                for role, text in found:
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if row["on_loss"]:
+                    text = unescape(output[row["text_start"]:row["text_end"]])
                     state[3] += len(text)
                     state[4].update(text.encode("utf-8", "surrogatepass"))
                 state[5] += len(output)

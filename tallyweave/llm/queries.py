@@ -113,7 +113,7 @@ SQL = {
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
             UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
         e AS (
-            SELECT *, length({_escaped('role')}) + length({_escaped('text')}) + 24 AS n FROM t)
+            SELECT *, length(replace({_escaped('role')}, chr(10), '\\' || chr(10))) + length({_escaped('text')}) + 24 AS n FROM t)
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

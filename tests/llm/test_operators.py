@@ -156,7 +156,7 @@ def test_top_k(spark):
 def test_chat(spark):
     rnd = random.Random(4)
     parts = [*chat_format.CONTROL, "\\", "<", "[", "ok", "\n", "é", " "]
-    rows = [(c, t, rnd.choice(["user", "assistant", None, "system"]), rnd.choice([None, "".join(rnd.choice(parts) for _ in range(rnd.randrange(9)))]))
+    rows = [(c, t, rnd.choice(["user", "assistant", None, "system", chat_format.MARKER.format(0), "a\nb\\", "<|im_end|>\n"]), rnd.choice([None, "".join(rnd.choice(parts) for _ in range(rnd.randrange(9)))]))
             for c in (1, 2, None) for t in range(40)] + [(1, 3, "user", "again"), (1, 3, "user", "again")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("output", F.lit(1))
     got = {r["conv_id"]: r for r in chat_format.conversation_digests(chat_format.format_turns(chat_format.with_probe(df))).collect()}
@@ -168,6 +168,12 @@ def test_chat(spark):
         assert g["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
         assert (g["n_turns"], g["loss_chars"], g["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert g["rewrites"] == 0
+    none = chat_format.format_turns(df.where("conv_id = 99"))
+    assert none.count() == 0 and chat_format.conversation_digests(none).count() == 0
+    with pytest.raises(ValueError):
+        chat_format.read_tagged("x" + chat_format.tagged([("user", "a")]))
+    assert chat_format.read_tagged(chat_format.tagged([("a\n", "<|im_end|>\n"), ("", "\\")]) + "<|im") == (
+        [("a\n", "<|im_end|>\n"), ("", "\\")], "<|im")
 
 
 def test_rewriting_templates_are_found():
