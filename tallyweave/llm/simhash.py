@@ -244,7 +244,7 @@ def _band_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, shingle: int) -> DataFrame:
-    """`docs` as `row`, written once with a number `rid`, the set of its shingles, that set's number `node` and its bands."""
+    """`docs` as `row`, written once with a number `rid`, the number `node` of its set of shingles, that set's size and its bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -252,11 +252,11 @@ def _prepared(docs: DataFrame, shingle: int) -> DataFrame:
                 found = [shingle_set(t, shingle) for t in part.column("row").field("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part.column("row"), pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
-                    pa.array([len(f[1]) for f in found], pa.int64()), pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary()),
-                    pa.array([f[1].tobytes() for f in found], pa.binary())], names=["row", "node", "size", "bands", "shingles"])
+                    pa.array([len(f[1]) for f in found], pa.int64()), pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary())],
+                    names=["row", "node", "size", "bands"])
 
     row = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = row.select("row").schema.add("node", "long").add("size", "long").add("bands", "binary").add("shingles", "binary")
+    schema = row.select("row").schema.add("node", "long").add("size", "long").add("bands", "binary")
     return stored(row.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "near")
 
 
@@ -272,18 +272,26 @@ def _candidates(rows: DataFrame) -> DataFrame:
     prints = cut_lineage(rows.select("node", "size", "bands").distinct())
     keyed = prints.mapInArrow(keys, "band int, value long, node long, size long")
     shared = cut_lineage(keyed.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most"))
-    return cut_lineage(keyed.join(shared.select("value"), "value").select("band", "value", "node", "size"))
+    return stored(keyed.join(shared.select("value"), "value").select("band", "value", "node", "size"), "near-bands")
 
 
-def set_links(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+def set_links(rows: DataFrame, firsts: DataFrame, shingle: int = 5) -> DataFrame:
     """Links (a, b) between the numbers of shingle sets of which 0.8 is shared (intersection by union, counted).
 
     Sets that share a band are compared. What the first bands have linked already is not compared again in the others,
-    where most groups are then one component and fall out.
+    where most groups are then one component and fall out. Only sets that have candidates are written, once each.
     """
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingle_set(t, shingle)[1].tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
     members = _candidates(rows)
     wanted = members.select("node").distinct().join(firsts.select("node", F.col("best.rid").alias("rid")), "node")
-    sets = cut_lineage(rows.select("rid", "shingles").join(small(wanted), "rid").select("node", "shingles"))
+    texts = rows.select("rid", F.col("row.text").alias("text")).join(small(wanted), "rid").select("node", "text")
+    sets = stored(texts.mapInArrow(hashed, "node long, shingles binary"), "near-sets")
     links = _band_links(members.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")), sets)
     roots = cut_lineage(components(links))
     rest = members.where(F.col("band") >= FIRST_BANDS).join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")) \
@@ -300,6 +308,6 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     rows = _prepared(docs, shingle)
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash"), "rid")
     firsts = cut_lineage(rows.groupBy("node").agg(F.min(order).alias("best")))
-    roots = components(set_links(rows, firsts))
+    roots = components(set_links(rows, firsts, shingle))
     kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return rows.select("rid", "row").join(kept.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select("row.*")
