@@ -466,8 +466,10 @@ def _(t):
     lookup = docs.where(F.length("text") >= 100).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(_PIECES - 1))).alias("i")).select(
         (10 * F.col("doc_id") + F.col("i")).alias("pos"),
         F.array(F.lower(F.substr("text", 3 + 9 * F.col("i"), F.lit(7)))).alias("keywords"))
-    found = mt.match_keyword_table(docs.select("doc_id", "text"), "text", lookup)
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("entry.pos").alias("places"),
+    # entries with the same keyword are one class, so a text gives one row per class and not one per entry
+    classes = lookup.groupBy("keywords").agg(F.count(F.lit(1)).alias("entries"), F.sum("pos").alias("places"), F.min("pos").alias("pos"))
+    found = mt.match_keyword_table(docs.select("doc_id", "text"), "text", classes)
+    return found.groupBy("doc_id").agg(F.sum("entry.entries").alias("entries"), F.sum("entry.places").alias("places"),
                                        F.min("entry.pos").alias("first"))
 
 

@@ -1,21 +1,27 @@
 """Keyword lookups and routing. Lookup lists of fixed size are part of the expression: no join, and every text is read
-once where it lies. A lookup table of any length is searched for by an automaton."""
+once where it lies. A lookup table of any length is joined with the pieces of texts that a filter of its keywords lets through."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from tallyweave import vocab
 from tallyweave.functions.text import contains_any, let
 from tallyweave.scale import small
 
-#: Bytes of keywords of a lookup table that are searched for in one pass over the texts.
-LOOKUP_BYTES = 16 << 20
+#: Bytes of the filter of a lookup table's keywords at most; about 16 bits a keyword below that.
+LOOKUP_BYTES = 64 << 20
+#: Bits of the filter that are put together as one row.
+SEGMENT = 1 << 20
+
+_RNG = np.random.default_rng(42)
+_BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, 4, dtype=np.uint64) | np.uint64(1)
 
 
 def _text(c) -> Column:
@@ -42,31 +48,104 @@ def match_keywords(df: DataFrame, text: str, lookup: Sequence[Mapping] = tuple(v
     return df.withColumn("entry", F.explode(matching_entries(text, lookup)))
 
 
-def _found_in(batches: Iterator[pa.RecordBatch], keywords: list[tuple[int, list[str]]]) -> Iterator[pa.RecordBatch]:
-    """The batches with `__entries`, the ids of the entries of which a keyword is part of `__low`."""
-    automaton, anywhere, owners = ahocorasick.Automaton(), set(), {}
-    for entry, terms in keywords:
-        for term in terms:
-            if term:
-                owners.setdefault(term, set()).add(entry)
-            else:
-                anywhere.add(entry)
-    for term, entries in owners.items():
-        automaton.add_word(term, tuple(entries))
-    if owners:
-        automaton.make_automaton()
+def _lengths(sizes: Iterable[int]) -> dict[int, list[int]]:
+    """Byte lengths of keywords by the power of two that each of them holds."""
+    found: dict[int, list[int]] = {}
+    for size in sorted(sizes):
+        found.setdefault(1 << size.bit_length() - 1, []).append(size)
+    return found
+
+
+def _mixed(x: np.ndarray, y, salt: int) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * _ODD[0] + y + np.uint64(salt) * _ODD[1]
+    return x ^ x >> np.uint64(32)
+
+
+def _rolled(data: np.ndarray, lengths: dict[int, list[int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each power of two in `lengths` a hash of the so many bytes from every place on."""
+    hashes, width = _BYTES[data], 1
+    while len(hashes) and width <= max(lengths, default=0):
+        if width in lengths:
+            yield width, hashes
+        hashes, width = _mixed(hashes[:-width], hashes[width:], width), 2 * width
+
+
+def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set."""
+    low = hashes & np.uint64(8 * len(bits) - 1)
+    found = bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1 == 1
+    at = np.flatnonzero(found)
+    high = (hashes[at] * _ODD[2]) >> np.uint64(32) & np.uint64(8 * len(bits) - 1)
+    found[at] = bits[high >> np.uint64(3)] >> (high & np.uint64(7)).astype(np.uint8) & 1 == 1
+    return found
+
+
+def _slices(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pieces (start, end, bytes, ends) of a column of texts or bytes of about `size` bytes, one row at least."""
+    column = column.cast(pa.large_binary())
+    _, starts, data = column.buffers()
+    starts = np.frombuffer(starts, np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + size, "right")) - 1)
+        yield at, end, data[starts[at]:starts[end]], starts[at + 1:end + 1] - starts[at]
+        at = end
+
+
+def _bits(batches: Iterator[pa.RecordBatch], lengths: dict[int, list[int]], size: int) -> Iterator[pa.RecordBatch]:
+    """The bits of a filter of `size` bytes that the keywords set: those of the start and those of the whole."""
+    for batch in batches:
+        for _, _, data, ends in _slices(batch.column("word")):
+            sizes = np.diff(ends, prepend=0)
+            for width, hashes in _rolled(data, lengths):
+                mine = (sizes >= width) & (sizes < 2 * width)
+                last, length = ends[mine], sizes[mine]
+                start = hashes[last - length]
+                both = np.concatenate([start, _mixed(start, hashes[last - width], 0) + length.astype(np.uint64) * _ODD[3]])
+                places = np.unique(np.concatenate([both, (both * _ODD[2]) >> np.uint64(32)]) & np.uint64(8 * size - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(places // SEGMENT), pa.array(places % SEGMENT)], names=["segment", "bit"])
+
+
+def _segment(rows: pa.Table) -> pa.Table:
+    bits = np.zeros(SEGMENT, np.uint8)
+    bits[rows.column("bit").to_numpy()] = 1
+    return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _found_in(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: dict[int, list[int]], empty: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with `__words`, the different pieces of `__low` that the filter lets through."""
     for batch in batches:
-        found = []
-        for text in batch.column("__low"):
-            text = text.as_py()
-            hits = set(anywhere) if text is not None else set()
-            if text and owners:
-                for term in {entries for _, entries in automaton.iter(text)}:
-                    hits.update(term)
-            found.append(sorted(hits))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in batch.schema.names if c != "__low"), pa.array(found, pa.list_(pa.int64()))],
-            names=[*(c for c in batch.schema.names if c != "__low"), "__entries"])
+        low, rest = batch.column("__low"), [c for c in batch.schema.names if c != "__low"]
+        for at, end, data, ends in _slices(low):
+            found = [{b""} if empty and there else set() for there in low.slice(at, end - at).is_valid().to_pylist()]
+            raw = data.tobytes()
+            for width, hashes in _rolled(data, lengths):
+                start = np.flatnonzero(_known(bits, hashes))
+                owner = np.searchsorted(ends, start, "right")
+                for length in lengths[width]:
+                    fits = start + length <= ends[owner]
+                    first, mine = start[fits], owner[fits]
+                    whole = _mixed(hashes[first], hashes[first + length - width], 0) + np.uint64(length) * _ODD[3]
+                    hit = _known(bits, whole)
+                    for i, row in zip(first[hit].tolist(), mine[hit].tolist()):
+                        found[row].add(raw[i:i + length])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(at, end - at) for c in rest), pa.array([sorted(f) for f in found], pa.list_(pa.binary()))],
+                names=[*rest, "__words"])
+
+
+def _filter_of(terms: DataFrame, limit: int) -> tuple[np.ndarray, dict[int, list[int]], bool]:
+    """A filter of the keywords (`word`) of `limit` bytes at most, their lengths, and whether one is empty."""
+    sizes = {r[0]: r[1] for r in terms.groupBy(F.octet_length("word")).agg(F.count(F.lit(1))).collect()}
+    lengths, room = _lengths(size for size in sizes if size), max(limit, 1024)
+    size = min(1 << max(10, (2 * sum(sizes.values())).bit_length()), 1 << room.bit_length() - 1)
+    bits = np.zeros(max(size, SEGMENT // 8), np.uint8)
+    segments = terms.select("word").mapInArrow(lambda it: _bits(it, lengths, size), "segment long, bit long").groupBy(
+        "segment").applyInArrow(_segment, "segment long, bits binary")
+    for row in segments.collect():
+        bits[row["segment"] * SEGMENT // 8:(row["segment"] + 1) * SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits[:size], lengths, 0 in sizes
 
 
 def match_keyword_table(df: DataFrame, text: str, lookup: DataFrame, keywords: str = "keywords",
@@ -74,23 +153,26 @@ def match_keyword_table(df: DataFrame, text: str, lookup: DataFrame, keywords: s
     """One row per row of `df` and row of `lookup` (as struct `entry`) any of whose keywords is a literal substring of the
     text in lower case.
 
-    The lookup is a table of any length with unique whole numbers in `key`. Its keywords are searched for all at once by an
-    automaton, so a text is read once per `block_bytes` of keywords; only a block of them goes to the tasks. A null text or
-    keyword matches nothing, an empty keyword every text.
+    The lookup is a table of any length with unique whole numbers in `key`. Each text is read once; the pieces of it that pass a
+    filter of all keywords are joined with the keywords, so nothing but the filter, of `block_bytes` at most, is sent to the tasks,
+    and what it lets through wrongly finds no partner. A null text or keyword matches nothing, an empty keyword every text.
+    Where many entries have the same keywords, group them first: a text then gives one row per group.
     """
-    blocks = (lookup.agg(F.sum(F.octet_length(F.concat_ws("", keywords)) + 16)).first()[0] or 0) // block_bytes + 1
-    low = df.withColumn("__low", _text(text))
-    schema = StructType([*df.schema.fields, StructField("__entries", ArrayType(LongType()))])
-    out = None
-    for block in range(blocks):
-        part = lookup if blocks == 1 else lookup.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
-        terms = [(r[0], [t for t in r[1] or () if t is not None]) for r in part.select(F.col(key).cast("long"), keywords).collect()]
-        shared = df.sparkSession.sparkContext.broadcast(terms)
-        hits = low.mapInArrow(lambda batches, shared=shared: _found_in(batches, shared.value), schema)
-        out = hits if out is None else out.unionAll(hits)
-    pairs = out.withColumn("__entry", F.explode("__entries")).drop("__entries")
-    entries = lookup.select(F.col(key).cast("long").alias("__entry"), F.struct("*").alias("entry"))
-    return pairs.join(small(entries), "__entry").drop("__entry")
+    named = lookup.select(F.col(key).cast("long").alias("__entry"), F.array_distinct(F.array_compact(keywords)).cast("array<binary>").alias("__words"), F.struct("*").alias("entry"))
+    words = named.select(F.explode("__words").alias("word")).distinct()
+    bits, lengths, empty = _filter_of(words, block_bytes)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    low = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__low", _text(text))
+    schema = StructType([f for f in low.schema.fields if f.name != "__low"] + [StructField("__words", ArrayType(BinaryType()))])
+    hits = low.mapInArrow(lambda batches: _found_in(batches, shared.value, lengths, empty), schema)
+    pairs = hits.withColumn("__word", F.explode("__words")).drop("__words")
+    if (named.agg(F.max(F.size("__words"))).first()[0] or 0) <= 1:
+        terms = named.select(F.explode("__words").alias("__word"), "entry")
+        return pairs.join(small(terms, rows=1_000_000), "__word").drop("__word", "__row")
+    terms = named.select("__entry", F.explode("__words").alias("__word"))
+    # several keywords of an entry in one text are one hit
+    once = pairs.join(small(terms), "__word").drop("__word").dropDuplicates(["__row", "__entry"])
+    return once.join(small(named.select("__entry", "entry")), "__entry").drop("__entry", "__row")
 
 
 def category_rates(lookup: Sequence[Mapping]) -> dict[str, float]:

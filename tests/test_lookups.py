@@ -28,3 +28,17 @@ def test_lookup_table_of_any_length(spark, block):
                   if any(k is not None and k in t.lower() for k in terms or ()))
     assert sorted((r.id, r.body, r.entry.pos) for r in got.collect()) == want
     assert matching.match_keyword_table(got.drop("entry"), "body", lookup.where("false")).count() == 0
+
+
+def test_lookup_keywords_are_not_collected(spark, monkeypatch):
+    # the driver gets a filter and the keywords' lengths, never a keyword; words of other texts and beyond Latin are told apart
+    rows = [(i, [f"key{i:05d}", f"kéy{i}"]) for i in range(3000)] + [(5000, ["ab"]), (5001, ["αβγ" * 30])]
+    lookup = spark.createDataFrame(rows, "pos long, keywords array<string>")
+    texts = spark.createDataFrame([(1, "KEY00007key00007 kéy12"), (2, "key0000"), (3, "7a"), (4, "b" + "αβγ" * 31)], "id long, body string")
+    collected = []
+    real = type(texts).collect
+    monkeypatch.setattr(type(texts), "collect", lambda self: collected.append(real(self)) or collected[-1])
+    found = matching.match_keyword_table(texts, "body", lookup)
+    monkeypatch.undo()
+    assert all(len(part) < 100 for part in collected)
+    assert sorted((r.id, r.entry.pos) for r in found.collect()) == [(1, 1), (1, 7), (1, 12), (4, 5001)]
