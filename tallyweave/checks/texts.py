@@ -627,7 +627,7 @@ _REPORT = r"""
 @check("src14_compile_report", _REPORT)
 def _(t):
     insights, sources = _findings(t)
-    return reports.compile_report(insights, sources).select("query_id", "page", tx.content_hash("text").alias("digest"))
+    return reports.whole_digests(reports.compile_report(insights, sources))
 
 
 @check("src14_write_reports", _REPORT)
@@ -636,7 +636,7 @@ def _(t):
     root = work_path(t.spark, "reports")
     reports.write_reports(reports.compile_report(insights, sources), root)
     text = t.spark.read.schema("value string, query_id string, page bigint").text(root, wholetext=True)
-    return text.select("query_id", "page", tx.content_hash(F.regexp_replace("value", r"\n\z", "")).alias("digest"))
+    return reports.whole_digests(text.select("query_id", "page", F.regexp_replace("value", r"\n\z", "").alias("text")))
 
 
 @check("src05_read_alpha_catalog", """

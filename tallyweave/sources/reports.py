@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyweave import scale
@@ -36,6 +40,35 @@ def compile_report(insights: DataFrame, sources: DataFrame, key: str = "query_id
     return paged.groupBy(key, "page").agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("text"))
 
 
+def whole_digests(pages: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, page, digest): the MD5 of each whole report over its pages in order, and its first page. The pages pass through
+    one by one, so a report has no bound."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            done = []
+            for name, page, text in zip(*(batch.column(c).to_pylist() for c in (key, "page", "text"))):
+                if held is None or held[0] != name:
+                    done += [held] if held else []
+                    held = (name, page, hashlib.md5())
+                else:
+                    held[2].update(b"\n")
+                held[2].update((text or "").encode())
+            yield _digest_rows(done, key, batch.schema)
+        if held:
+            yield _digest_rows([held], key, batch.schema)
+
+    kinds = dict(pages.dtypes)
+    ordered = pages.select(key, "page", "text").repartition(key).sortWithinPartitions(key, "page")
+    return ordered.mapInArrow(run, f"`{key}` {kinds[key]}, page {kinds['page']}, digest string")
+
+
+def _digest_rows(done: list[tuple], key: str, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([d[0] for d in done], schema.field(key).type), pa.array([d[1] for d in done], schema.field("page").type),
+        pa.array([d[2].hexdigest() for d in done], pa.string())], names=[key, "page", "digest"])
+
+
 def write_reports(reports: DataFrame, root: str, key: str = "query_id") -> None:
     """Text files under one folder per report and page."""
     reports.select(key, "page", F.col("text").alias("value")).write.mode("overwrite").partitionBy(key, "page").text(root)

@@ -3,10 +3,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import changes, filtering as fl, ledger as lg, validation as va
+from tallyweave.operators import calls, changes, filtering as fl, ledger as lg, validation as va
 from tallyweave.operators.retrieval import search_documents
 from tallyweave.plans.frontier import expand_frontier
-from tallyweave.sources import tables as tb
+from tallyweave.session import work_path
+from tallyweave.sources import reports, tables as tb
 from tallyweave.streaming import events as ev, folds
 
 
@@ -171,3 +172,35 @@ def test_deep_pages_equal_plain_ones(spark):
         assert got == want[(page - 1) * limit:page * limit], (page, limit)
     plan = fl.page_with_more(df, order, offset=900, limit=10, range_rows=50).collect()
     assert [r.id for r in plan] == [r[0] for r in want[900:910]] and {(r.total, r.has_more) for r in plan} == {(1003, True)}
+
+
+def test_deep_pages_deal_bounded_ranges(spark, monkeypatch):
+    df = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("id"), F.lit(1).alias("same"))
+    dealt, real = [], type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *c: dealt.append(n) or real(self, n, *c))
+    monkeypatch.setattr(fl, "RANGES", 8)
+    assert [r.id for r in fl.page(df, [F.col("id").desc()], 51, 10, range_rows=20).collect()] == list(range(3499, 3489, -1))
+    assert max(dealt) <= 8 and len(dealt) > 1
+    # an order that tells nothing apart ends as well
+    assert fl.page(df, [F.col("same")], 51, 10, range_rows=20).count() == 10
+
+
+def test_reports_of_many_pages_have_one_digest(spark):
+    import hashlib
+    insights = spark.createDataFrame([(q, f"found {i:03d}") for q in ("a", "b") for i in range(25)], "query_id string, insight string")
+    sources = spark.createDataFrame([("a", "u1"), ("b", "u2")], "query_id string, url string")
+    pages = reports.compile_report(insights, sources, items_per_page=4)
+    assert pages.where("page > 0").count() > 0
+    root = work_path(spark, "reports")
+    reports.write_reports(pages, root)
+    files = spark.read.schema("value string, query_id string, page bigint").text(root, wholetext=True)
+    body = "\n".join(f"<insight>\nfound {i:03d}\n</insight>" for i in range(25)) + "\n\n## Reference Sources\n\n- u"
+    want = [(q, 0, hashlib.md5(f"{body}{n}".encode()).hexdigest()) for q, n in (("a", 1), ("b", 2))]
+    for found in (pages, files.withColumn("text", F.regexp_replace("value", r"\n\z", ""))):
+        assert sorted(map(tuple, reports.whole_digests(found).collect())) == want
+
+
+def test_training_pairs_name_their_review(spark):
+    turns = spark.createDataFrame([(1, 1, 0, "user", "q"), (1, 2, 1, "assistant", "r")], "call_id long, id long, timestamp long, speaker string, text string")
+    reviews = spark.createDataFrame([(7, 1, 5), (8, 1, 5), (9, 1, 1)], "id long, call_id long, rating long")
+    assert sorted((r.segment_id, r.feedback) for r in calls.training_set(turns, reviews, 3).collect()) == [(1, 7), (1, 8)]
