@@ -138,14 +138,14 @@ def _(t):
 
 
 @check("agg19_training_set", """
-    SELECT p.call_id, p.id AS segment_id, md5(p.text) AS input, md5(p.output) AS output, f.rating FROM (
+    SELECT p.call_id, p.id AS segment_id, md5(p.text) AS input, md5(p.output) AS output, f.rating, f.id AS feedback FROM (
         SELECT *, lead(speaker) OVER w AS next_speaker, lead(text) OVER w AS output FROM fx_segments
         WINDOW w AS (PARTITION BY call_id ORDER BY timestamp, id)) p
     JOIN fx_feedback f ON f.call_id = p.call_id AND f.rating >= 3 WHERE p.speaker = 'user' AND p.next_speaker = 'assistant'""")
 def _(t):
     # a call that was reviewed several times gives its pairs once for each review
     pairs = cl.training_set(t.segments, t.feedback, 3)
-    return pairs.select("call_id", "segment_id", tx.content_hash("input").alias("input"), tx.content_hash("output").alias("output"), "rating")
+    return pairs.select("call_id", "segment_id", tx.content_hash("input").alias("input"), tx.content_hash("output").alias("output"), "rating", "feedback")
 
 
 @check("win19_segment_index", """

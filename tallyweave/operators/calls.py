@@ -112,16 +112,18 @@ def common_feedback(feedback: DataFrame) -> DataFrame:
 
 def training_set(segments: DataFrame, feedback: DataFrame, min_rating: int = 1,
                  rows_per_task: int | None = None) -> DataFrame:
-    """A user turn with the assistant turn right after it, for calls rated at least `min_rating`."""
+    """A user turn with the assistant turn right after it, for calls rated at least `min_rating`; once for each review of the
+    call, with the review's id as `feedback` where reviews have one."""
     series = scale.Series(["call_id"], ["timestamp", "id"])
     paired = scale.evaluate(segments.select("call_id", "id", "timestamp", "speaker", "text"), series, {
         "next_speaker": lambda s: F.lead("speaker").over(s.following(1)),
         "output": lambda s: F.lead("text").over(s.following(1)),
     }, rows_per_task)
-    rated = feedback.where(F.col("rating") >= min_rating).select("call_id", "rating")
+    review = [F.col("id").alias("feedback")] if "id" in feedback.columns else []
+    rated = feedback.where(F.col("rating") >= min_rating).select("call_id", "rating", *review)
     pairs = paired.where("speaker = 'user' AND next_speaker = 'assistant'")
     return pairs.join(rated, "call_id").select("call_id", F.col("id").alias("segment_id"),
-                                               F.col("text").alias("input"), "output", "rating")
+                                               F.col("text").alias("input"), "output", "rating", *rated.columns[2:])
 
 
 def conversation_history(turns: DataFrame, key: str, order: list[str], fields: list[str], n: int = 5,
