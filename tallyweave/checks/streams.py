@@ -144,7 +144,7 @@ def _(t):
         "user_id", (i % 40).alias("conversation_id"), kind.alias("type"), F.col("ts").cast("timestamp").alias("ts"), i.alias("seq"))
     with ev.settings(t.spark, folds.STATE_STORE):
         ev.run_updates(monitors.agent_task_status(tasks), out, mark)
-    return ev.latest_updates(t.spark, out, ["user_id", "conversation_id"]).withColumn("since", plain_ts("since"))
+    return ev.latest_updates(t.spark, out, ["user_id", "conversation_id"], by="since").withColumn("since", plain_ts("since"))
 
 
 @check("stm08_feedback_stream", """

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tallyweave import vocab
 from tallyweave.operators.calls import call_metrics
@@ -35,62 +32,21 @@ def rate_limit_violations(log: DataFrame, limit: int = REQUESTS_PER_WINDOW, wind
         F.col("window.start").alias("window_start"), "client", "n")
 
 
-class _Latest(StatefulProcessor):
-    """The newest (at, seq, value) of each key, forgotten after a silence in event time."""
-
-    def __init__(self, silence_ms: int):
-        self.silence_ms = silence_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.latest = handle.getValueState("latest", "us bigint, seq bigint, state string, timer_ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = before = tuple(self.latest.get()) if self.latest.exists() else None
-        for part in rows:
-            part = part[part["us"].notna()]
-            if part.empty:
-                continue
-            row = part.sort_values(["us", "seq"]).iloc[-1]
-            found = (int(row["us"]), int(row["seq"]), row["type"])
-            newest = found if newest is None or found[:2] >= newest[:2] else newest
-        if newest is None:
-            return
-        timer = int(newest[0]) // 1000 + self.silence_ms
-        if before is None or before[3] != timer:
-            if before is not None:
-                self.handle.deleteTimer(before[3])
-            self.handle.registerTimer(timer)
-        self.latest.update((*newest[:3], timer))
-        yield pd.DataFrame({"user_id": [key[0]], "conversation_id": [key[1]], "state": [newest[2]], "us": [newest[0]]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.latest.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
 def agent_task_status(events: DataFrame, silence_ms: int = SILENCE_MS, watermark: str = WATERMARK) -> DataFrame:
     """The last task state of each user's conversation, by time and then `seq`; of a table, or of a stream in update mode.
 
-    On a stream a conversation without an event for `silence_ms` of event time is forgotten, and events behind the
-    watermark, or without a time, are dropped; the RocksDB state store must be set (`folds.STATE_STORE`).
+    On a stream the state is kept for spans of `silence_ms` of event time and given back when the watermark has passed a span's
+    end. A batch gives the last state of each span that it changes; the row with the greatest `since` is the conversation's
+    (`latest_updates` with `by`). Events behind the watermark, or without a time, are dropped.
     """
+    known = events.where(F.col("type").isin(vocab.TASK_STATES) & F.col("ts").isNotNull())
+    keys = ["user_id", "conversation_id"]
     if events.isStreaming:
         # other events move the watermark on as well: a test of `ts` is not pushed below it
         known = events.withWatermark("ts", watermark).where(F.col("type").isin(vocab.TASK_STATES) | F.col("ts").isNull())
-        kinds = dict(events.dtypes)
-        told = known.select("user_id", "conversation_id", "type", F.col("seq").cast("long").alias("seq"),
-                            F.unix_micros("ts").alias("us"), "ts")
-        latest = told.groupBy("user_id", "conversation_id").transformWithStateInPandas(
-            _Latest(silence_ms), outputMode="Update", timeMode="EventTime", outputStructType=(
-                f"user_id {kinds['user_id']}, conversation_id {kinds['conversation_id']}, state string, us bigint"))
-        return latest.select("user_id", "conversation_id", "state", F.timestamp_micros("us").alias("since"))
-    known = events.where(F.col("type").isin(vocab.TASK_STATES) & F.col("ts").isNotNull())
-    return known.groupBy("user_id", "conversation_id").agg(
-        F.max_by("type", F.struct("ts", "seq")).alias("state"), F.max("ts").alias("since"))
+        keys.append(F.window("ts", f"{silence_ms} milliseconds"))
+    return known.groupBy(*keys).agg(F.max_by("type", F.struct("ts", "seq")).alias("state"), F.max("ts").alias("since")).select(
+        "user_id", "conversation_id", "state", "since")
 
 
 def feedback_stream(events: DataFrame, calls: DataFrame) -> DataFrame:
