@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from tallyweave import vocab
+from tallyweave.scale import ROWS_PER_TASK
 from tallyweave.session import cut_lineage
 
 #: Rows up to the end of a page that one task may hold; a deeper page is found by ranges of about that size.
 RANGE_ROWS = 100_000
+#: Ranges that rows are dealt into at a time, unless a task would then hold more than `ROWS_PER_TASK` rows.
+RANGES = 256
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
@@ -126,19 +129,27 @@ def sort_by(df: DataFrame, field: str, order: str = "asc", tie: str | None = Non
 def _slice(df: DataFrame, order: Sequence[Column], skip: int, limit: int, range_rows: int) -> DataFrame:
     """Rows skip + 1 to skip + limit of the sorted rows. Sorting with a limit keeps all rows up to the last one wanted in one
     task, so beyond `range_rows` of them the rows are dealt into ranges of the order, only the ranges are counted, and those
-    that hold the wanted rows are sorted."""
+    that hold the wanted rows are dealt again until they are about `range_rows`, then sorted. The number of ranges is bounded, so
+    what reaches the driver does not grow with the rows."""
     if skip + limit <= range_rows:
         return df.orderBy(*order).offset(skip).limit(limit)
-    parts = df.count() // range_rows + 1
-    dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
-    sizes = {r["__range"]: r["n"] for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, wanted, first = 0, [], 0
-    for part in sorted(sizes):
-        if before < skip + limit and before + sizes[part] > skip:
-            first = before if not wanted else first
-            wanted.append(part)
-        before += sizes[part]
-    return dealt.where(F.col("__range").isin(wanted)).drop("__range").orderBy(*order).offset(max(0, skip - first)).limit(limit)
+    rows = df.count()
+    while True:
+        parts = min(rows // range_rows + 1, max(RANGES, rows // ROWS_PER_TASK + 1))
+        dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+        sizes = {r["__range"]: r["n"] for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+        before, wanted, first = 0, [], 0
+        for part in sorted(sizes):
+            if before < skip + limit and before + sizes[part] > skip:
+                first = before if not wanted else first
+                wanted.append(part)
+            before += sizes[part]
+        df, skip = dealt.where(F.col("__range").isin(wanted)).drop("__range"), max(0, skip - first)
+        held = sum(sizes[part] for part in wanted)
+        # rows that the order does not tell apart stay in one range
+        if held <= limit + 2 * range_rows or held == rows:
+            return df.orderBy(*order).offset(skip).limit(limit)
+        rows = held
 
 
 def page(df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 10, range_rows: int = RANGE_ROWS) -> DataFrame:
