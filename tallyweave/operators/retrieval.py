@@ -15,6 +15,8 @@ from tallyweave.session import cut_lineage
 
 #: Pairs of query and word that are sent to every task; more are joined.
 WEIGHTS = 500_000
+#: Documents whose words a task holds as Python strings at a time, and pairs that it passes on at a time.
+DOCS, PAIRS = 64, 1 << 16
 
 
 def _schema(query: str, doc: str) -> pa.Schema:
@@ -62,12 +64,26 @@ def _scored_in_task(batches: Iterator[pa.RecordBatch], shared, k: int | None) ->
         columns = list(zip(*hits)) if hits else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
 
-    for batch in batches:
-        out = []
-        for doc, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
+    ids = pa.array(names)
+    parts = (batch.slice(first, DOCS) for batch in batches for first in range(0, batch.num_rows, DOCS))
+    for part in parts:
+        hits, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            docs = np.repeat([h[0] for h in hits], [len(h[1]) for h in hits])
+            return pa.RecordBatch.from_arrays([
+                ids.take(pa.array(np.concatenate([h[1] for h in hits]))), part.column("doc_id").take(pa.array(docs)),
+                pa.array(np.concatenate([h[2] for h in hits]))], names=["query_id", "doc_id", "score"])
+
+        for row, (doc, tokens) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("words").to_pylist())):
             found, scores = _matches(tokens, places, at, by)
             if k is None:
-                out += [(names[q], doc, x) for q, x in zip(found.tolist(), scores.tolist())]
+                if len(found):
+                    hits.append((row, found, scores))
+                    size += len(found)
+                if size >= PAIRS:
+                    yield packed()
+                    hits, size = [], 0
                 continue
             scores = np.round(scores, 6)
             good = (scores > 0) & (scores >= least[found])
@@ -78,8 +94,8 @@ def _scored_in_task(batches: Iterator[pa.RecordBatch], shared, k: int | None) ->
                     mine.sort()
                     del mine[k:]
                     least[q] = -mine[-1][0] if k else 0
-        if out:
-            yield rows(out)
+        if hits:
+            yield packed()
     if k is not None:
         yield rows([(query, doc, -x) for query, mine in zip(names, held) for x, doc in sorted(mine)[:k]])
 

@@ -42,3 +42,18 @@ def test_lookup_keywords_are_not_collected(spark, monkeypatch):
     monkeypatch.undo()
     assert all(len(part) < 100 for part in collected)
     assert sorted((r.id, r.entry.pos) for r in found.collect()) == [(1, 1), (1, 7), (1, 12), (4, 5001)]
+
+
+def test_scores_leave_a_task_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    class Shared:
+        value = ([f"q{i}" for i in range(200)], {"w": slice(0, 200)}, np.arange(200), np.ones(200))
+
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "words": [["w"]] * 1999 + [None]})
+    out = list(retrieval._scored_in_task(iter([docs]), Shared, None))
+    assert max(b.num_rows for b in out) <= retrieval.PAIRS + 200 and sum(b.num_rows for b in out) == 1999 * 200
+    assert out[0].slice(0, 1).to_pylist() == [{"query_id": "q0", "doc_id": 0, "score": 1.0}]
+    best = [r for b in retrieval._scored_in_task(iter([docs]), Shared, 2) for r in b.to_pylist() if r["query_id"] == "q7"]
+    assert [r["doc_id"] for r in best] == [0, 1]
