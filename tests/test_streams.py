@@ -99,3 +99,57 @@ def test_task_status_is_forgotten(spark):
     assert {(r.user_id, r.state) for r in found} == {(1, "completed"), (2, "error")}
     send((9, "z", "other", 3 * 1440, 1))
     assert send((9, "z", "other", 3 * 1440 + 60, 2)) == 0
+
+
+def test_latest_task_state_over_batches_and_days(spark):
+    folder, out, mark = (work_path(spark, n) for n in ("tasks", "out", "mark"))
+    schema = "user_id long, conversation_id string, type string, ts timestamp, seq long"
+
+    def send(*rows):
+        spark.createDataFrame([(1, "x", k, START + timedelta(minutes=m), s) for k, m, s in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = monitors.agent_task_status(spark.readStream.schema(schema).parquet(folder))
+        # grouped by the engine: no call into Python for each key
+        assert "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
+        ev.run_updates(stream, out, mark)
+
+    send(("thinking", 719, 1), ("completed", 721, 2), ("error", 721, 1))
+    send(("executing_skill", 718, 3), ("thinking", 719, 4))
+    found = ev.latest_updates(spark, out, ["user_id", "conversation_id"], by="since").collect()
+    assert [(r.state, r.since) for r in found] == [("completed", START + timedelta(minutes=721))]
+
+
+def test_calls_to_the_state_do_not_grow_with_the_turns():
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.calls, self.value, self.items = 0, None, []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name == "update":
+                    self.value = args[0]
+                elif name == "appendList":
+                    self.items += args[0]
+                elif name in ("getValueState", "getListState", "getMapState"):
+                    return self
+                elif name == "get":
+                    return iter(self.items) if self.items else self.value
+            return call
+
+    class Handle(Held):
+        def __init__(self):
+            super().__init__()
+            self.states = []
+
+        def __getattr__(self, name):
+            if name.startswith("get"):
+                return lambda *_: self.states.append(Held()) or self.states[-1]
+            return super().__getattr__(name)
+
+    handle, processor = Handle(), folds._Calls(1000, at_end=False)
+    processor.init(handle)
+    rows = pd.DataFrame({"type": "transcriptUpdate", "status": None, "segment_id": [f"s{i % 300}" for i in range(600)] + [None], "us": range(601)})
+    out = list(processor.handleInputRows(("a",), iter([rows]), None))
+    assert out[0]["segments"].tolist() == [301] and handle.calls + sum(s.calls for s in handle.states) < 10
