@@ -6,9 +6,10 @@ indexed under its 64 variants and joined on equality; what shares a variant is v
 more fingerprints than one task should compare is refined by the same rule on the bits that are still free, until
 2,048 fingerprints at most can share one. Copies never meet: only distinct fingerprints are indexed.
 
-Texts that share 0.8 of their shingles of five words differ in about 15% of the bits of any such fingerprint, which no
-number of wildcards finds at bearable cost. `keep_one` therefore finds candidates by the least values of their shingles
-under many hash functions, taken in bands, and counts the shingles that each candidate pair shares. Texts are compared within
+`keep_one` takes as candidates what fingerprints of five-word shingles link in this way, and counts the shingles that each
+candidate pair shares. Texts that share 0.8 of their shingles differ in about 15% of the bits of any such fingerprint, which no
+number of wildcards finds at bearable cost. Further candidates are therefore found by the least values of the shingles
+under many hash functions, taken in bands, and counted likewise. Texts are compared within
 a band's group, in pairs of blocks; what hangs together by chains of candidates only is never brought together.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import components, forest, stored, words_of
+from tallyweave.llm.common import components, forest, scratch_table, stored, words_of
 from tallyweave.scale import small
 from tallyweave.session import cut_lineage
 from tallyweave.streaming.events import settings
@@ -244,7 +245,8 @@ def _band_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, shingle: int) -> DataFrame:
-    """`docs` as `row`, written once with a number `rid`, the number `node` of its set of shingles, that set's size and its bands."""
+    """`docs` as `row`, written once with a number `rid`, the number `node` of its set of shingles, that set's size, fingerprint
+    and bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -252,16 +254,26 @@ def _prepared(docs: DataFrame, shingle: int) -> DataFrame:
                 found = [shingle_set(t, shingle) for t in part.column("row").field("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part.column("row"), pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
-                    pa.array([len(f[1]) for f in found], pa.int64()), pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary())],
-                    names=["row", "node", "size", "bands"])
+                    pa.array([len(f[1]) for f in found], pa.int64()),
+                    pa.array(np.array([_majority(f[1]) for f in found], np.uint64).view(np.int64)),
+                    pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary())], names=["row", "node", "size", "fp", "bands"])
 
     row = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = row.select("row").schema.add("node", "long").add("size", "long").add("bands", "binary")
+    schema = row.select("row").schema.add("node", "long").add("size", "long").add("fp", "long").add("bands", "binary")
     return stored(row.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "near")
 
 
+def _print_groups(rows: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(band, value, node, size) of the sets that fingerprints link with others, directly or through others; the band is -1."""
+    prints = cut_lineage(rows.select("node", "size", "fp").distinct())
+    named = prints.join(near_classes(prints, max_bits), "fp", "left").select(
+        F.lit(-1).alias("band"), F.xxhash64(F.coalesce("root", "fp"), F.lit("fp")).alias("value"), "node", "size")
+    several = named.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    return cut_lineage(named.join(several.select("value"), "value").select("band", "value", "node", "size"))
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(band, value, node, size) of all sets under the bands that they share with others."""
+    """(band, value, node, size) of all sets under the fingerprints' groups and the bands that they share with others."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
@@ -272,13 +284,13 @@ def _candidates(rows: DataFrame) -> DataFrame:
     prints = cut_lineage(rows.select("node", "size", "bands").distinct())
     keyed = prints.mapInArrow(keys, "band int, value long, node long, size long")
     shared = cut_lineage(keyed.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most"))
-    return stored(keyed.join(shared.select("value"), "value").select("band", "value", "node", "size"), "near-bands")
+    return _print_groups(rows).unionAll(keyed.join(shared.select("value"), "value").select("band", "value", "node", "size"))
 
 
 def set_links(rows: DataFrame, firsts: DataFrame, shingle: int = 5) -> DataFrame:
     """Links (a, b) between the numbers of shingle sets of which 0.8 is shared (intersection by union, counted).
 
-    Sets that share a band are compared. What the first bands have linked already is not compared again in the others,
+    Sets that fingerprints link or that share a band are compared. What fingerprints and the first bands have linked already is not compared again in the others,
     where most groups are then one component and fall out. Only sets that have candidates are written, once each.
     """
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,15 +300,19 @@ def set_links(rows: DataFrame, firsts: DataFrame, shingle: int = 5) -> DataFrame
                 sets = [shingle_set(t, shingle)[1].tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    members = _candidates(rows)
+    with scratch_table(_candidates(rows), "near_bands") as members:
+        return _links_of(rows, firsts, members, hashed)
+
+
+def _links_of(rows: DataFrame, firsts: DataFrame, members: DataFrame, hashed) -> DataFrame:
     wanted = members.select("node").distinct().join(firsts.select("node", F.col("best.rid").alias("rid")), "node")
     texts = rows.select("rid", F.col("row.text").alias("text")).join(small(wanted), "rid").select("node", "text")
-    sets = stored(texts.mapInArrow(hashed, "node long, shingles binary"), "near-sets")
-    links = _band_links(members.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")), sets)
-    roots = cut_lineage(components(links))
-    rest = members.where(F.col("band") >= FIRST_BANDS).join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")) \
-        if FIRST_BANDS < BANDS else None
-    return links if rest is None else links.unionAll(_band_links(rest, sets))
+    with scratch_table(texts.mapInArrow(hashed, "node long, shingles binary"), "near_sets") as sets:
+        links = _band_links(members.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")), sets)
+        roots = cut_lineage(components(links))
+        rest = members.where(F.col("band") >= FIRST_BANDS).join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")) \
+            if FIRST_BANDS < BANDS else None
+        return links if rest is None else links.unionAll(_band_links(rest, sets))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:

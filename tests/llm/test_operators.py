@@ -465,3 +465,12 @@ def test_attributes_of_paragraphs_and_containers(spark):
     got = html_text.extract(spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string"))
     assert [r.text for r in got.orderBy("page_id").collect()] == list(pages.values())
     assert html_text.extract(got.selectExpr("page_id", "url", "text AS html").where("false")).count() == 0
+
+
+def test_keep_one_goes_by_linked_fingerprints(spark, monkeypatch):
+    # without bands, the fingerprints' links alone bring copies together; the shared shingles decide
+    monkeypatch.setattr(simhash, "bands_of", lambda hashes: np.random.default_rng(int(hashes.sum() >> np.uint64(1))).integers(0, 1 << 63, simhash.BANDS))
+    words = [f"w{i}" for i in range(4000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(f"v{i}" for i in range(50)))],
+                                 "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3]
