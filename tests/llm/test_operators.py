@@ -6,8 +6,10 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -474,3 +476,31 @@ def test_keep_one_goes_by_linked_fingerprints(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(f"v{i}" for i in range(50)))],
                                  "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3]
+
+
+def shuffle_files(spark) -> int:
+    """Shuffle files on disk, once those that are being removed are gone."""
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    count = lambda: sum(len(list(Path(d).glob("*/shuffle_*"))) for d in folders)
+    for _ in range(20):
+        before = count()
+        time.sleep(0.5)
+        if count() == before:
+            return before
+
+
+@pytest.mark.parametrize("step", [
+    lambda docs: suffix_dedup.repeated_spans(docs)], ids=["repeated_spans"])
+def test_steps_leave_no_shuffle_files(spark, docs, step):
+    before = shuffle_files(spark)
+    held = step(docs)
+    assert shuffle_files(spark) <= before, held
+
+
+def test_cells_of_many_texts_leave_in_small_batches():
+    rows = [{"tid": bytes([k % 256] * 16), "copies": 1, "text": "x" * 3000, "items": [
+        {"core": j, "first": 48 * j, "starts": 48, "weight": 1} for j in range(20)]} for k in range(3000)]
+    whole = pa.RecordBatch.from_pylist(rows)
+    found = list(suffix_dedup._contexts(iter([whole]), 400))
+    assert sum(b.num_rows for b in found) == 3000 * 20
+    assert max(b.nbytes for b in found) < 4 << 20
