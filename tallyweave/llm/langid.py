@@ -15,11 +15,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import fold
+from tallyweave.llm.common import fold, slices
 
 ORDER = 4
 #: Rows of each language, at most about this many, that a model is counted on and, as many again, calibrated on.
 SAMPLE_ROWS = 1500
+#: Rows whose texts are compared with the models at once.
+ROWS_AT_ONCE = 300
 #: Bits per character above the worst of a language's own calibration texts at which a text is rejected; short texts,
 #: which vary more, are allowed `SHORT_BITS` in all on top.
 REJECT_BITS, SHORT_BITS = 1.0, 40.0
@@ -241,7 +243,7 @@ def train(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROW
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Identifier.from_plain(*shared.value)
             column = {k: c for c, k in enumerate(known.models)}
-            for batch in batches:
+            for batch in slices(batches, ROWS_AT_ONCE):
                 bits, sizes = known.entropies(batch.column("text").to_pylist())
                 own = [bits[r, column[k]] if k in column else np.nan for r, k in enumerate(batch.column("lang").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(own), pa.array(sizes)], names=["lang", "bits", "size"])
@@ -263,19 +265,17 @@ def identify(docs: DataFrame, identifier: Identifier, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Identifier.from_plain(*shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = batch.column("text_").to_pylist()
-                if known.models:
-                    langs, score, bits, rejected = known.decide(texts)
-                else:
-                    n = len(texts)
-                    langs, score, bits, rejected = ["und"] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-                columns = {k: batch.column(k) for k in keep} | {
-                    "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64()),
-                    "bits": pa.array(bits, pa.float64(), from_pandas=True), "rejected": pa.array(rejected, pa.bool_())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for batch in slices(batches, ROWS_AT_ONCE):
+            texts = batch.column("text_").to_pylist()
+            if known.models:
+                langs, score, bits, rejected = known.decide(texts)
+            else:
+                n = len(texts)
+                langs, score, bits, rejected = ["und"] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+            columns = {k: batch.column(k) for k in keep} | {
+                "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64()),
+                "bits": pa.array(bits, pa.float64(), from_pandas=True), "rejected": pa.array(rejected, pa.bool_())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     picked = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").cast("string").alias("text_"))
     schema = picked.drop("text_").schema.add("lang_pred", "string").add("score", "double").add("bits", "double").add("rejected", "boolean")

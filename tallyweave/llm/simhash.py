@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import components, forest, scratch_table, stored, words_of
+from tallyweave.llm.common import FREED, components, forest, scratch_table, slices, stored, words_of
 from tallyweave.scale import small
 from tallyweave.session import cut_lineage
 from tallyweave.streaming.events import settings
@@ -90,7 +90,7 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """`doc_id`, `fp` (the fingerprint as a signed long) of every row; null and blank texts have fingerprint 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             prints = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     ignored; an empty table gives no rows.
     """
     prints = cut_lineage(with_fingerprints(docs, shingle))
-    classes = near_classes(prints, max_bits)
+    with settings(docs.sparkSession, FREED):
+        classes = near_classes(prints, max_bits)
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = own.join(classes, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -248,15 +249,13 @@ def _prepared(docs: DataFrame, shingle: int) -> DataFrame:
     """`docs` as `row`, written once with a number `rid`, the number `node` of its set of shingles, that set's size, fingerprint
     and bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [shingle_set(t, shingle) for t in part.column("row").field("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("row"), pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
-                    pa.array([len(f[1]) for f in found], pa.int64()),
-                    pa.array(np.array([_majority(f[1]) for f in found], np.uint64).view(np.int64)),
-                    pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary())], names=["row", "node", "size", "fp", "bands"])
+        for batch in slices(batches):
+            found = [shingle_set(t, shingle) for t in batch.column("row").field("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("row"), pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
+                pa.array([len(f[1]) for f in found], pa.int64()),
+                pa.array(np.array([_majority(f[1]) for f in found], np.uint64).view(np.int64)),
+                pa.array([bands_of(f[1]).tobytes() for f in found], pa.binary())], names=["row", "node", "size", "fp", "bands"])
 
     row = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = row.select("row").schema.add("node", "long").add("size", "long").add("fp", "long").add("bands", "binary")
@@ -294,11 +293,9 @@ def set_links(rows: DataFrame, firsts: DataFrame, shingle: int = 5) -> DataFrame
     where most groups are then one component and fall out. Only sets that have candidates are written, once each.
     """
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingle_set(t, shingle)[1].tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        for batch in slices(batches):
+            sets = [shingle_set(t, shingle)[1].tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     with scratch_table(_candidates(rows), "near_bands") as members:
         return _links_of(rows, firsts, members, hashed)
@@ -322,8 +319,15 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     and blank texts count as duplicates of each other; of repeated rows one stays. An empty table gives no rows.
     """
     rows = _prepared(docs, shingle)
+    with settings(docs.sparkSession, FREED):
+        kept = _kept(rows, shingle)
+    return rows.select("rid", "row").join(kept, "rid", "left_semi").select("row.*")
+
+
+def _kept(rows: DataFrame, shingle: int) -> DataFrame:
+    """`rid` of the row that stays of each component."""
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash"), "rid")
     firsts = cut_lineage(rows.groupBy("node").agg(F.min(order).alias("best")))
     roots = components(set_links(rows, firsts, shingle))
     kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    return rows.select("rid", "row").join(kept.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select("row.*")
+    return cut_lineage(kept.select(F.col("best.rid").alias("rid")))

@@ -490,7 +490,7 @@ def shuffle_files(spark) -> int:
 
 
 @pytest.mark.parametrize("step", [
-    lambda docs: suffix_dedup.repeated_spans(docs)], ids=["repeated_spans"])
+    lambda docs: suffix_dedup.repeated_spans(docs), lambda docs: simhash.keep_one(docs)], ids=["repeated_spans", "keep_one"])
 def test_steps_leave_no_shuffle_files(spark, docs, step):
     before = shuffle_files(spark)
     held = step(docs)
