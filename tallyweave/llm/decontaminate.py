@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import LOWER, utf8
+from tallyweave.llm.common import LOWER, slices, utf8
 
 SHINGLE, SIMILAR, ANSWER_SIMILAR = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
@@ -246,14 +246,12 @@ def with_hits(docs: DataFrame, items: DataFrame, *keep: str) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    batch = whole.slice(at, 500)
-                    texts = batch.column("text_").to_pylist()
-                    found = index.hits(texts) if index.ids else [[] for _ in texts]
-                    hits = [a + b for a, b in zip(batch.column("hits").to_pylist(), found)]
-                    yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in batch.schema.names[:-1]], pa.array(hits, _HIT)],
-                                                     names=batch.schema.names)
+            for batch in slices(batches, 500):
+                texts = batch.column("text_").to_pylist()
+                found = index.hits(texts) if index.ids else [[] for _ in texts]
+                hits = [a + b for a, b in zip(batch.column("hits").to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in batch.schema.names[:-1]], pa.array(hits, _HIT)],
+                                                 names=batch.schema.names)
 
         plain = plain.mapInArrow(run, plain.schema)
     return plain.drop("text_")

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import fold, slices
+from tallyweave.llm.common import fold, released, slices
 
 ORDER = 4
 #: Rows of each language, at most about this many, that a model is counted on and, as many again, calibrated on.
@@ -126,7 +126,7 @@ def context_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams of each language in a batch; `shorter` is the gram without its first character."""
-    for batch in batches:
+    for batch in released(batches):
         frames = []
         for lang, rows in batch.to_pandas().groupby("lang"):
             texts = [x for x in map(letters, rows["text"]) if len(x)]

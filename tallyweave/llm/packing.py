@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from tallyweave.llm.common import released
+
 WINDOW = 2048
 END_ID = 1
 #: Tokens that a task gathers before it packs them.
@@ -190,7 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             held.clear()
 
         tokens, encode = 0, encoder(tokenizer_path).ids
-        for batch in batches:
+        for batch in released(batches):
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 names.append(name)
                 held.append(encode(text.as_py(), end_id))

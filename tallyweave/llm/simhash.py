@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import FREED, components, forest, scratch_table, slices, stored, words_of
+from tallyweave.llm.common import FREED, components, forest, released, scratch_table, slices, stored, words_of
 from tallyweave.scale import small
 from tallyweave.session import cut_lineage
 from tallyweave.streaming.events import settings
@@ -102,7 +102,7 @@ def _variants(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Reco
     """Each fingerprint under all variants that fix one more segment but for a bit; `fixed` marks the bits agreed on."""
     width = 64 >> level
     segment = (1 << width) - 1
-    for batch in batches:
+    for batch in released(batches):
         prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         fixed = batch.column("fixed").to_numpy(zero_copy_only=False).view(np.uint64)
         for block in range(0, 64, 2 * width):
@@ -118,7 +118,7 @@ def _variants(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Reco
 
 
 def _near(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         a, b = [], []
         for members in batch.column("members"):
             prints = np.unique(members.values.to_numpy(zero_copy_only=False).view(np.uint64))
@@ -215,7 +215,7 @@ def _similar_pairs(nodes: np.ndarray, roots: np.ndarray, own: np.ndarray, sets:
 
 
 def _verified_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         pairs = []
         for members in batch.column("members"):
             node, root, own = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "own"))
@@ -274,7 +274,7 @@ def _print_groups(rows: DataFrame, max_bits: int = 2) -> DataFrame:
 def _candidates(rows: DataFrame) -> DataFrame:
     """(band, value, node, size) of all sets under the fingerprints' groups and the bands that they share with others."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             values = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             repeated = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("node", "size")]
             bands = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)

@@ -1,8 +1,12 @@
 """The operators for training data against plain versions on small inputs with nulls, ties, repeats and clashing columns."""
 
+import ctypes
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -267,6 +271,27 @@ def test_trie_keeps_phrases_seen_once_or_twice(spark):
     assert score[0] > score[1] + 1 and score[2] > score[3] + 0.3
 
 
+def test_workers_give_freed_memory_back():
+    """A worker lives on between tasks: what its texts have taken must not stay with it."""
+    code = """if True:
+        import re
+        import numpy as np, pyarrow as pa
+        from tallyweave.llm.common import slices
+        taken = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+        kept, before = [], taken()
+        for batch in slices(iter([pa.record_batch([pa.array([1])], names=["x"])])):
+            # 100 MB, of which a little scattered over all of it stays
+            parts = [np.ones(2000, np.uint8) for _ in range(50_000)]
+            kept += parts[::500]
+            del parts
+        print(taken() - before)
+    """
+    if not os.path.exists("/proc/self/smaps_rollup") or not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("needs Linux and glibc")
+    left = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.getcwd()})
+    assert float(left.stdout) < 60
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(4)
     for values in ([], [7], [0, 1 << 63, (1 << 64) - 1], np.sort(rng.integers(0, 1 << 50, 900))):
