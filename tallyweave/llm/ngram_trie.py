@@ -6,16 +6,19 @@ word) in Elias-Fano form, with one byte for each smoothed probability, one for e
 monotone pointers to where a context's words begin. A lookup is a successor search among the words of one context.
 
 Counting runs over all training texts in Spark: tasks send sorted blocks of keys and counts, cut by ranges of keys, and
-one task merges each range. The levels are written as tables in the shared folder, from which each executor turns them,
-one range at a time, into one file a level, which its Python workers map into memory. Columns of numbers are written as
-compressed byte planes, ascending ones as differences.
+one task merges each range. Where the shared folder is mounted, the task that ends a range writes its part of the level there,
+in the form that the Python workers of all executors map into memory. Otherwise the levels are written as tables, from which
+each executor turns them, one range at a time, into one file a level. Columns of numbers are written as compressed byte
+planes, ascending ones as differences.
 """
 
 from __future__ import annotations
 
 import fcntl
 import json
+import mmap
 import os
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,8 +31,9 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm.common import fold, words_of
+from tallyweave.llm.common import FREED, fold, released, words_of
 from tallyweave.session import work_path
+from tallyweave.streaming.events import settings
 
 ORDER = 3
 #: n-grams of two words and more that occur less often are left to the lower order: none.
@@ -145,10 +149,58 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.array([first], np.uint64), values)), dtype=np.uint64)
 
 
+def _placed(arrays: dict[str, np.ndarray], file, at: int) -> tuple[dict[str, tuple], int]:
+    """Where in `file` each array has been written, from `at` on, and the place behind them."""
+    places = {}
+    for key, a in arrays.items():
+        places[key] = (a.dtype.str, at, len(a))
+        file.seek(at)
+        a.tofile(file)
+        at += -(-a.nbytes // 64) * 64
+    file.truncate(max(1, at))
+    return places, at
+
+
+def write_part(folder: str, part: int, arrays: dict[str, np.ndarray]) -> None:
+    """A part of a level as a file of a mounted folder; a task that runs again puts the same one in its place."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{part:08d}")
+    new = f"{path}.{uuid.uuid4().hex}"
+    try:
+        with open(new, "wb") as file:
+            places, _ = _placed(arrays, file, 0)
+        os.replace(new, path + ".bin")
+        with open(new, "w") as file:
+            json.dump(places, file)
+        os.replace(new, path + ".json")
+    except BaseException:
+        if os.path.exists(new):
+            os.remove(new)
+        raise
+
+
+def _folder_parts(folder: str) -> list[dict[str, np.ndarray]]:
+    """The arrays of each part of a level that `write_part` has written, in order."""
+    parts = []
+    for name in sorted(os.listdir(folder) if os.path.isdir(folder) else []):
+        if name.endswith(".json"):
+            with open(os.path.join(folder, name)) as file:
+                places = json.load(file)
+            if places:
+                with open(os.path.join(folder, name[:-5] + ".bin"), "rb") as file:
+                    # a level of thousands of parts must not hold as many open files
+                    whole = np.frombuffer(mmap.mmap(
+                        file.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {})), np.uint8)
+                parts.append({key: whole[at:at + np.dtype(kind).itemsize * size].view(kind) for key, (kind, at, size) in places.items()})
+    return parts
+
+
 def mapped(files: tuple[str, ...], build: Callable[[dict], dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
-    """The arrays that `build` makes of each row of a level, in order of `part`, mapped into memory from one file that all
-    workers of an executor share. The first to come writes it, row by row, and removes the table's files that were sent
-    to that executor's folder."""
+    """The arrays of each part of a level, in order, mapped into memory from a mounted folder (`files` names it alone and ends
+    in a slash), otherwise as `build` makes them of each row, from one file that all workers of an executor share. The first
+    to come writes it, row by row, and removes the table's files that were sent to that executor's folder."""
+    if len(files) == 1 and files[0].endswith("/"):
+        return _folder_parts(files[0])
     root = SparkFiles.getRootDirectory()
     path = os.path.join(root, f"level-{xxhash.xxh3_64_hexdigest(chr(10).join(files))}")
     with open(path + ".lock", "w") as lock:
@@ -160,12 +212,7 @@ def mapped(files: tuple[str, ...], build: Callable[[dict], dict[str, np.ndarray]
                     with pq.ParquetFile(os.path.join(root, name)) as table:
                         for batch in table.iter_batches(batch_size=1):
                             for row in batch.to_pylist():
-                                places = {}
-                                for key, a in build(row).items():
-                                    places[key] = (a.dtype.str, at, len(a))
-                                    file.seek(at)
-                                    a.tofile(file)
-                                    at += -(-a.nbytes // 64) * 64
+                                places, at = _placed(build(row), file, at)
                                 parts.append((row["part"], places))
                 file.truncate(max(1, at))
             with open(path + ".json", "w") as file:
@@ -202,7 +249,11 @@ class Part:
 
     @staticmethod
     def built(row: dict, vocabulary: int) -> dict[str, np.ndarray]:
-        keys, contexts = unpacked(row["keys"]), unpacked(row["contexts"])
+        return Part.arrays(unpacked(row["keys"]), np.frombuffer(row["codes"], np.uint8), unpacked(row["contexts"]),
+                           np.frombuffer(row["weights"], np.uint8), vocabulary)
+
+    @staticmethod
+    def arrays(keys: np.ndarray, codes: np.ndarray, contexts: np.ndarray, coded: np.ndarray, vocabulary: int) -> dict[str, np.ndarray]:
         if not len(contexts):
             return {}
         first = contexts[0]
@@ -210,8 +261,8 @@ class Part:
         n = int(contexts[-1]) + 2
         starts = np.searchsorted(keys, np.arange(n, dtype=np.uint64) * np.uint64(vocabulary)).astype(np.uint64)
         weights = np.zeros(n - 1, np.uint8)
-        weights[contexts] = np.frombuffer(row["weights"], np.uint8)
-        return {"first": np.array([first]), "codes": np.frombuffer(row["codes"], np.uint8), "weights": weights} | {
+        weights[contexts] = coded
+        return {"first": np.array([first]), "codes": codes, "weights": weights} | {
             f"k_{k}": v for k, v in EliasFano.encode(keys).items()} | {f"p_{k}": v for k, v in EliasFano.encode(starts).items()}
 
     def find(self, keys: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -345,16 +396,25 @@ def load_trie(files: tuple[tuple[str, ...], ...]) -> Trie:
     return _TRIES[files]
 
 
-def _share(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Where executors, now and later, find the files of a table: their paths in a shared folder that is mounted, otherwise
-    the names under which each executor fetches them from the store."""
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The local name of a path in a shared folder that is mounted; of one in a store: none."""
+    if not urlsplit(path).scheme:
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + path
+    return unquote(urlsplit(path).path) + "/" if path.startswith("file:") else None
+
+
+def _share(spark: SparkSession, level: DataFrame, path: str) -> tuple[str, ...]:
+    """`level` computed, and where executors, now and later, find its parts: in the folder that its tasks have written, if the
+    shared one is mounted, otherwise in files of a table, by the names under which each executor fetches them from the store."""
+    folder = _mounted(spark, path)
+    if folder:
+        level.write.format("noop").mode("overwrite").save()
+        return (folder,)
+    level.write.parquet(path)
     names = []
     for row in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").collect():
-        if row["path"].startswith("file:"):
-            names.append(unquote(urlsplit(row["path"]).path))
-        else:
-            spark.sparkContext.addFile(row["path"])
-            names.append(row["path"].rpartition("/")[2])
+        spark.sparkContext.addFile(row["path"])
+        names.append(row["path"].rpartition("/")[2])
     return tuple(sorted(names))
 
 
@@ -418,7 +478,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def _count_words(texts: DataFrame, parts: int) -> DataFrame:
+def _count_words(texts: DataFrame, parts: int, folder: str | None) -> DataFrame:
     bounds = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 64 / parts)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,6 +498,9 @@ def _count_words(texts: DataFrame, parts: int) -> DataFrame:
             yield from flush()
 
     def then(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if folder:
+            write_part(folder, part, {"hashes": keys, "counts": counts.astype(np.uint32)})
+            return
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([packed(keys, True)]), pa.array([packed(counts)])], names=["part", "keys", "counts"])
 
@@ -535,11 +598,11 @@ def _code(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-12)) * STEP), 0, 255).astype(np.uint8)
 
 
-def _finish(counted: DataFrame, files: tuple, share: np.ndarray) -> DataFrame:
-    """Codes of the smoothed probabilities of entries and of the back-off weights of contexts."""
+def _finish(counted: DataFrame, files: tuple, share: np.ndarray, folder: str | None) -> DataFrame:
+    """Codes of the smoothed probabilities of entries and of the back-off weights of contexts; with a folder, they go there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = load_trie(files)
-        for batch in batches:
+        for batch in released(batches):
             for k in range(batch.num_rows):
                 keys, counts, contexts, totals, mass = (
                     unpacked(batch.column(c)[k].as_py()) for c in ("keys", "counts", "contexts", "totals", "mass"))
@@ -549,6 +612,9 @@ def _finish(counted: DataFrame, files: tuple, share: np.ndarray) -> DataFrame:
                 owner = np.searchsorted(contexts, keys // np.uint64(trie.size))
                 lower = _lower(trie, contexts[owner].astype(np.int64), (keys % np.uint64(trie.size)).astype(np.int64)) if len(keys) else 0
                 p = own[owner] * counts + 10 ** (-(coded[owner] / STEP)) * lower
+                if folder:
+                    write_part(folder, batch.column("part")[k].as_py(), Part.arrays(keys, _code(p), contexts, coded, trie.size))
+                    continue
                 yield pa.RecordBatch.from_arrays([batch.column("part")[k:k + 1], *[pa.array([x]) for x in (
                     packed(keys, True), _code(p).tobytes(), packed(contexts, True), coded.tobytes())]], names=["part", "keys", "codes", "contexts", "weights"])
 
@@ -566,21 +632,21 @@ def build_trie(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT)
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = work_path(spark, "trie-1")
-    _count_words(texts, parts).write.parquet(path)
-    files = (_share(spark, path),)
-    for n in range(2, order + 1):
-        counted, path = f"llm_grams_{uuid.uuid4().hex}", work_path(spark, f"trie-{n}")
-        try:
-            _count_grams(texts, files, parts, min_count).write.saveAsTable(counted)
-            rows = spark.table(counted)
-            tally = np.zeros((BUCKETS, BINS))
-            for row in rows.select("tally").toLocalIterator():
-                tally += np.frombuffer(row["tally"], np.float64).reshape(BUCKETS, BINS)
-            _finish(rows, files, _weights(tally)).write.parquet(path)
-        finally:
-            # the finished level holds its n-grams
-            spark.sql(f"DROP TABLE IF EXISTS {counted}")
-        files = (*files, _share(spark, path))
+    with settings(spark, FREED):
+        files = (_share(spark, _count_words(texts, parts, _mounted(spark, path)), path),)
+        for n in range(2, order + 1):
+            counted, path = f"llm_grams_{uuid.uuid4().hex}", work_path(spark, f"trie-{n}")
+            try:
+                _count_grams(texts, files, parts, min_count).write.saveAsTable(counted)
+                rows = spark.table(counted)
+                tally = np.zeros((BUCKETS, BINS))
+                for row in rows.select("tally").toLocalIterator():
+                    tally += np.frombuffer(row["tally"], np.float64).reshape(BUCKETS, BINS)
+                level = _finish(rows, files, _weights(tally), _mounted(spark, path))
+                files = (*files, _share(spark, level, path))
+            finally:
+                # the finished level holds its n-grams
+                spark.sql(f"DROP TABLE IF EXISTS {counted}")
     return files
 
 

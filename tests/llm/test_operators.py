@@ -271,6 +271,22 @@ def test_trie_keeps_phrases_seen_once_or_twice(spark):
     assert score[0] > score[1] + 1 and score[2] > score[3] + 0.3
 
 
+def test_trie_lies_on_disk_once(spark, monkeypatch):
+    """Each part of a level is one file of the shared folder, which executors map as it is; a store gives the same scores."""
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(i % 50)) for i in range(200)]
+    trained = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    files = ngram_trie.build_trie(trained)
+    score = lambda names: sorted(map(tuple, ngram_trie.score(asked, names, "doc_id").collect()))
+    found = score(files)
+    for level in files:
+        folder = Path(*level)
+        assert folder.is_dir() and {p.suffix for p in folder.iterdir()} == {".bin", ".json"}
+    monkeypatch.setattr(ngram_trie, "_mounted", lambda spark, path: None)
+    stored = ngram_trie.build_trie(trained)
+    assert all(name.endswith(".parquet") for level in stored for name in level) and score(stored) == found
+
+
 def test_workers_give_freed_memory_back():
     """A worker lives on between tasks: what its texts have taken must not stay with it."""
     code = """if True:
