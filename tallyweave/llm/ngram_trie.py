@@ -3,7 +3,7 @@
 Level 1 holds the hashes of all words in order, so that a word's id is its rank. Each further level holds, for every
 entry of the level above, the ids of the words seen after it, as one monotone sequence (context times vocabulary plus
 word) in Elias-Fano form, with one byte for each smoothed probability, one for each context's back-off weight, and
-monotone pointers to where a context's words begin. A lookup is a successor search among the words of one context.
+monotone pointers to where a context's words begin. A lookup seeks a context and word among the few entries with the same high bits.
 
 Counting runs over all training texts in Spark: tasks send sorted blocks of keys and counts, cut by ranges of keys, and
 one task merges each range. Where the shared folder is mounted, the task that ends a range writes its part of the level there,
@@ -90,13 +90,16 @@ class EliasFano:
         """Position of the k-th one (or zero) in the high bits."""
         before = self.ones if of_ones else self.zeros
         word = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
-        bits = np.ascontiguousarray(self.words[word] if of_ones else ~self.words[word]).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(bits), axis=1, dtype=np.uint8)
-        rest = (k - before[word]).astype(np.uint8)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(byte > 0, upto[row, np.maximum(byte, 1) - 1], 0)
-        return 64 * word + 8 * byte + SELECT_IN_BYTE[bits[row, np.minimum(byte, 7)], rest]
+        bits = self.words[word] if of_ones else ~self.words[word]
+        rest = (k - before[word]).astype(np.uint64)
+        # all eight bytes of a word at once: their counts of ones, each with those of the bytes before it
+        upto = bits - (bits >> np.uint64(1) & PAIRS)
+        upto = (upto & NIBBLES) + (upto >> np.uint64(2) & NIBBLES)
+        upto = (upto + (upto >> np.uint64(4)) & HALVES) * ONE_A_BYTE
+        byte = np.bitwise_count((rest * ONE_A_BYTE | TOP_OF_BYTES) - upto & TOP_OF_BYTES)
+        shift = byte.astype(np.uint64) << np.uint64(3)
+        rest -= (upto << np.uint64(8)) >> shift & np.uint64(255)
+        return 64 * word + 8 * byte.astype(np.int64) + SELECT_IN_BYTE[(bits >> shift & np.uint64(255)).view(np.int64), rest.view(np.int64)]
 
     def access(self, at: np.ndarray) -> np.ndarray:
         return (self._select(at, True) - at) << self.bits | self.low(at)
@@ -120,7 +123,37 @@ class EliasFano:
             active = active[from_[active] < upto[active]]
         return np.where(over, self.size, from_)
 
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Position of each wanted value in a sequence without repeats, -1 where it has none."""
+        out = np.full(len(wanted), -1, np.int64)
+        if not self.size:
+            return out
+        inside = np.nonzero(wanted <= int(self.access(np.array([self.size - 1]))[0]))[0]
+        high, low = wanted[inside] >> self.bits, wanted[inside] & (1 << self.bits) - 1
+        # values with the same high bits are a run of ones behind as many zeros
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        window = self.words[word] >> shift | self.words[np.minimum(word + 1, len(self.words) - 1)] << (np.uint64(63) - shift) << np.uint64(1)
+        run = np.bitwise_count(window & ~(window + np.uint64(1))).astype(np.int64)
+        longer = np.nonzero(run == 64)[0]
+        run[longer] = self._select(high[longer], False) - begin[longer]
+        some = np.nonzero(run)[0]
+        inside, low, from_ = inside[some], low[some], begin[some] - high[some]
+        upto = from_ + run[some]
+        active = np.nonzero(upto - from_ > 1)[0]
+        while len(active):
+            mid = (from_[active] + upto[active]) >> 1
+            less = self.low(mid) <= low[active]
+            from_[active[less]] = mid[less]
+            upto[active[~less]] = mid[~less]
+            active = active[upto[active] - from_[active] > 1]
+        same = self.low(from_) == low
+        out[inside[same]] = from_[same]
+        return out
+
 
+#: Masks for counting the ones of all bytes of a 64-bit word.
+PAIRS, NIBBLES, HALVES, ONE_A_BYTE, TOP_OF_BYTES = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
 SELECT_IN_BYTE = np.zeros((256, 8), np.int64)
 for _byte in range(256):
     for _k, _bit in enumerate(b for b in range(8) if _byte >> b & 1):
@@ -268,18 +301,8 @@ class Part:
     def find(self, keys: np.ndarray, vocabulary: int) -> np.ndarray:
         """Entry of each of the ascending keys (from the part's first context on), -1 where it has none."""
         at = np.full(len(keys), -1, np.int64)
-        keys = keys[:np.searchsorted(keys, (self.pointers.size - 1) * vocabulary)]
-        if not len(keys):
-            return at
-        context = keys // vocabulary
-        new = np.concatenate(([True], context[1:] != context[:-1]))
-        own, which = context[new], np.cumsum(new) - 1
-        begin, end = self.pointers.access(own), self.pointers.access(own + 1)
-        some = np.nonzero((begin < end)[which])[0]
-        where = self.children.successor(keys[some])
-        inside = np.nonzero(where < end[which[some]])[0]
-        inside = inside[self.children.access(where[inside]) == keys[some[inside]]]
-        at[some[inside]] = where[inside]
+        n = np.searchsorted(keys, (self.pointers.size - 1) * vocabulary)
+        at[:n] = self.children.find(keys[:n])
         return at
 
 
@@ -294,19 +317,38 @@ class Level:
         self.begins = np.cumsum(sizes) - sizes
         self.firsts = np.array([p.first for p in self.parts], np.int64)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Entry of each (context, word), -1 where it has none; negative contexts and words have none."""
-        out = np.full(len(context), -1, np.int64)
+    def _found(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which (context, word) can have an entry, as negative ones have none; of their different keys, in order, the entry (-1
+        for none) and the code of its probability, else that of the context's weight; and which of these keys each has."""
         known = np.nonzero((context >= 0) & (word >= 0))[0]
         keys, back = np.unique(context[known] * self.vocabulary + word[known], return_inverse=True)
-        at = np.full(len(keys), -1, np.int64)
+        at, codes = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.uint8)
         cuts = [*np.searchsorted(keys, self.firsts * self.vocabulary).tolist(), len(keys)]
         for part, begin, a, b in zip(self.parts, self.begins.tolist(), cuts, cuts[1:]):
             if a < b:
-                found = part.find(keys[a:b] - part.first * self.vocabulary, self.vocabulary)
-                at[a:b] = np.where(found >= 0, found + begin, -1)
-        out[known] = at[back]
-        return out
+                own = keys[a:b] - part.first * self.vocabulary
+                found = part.find(own, self.vocabulary)
+                hit, miss = np.nonzero(found >= 0)[0], np.nonzero(found < 0)[0]
+                at[a:b][hit] = found[hit] + begin
+                codes[a:b][hit] = part.codes[found[hit]]
+                contexts = own[miss] // self.vocabulary
+                inside = contexts < len(part.weights)
+                codes[a:b][miss[inside]] = part.weights[contexts[inside]]
+        return known, at, codes, back
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Entry of each (context, word), -1 where it has none; negative contexts and words have none."""
+        return self.look(context, word)[0]
+
+    def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each (context, word), as `find`, and the code of its probability, else that of its context's weight."""
+        known, at, found, back = self._found(context, word)
+        out, codes = np.full(len(context), -1, np.int64), np.zeros(len(context), np.uint8)
+        out[known], codes[known] = at[back], found[back]
+        new = np.nonzero((context >= 0) & (word < 0))[0]
+        if len(new):
+            codes[new] = self.weight(context[new])
+        return out, codes
 
     def weight(self, context: np.ndarray) -> np.ndarray:
         """Code of the back-off weight of each context, 0 where it has no words."""
@@ -317,13 +359,6 @@ class Level:
             out[at[inside]] = self.parts[k].weights[own[inside]]
         return out
 
-    def code(self, entry: np.ndarray) -> np.ndarray:
-        """Code of the probability of each entry, 0 for -1."""
-        out = np.zeros(len(entry), np.uint8)
-        for k, at in _by_part(entry, self.begins):
-            out[at] = self.parts[k].codes[entry[at] - self.begins[k]]
-        return out
-
     def word(self, entry: np.ndarray) -> np.ndarray:
         """The last word of each entry."""
         out = np.zeros(len(entry), np.int64)
@@ -349,25 +384,30 @@ class Trie:
     def ids(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = list(set(words).difference(self.known))
+        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        which, first = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(words) - 1, -1, -1)
+        own = list(map(words.__getitem__, first.tolist()))
+        fresh = [w for w in own if w not in self.known]
         if fresh:
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
             found = np.full(len(fresh), -1, np.int64)
             for k, places in _by_part(hashes, self.firsts):
-                own = self.words[k]["hashes"]
-                at = np.minimum(np.searchsorted(own, hashes[places]), len(own) - 1)
-                found[places] = np.where(own[at] == hashes[places], at + self.begins[k], -1)
+                part = self.words[k]["hashes"]
+                at = np.minimum(np.searchsorted(part, hashes[places]), len(part) - 1)
+                found[places] = np.where(part[at] == hashes[places], at + self.begins[k], -1)
             self.known.update(zip(fresh, found.tolist()))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[which]
 
-    def entries(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(context, entry) of every token, level by level from the second; `begins` marks first tokens of texts."""
+    def entries(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """(context, entry, code as `Level.look` gives it) of every token, level by level from the second; `begins` marks first
+        tokens of texts. Behind the last level stand its entries as contexts alone."""
         above = ids
         for n in range(len(self.levels) + 1):
             context = np.concatenate(([-1], above[:-1]))
             context[begins] = self.size if n == 0 else -1
-            entry = self.levels[n].find(context, ids) if n < len(self.levels) else None
-            yield context, entry
+            entry, code = self.levels[n].look(context, ids) if n < len(self.levels) else (None, None)
+            yield context, entry, code
             above = entry
 
     def base(self, ids: np.ndarray) -> np.ndarray:
@@ -380,8 +420,8 @@ class Trie:
         """log10 probability of each token in level 1 and in the whole trie."""
         base = self.base(ids)
         score = base.copy()
-        for (context, entry), level in zip(self.entries(ids, begins), self.levels):
-            score = np.where(entry >= 0, -(level.code(entry) / STEP), score - level.weight(context) / STEP)
+        for (_, entry, code), _ in zip(self.entries(ids, begins), self.levels):
+            score = np.where(entry >= 0, 0.0, score) - code / STEP
         return base, score
 
 
@@ -575,8 +615,8 @@ def trie_tail(trie: Trie, pairs: np.ndarray) -> np.ndarray:
     """log10 of the second token of each pair after the first; orders over three keep the last two words only."""
     level = trie.levels[0]
     first, second = pairs[0::2], pairs[1::2]
-    entry = level.find(first, second)
-    return np.where(entry >= 0, -(level.code(entry) / STEP), trie.base(second) - level.weight(first) / STEP)
+    entry, code = level.look(first, second)
+    return np.where(entry >= 0, 0.0, trie.base(second)) - code / STEP
 
 
 def _bucket(totals: np.ndarray) -> np.ndarray:

@@ -326,6 +326,23 @@ def test_elias_fano():
         assert (ef.successor(wanted) == np.searchsorted(values, wanted.astype(np.uint64))).all()
 
 
+def test_elias_fano_finds_values_with_one_select(monkeypatch):
+    rng = np.random.default_rng(7)
+    for bunch in ([], range(5000, 5300), range(1 << 40, (1 << 40) + 5000, 3)):
+        values = np.unique(np.concatenate((rng.integers(0, 1 << 41, 900), np.array(bunch, np.int64)))).astype(np.uint64)
+        ef = ngram_trie.EliasFano(ngram_trie.EliasFano.encode(values))
+        wanted = np.concatenate((values.astype(np.int64), rng.integers(0, 1 << 42, 500), np.array([0, 5300, int(values[-1]) + 1])))
+        selects, select = [], ngram_trie.EliasFano._select
+        monkeypatch.setattr(ngram_trie.EliasFano, "_select", lambda self, k, of_ones: selects.append(len(k)) or select(self, k, of_ones))
+        found = ef.find(wanted)
+        monkeypatch.undo()
+        place = {v: k for k, v in enumerate(values.tolist())}
+        assert found.tolist() == [place.get(v, -1) for v in wanted.tolist()]
+        # a second one only for values that share their high bits with 63 others or more
+        assert sum(selects) <= len(wanted) + 1 + (len(bunch) + 3 if len(bunch) else 0)
+    assert ngram_trie.EliasFano(ngram_trie.EliasFano.encode(np.zeros(0, np.uint64))).find(np.array([0, 5])).tolist() == [-1, -1]
+
+
 def test_languages(spark, docs):
     got = langid.held_out_languages(docs).collect()
     assert all(r["lang_pred"] in ("xx", "yy", "und") and 0 <= r["score"] <= 1 for r in got)
