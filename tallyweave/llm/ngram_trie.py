@@ -20,7 +20,6 @@ import mmap
 import os
 import sys
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlsplit
 
@@ -42,8 +41,8 @@ MIN_COUNT = 1
 ADDED = 0.1
 #: Neither can be a word, as words have no white space.
 END, BEGIN = b"\n", b" "
-#: Keys that a task gathers before it sends a block, and words whose ids it remembers.
-BLOCK_KEYS, REMEMBERED = 3_000_000, 600_000
+#: Keys that a task gathers before it sends a block (half as many of words).
+BLOCK_KEYS = 3_000_000
 #: A byte stands for a probability or weight of 10 ** (-byte / 30).
 STEP = 30.0
 #: Bins of log2(relative frequency / lower order) over which interpolation weights are fitted.
@@ -72,7 +71,7 @@ class EliasFano:
         words = np.packbits(marks, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(words).astype(np.int64)
         low = (values & np.uint64((1 << bits) - 1)).astype(np.uint64)
-        lows = [np.packbits((low[at:at + LOW_BLOCK, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8), bitorder="little")
+        lows = [np.packbits(np.unpackbits(low[at:at + LOW_BLOCK].view(np.uint8).reshape(-1, 8), axis=1, count=bits, bitorder="little"), bitorder="little")
                 for at in range(0, n if bits else 0, LOW_BLOCK)]
         tail = np.zeros(16 - sum(map(len, lows)) % 8, np.uint8)
         before = np.cumsum(ones) - ones
@@ -367,6 +366,14 @@ class Level:
         return out
 
 
+def _different(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the different words each one is, and the hashes of these."""
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    which, first = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+    first[which[::-1]] = np.arange(len(words) - 1, -1, -1)
+    return which, np.fromiter(map(xxhash.xxh3_64_intdigest, map(words.__getitem__, first.tolist())), np.uint64, len(first))
+
+
 class Trie:
     """What a worker has mapped: level 1 (hashes, counts) and the further levels, all in parts."""
 
@@ -379,25 +386,19 @@ class Trie:
         self.begins = np.cumsum(sizes) - sizes
         self.firsts = np.array([w["hashes"][0] for w in self.words], np.uint64)
         self.levels = [Level(names, self.size) for names in files[1:]]
-        self.known: dict[bytes, int] = {}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        coded = pa.array(words, pa.large_binary()).dictionary_encode()
-        which, first = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
-        first[which[::-1]] = np.arange(len(words) - 1, -1, -1)
-        own = list(map(words.__getitem__, first.tolist()))
-        fresh = [w for w in own if w not in self.known]
-        if fresh:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            found = np.full(len(fresh), -1, np.int64)
-            for k, places in _by_part(hashes, self.firsts):
-                part = self.words[k]["hashes"]
-                at = np.minimum(np.searchsorted(part, hashes[places]), len(part) - 1)
-                found[places] = np.where(part[at] == hashes[places], at + self.begins[k], -1)
-            self.known.update(zip(fresh, found.tolist()))
-        return np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[which]
+        which, own = _different(words)
+        order = np.argsort(own)
+        own = own[order]
+        found = np.full(len(own), -1, np.int64)
+        cuts = [*np.searchsorted(own, self.firsts).tolist(), len(own)]
+        for part, begin, a, b in zip(self.words, self.begins.tolist(), cuts, cuts[1:]):
+            if a < b:
+                hashes = part["hashes"]
+                at = np.minimum(np.searchsorted(hashes, own[a:b]), len(hashes) - 1)
+                found[order[a:b]] = np.where(hashes[at] == own[a:b], at + begin, -1)
+        return found[which]
 
     def entries(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
         """(context, entry, code as `Level.look` gives it) of every token, level by level from the second; `begins` marks first
@@ -522,20 +523,19 @@ def _count_words(texts: DataFrame, parts: int, folder: str | None) -> DataFrame:
     bounds = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 64 / parts)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter[bytes] = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, counter), np.uint64, len(counter))
-            counts = np.fromiter(counter.values(), np.uint64, len(counter))
-            counter.clear()
-            yield from _blocks(*_merge([(hashes, counts)]), bounds)
-
+        held, size = [], 0
         for batch in _slices(batches):
-            counter.update(_texts(batch)[0])
-            if len(counter) > REMEMBERED:
-                yield from flush()
-        if counter:
-            yield from flush()
+            words = _texts(batch)[0]
+            if not words:
+                continue
+            which, hashes = _different(words)
+            held.append((hashes, np.bincount(which, minlength=len(hashes)).astype(np.uint64)))
+            size += len(hashes)
+            if size > BLOCK_KEYS // 2:
+                yield from _blocks(*_merge(held), bounds)
+                held, size = [], 0
+        if size:
+            yield from _blocks(*_merge(held), bounds)
 
     def then(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if folder:
