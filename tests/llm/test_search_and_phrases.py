@@ -104,6 +104,36 @@ def test_one_pair_in_every_block(spark):
     assert got and got == plain_collocations([(i, "of the " * 5 + f"w{i} ", "en") for i in range(400)], 10, 3, 2000, 50)
 
 
+def test_groups_are_added_up_before_they_are_dealt_out(spark, monkeypatch):
+    # one task of 400 blocks sends each pair once, or once for every few groups held; the counts are those of all blocks
+    rows = [(i, "of the " * 5 + f"w{i} ", "en") for i in range(400)]
+    crowded = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    relation = setm.word_relation(crowded, 0, 20).withColumnRenamed("ids", "w1").localCheckpoint()
+    levels = [relation.select(F.explode("w1").alias("w1")).distinct()]
+    every = spark.sparkContext.broadcast(setm.frequent_filter(levels[0], ["w1"], 1 << 20))
+    for held, most in ((1 << 20, 1), (100, 40)):
+        monkeypatch.setattr(setm, "HELD", held, raising=False)
+        got = setm.group_counts(relation, 2, every).groupBy("w1", "w2").agg(F.sum("a").alias("a"), F.count("*").alias("n")).orderBy(F.desc("a")).limit(2).collect()
+        assert [r.a for r in got] == [2000, 1600] and all(r.n <= most for r in got)
+
+
+def test_bitmap_leaves_a_task_in_pieces(spark, monkeypatch):
+    groups = spark.range(3000).select(F.xxhash64("id").alias("w1")).coalesce(1)
+    whole = setm.frequent_filter(groups, ["w1"], 1 << 16)
+    sizes = []
+    real = type(groups).mapInArrow
+
+    def spied(self, func, schema, *rest):
+        made = lambda it: (s for b in func(it) for s in [setm.pa.RecordBatch.from_pydict({"slot": [b.num_rows], "mask": [1]})])
+        sizes.extend(r.slot for r in real(self, made, schema).collect())
+        return real(self, func, schema, *rest)
+
+    monkeypatch.setattr(setm, "SLOTS", 64, raising=False)
+    monkeypatch.setattr(type(groups), "mapInArrow", spied)
+    assert (setm.frequent_filter(groups, ["w1"], 1 << 16) == whole).all() and whole.any()
+    assert len(sizes) == 1024 // 64 and max(sizes) <= 64
+
+
 # --- byte-level BPE ----------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
