@@ -1,23 +1,32 @@
 """Keyword lookups and routing. Lookup lists of fixed size are part of the expression: no join, and every text is read
-once where it lies. A lookup table of any length is joined with the pieces of texts that a filter of its keywords lets through."""
+once where it lies. A lookup table of any length is laid out as files of the shared folder, which all workers map; the pieces of
+texts that a filter of its keywords lets through are looked up there, so neither texts nor hits are shuffled."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from tallyweave import vocab
 from tallyweave.functions.text import contains_any, let
-from tallyweave.scale import small
+from tallyweave.scale import _row_bytes, small
+from tallyweave.session import mounted, work_path
 
 #: Bytes of the filter of a lookup table's keywords at most; about 16 bits a keyword below that.
 LOOKUP_BYTES = 64 << 20
 #: Bits of the filter that are put together as one row.
 SEGMENT = 1 << 20
+#: Bytes of entries, about, in a file of a lookup table; bytes of texts that are looked up at once; hits that leave a task at once.
+PART_BYTES, TEXT_BYTES, HITS = 64 << 20, 256 << 10, 1 << 16
 
 _RNG = np.random.default_rng(42)
 _BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -93,18 +102,24 @@ def _slices(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, n
         at = end
 
 
+def _hashed(words: pa.Array, lengths: dict[int, list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some of the words at a time (their places) the hashes of their starts and of the whole. An empty word has none."""
+    for at, _, data, ends in _slices(words):
+        sizes = np.diff(ends, prepend=0)
+        for width, hashes in _rolled(data, lengths):
+            mine = np.flatnonzero((sizes >= width) & (sizes < 2 * width))
+            last, length = ends[mine], sizes[mine]
+            start = hashes[last - length]
+            yield at + mine, start, _mixed(start, hashes[last - width], 0) + length.astype(np.uint64) * _ODD[3]
+
+
 def _bits(batches: Iterator[pa.RecordBatch], lengths: dict[int, list[int]], size: int) -> Iterator[pa.RecordBatch]:
     """The bits of a filter of `size` bytes that the keywords set: those of the start and those of the whole."""
     for batch in batches:
-        for _, _, data, ends in _slices(batch.column("word")):
-            sizes = np.diff(ends, prepend=0)
-            for width, hashes in _rolled(data, lengths):
-                mine = (sizes >= width) & (sizes < 2 * width)
-                last, length = ends[mine], sizes[mine]
-                start = hashes[last - length]
-                both = np.concatenate([start, _mixed(start, hashes[last - width], 0) + length.astype(np.uint64) * _ODD[3]])
-                places = np.unique(np.concatenate([both, (both * _ODD[2]) >> np.uint64(32)]) & np.uint64(8 * size - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(places // SEGMENT), pa.array(places % SEGMENT)], names=["segment", "bit"])
+        for _, start, whole in _hashed(batch.column("word"), lengths):
+            both = np.concatenate([start, whole])
+            places = np.unique(np.concatenate([both, (both * _ODD[2]) >> np.uint64(32)]) & np.uint64(8 * size - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(places // SEGMENT), pa.array(places % SEGMENT)], names=["segment", "bit"])
 
 
 def _segment(rows: pa.Table) -> pa.Table:
@@ -113,6 +128,19 @@ def _segment(rows: pa.Table) -> pa.Table:
     return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
+def _passing(data: np.ndarray, ends: np.ndarray, bits: np.ndarray, lengths: dict[int, list[int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The pieces that the filter lets through, by length: their places, the rows they lie in, and their hashes."""
+    for width, hashes in _rolled(data, lengths):
+        start = np.flatnonzero(_known(bits, hashes))
+        owner = np.searchsorted(ends, start, "right")
+        for length in lengths[width]:
+            fits = start + length <= ends[owner]
+            first, mine = start[fits], owner[fits]
+            whole = _mixed(hashes[first], hashes[first + length - width], 0) + np.uint64(length) * _ODD[3]
+            hit = _known(bits, whole)
+            yield length, first[hit], mine[hit], whole[hit]
+
+
 def _found_in(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: dict[int, list[int]], empty: bool) -> Iterator[pa.RecordBatch]:
     """The batches with `__words`, the different pieces of `__low` that the filter lets through."""
     for batch in batches:
@@ -120,16 +148,9 @@ def _found_in(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: dict
         for at, end, data, ends in _slices(low):
             found = [{b""} if empty and there else set() for there in low.slice(at, end - at).is_valid().to_pylist()]
             raw = data.tobytes()
-            for width, hashes in _rolled(data, lengths):
-                start = np.flatnonzero(_known(bits, hashes))
-                owner = np.searchsorted(ends, start, "right")
-                for length in lengths[width]:
-                    fits = start + length <= ends[owner]
-                    first, mine = start[fits], owner[fits]
-                    whole = _mixed(hashes[first], hashes[first + length - width], 0) + np.uint64(length) * _ODD[3]
-                    hit = _known(bits, whole)
-                    for i, row in zip(first[hit].tolist(), mine[hit].tolist()):
-                        found[row].add(raw[i:i + length])
+            for length, first, mine, _ in _passing(data, ends, bits, lengths):
+                for i, row in zip(first.tolist(), mine.tolist()):
+                    found[row].add(raw[i:i + length])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).slice(at, end - at) for c in rest), pa.array([sorted(f) for f in found], pa.list_(pa.binary()))],
                 names=[*rest, "__words"])
@@ -148,25 +169,217 @@ def _filter_of(terms: DataFrame, limit: int) -> tuple[np.ndarray, dict[int, list
     return bits[:size], lengths, 0 in sizes
 
 
+# --- lookup tables in mapped files --------------------------------------------------------------------------------
+
+def _save(folder: str, name: str, batch: pa.RecordBatch) -> None:
+    """A file of a mounted folder; a task that runs again puts the same one in its place."""
+    os.makedirs(folder, exist_ok=True)
+    new = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
+    try:
+        with pa.OSFile(new, "wb") as file, pa.ipc.new_file(file, batch.schema) as out:
+            out.write_batch(batch)
+        os.replace(new, os.path.join(folder, name))
+    except BaseException:
+        if os.path.exists(new):
+            os.remove(new)
+        raise
+
+
+def _load(folder: str, name: str) -> pa.RecordBatch:
+    return pa.ipc.open_file(pa.memory_map(os.path.join(folder, name))).get_batch(0)
+
+
+def _eights(data: pa.Buffer | np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as numbers."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+
+def _eighth(length: int, k: int) -> np.uint64:
+    """What belongs to a word of `length` bytes in its eight bytes from 8 k on."""
+    return np.uint64((1 << 8 * min(8, length - 8 * k)) - 1)
+
+
+def _part_of(hashes, parts: int):
+    return ((hashes >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], folder: str, parts: int) -> Iterator[pa.RecordBatch]:
+    """Writes a task's entries as a file; of each keyword its part, hash, bytes, and where its entry is: file and row."""
+    table = pa.Table.from_batches(held) if (held := list(batches)) else None
+    if not table:
+        return
+    number, table = TaskContext.get().partitionId(), table.combine_chunks()
+    _save(folder, f"entries-{number:08d}", pa.record_batch([table.column("entry").chunk(0)], ["entry"]))
+    lists = table.column("__words").chunk(0)
+    words, rows = lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    hashes = np.zeros(len(words), np.uint64)
+    for at, _, whole in _hashed(words, _lengths(size for size in pc.unique(pc.binary_length(words)).to_pylist() if size)):
+        hashes[at] = whole
+    for at in range(0, len(words), 100_000):
+        mine = hashes[at:at + 100_000]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(_part_of(mine, parts).astype(np.int32)), pa.array(mine.view(np.int64)), words.slice(at, 100_000),
+            pa.array(rows[at:at + 100_000] | number << 32)], names=["part", "hash", "word", "place"])
+
+
+def _keywords(rows: pa.Table, folder: str) -> pa.Table:
+    """Writes a part of the keywords, in order of their hashes, each with the places of its entries. Words end in eight zero
+    bytes; `most` is the number of words that share a hash."""
+    rows = rows.set_column(rows.schema.get_field_index("hash"), "hash", rows.column("hash").combine_chunks().view(pa.uint64()))
+    number = rows.column("part")[0].as_py()
+    rows = rows.sort_by([("hash", "ascending"), ("word", "ascending"), ("place", "ascending")]).combine_chunks()
+    word, hashes = rows.column("word").chunk(0).cast(pa.large_binary()), rows.column("hash").to_numpy()
+    new = np.ones(len(word), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    word, hashes = word.take(pa.array(first)), hashes[first]
+    most = np.diff(np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])), append=len(hashes)).max()
+    padded = pc.binary_join_element_wise(word, pa.scalar(bytes(8), pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(new)), pa.int32()), rows.column("place").chunk(0))
+    batch = pa.record_batch([pa.array(hashes), pc.binary_length(word).cast(pa.int32()), padded, places], ["hash", "size", "word", "places"])
+    _save(folder, f"keywords-{number:08d}", batch.replace_schema_metadata({"most": str(most)}))
+    return pa.table({"part": pa.array([number], pa.int32())})
+
+
+class _Table:
+    """A lookup table in the files of a mounted folder. What is read of them stays outside the worker's own memory."""
+
+    def __init__(self, folder: str, parts: int):
+        names = os.listdir(folder) if os.path.isdir(folder) else []
+        self.parts, self.most = parts, 1
+        self.entries = {int(n[-8:]): _load(folder, n).column("entry") for n in names if n.startswith("entries-")}
+        self.keywords: dict[int, tuple] = {}
+        at = 0
+        for name in sorted(n for n in names if n.startswith("keywords-")):
+            batch = _load(folder, name)
+            word, places = batch.column("word"), batch.column("places")
+            self.most = max(self.most, int(batch.schema.metadata[b"most"]))
+            self.keywords[int(name[-8:])] = (
+                at, batch.column("hash").to_numpy(), batch.column("size").to_numpy(),
+                np.frombuffer(word.buffers()[1], np.int64)[:len(word) + 1], _eights(word.buffers()[2]),
+                places.offsets.to_numpy(), places.values.to_numpy())
+            at += batch.num_rows
+        self.size = at
+
+    def find(self, text: np.ndarray, length: int, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pieces are keywords, and which ones. Their bytes are compared, so an equal hash alone does not count."""
+        different, piece = np.unique(hashes, return_inverse=True)
+        cuts = np.searchsorted(_part_of(different, self.parts), np.arange(self.parts + 1, dtype=np.uint64))
+        eights = range(-(-length // 8))
+        pieces, found = [], []
+        for k in range(self.most):
+            keyword = np.full(len(different), -1)
+            told = np.zeros((len(eights), len(different)), np.uint64)
+            for part, (base, known, size, offsets, words, _, _) in self.keywords.items():
+                mine = different[cuts[part]:cuts[part + 1]]
+                at = np.searchsorted(known, mine) + k
+                near = np.minimum(at, len(known) - 1)
+                fits = np.flatnonzero((at == near) & (known[near] == mine) & (size[near] == length))
+                near, fits = near[fits], fits + cuts[part]
+                keyword[fits] = near + base
+                for i in eights:
+                    told[i][fits] = words[offsets[near] + 8 * i] & _eighth(length, i)
+            same = keyword[piece] >= 0
+            for i in eights:
+                same &= (text[first + 8 * i] & _eighth(length, i)) == told[i][piece]
+            at = np.flatnonzero(same)
+            pieces.append(at), found.append(keyword[piece[at]])
+        return np.concatenate(pieces), np.concatenate(found)
+
+    def places(self, owner: np.ndarray, keyword: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with the places of the entries of their keywords."""
+        owners, out = [], []
+        for base, known, _, _, _, starts, places in self.keywords.values():
+            mine = (keyword >= base) & (keyword < base + len(known))
+            at = keyword[mine] - base
+            first, count = starts[at], starts[at + 1] - starts[at]
+            owners.append(np.repeat(owner[mine], count))
+            out.append(places[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())])
+        return (np.concatenate(owners), np.concatenate(out)) if out else (owner[:0], keyword[:0])
+
+
+@lru_cache(maxsize=2)
+def _table(folder: str, parts: int) -> _Table:
+    return _Table(folder, parts)
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], table: _Table, bits: np.ndarray, lengths: dict[int, list[int]], empty: bool,
+               repeats: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with `__entries`, entries that have a keyword in `__low`; a row comes several times if they are many.
+    `repeats` tells whether an entry can have several keywords."""
+    for batch in batches:
+        low, rest = batch.column("__low"), batch.drop_columns(["__low"])
+        for at, end, data, ends in _slices(low, TEXT_BYTES):
+            text = _eights(np.concatenate([data, np.zeros(15, np.uint8)]))
+            hits = []
+            if empty:
+                there = np.flatnonzero(low.slice(at, end - at).is_valid().to_numpy(zero_copy_only=False))
+                which, keyword = table.find(text, 0, np.zeros(len(there), np.int64), np.zeros(len(there), np.uint64))
+                hits.append(there[which] * table.size + keyword)
+            for length, first, owner, whole in _passing(data, ends, bits, lengths):
+                which, keyword = table.find(text, length, first, whole)
+                hits.append(owner[which] * table.size + keyword)
+            if not hits or not sum(map(len, hits)):
+                continue
+            owner, place = table.places(*np.divmod(np.unique(np.concatenate(hits)), table.size))
+            # by file, then by row of the batch
+            order = np.lexsort((place, owner, place >> 32) if repeats else (owner, place >> 32))
+            owner, place = owner[order], place[order]
+            if repeats:
+                new = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1]))
+                owner, place = owner[new], place[new]
+            file, row = place >> 32, place & 0xFFFFFFFF
+            cuts = np.flatnonzero(np.diff(file, prepend=-1))
+            for start, stop in zip(cuts, [*cuts[1:], len(file)]):
+                for i in range(start, stop, HITS):
+                    some = slice(i, min(i + HITS, stop))
+                    rows, counts = np.unique(owner[some], return_counts=True)
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(np.append(0, np.cumsum(counts)), pa.int32()), table.entries[int(file[start])].take(pa.array(row[some])))
+                    yield pa.RecordBatch.from_arrays([*rest.take(pa.array(at + rows)).columns, lists], names=[*rest.schema.names, "__entries"])
+
+
+def _laid_out(named: DataFrame, folder: str, parts: int) -> None:
+    """The files of a lookup table. Its rows lie in stored files, so a task that runs again finds them in the same order."""
+    schema = "part int, hash long, word binary, place long"
+    words = named.select("__words", "entry").coalesce(parts).mapInArrow(lambda it: _entries(it, folder, parts), schema)
+    words.groupBy("part").applyInArrow(lambda rows: _keywords(rows, folder), "part int").write.format("noop").mode("overwrite").save()
+
+
 def match_keyword_table(df: DataFrame, text: str, lookup: DataFrame, keywords: str = "keywords",
                         key: str = "pos", block_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """One row per row of `df` and row of `lookup` (as struct `entry`) any of whose keywords is a literal substring of the
     text in lower case.
 
     The lookup is a table of any length with unique whole numbers in `key`. Each text is read once; the pieces of it that pass a
-    filter of all keywords are joined with the keywords, so nothing but the filter, of `block_bytes` at most, is sent to the tasks,
-    and what it lets through wrongly finds no partner. A null text or keyword matches nothing, an empty keyword every text.
+    filter of all keywords are looked up, so nothing but the filter, of `block_bytes` at most, is sent to the tasks,
+    and what it lets through wrongly is not found. The lookup lies in files of the shared folder, which the workers map; only
+    where that folder is not mounted are pieces and keywords joined, which shuffles all pieces of a large lookup.
+    A null text or keyword matches nothing, an empty keyword every text.
     Where many entries have the same keywords, group them first: a text then gives one row per group.
     """
+    spark = df.sparkSession
     named = lookup.select(F.col(key).cast("long").alias("__entry"), F.array_distinct(F.array_compact(keywords)).cast("array<binary>").alias("__words"), F.struct("*").alias("entry"))
+    path = work_path(spark, "lookup")
+    named.write.option("parquet.block.size", 16 << 20).parquet(path)
+    named, folder = spark.read.schema(named.schema).parquet(path), mounted(spark, f"{path}-files")
     words = named.select(F.explode("__words").alias("word")).distinct()
     bits, lengths, empty = _filter_of(words, block_bytes)
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(bits)
+    most, size = named.agg(F.max(F.size("__words")), F.sum(_row_bytes(named.select("entry")))).first()
+    if folder:
+        parts = 1 + (size or 0) // PART_BYTES
+        _laid_out(named, folder, parts)
+        low = df.withColumn("__low", _text(text))
+        schema = StructType([f for f in low.schema.fields if f.name != "__low"] + [StructField("__entries", ArrayType(named.schema["entry"].dataType))])
+        repeats = (most or 0) > 1
+        hits = low.mapInArrow(lambda batches: _looked_up(batches, _table(folder, parts), shared.value, lengths, empty, repeats), schema)
+        return hits.withColumn("entry", F.explode("__entries")).drop("__entries")
     low = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__low", _text(text))
     schema = StructType([f for f in low.schema.fields if f.name != "__low"] + [StructField("__words", ArrayType(BinaryType()))])
     hits = low.mapInArrow(lambda batches: _found_in(batches, shared.value, lengths, empty), schema)
     pairs = hits.withColumn("__word", F.explode("__words")).drop("__words")
-    if (named.agg(F.max(F.size("__words"))).first()[0] or 0) <= 1:
+    if (most or 0) <= 1:
         terms = named.select(F.explode("__words").alias("__word"), "entry")
         return pairs.join(small(terms, rows=1_000_000), "__word").drop("__word", "__row")
     terms = named.select("__entry", F.explode("__words").alias("__word"))

@@ -57,3 +57,38 @@ def test_scores_leave_a_task_in_bounded_batches():
     assert out[0].slice(0, 1).to_pylist() == [{"query_id": "q0", "doc_id": 0, "score": 1.0}]
     best = [r for b in retrieval._scored_in_task(iter([docs]), Shared, 2) for r in b.to_pylist() if r["query_id"] == "q7"]
     assert [r["doc_id"] for r in best] == [0, 1]
+
+
+@pytest.mark.parametrize("parts,stored", [(1 << 26, True), (200, True), (200, False)])
+def test_lookup_shuffles_no_hits(spark, monkeypatch, parts, stored):
+    # two keys are equal, several keywords of an entry occur in one text, words of up to 20 bytes and the empty one
+    monkeypatch.setattr(matching, "PART_BYTES", parts, raising=False)
+    if not stored:
+        monkeypatch.setattr(matching, "mounted", lambda spark, path: None)
+        monkeypatch.setattr(matching, "small", lambda df, **k: df)
+    words = [f"{'word' * (i % 5)}{i}é" for i in range(400)]
+    rows = [(i, [words[i], words[(7 * i) % 400], ""][:1 + (i % 3)], f"n{i}") for i in range(400)] + [(401, ["word1"], "x"), (None, ["é"], "y")][:2 if stored else 1]
+    rows += [(7, ["2é"], "again")] * 2 * stored
+    lookup = spark.createDataFrame(rows, "pos long, keywords array<string>, notes string").repartition(3)
+    texts = [(i, None if i % 9 == 0 else " ".join(words[i * 3 % 400:][:i % 7]).upper()) for i in range(60)]
+    found = matching.match_keyword_table(spark.createDataFrame(texts, "id long, body string"), "body", lookup)
+    want = sorted((i, p or -1, n) for i, t in texts if t is not None for p, terms, n in rows if any(k in t.lower() for k in terms))
+    assert sorted((r.id, r.entry.pos or -1, r.entry.notes) for r in found.collect()) == want and len(want) > 5000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not stored or "Exchange" not in plan and "Join" not in plan
+
+
+def test_keywords_that_share_a_hash(tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    words = [b"abc", b"abd", b"abc", b"longer than eight", b"longer than nine.", b""]
+    rows = pa.table({"part": pa.array([0] * 6, pa.int32()), "hash": pa.array([5, 5, 5, 9, 9, 0]), "word": words, "place": [0, 1, 2, 3, 4, 5]})
+    matching._keywords(rows, str(tmp_path))
+    table, data = matching._Table(str(tmp_path), 1), np.frombuffer(b"abdabc longer than nine.longer than ten" + bytes(15), np.uint8)
+    found = set()
+    for length, first, value in ((3, [0, 3, 1], 5), (17, [7, 22], 9), (0, [0], 0)):
+        which, keyword = table.find(matching._eights(data), length, np.array(first), np.full(len(first), value, np.uint64))
+        owner, place = table.places(np.array(first)[which], keyword)
+        found |= set(zip(owner.tolist(), place.tolist()))
+    assert found == {(0, 1), (3, 0), (3, 2), (7, 4), (0, 5)}
