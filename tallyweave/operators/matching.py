@@ -26,7 +26,7 @@ LOOKUP_BYTES = 64 << 20
 #: Bits of the filter that are put together as one row.
 SEGMENT = 1 << 20
 #: Bytes of entries, about, in a file of a lookup table; bytes of texts that are looked up at once; hits that leave a task at once.
-PART_BYTES, TEXT_BYTES, HITS = 64 << 20, 256 << 10, 1 << 16
+PART_BYTES, TEXT_BYTES, HITS = 128 << 20, 256 << 10, 1 << 16
 
 _RNG = np.random.default_rng(42)
 _BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -321,7 +321,8 @@ def _looked_up(batches: Iterator[pa.RecordBatch], table: _Table, bits: np.ndarra
                 hits.append(owner[which] * table.size + keyword)
             if not hits or not sum(map(len, hits)):
                 continue
-            owner, place = table.places(*np.divmod(np.unique(np.concatenate(hits)), table.size))
+            hits = np.sort(np.concatenate(hits))  # several times as fast as np.unique
+            owner, place = table.places(*np.divmod(hits[np.append(True, hits[1:] != hits[:-1])], table.size))
             # by file, then by row of the batch
             order = np.lexsort((place, owner, place >> 32) if repeats else (owner, place >> 32))
             owner, place = owner[order], place[order]
@@ -333,10 +334,11 @@ def _looked_up(batches: Iterator[pa.RecordBatch], table: _Table, bits: np.ndarra
             for start, stop in zip(cuts, [*cuts[1:], len(file)]):
                 for i in range(start, stop, HITS):
                     some = slice(i, min(i + HITS, stop))
-                    rows, counts = np.unique(owner[some], return_counts=True)
+                    first = np.flatnonzero(np.diff(owner[some], prepend=-1))
                     lists = pa.ListArray.from_arrays(
-                        pa.array(np.append(0, np.cumsum(counts)), pa.int32()), table.entries[int(file[start])].take(pa.array(row[some])))
-                    yield pa.RecordBatch.from_arrays([*rest.take(pa.array(at + rows)).columns, lists], names=[*rest.schema.names, "__entries"])
+                        pa.array(np.append(first, some.stop - i), pa.int32()), table.entries[int(file[start])].take(pa.array(row[some])))
+                    yield pa.RecordBatch.from_arrays(
+                        [*rest.take(pa.array(at + owner[some][first])).columns, lists], names=[*rest.schema.names, "__entries"])
 
 
 def _laid_out(named: DataFrame, folder: str, parts: int) -> None:
